@@ -22,14 +22,15 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeleaf.llm.common import WordHash, chunks, hashed_words, raw_texts, starts_inside, table, texts, window_hashes
+from gaugeleaf.llm.common import WordHash, chunks, hashed_words, mixed, raw_texts, starts_inside, table, texts, window_hashes
 
 _PACKED = "bucket int, packed binary"
-_FOUND = "doc_id long, mark int, starts binary"
+_FOUND = "block int, packed binary"
 
 
 def _bits(docs: DataFrame, bucket_windows: int) -> int:
@@ -67,14 +68,13 @@ def _unpack(packed: bytes, width: int):
     before[first] = total[first] - place[first]
     pos = total - np.maximum.accumulate(before)
     hashes = np.zeros((n, 8), np.uint8)
-    hashes[:, :width] = np.frombuffer(packed, np.uint8, n * width, 12 + n_meta).reshape(-1, width)
+    if width:
+        hashes[:, :width] = np.frombuffer(packed, np.uint8, n * width, 12 + n_meta).reshape(n, width)
     return hashes.view("<u8").ravel(), ids[which], marks[which], pos
 
 
-def repeated_windows(docs: DataFrame, window: int = 13, hash_bytes: int = 7, bucket_windows: int = 2_000_000) -> DataFrame:
-    """doc_id, mark, starts: packed starts of windows that a document with a smaller doc_id has too (several rows a document)."""
-    marked = _marked(docs)
-    bits = _bits(marked, bucket_windows)
+def repeated_windows(marked: DataFrame, bits: int, window: int, hash_bytes: int) -> DataFrame:
+    """block, packed: the starts of windows that a document with a smaller doc_id has too, by block of documents."""
 
     def deal(batches):
         cache = WordHash()
@@ -116,20 +116,13 @@ def repeated_windows(docs: DataFrame, window: int = 13, hash_bytes: int = 7, buc
         if not found:
             return
         ids, marks, pos = map(np.concatenate, zip(*found))
-        order = np.lexsort((pos, marks, ids))
-        ids, marks, pos = ids[order], marks[order], pos[order]
-        cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(marks.astype(np.int64)) != 0)) + 1
-        cuts = np.concatenate([[0], cuts, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
-        for a in range(0, len(cuts) - 1, 20_000):
-            edges = cuts[a : a + 20_001]
-            yield pa.record_batch(
-                [
-                    pa.array(ids[edges[:-1]], pa.int64()),
-                    pa.array(marks[edges[:-1]].astype(np.int32), pa.int32()),
-                    pa.array([np.diff(pos[i:j], prepend=0).astype("<u4").tobytes() for i, j in zip(edges, edges[1:])], pa.binary()),
-                ],
-                ["doc_id", "mark", "starts"],
-            )
+        block = (mixed(ids.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int32)
+        order = np.lexsort((pos, marks, ids, block))
+        for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            if len(part):
+                docs_of, which = np.unique(np.stack([ids[part], marks[part].astype(np.int64)]), axis=1, return_inverse=True)
+                packed = _pack(np.zeros(len(part), np.uint64), 0, docs_of[0], docs_of[1], which.ravel(), pos[part])
+                yield pa.record_batch([pa.array([int(block[part[0]])], pa.int32()), pa.array([packed], pa.binary())], ["block", "packed"])
 
     dealt = marked.where("doc_id is not null").mapInArrow(deal, _PACKED)
     return dealt.repartition(1 << bits, "bucket").mapInArrow(find, _FOUND)
@@ -139,37 +132,55 @@ def _marked(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
 
 
+def _block(bits: int):
+    """mixed() as a pandas-free Arrow column: the block of each document, spread by its text where it has no doc_id."""
+
+    def add(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False) if not batch.column("doc_id").null_count else pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
+            at = mixed(ids.astype(np.int64).astype(np.uint64)) & np.uint64((1 << bits) - 1)
+            lone = pc.is_null(batch.column("doc_id")).to_numpy(zero_copy_only=False)
+            at = np.where(lone, batch.column("mark").to_numpy(zero_copy_only=False).astype(np.uint64) & np.uint64((1 << bits) - 1), at)
+            yield batch.append_column("block", pa.array(at.astype(np.int32)))
+
+    return add
+
+
 def remove_repeats(docs: DataFrame, window: int = 13, hash_bytes: int = 7, bucket_windows: int = 2_000_000, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, intervals (start and end in words, maximal) and kept: the kept text, or its SHA-256 if digest."""
-    found = repeated_windows(docs, window, hash_bytes, bucket_windows).groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
-    joined = _marked(docs).join(found, ["doc_id", "mark"], "left").select("doc_id", "text", "starts")
-
-    def cut(batches):
-        for batch in chunks(batches):
-            out = []
-            for raw, starts in zip(raw_texts(batch), batch.column("starts").to_pylist()):
+    marked = _marked(docs)
+    bits = _bits(marked, bucket_windows)
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", span), ("kept", pa.string())])
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        starts = defaultdict(list)
+        for packed in right.column("packed").to_pylist():
+            _, ids, marks, pos = _unpack(packed, 0)
+            edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]), [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                starts[int(ids[a]), int(marks[a])].append(pos[a:b])
+        out = []
+        for batch in left.to_batches():
+            for doc_id, mark, raw in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), raw_texts(batch)):
                 words, spans = raw.split(), []
                 n = len(words)
-                if starts:
+                if found := starts.get((doc_id, mark)):
                     hit = np.zeros(n + 1, np.int64)
-                    for s in starts:
-                        at = np.cumsum(np.frombuffer(s, "<u4"))
-                        hit[at] += 1
-                        hit[at + window] -= 1
+                    for at in found:
+                        np.add.at(hit, at, 1)
+                        np.add.at(hit, at + window, -1)
                     gone = np.cumsum(hit)[:n] > 0
-                    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    spans = edge.reshape(-1, 2).tolist()
+                    spans = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 kept = b" ".join(words)
-                out.append((n, n - len(words), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
-            n, gone, spans, kept = zip(*out)
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_removed", "intervals", "kept"],
-            )
+                out.append((doc_id, n, n - len(words), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, intervals array<struct<start:int,end:int>>, kept string")
+    blocked = marked.mapInArrow(_block(bits), "doc_id long, text string, mark int, block int")
+    found = repeated_windows(marked, bits, window, hash_bytes)
+    kind = "doc_id long, n_words long, n_removed long, intervals array<struct<start:int,end:int>>, kept string"
+    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, kind)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
