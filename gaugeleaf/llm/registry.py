@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from gaugeleaf.llm import substring_dedup
+from gaugeleaf.llm import near_dedup, quality_resampling, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_quality_resampling": quality_resampling.op8_quality_resampling,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_dedup.ORACLE}
+    return {"op2_substring_dedup": substring_dedup.ORACLE, "op10_near_dedup": near_dedup.ORACLE}
