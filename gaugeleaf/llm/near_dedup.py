@@ -4,7 +4,7 @@
    a class; from here on a class is its smallest doc_id.
 2. The forest: tree t orders classes by the signature rotated by t * 8 minima. A region is a run of classes with a common
    prefix. Regions start at a prefix of two minima; one that holds more than `region` classes is descended, by prefixes of
-   4, 6, 8, 12, 16 and 24, so that depth adapts to how crowded a region is. In a region all classes meet; in a crowded one
+   6, 12 and 24, so that depth adapts to how crowded a region is. In a region all classes meet; in a crowded one
    each meets its neighbours in sorted order, those with the longest common prefix, as well as those of the deeper regions.
    Of those it meets, a class proposes the ones whose signatures agree best.
 3. First each class's best proposal is checked on full sets, then every proposal that joins two groups still apart.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from gaugeleaf.llm.common import WordHash, chunks, hashed_words, materialize, mixed, raw_texts, table, texts, window_hashes
 
 MINIMA, TREES, PER_TREE = 128, 16, 8
-DEPTHS = (2, 4, 6, 8, 12, 16, 24)
+DEPTHS = (2, 6, 12, 24)
 _rng = np.random.default_rng(20240607)
 _ODD = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
