@@ -86,15 +86,15 @@ def candidates(docs: DataFrame, chosen: DataFrame, broadcast_rows: int) -> DataF
     return met.groupBy("row").agg(F.collect_set("c").alias("found"))
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, text, words and matches (start, w, item_id): exact occurrences of windows, a row per row of docs."""
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = 200_000, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns in extra, words and matches (start, w, item_id): exact occurrences of windows, a row per row of docs."""
     items = materialize(_items(benchmark))
     frequencies = term_frequencies(docs, items, broadcast_rows)
     chosen = materialize(anchors(items, frequencies, window))
     met = candidates(docs, chosen, broadcast_rows)
-    joined = texts(docs).withColumn("row", F.xxhash64("doc_id", "text")).join(met, "row", "left").withColumn("words", words_of(F.col("text")))
+    joined = texts(docs, *extra).withColumn("row", F.xxhash64("doc_id", "text")).join(met, "row", "left").withColumn("words", words_of(F.col("text")))
     exact = F.filter(F.coalesce("found", F.array().cast(met.schema["found"].dataType)), lambda c: F.slice("words", c["start"] + 1, F.size(c["w"])) == c["w"])
-    return joined.select("doc_id", "text", "words", exact.alias("matches"))
+    return joined.select("doc_id", "text", *extra, "words", exact.alias("matches"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
@@ -112,13 +112,13 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, broa
     return index.select("doc_id", "item_id", "pos", F.array_min(gaps).alias("distance")).where("distance is not null")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, text, n_words, n_hit, n_items, items (as sorted strings), contaminated: a row per row of docs."""
-    rows = phrase_matches(docs, benchmark, window)
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns in extra, n_words, n_hit, n_items, items (as sorted strings), contaminated: a row per row of docs."""
+    rows = phrase_matches(docs, benchmark, window, extra=extra)
     covered = F.flatten(F.transform("matches", lambda c: F.sequence(c["start"], c["start"] + F.size(c["w"]) - 1)))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda c: c["item_id"].cast("string"))))
-    rows = rows.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), items.alias("items"))
-    return rows.select("doc_id", "text", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    rows = rows.select("doc_id", "text", *extra, F.size("words").cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), items.alias("items"))
+    return rows.select("doc_id", "text", *extra, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,16 +64,16 @@ def _minima(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set) and sig, null for the empty set."""
+    """doc_id, row (a hash of doc_id and text), n_shingles, set_key (of the whole set) and sig, null for the empty set."""
 
     def sign(batches):
         cache = WordHash()
         for batch in chunks(batches):
             rows = [(len(s), _key(s), _minima(s)) if len(s) else (0, None, None) for s in _sets(batch, cache, shingle)]
             n, key, sig = zip(*rows)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "row", "n_shingles", "set_key", "sig"])
 
-    return texts(docs).mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return texts(docs).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(sign, "doc_id long, row long, n_shingles long, set_key binary, sig binary")
 
 
 def _rotated(tree: Column) -> Column:
@@ -198,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region: int = 512, best: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    """doc_id, row (a hash of doc_id and text), n_shingles, component_id, kept: one row per row of docs."""
     signed = materialize(signatures(docs, shingle))
     classes = materialize(signed.where("n_shingles > 0").groupBy("set_key", "sig").agg(F.min("doc_id").alias("rep"))).where("rep is not null")
     pairs = proposals(classes.select("rep", "sig"), region, best, percent)
@@ -227,8 +227,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region
         groups = components(links.unionByName(more))
     member = classes.join(groups, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return (
-        signed.select("doc_id", "n_shingles", "set_key").join(member, "set_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        signed.select("doc_id", "row", "n_shingles", "set_key").join(member, "set_key", "left")
+        .select("doc_id", "row", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
