@@ -28,9 +28,15 @@ def trusted_ids(labels: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 def with_target(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
-    """doc_id, text, row (a hash of both) and target: whether the row is in the trusted sample, whose size is bounded, hence the broadcast."""
-    ids = trusted_ids(labels, most).withColumn("target", F.lit(True))
-    return texts(docs).withColumn("row", F.xxhash64("doc_id", "text")).join(F.broadcast(ids), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    """doc_id, text, row (a hash of both), target and held: whether the row is in the half of the trusted sample that is
+    counted, or in the half that thresholds are set by, so that no threshold rests on texts the model has seen as target.
+
+    The sample's size is bounded, hence the broadcast.
+    """
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
+    ids = trusted_ids(labels, most).withColumn("target", half)
+    rows = texts(docs).withColumn("row", F.xxhash64("doc_id", "text")).join(F.broadcast(ids), "doc_id", "left")
+    return rows.withColumn("held", F.coalesce(~F.col("target"), F.lit(False))).withColumn("target", F.coalesce("target", F.lit(False)))
 
 
 def _ngrams(batch: pa.RecordBatch, cache: WordHash, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,12 +83,12 @@ def sums(batch: pa.RecordBatch, cache: WordHash, ratio: np.ndarray) -> tuple[np.
 
 
 def scored(marked: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, row, target, total (summed log ratio) and n_ngrams, a row for each row of marked."""
+    """doc_id, row, held, total (summed log ratio) and n_ngrams, a row for each row of marked."""
 
     def score(batches) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in chunks(batches):
             total, n = sums(batch, cache, ratio)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), batch.column("target"), pa.array(total, pa.float64()), pa.array(n, pa.int64())], ["doc_id", "row", "target", "total", "n_ngrams"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), batch.column("held"), pa.array(total, pa.float64()), pa.array(n, pa.int64())], ["doc_id", "row", "held", "total", "n_ngrams"])
 
-    return marked.mapInArrow(score, "doc_id long, row long, target boolean, total double, n_ngrams long")
+    return marked.mapInArrow(score, "doc_id long, row long, held boolean, total double, n_ngrams long")
