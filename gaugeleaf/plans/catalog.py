@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from gaugeleaf.plans import atom_queries
+
+MODULES = (atom_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
