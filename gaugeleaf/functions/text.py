@@ -131,11 +131,21 @@ def word_count(text: Column) -> Column:
     return F.when(strip(text) == "", 0).otherwise(F.size(F.split(strip(text), r"\s+")))
 
 
-def triplet(text: Column) -> Column:
-    """struct(subject, predicate, obj) by place; null if a nesting word stands in it or a part is missing."""
+def by_place(text: Column) -> Column:
+    """struct(subject, predicate, obj): the first word, the second, the rest; empty where there is none."""
     parts = F.split(strip(text), r"\s+")
-    made = F.struct(F.get(parts, F.lit(0)).alias("subject"), F.get(parts, F.lit(1)).alias("predicate"), F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts), F.lit(1))), " ").alias("obj"))
-    return F.when(~text.rlike(NESTED) & (F.size(parts) >= 3), made)
+    return F.struct(
+        F.get(parts, F.lit(0)).alias("subject"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("predicate"),
+        F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts), F.lit(1))), " ").alias("obj"),
+    )
+
+
+def triplets(claim: Column) -> Column:
+    """Array of structs, one for each clause; a clause with a nesting word is cut again at "and", semicolons and commas."""
+    residual = lambda t: F.transform(_filled(F.split(t, r"(?i)\s+and\s+|;|,")), by_place)
+    found = F.flatten(F.transform(clauses(claim), lambda t: F.when(t.rlike(NESTED), residual(t)).otherwise(F.filter(F.array(by_place(t)), lambda x: x["subject"] != ""))))
+    whole = F.struct(claim.alias("subject"), F.lit("").alias("predicate"), F.lit("").alias("obj"))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(whole))
 
 
 def ask_hypothesis(question: Column) -> Column:
@@ -148,10 +158,17 @@ def ask_hypothesis(question: Column) -> Column:
 
 def last_subject(text: Column) -> Column:
     """The last run of capitalised words; null without any."""
-    found = F.regexp_extract_all(text, F.lit(rf"(^|[^A-Za-z0-9_])({SUBJECT})"), F.lit(2))
+    found = F.regexp_extract_all(text, F.lit(rf"(^|{EDGE})({SUBJECT})({EDGE}|$)"), F.lit(2))
     return F.try_element_at(found, F.lit(-1))
 
 
+def resolve(text: Column, subject: Column) -> Column:
+    """text with its leading pronoun replaced by subject, if there are both."""
+    bare = strip(text)
+    rest = F.regexp_replace(bare, rf"(?i)^(?:{'|'.join(c.PRONOUNS)})({EDGE}|$)", "$1")
+    return F.when(subject.isNotNull() & bare.rlike(LEADING_SHORT), F.concat(subject, rest)).otherwise(bare)
+
+
 def filler(text: Column) -> Column:
     """The first date, time or capitalised word that is no function word; null without any."""
     found = F.regexp_extract_all(text, F.lit(rf"(^|{EDGE})([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}:[0-9]{{2}}|[A-Z][a-zA-Z]+)"), F.lit(2))
@@ -172,14 +189,40 @@ def seeded_bit(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"), 256), 1, 2), 16, 10).cast("int") % 2 == 1
 
 
-def embedding(text: Column, seed: int = 20250730, dim: int = 64) -> Column:
-    """Counts of hashed tokens, repeats included, scaled to length 1; a unit vector for a text without tokens."""
+def slots(text: Column, seed: int = 20250730, dim: int = 64) -> Column:
+    """The embedding's dimension of each content token, repeats included; one fixed dimension for a text without tokens."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(c.STOP))
-    slots = F.transform(words, lambda t: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), t).cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.when(d == seed % dim, 1.0).otherwise(0.0))
-    return F.when(F.size(words) == 0, unit).otherwise(F.transform(counts, lambda x: x / norm))
+    found = F.transform(words, lambda t: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), t).cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+    return F.when(F.size(found) == 0, F.array(F.lit(seed % dim))).otherwise(found)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once: lambdas would compute it at every call."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def slot_counts(slots: Column, dim: int = 64) -> Column:
+    return _once(slots, lambda v: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (F.size(v) - F.size(F.array_remove(v, d))).cast("double")))
+
+
+def norm(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+
+
+def embedding(text: Column, seed: int = 20250730, dim: int = 64) -> Column:
+    """Counts of hashed tokens scaled to length 1."""
+    scaled = lambda v: _once(norm(v), lambda n: F.transform(v, lambda x: x / n))
+    return _once(slot_counts(slots(text, seed, dim), dim), scaled)
+
+
+def slots_norm(slots: Column) -> Column:
+    """The length of the count vector of slots."""
+    return _once(slots, lambda v: F.sqrt(F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, d: a + F.pow((F.size(v) - F.size(F.array_remove(v, d))).cast("double"), 2))))
+
+
+def slots_cosine(slots: Column, length: Column, counts: Column, counts_length: Column) -> Column:
+    """The cosine of the count vector of `slots` and the vector `counts`, from the slots alone; to 9 places, so that ties are ties."""
+    return F.round(F.aggregate(slots, F.lit(0.0), lambda a, d: a + F.get(counts, d)) / (length * counts_length), 9)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gaugeleaf.plans import atom_queries
+from gaugeleaf.plans import atom_queries, support_queries, text_queries
 
-MODULES = (atom_queries,)
+MODULES = (atom_queries, text_queries, support_queries)
 
 
 def queries() -> dict:
