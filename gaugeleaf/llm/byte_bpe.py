@@ -1,29 +1,31 @@
-"""Byte-level BPE encoding and decoding with a given rank file, in Spark higher-order functions.
+"""Byte-level BPE encoding and decoding with a given rank file: ranked merges folded over the bytes of distinct pieces.
 
-A text is cut into pieces by the tokenizer's pattern. A piece becomes the array of its bytes' ids; a fold merges, step by
-step, the leftmost neighbouring pair whose joined bytes have the lowest rank, until no pair has one. Ranks are a literal
-map of (left id, right id) to joined id, dealt to small maps so that a look-up does not scan. Frequent distinct pieces are
-folded once; their ids enter the plan as a literal of bounded size, and only other pieces are folded where they stand.
-Which pieces are in it changes no result. Decoding concatenates the bytes of the ids.
+A text is cut into pieces by the tokenizer's pattern. A piece starts as its single bytes; step by step the leftmost
+neighbouring pair whose joined bytes have the lowest rank is merged, until no pair has one. encode() folds each distinct
+piece once as long as it stays in a task's cache of bounded size, in Arrow batches; encode_native() states the same fold
+in Spark's higher-order functions over a literal rank map. Both give equal ids; the native one takes several times the
+CPU seconds that the check tool allows (README has the figures), so op6 and the pipeline use encode(). Decoding
+concatenates the bytes of the ids by a literal table, in higher-order functions.
 
 Cases: a null text counts as empty and has no ids. Special tokens' strings are ordinary text. Repeated rows get equal rows.
 Other columns are not read. An empty table gives an empty result.
 
-Size: one scan of the texts without a shuffle of them, and one of `sample_docs` texts for the frequent pieces. A fold takes
-steps in proportion to a piece's length, each over the piece's ids: pieces are words, a piece of very many letters without
-a break is the slow case.
+Size: one scan of the texts, no shuffle. A fold takes n log n steps for a piece of n bytes, so one endless word is no trap.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeleaf.llm.common import table, texts
+from gaugeleaf.llm.common import chunks, raw_texts, table, texts
 
 SLOTS, WORD_SLOTS = 1 << 16, 1 << 16
 
@@ -109,8 +111,11 @@ def frequent_pieces(docs: DataFrame, path: str, pattern: str, most: int, sample_
     return _literal(slots, "array<map<string,array<int>>>")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, cached: int = 65_536, sample_docs: int = 20_000) -> DataFrame:
-    """doc_id and ids, a row for each row of docs."""
+def encode_native(docs: DataFrame, path: str, pattern: str, cached: int = 65_536, sample_docs: int = 20_000) -> DataFrame:
+    """What encode() gives, in higher-order functions: frequent distinct pieces of a sample are folded once, others in place.
+
+    Which pieces the sample holds changes no result.
+    """
     docs = texts(docs)
     known = frequent_pieces(docs, path, pattern, cached, sample_docs) if cached else None
 
@@ -122,6 +127,94 @@ def encode(docs: DataFrame, path: str, pattern: str, cached: int = 65_536, sampl
     return docs.select("doc_id", F.flatten(F.transform(pieces_of(F.col("text"), pattern), ids)).alias("ids"))
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a piece: the leftmost pair of lowest rank is joined until no pair has a rank."""
+    if (whole := ranks.get(piece)) is not None:
+        return [whole]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    if len(parts) > 64:
+        return _merged_long(parts, ranks)
+    while len(parts) > 1:
+        low, at = None, 0
+        for i in range(len(parts) - 1):
+            rank = ranks.get(parts[i] + parts[i + 1])
+            if rank is not None and (low is None or rank < low):
+                low, at = rank, i
+        if low is None:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def _merged_long(parts: list[bytes | None], ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of pairs and links between the parts left."""
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, bytes]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if i >= 0 and j < n and (rank := ranks.get(both := parts[i] + parts[j])) is not None:
+            heapq.heappush(heap, (rank, i, both))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, both = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] is None or j >= n or parts[i] + parts[j] != both:
+            continue
+        parts[i], parts[j], after[i] = both, None, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [ranks[p] for p in parts if p is not None]
+
+
+class PieceIds(dict):
+    """Packed ids of text between blanks. A blank before a non-blank always starts a piece, so a text is cut there."""
+
+    def __init__(self, path: str, pattern: str, limit: int = 250_000):
+        super().__init__()
+        import regex
+
+        blank = r"\p{White_Space}"
+        own = pattern.replace(r"[^\s", "[^" + blank).replace(r"\S", r"\P{White_Space}").replace(r"\s", blank)
+        self.ranks, self.limit = {p: i for i, p in enumerate(load_ranks(path))}, limit
+        self.cut, self.loose = regex.compile(own).findall, regex.compile(r" (?:\s|$)").search
+
+    def fold(self, text: str) -> bytes:
+        return np.array([i for p in self.cut(text) for i in merged(p.encode(), self.ranks)], "<i4").tobytes()
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        ids = self[text] = self.fold(text)
+        return ids
+
+    def text(self, text: str) -> bytes:
+        if self.loose(text):
+            return b"".join([self[p] for p in self.cut(text)])
+        first, *rest = text.split(" ")
+        return self[first] + b"".join([self[" " + r] for r in rest])
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and ids, a row for each row of docs."""
+
+    def read(batches):
+        known = PieceIds(path, pattern)
+        for batch in chunks(batches):
+            ids = [known.text(raw.decode()) for raw in raw_texts(batch)]
+            ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"])
+
+    return texts(docs).mapInArrow(read, "doc_id long, ids array<int>")
+
+
 def decode(ids: Column, path: str) -> Column:
     """The bytes that ids stand for."""
     latin = _rank_tables(path)[2]
