@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from gaugeleaf.config import Config
 
-V, W, SEQ = F.col("verdict"), F.col("weight"), F.col("seq")
-
-
 def _mean(of: Column) -> Column:
     return F.coalesce(F.avg(of), F.lit(0.0))
 
@@ -33,58 +30,58 @@ def _bit(v: Column) -> Column:
 
 
 def mean(atoms: DataFrame, by: list[str]) -> DataFrame:
-    return atoms.groupBy(*by).agg(_mean(_bit(V)).alias("score"))
+    return atoms.groupBy(*by).agg(_mean(_bit(F.col("verdict"))).alias("score"))
 
 
 def weighted_mean(atoms: DataFrame, by: list[str]) -> DataFrame:
-    return atoms.groupBy(*by).agg(_ratio(V, W).alias("score"))
+    return atoms.groupBy(*by).agg(_ratio(F.col("verdict"), F.col("weight")).alias("score"))
 
 
 def conjunction_weighted_mean(atoms: DataFrame, by: list[str]) -> DataFrame:
     """A subject holds if all its atoms do; it weighs what its first atom weighs."""
-    subjects = atoms.groupBy(*by, "subject").agg(F.bool_and(V).alias("v"), F.min_by(W, SEQ).alias("w"))
+    subjects = atoms.groupBy(*by, "subject").agg(F.bool_and(F.col("verdict")).alias("v"), F.min_by(F.col("weight"), F.col("seq")).alias("w"))
     return subjects.groupBy(*by).agg(_ratio(F.col("v"), F.col("w")).alias("score"))
 
 
 def dag_resolution(atoms: DataFrame, by: list[str]) -> DataFrame:
     """A subject has its first axiom's verdict, made true by any true derivation."""
     subjects = atoms.groupBy(*by, "subject").agg(
-        F.min_by(_is("axiom", V), F.when(F.col("role") == "axiom", SEQ)).alias("axiom"), F.coalesce(F.bool_or(_is("derived", V)), F.lit(False)).alias("derived")
+        F.min_by(_is("axiom", F.col("verdict")), F.when(F.col("role") == "axiom", F.col("seq"))).alias("axiom"), F.coalesce(F.bool_or(_is("derived", F.col("verdict"))), F.lit(False)).alias("derived")
     )
     value = F.when(F.col("derived"), True).otherwise(F.col("axiom"))
     return subjects.groupBy(*by).agg(_mean(_bit(value)).alias("score"))
 
 
 def _capped(base: Column) -> Column:
-    abstained = F.coalesce(F.bool_or(_is("abstain_relevant", V)), F.lit(False))
-    at = F.when(F.col("role") == "on_ask_answer", SEQ)
-    on_ask, cap = F.min_by(V, at), F.min_by(W, at)
+    abstained = F.coalesce(F.bool_or(_is("abstain_relevant", F.col("verdict"))), F.lit(False))
+    at = F.when(F.col("role") == "on_ask_answer", F.col("seq"))
+    on_ask, cap = F.min_by(F.col("verdict"), at), F.min_by(F.col("weight"), at)
     return F.when(abstained, 1.0).when(~on_ask, F.least(base, cap)).otherwise(base)
 
 
 def relevance_capped_mean(atoms: DataFrame, by: list[str]) -> DataFrame:
-    return atoms.groupBy(*by).agg(_capped(_mean(_is("responsive", _bit(V)))).alias("score"))
+    return atoms.groupBy(*by).agg(_capped(_mean(_is("responsive", _bit(F.col("verdict"))))).alias("score"))
 
 
 def relevance_tree_capped_mean(atoms: DataFrame, by: list[str]) -> DataFrame:
-    return atoms.groupBy(*by).agg(_capped(_mean(_is("claim_relevance", W))).alias("score"))
+    return atoms.groupBy(*by).agg(_capped(_mean(_is("claim_relevance", F.col("weight")))).alias("score"))
 
 
 def _impossible() -> Column:
-    return F.coalesce(F.bool_or(_is("impossible", V)), F.lit(False))
+    return F.coalesce(F.bool_or(_is("impossible", F.col("verdict"))), F.lit(False))
 
 
 def achieved_ratio(atoms: DataFrame, by: list[str]) -> DataFrame:
-    return atoms.groupBy(*by).agg(F.when(_impossible(), 1.0).otherwise(_mean(_is("outcome", _bit(V)))).alias("score"))
+    return atoms.groupBy(*by).agg(F.when(_impossible(), 1.0).otherwise(_mean(_is("outcome", _bit(F.col("verdict"))))).alias("score"))
 
 
 def task_success_weighted(atoms: DataFrame, by: list[str]) -> DataFrame:
-    share = F.coalesce(F.sum(_is("outcome", F.when(V, W).otherwise(0.0))) / F.nullif(F.sum(_is("outcome", W)), F.lit(0.0)), F.lit(0.0))
+    share = F.coalesce(F.sum(_is("outcome", F.when(F.col("verdict"), F.col("weight")).otherwise(0.0))) / F.nullif(F.sum(_is("outcome", F.col("weight"))), F.lit(0.0)), F.lit(0.0))
     return atoms.groupBy(*by).agg(F.when(_impossible(), 1.0).otherwise(share).alias("score"))
 
 
 def unsupported_rate(atoms: DataFrame, by: list[str]) -> DataFrame:
-    return atoms.groupBy(*by).agg(F.coalesce(1 - F.avg(_bit(V)), F.lit(0.0)).alias("score"))
+    return atoms.groupBy(*by).agg(F.coalesce(1 - F.avg(_bit(F.col("verdict"))), F.lit(0.0)).alias("score"))
 
 
 _REGISTRY: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {}
