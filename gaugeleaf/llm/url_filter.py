@@ -68,15 +68,15 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return chosen
 
 
+def _grams(mark: str, whole: Column, n: int, buckets: int) -> Column:
+    starts = F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(whole, i, F.lit(n))), F.lit(buckets)).cast("int"))
+
+
 def gram_buckets(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """Hash buckets of the character n-grams of host and path, with repeats."""
-    parts = []
-    for mark, text in (("h", host), ("p", path)):
-        whole = F.concat(F.lit("<"), text, F.lit(">"))
-        for n in SIZES:
-            starts = F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - n + 1)).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(starts, lambda i, t=whole, n=n, m=mark: F.pmod(F.xxhash64(F.lit(m), F.substring(t, i, F.lit(n))), F.lit(buckets)).cast("int")))
-    return F.concat(*parts)
+    ends = (("h", F.concat(F.lit("<"), host, F.lit(">"))), ("p", F.concat(F.lit("<"), path, F.lit(">"))))
+    return F.concat(*(_grams(mark, whole, n, buckets) for mark, whole in ends for n in SIZES))
 
 
 def train(labelled: DataFrame, buckets: int = BUCKETS, most: int = 10_000) -> tuple[list[float], float]:
@@ -84,9 +84,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, most: int = 10_000) -> tu
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("label in (0, 1)").select("url", "label").distinct().orderBy(F.xxhash64("url", "label"), "url", "label").limit(most)
     grams = rows.select(F.col("label").cast("double").alias("label"), gram_buckets(host, path, buckets).alias("g"))
-    zeros = F.array_repeat(F.lit(0.0), buckets)
-    counts = F.map_from_entries(F.transform(F.array_distinct("g"), lambda b: F.struct(b, F.size(F.filter("g", lambda x: x == b)))))
-    share = F.transform(zeros, lambda z, i: F.coalesce(counts[i].cast("double") / F.sqrt(F.greatest(F.size("g"), F.lit(1))), z))
+    share = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: (F.size("g") - F.size(F.array_remove("g", b))) / F.sqrt(F.greatest(F.size("g"), F.lit(1))))
     model = LogisticRegression(maxIter=50, regParam=0.01, standardization=False).fit(grams.select("label", array_to_vector(share).alias("features")))
     return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
 
