@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from gaugeleaf.llm.common import chunks, raw_texts, table, texts
 
 SLOTS, WORD_SLOTS = 1 << 16, 1 << 16
+_BYTES, _NONE = [bytes([b]) for b in range(256)], 1 << 60
 
 
 def java_pattern(pattern: str) -> str:
@@ -131,18 +132,22 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a piece: the leftmost pair of lowest rank is joined until no pair has a rank."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
+    parts = [_BYTES[b] for b in piece]
     if len(parts) > 64:
         return _merged_long(parts, ranks)
-    while len(parts) > 1:
-        low, at = None, 0
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (low is None or rank < low):
-                low, at = rank, i
-        if low is None:
+    get = ranks.get
+    low = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+    while low:
+        rank = min(low)
+        if rank == _NONE:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        i = low.index(rank)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del low[i]
+        if i < len(low):
+            low[i] = get(parts[i] + parts[i + 1], _NONE)
+        if i:
+            low[i - 1] = get(parts[i - 1] + parts[i], _NONE)
     return [ranks[p] for p in parts]
 
 
