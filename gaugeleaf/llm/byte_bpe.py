@@ -181,7 +181,7 @@ def _merged_long(parts: list[bytes | None], ranks: dict[bytes, int]) -> list[int
 class PieceIds(dict):
     """Packed ids of text between blanks. A blank before a non-blank always starts a piece, so a text is cut there."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 250_000):
+    def __init__(self, path: str, pattern: str, limit: int = 800_000):
         super().__init__()
         import regex
 
@@ -206,11 +206,17 @@ class PieceIds(dict):
         return self[first] + b"".join([self[" " + r] for r in rest])
 
 
+@lru_cache(maxsize=1)
+def _kept_pieces(path: str, pattern: str) -> PieceIds:
+    """A worker process keeps its pieces from task to task."""
+    return PieceIds(path, pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids, a row for each row of docs."""
 
     def read(batches):
-        known = PieceIds(path, pattern)
+        known = _kept_pieces(path, pattern)
         for batch in chunks(batches):
             ids = [known.text(raw.decode()) for raw in raw_texts(batch)]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
