@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -181,17 +182,25 @@ def _merged_long(parts: list[bytes | None], ranks: dict[bytes, int]) -> list[int
 class PieceIds(dict):
     """Packed ids of text between blanks. A blank before a non-blank always starts a piece, so a text is cut there."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 800_000):
+    def __init__(self, path: str, pattern: str, limit: int = 500_000):
         super().__init__()
         import regex
 
         blank = r"\p{White_Space}"
         own = pattern.replace(r"[^\s", "[^" + blank).replace(r"\S", r"\P{White_Space}").replace(r"\s", blank)
         self.ranks, self.limit = {p: i for i, p in enumerate(load_ranks(path))}, limit
+        self.pieces: dict[str, list[int]] = {}
         self.cut, self.loose = regex.compile(own).findall, regex.compile(r" (?:\s|$)").search
 
     def fold(self, text: str) -> bytes:
-        return np.array([i for p in self.cut(text) for i in merged(p.encode(), self.ranks)], "<i4").tobytes()
+        ids: list[int] = []
+        for p in self.cut(text):
+            if (known := self.pieces.get(p)) is None:
+                if len(self.pieces) >= self.limit:
+                    self.pieces.clear()
+                known = self.pieces[p] = merged(p.encode(), self.ranks)
+            ids += known
+        return array("i", ids).tobytes()
 
     def __missing__(self, text: str) -> bytes:
         if len(self) >= self.limit:
