@@ -34,6 +34,11 @@ def _filled(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once: lambdas would compute it at every call."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     """Cut after . ! ? and white space."""
     return _filled(F.split(F.regexp_replace(strip(text), r"([.!?])\s+", f"$1{CUT}"), CUT))
@@ -44,8 +49,7 @@ def clauses(sentence: Column) -> Column:
     marked = F.replace(sentence, F.lit(";"), F.lit(CUT))
     for _ in range(2):  # neighbouring words share a boundary
         marked = F.regexp_replace(marked, SPLIT_WORDS, f"$1{CUT}$2")
-    parts = _filled(F.split(marked, CUT))
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(sentence)))
+    return _once(_filled(F.split(marked, CUT)), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(sentence))))
 
 
 def tokens(text: Column, stop: list[str] = c.STOP) -> Column:
@@ -145,7 +149,7 @@ def triplets(claim: Column) -> Column:
     residual = lambda t: F.transform(_filled(F.split(t, r"(?i)\s+and\s+|;|,")), by_place)
     found = F.flatten(F.transform(clauses(claim), lambda t: F.when(t.rlike(NESTED), residual(t)).otherwise(F.filter(F.array(by_place(t)), lambda x: x["subject"] != ""))))
     whole = F.struct(claim.alias("subject"), F.lit("").alias("predicate"), F.lit("").alias("obj"))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(whole))
+    return _once(found, lambda v: F.when(F.size(v) > 0, v).otherwise(F.array(whole)))
 
 
 def ask_hypothesis(question: Column) -> Column:
@@ -193,12 +197,7 @@ def slots(text: Column, seed: int = 20250730, dim: int = 64) -> Column:
     """The embedding's dimension of each content token, repeats included; one fixed dimension for a text without tokens."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(c.STOP))
     found = F.transform(words, lambda t: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), t).cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"))
-    return F.when(F.size(found) == 0, F.array(F.lit(seed % dim))).otherwise(found)
-
-
-def _once(value: Column, use) -> Column:
-    """use(value) with value computed once: lambdas would compute it at every call."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return _once(found, lambda v: F.when(F.size(v) == 0, F.array(F.lit(seed % dim))).otherwise(v))
 
 
 def slot_counts(slots: Column, dim: int = 64) -> Column:

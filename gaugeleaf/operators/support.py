@@ -20,11 +20,11 @@ def doc_key() -> Column:
 
 
 def prefilter(triplets: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
-    """KEY, claim_id, tokens, chunk_ord, chunk_id, doc, premise, rank: the k nearest chunks of each triplet."""
+    """KEY, claim_id, tokens, chunk_ord, chunk_id, doc, cosine, rank: the k nearest chunks of each triplet. Texts stay out of the ranking."""
     left = triplets.select(*KEY, "claim_id", t.slots(F.col("text"), settings.embedding_seed).alias("slots"), t.tokens(F.col("text")).alias("tokens"))
     left = left.withColumn("slots_length", t.slots_norm(F.col("slots")))
     counts = t.slot_counts(t.slots(F.col("text"), settings.embedding_seed))
-    right = chunks.select("eval_id", "chunk_ord", "chunk_id", doc_key().alias("doc"), counts.alias("counts"), t.tokens(F.col("text")).alias("premise"))
+    right = chunks.select("eval_id", "chunk_ord", "chunk_id", doc_key().alias("doc"), counts.alias("counts"))
     right = right.withColumn("counts_length", t.norm(F.col("counts")))
     met = left.join(right, "eval_id").withColumn("cosine", t.slots_cosine(F.col("slots"), F.col("slots_length"), F.col("counts"), F.col("counts_length")))
     met = met.drop("slots", "slots_length", "counts", "counts_length")
@@ -34,7 +34,8 @@ def prefilter(triplets: DataFrame, chunks: DataFrame, settings: Config = Config(
 
 def labelled(triplets: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
     """The kept pairs with label and raw."""
-    return prefilter(triplets, chunks, settings).withColumn("e", t.entailment(F.col("premise"), F.col("tokens"), settings.entail_tau, settings.contra_tau)).select("*", "e.label", "e.raw").drop("e", "premise", "tokens")
+    premises = chunks.select("eval_id", "chunk_ord", t.tokens(F.col("text")).alias("premise"))
+    return prefilter(triplets, chunks, settings).join(premises, ["eval_id", "chunk_ord"]).withColumn("e", t.entailment(F.col("premise"), F.col("tokens"), settings.entail_tau, settings.contra_tau)).select("*", "e.label", "e.raw").drop("e", "premise", "tokens")
 
 
 def triplet_labels(triplets: DataFrame, pairs: DataFrame) -> DataFrame:
