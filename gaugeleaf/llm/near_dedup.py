@@ -7,7 +7,8 @@
    6, 12 and 24, so that depth adapts to how crowded a region is. In a region all classes meet; in a crowded one
    each meets its neighbours in sorted order, those with the longest common prefix, as well as those of the deeper regions.
    Of those it meets, a class proposes the ones whose signatures agree best.
-3. First each class's best proposal is checked on full sets, then every proposal that joins two groups still apart.
+3. First each class's best proposal is checked on full sets, then every proposal that joins two groups still apart. Classes
+   that met more partners than they proposed meet again: all their pairs between groups still apart are checked.
 4. Links become components by repeated star contraction.
 
 Cases: a document without words (null or empty text too) has the empty set, is its own component and is linked with
@@ -85,82 +86,120 @@ def _region(depth: int) -> Column:
     return F.xxhash64("tree", F.substring(_rotated(F.col("tree")), F.lit(1), F.lit(4 * depth)))
 
 
-def _compared(rows: DataFrame, region: int, best: int, least: int) -> DataFrame:
-    """Runs of equal region, sorted by rotated signature: all classes of a run meet, in long runs those near in order."""
+def _compared(rows: DataFrame, region: int, best: int | None, least: int) -> DataFrame:
+    """Runs of equal region, sorted by rotated signature: all classes of a run meet, in long runs those near in order.
+
+    a < b, agree: each class with the `best` it agrees with most; a = b, region, tree: a class that met more partners than
+    that. Without `best`: all pairs of different group.
+    """
 
     def propose(batches):
         seen: set[int] = set()
 
-        def flush(ids: np.ndarray, sigs: np.ndarray):
-            out = []
+        def flush(key: int, tree: int, runs: list):
+            ids, sigs, groups = (np.concatenate(x) for x in zip(*runs))
+            out, full = [], []
             step = region if len(ids) <= region else region // 2
             for a in range(0, max(1, len(ids) - (region - step)), step):
-                i, s = ids[a : a + region], sigs[a : a + region]
+                i, s, g = ids[a : a + region], sigs[a : a + region], groups[a : a + region]
                 for r in range(0, len(i), 32):
                     same = (s[r : r + 32, None, :] == s[None]).sum(axis=2, dtype=np.int16)
-                    same[np.arange(len(same)), np.arange(r, r + len(same))] = -1
-                    k = min(best, len(i) - 1)
-                    top = np.argpartition(-same, k - 1, axis=1)[:, :k]
-                    agree = np.take_along_axis(same, top, axis=1)
-                    x, y = np.nonzero(agree >= least)
-                    p, q = i[r + x], i[top[x, y]]
-                    out.append(np.stack([np.minimum(p, q), np.maximum(p, q), agree[x, y].astype(np.int64)]))
+                    if best is None:
+                        same[g[r : r + 32, None] == g[None]] = -1
+                        x, y = np.nonzero(same >= least)
+                    else:
+                        same[np.arange(len(same)), np.arange(r, r + len(same))] = -1
+                        k = min(best, len(i) - 1)
+                        top = np.argpartition(-same, k - 1, axis=1)[:, :k]
+                        x, y = np.nonzero(np.take_along_axis(same, top, axis=1) >= least)
+                        y = top[x, y]
+                        full.append(i[r + np.flatnonzero((same >= least).sum(axis=1) > k)])
+                    p, q = i[r + x], i[y]
+                    out.append(np.stack([np.minimum(p, q), np.maximum(p, q), same[x, y].astype(np.int64)]))
             found = np.unique(np.concatenate(out, axis=1), axis=1)
             new = [j for j, pair in enumerate(zip(found[0].tolist(), found[1].tolist())) if hash(pair) not in seen]
             found = found[:, new]
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.update(map(hash, zip(found[0].tolist(), found[1].tolist())))
-            return pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2].astype(np.int32), pa.int32())], ["a", "b", "agree"])
-
-        held_key, held_ids, held_sigs, fresh = None, [], [], 0
+            more = np.unique(np.concatenate(full)) if full else ids[:0]
+            n, m = found.shape[1], len(more)
+            return pa.record_batch(
+                [
+                    pa.array(np.concatenate([found[0], more]), pa.int64()), pa.array(np.concatenate([found[1], more]), pa.int64()), pa.array([*found[2].tolist(), *[None] * m], pa.int32()),
+                    pa.array([None] * n + [key] * m, pa.int64()), pa.array([None] * n + [tree] * m, pa.int32()),
+                ],
+                ["a", "b", "agree", "region", "tree"],
+            )
+
+        held_key, held_tree, held, fresh = None, 0, [], 0
         for batch in batches:
-            keys = batch.column("region").to_numpy(zero_copy_only=False)
-            ids = batch.column("rep").to_numpy(zero_copy_only=False)
+            keys, trees, ids, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "tree", "rep", "group"))
             short = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").astype(np.uint16).reshape(-1, MINIMA)
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
                 if keys[a] != held_key:
-                    if fresh and sum(map(len, held_ids)) > 1:
-                        yield flush(np.concatenate(held_ids), np.concatenate(held_sigs))
-                    held_key, held_ids, held_sigs, fresh = keys[a], [], [], 0
-                held_ids.append(ids[a:b])
-                held_sigs.append(short[a:b])
+                    if fresh and sum(len(x[0]) for x in held) > 1:
+                        yield flush(held_key, held_tree, held)
+                    held_key, held_tree, held, fresh = int(keys[a]), int(trees[a]), [], 0
+                held.append((ids[a:b], short[a:b], groups[a:b]))
                 fresh += b - a
                 if fresh >= 16 * region:
-                    i, s = np.concatenate(held_ids), np.concatenate(held_sigs)
-                    yield flush(i, s)
-                    held_ids, held_sigs, fresh = [i[-region // 2 :]], [s[-region // 2 :]], 0
-        if fresh and sum(map(len, held_ids)) > 1:
-            yield flush(np.concatenate(held_ids), np.concatenate(held_sigs))
+                    yield flush(held_key, held_tree, held)
+                    held, fresh = [tuple(np.concatenate(x)[-region // 2 :] for x in zip(*held))], 0
+        if fresh and sum(len(x[0]) for x in held) > 1:
+            yield flush(held_key, held_tree, held)
+
+    return rows.select("region", "tree", "rep", "sig", "group").mapInArrow(propose, "a long, b long, agree int, region long, tree int")
 
-    return rows.select("region", "rep", "sig").mapInArrow(propose, "a long, b long, agree int")
 
+def _met(rows: DataFrame, region: int, best: int | None, in_crowd: int | None, least: int) -> tuple[DataFrame, DataFrame]:
+    """What classes propose in regions of at most `region` classes, and in crowded ones. rows: region, tree, held, rep, sig, group."""
+    calm = rows.where(F.col("held") <= region).repartition("region").sortWithinPartitions("region")
+    order = rows.where(F.col("held") > region).withColumn("place", _rotated(F.col("tree")))
+    crowd = order.repartitionByRange("region", "place").sortWithinPartitions("region", "place")
+    return _compared(calm, region, best, least), _compared(crowd, region, in_crowd, least)
 
-def proposals(classes: DataFrame, region: int, best: int, percent: int) -> DataFrame:
-    """a < b, agree: pairs of classes that meet in some tree and whose signatures agree well."""
+
+def _least(percent: int) -> int:
+    """Minima that a linked pair shares at least, but for 4.5 standard deviations."""
     p = percent / 100
-    least = int(MINIMA * (p - 4.5 * (p * (1 - p) / MINIMA) ** 0.5))
+    return int(MINIMA * (p - 4.5 * (p * (1 - p) / MINIMA) ** 0.5))
+
+
+def proposals(classes: DataFrame, region: int, best: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """a < b, agree: pairs of classes that meet in some tree and whose signatures agree well; rep, region, tree: who met more."""
     level = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     found = None
-    for n, depth in enumerate(DEPTHS):
+    for depth in DEPTHS:
         placed = level.withColumn("region", _region(depth))
         counts = placed.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
         thin = placed.select("rep", "tree", "region").join(counts, "region")
         thin = materialize(thin)
-        rows = thin.join(classes, "rep")
-        calm = rows.where(F.col("held") <= region)
-        crowded = rows.where(F.col("held") > region)
-        near = _compared(calm.repartition("region").sortWithinPartitions("region"), region, best, least)
+        rows = thin.join(classes, "rep").withColumn("group", F.lit(0).cast("long"))
+        near, crowd = _met(rows, region, best, 1, _least(percent))
         found = near if found is None else found.unionByName(near)
         if thin.where(F.col("held") > region).isEmpty():
             break
-        order = crowded.withColumn("place", _rotated(F.col("tree")))
-        found = found.unionByName(_compared(order.repartitionByRange("region", "place").sortWithinPartitions("region", "place"), region, 1, least))
-        level = crowded.select("rep", "sig", "tree")
-    return materialize(found.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+        found = found.unionByName(crowd)
+        level = rows.where(F.col("held") > region).select("rep", "sig", "tree")
+    found = materialize(found)
+    pairs = materialize(found.where("a < b").groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    return pairs, found.where("a = b").select(F.col("a").alias("rep"), "region", "tree").distinct()
+
+
+def still_apart(full: DataFrame, groups: DataFrame, classes: DataFrame, region: int, percent: int) -> DataFrame:
+    """a < b: of classes with more partners than they proposed, all pairs that meet, agree well and are in different groups.
+
+    A pair that neither side proposed has both sides among `full` in each region where it meets.
+    """
+    rows = full.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
+    held = rows.groupBy("region").agg(F.count("*").alias("held"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    rows = materialize(rows.join(held.select("region", "held"), "region")).join(classes, "rep")
+    calm, crowd = _met(rows, region, None, None, _least(percent))
+    return calm.unionByName(crowd).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,7 +240,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region
     """doc_id, row (a hash of doc_id and text), n_shingles, component_id, kept: one row per row of docs."""
     signed = materialize(signatures(docs, shingle))
     classes = materialize(signed.where("n_shingles > 0").groupBy("set_key", "sig").agg(F.min("doc_id").alias("rep"))).where("rep is not null")
-    pairs = proposals(classes.select("rep", "sig"), region, best, percent)
+    pairs, full = proposals(classes.select("rep", "sig"), region, best, percent)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(classes.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id")
 
     def rebuild(batches):
@@ -224,7 +263,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region
     )
     more = materialize(confirmed(apart, sets, percent))
     if not more.isEmpty():
-        groups = components(links.unionByName(more))
+        links = links.unionByName(more)
+        groups = components(links)
+    rest = still_apart(full, groups, classes.select("rep", "sig"), region, percent).join(pairs, ["a", "b"], "left_anti")
+    rest = materialize(confirmed(rest, sets, percent))
+    if not rest.isEmpty():
+        groups = components(links.unionByName(rest))
     member = classes.join(groups, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return (
         signed.select("doc_id", "row", "n_shingles", "set_key").join(member, "set_key", "left")

@@ -118,3 +118,25 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and all(got[100 + i] == 100 for i in range(1, 30))
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).where(F.lit(True)).count() == 0
+
+
+def bridged_rows(copies=5):
+    """Two groups of 14 texts, joined by one pair whose members agree better with all others of their groups."""
+    rows = []
+    for c in range(copies):
+        base = [f"c{c}w{k}" for k in range(200)]
+
+        def text(*changed):
+            return " ".join(f"{w}x" if k in changed else w for k, w in enumerate(base))
+
+        spots = [4 * k + 2 for k in range(8)]
+        texts = [text(*spots[:3])] + [text(60 + 4 * k) for k in range(13)] + [text(*spots)] + [text(*spots, 120 + 4 * k) for k in range(13)]
+        rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    return rows
+
+
+@pytest.mark.parametrize("region", [512, 8])
+def test_one_link_between_large_groups_is_found(spark, region):
+    rows = bridged_rows()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, region=region)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=repr) == grouped(rows, 3, 85)
