@@ -35,8 +35,17 @@ SHAPES = (
 PATTERN = r"(?<![A-Za-z0-9.+_-])(?:" + "|".join(shape for _, shape in SHAPES) + r")(?![A-Za-z0-9_-]|\.[0-9])"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def feistel(values: Column, bounds: Column, key: Column, kind: str) -> Column:
     """A keyed permutation of the lists with values[i] in 0 .. bounds[i] - 1."""
+    return _once(F.struct(values.alias("v"), bounds.alias("b")), lambda s: _rounds(s["v"], s["b"], key, kind))
+
+
+def _rounds(values: Column, bounds: Column, key: Column, kind: str) -> Column:
     n = F.size(values)
     cut = F.floor(n / 2).cast("int")
     left_bounds, right_bounds = F.slice(bounds, F.lit(1), cut), F.slice(bounds, cut + 1, n)
@@ -44,8 +53,7 @@ def feistel(values: Column, bounds: Column, key: Column, kind: str) -> Column:
     def added(half: Column, half_bounds: Column, other: Column, turn: Column) -> Column:
         seed = F.concat_ws("|", key, F.lit(kind), turn.cast("string"), F.array_join(other.cast("array<string>"), ","))
         hex_ = F.concat(F.sha2(F.concat(F.lit("a|"), seed), 256), F.sha2(F.concat(F.lit("b|"), seed), 256), F.sha2(F.concat(F.lit("c|"), seed), 256))
-        shift = lambda i: F.conv(F.substring(hex_, i * 6 + 1, F.lit(6)), 16, 10).cast("int")
-        mixed = F.transform(half, lambda v, i: v + shift(i))
+        mixed = _once(hex_, lambda h: F.transform(half, lambda v, i: v + F.conv(F.substring(h, i * 6 + 1, F.lit(6)), 16, 10).cast("int")))
         return F.zip_with(mixed, half_bounds, lambda v, b: F.pmod(v, b))
 
     def turn(state: Column, i: Column) -> Column:
@@ -57,7 +65,7 @@ def feistel(values: Column, bounds: Column, key: Column, kind: str) -> Column:
 
     start = F.struct(F.slice(values, F.lit(1), cut).alias("l"), F.slice(values, cut + 1, n).alias("r"))
     done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
-    return F.concat(done["l"], done["r"])
+    return _once(done, lambda d: F.concat(d["l"], d["r"]))
 
 
 def _chars(text: Column) -> Column:
@@ -71,7 +79,7 @@ def _digits(text: Column) -> Column:
 def _dressed(text: Column, digits: Column) -> Column:
     """text with its digits replaced, in order."""
     place = F.transform(_chars(text), lambda c, i: F.length(_digits(F.substring(text, F.lit(1), i + 1))))
-    return F.array_join(F.zip_with(_chars(text), place, lambda c, p: F.when(c.between("0", "9"), F.substring(digits, p, F.lit(1))).otherwise(c)), "")
+    return _once(digits, lambda d: F.array_join(F.zip_with(_chars(text), place, lambda c, p: F.when(c.between("0", "9"), F.substring(d, p, F.lit(1))).otherwise(c)), ""))
 
 
 def _ints(chars: Column) -> Column:
@@ -80,9 +88,8 @@ def _ints(chars: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """The sum of digits, every second one from the right doubled, the last one counted single."""
-    n = F.length(digits)
-    doubled = F.transform(_ints(_chars(digits)), lambda d, i: F.when((n - i) % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d))
-    return F.aggregate(doubled, F.lit(0), lambda a, d: a + d)
+    doubled = lambda s: F.transform(_ints(_chars(s)), lambda d, i: F.when((F.length(s) - i) % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d))
+    return F.aggregate(_once(digits, doubled), F.lit(0), lambda a, d: a + d)
 
 
 def _card(text: Column, key: Column) -> Column:
@@ -90,8 +97,8 @@ def _card(text: Column, key: Column) -> Column:
     n = F.length(digits)
     body = _ints(_chars(F.substring(digits, F.lit(2), n - 2)))
     moved = F.concat(F.substring(digits, F.lit(1), F.lit(1)), F.array_join(feistel(body, F.transform(body, lambda _: F.lit(10)), key, CARD).cast("array<string>"), ""))
-    last = F.pmod(-_luhn(F.concat(moved, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(n.between(13, 19) & (_luhn(digits) % 10 == 0), _dressed(text, F.concat(moved, last)))
+    whole = _once(moved, lambda m: F.concat(m, F.pmod(-_luhn(F.concat(m, F.lit("0"))), F.lit(10)).cast("string")))
+    return F.when(n.between(13, 19) & (_luhn(digits) % 10 == 0), _dressed(text, whole))
 
 
 def _mod97(text: Column) -> Column:
@@ -116,10 +123,9 @@ def _iban(text: Column, key: Column) -> Column:
     chars = _chars(body)
     values, bounds = _class_values(chars)
     moved = _class_text(chars, feistel(values, bounds, key, IBAN))
-    check = F.lpad((98 - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
-    new = F.concat(country, check, moved)
+    new = _once(moved, lambda m: F.concat(country, F.lpad((98 - _mod97(F.concat(m, country, F.lit("00")))).cast("string"), 2, "0"), m))
     place = F.transform(_chars(text), lambda c, i: F.length(F.replace(F.substring(text, F.lit(1), i + 1), F.lit(" "), F.lit(""))))
-    dressed = F.array_join(F.zip_with(_chars(text), place, lambda c, p: F.when(c == " ", c).otherwise(F.substring(new, p, F.lit(1)))), "")
+    dressed = _once(new, lambda n: F.array_join(F.zip_with(_chars(text), place, lambda c, p: F.when(c == " ", c).otherwise(F.substring(n, p, F.lit(1)))), ""))
     return F.when(F.length(plain).between(15, 34) & (_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1), dressed)
 
 
@@ -129,9 +135,12 @@ def _ssn(text: Column, key: Column) -> Column:
     valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     values = F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1)
     new = feistel(values, F.array(F.lit(898), F.lit(99), F.lit(9999)), key, SSN)
-    a = F.get(new, F.lit(0))
-    parts = [F.lpad((a + F.when(a > 664, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.get(new, F.lit(1)) + 1).cast("string"), 2, "0"), F.lpad((F.get(new, F.lit(2)) + 1).cast("string"), 4, "0")]
-    return F.when(valid, F.concat_ws("-", *parts))
+
+    def written(x: Column) -> Column:
+        a, b, c = (F.get(x, F.lit(i)) for i in range(3))
+        return F.concat_ws("-", F.lpad((a + F.when(a > 664, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((b + 1).cast("string"), 2, "0"), F.lpad((c + 1).cast("string"), 4, "0"))
+
+    return F.when(valid, _once(new, written))
 
 
 def _phone(text: Column, key: Column) -> Column:
@@ -153,7 +162,7 @@ def _date(text: Column, key: Column) -> Column:
     for mark, shape in (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy")):
         day = F.datediff(F.try_to_timestamp(text, F.lit(shape)).cast("date"), F.lit(FIRST_DAY).cast("date"))
         new = feistel(F.array(F.floor(day / 270).cast("int"), (day % 270).cast("int")), F.array(F.lit(270), F.lit(270)), key, DATE)
-        moved = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(new, F.lit(0)) * 270 + F.get(new, F.lit(1))), shape)
+        moved = _once(new, lambda x: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(x, F.lit(0)) * 270 + F.get(x, F.lit(1))), shape))
         out = F.when(F.contains(text, F.lit(mark)), F.when(day.between(0, DAYS - 1), moved)).otherwise(out)
     return out
 
@@ -176,10 +185,14 @@ def kind_of(found: Column) -> Column:
 def pseudonym(found: Column, key: Column) -> Column:
     """struct(kind, text) for a found string; text is null where a check fails."""
     makers = {MAIL: _mail, IBAN: _iban, DATE: _date, IP: _ip, SSN: _ssn, PHONE: _phone, CARD: _card}
-    kind, new = kind_of(found), F.lit(None).cast("string")
-    for name, make in makers.items():
-        new = F.when(kind == name, make(found, key)).otherwise(new)
-    return F.struct(kind.alias("kind"), new.alias("text"))
+
+    def made(kind: Column) -> Column:
+        new = F.lit(None).cast("string")
+        for name, make in makers.items():
+            new = F.when(kind == name, make(found, key)).otherwise(new)
+        return F.struct(kind.alias("kind"), new.alias("text"))
+
+    return _once(kind_of(found), made)
 
 
 def pseudonymize(docs: DataFrame, key: str = "gaugeleaf", column: str = "text") -> DataFrame:
