@@ -7,9 +7,12 @@
    6, 12 and 24, so that depth adapts to how crowded a region is. In a region all classes meet; in a crowded one
    each meets its neighbours in sorted order, those with the longest common prefix, as well as those of the deeper regions.
    Of those it meets, a class proposes the ones whose signatures agree best.
-3. First each class's best proposal is checked on full sets, then every proposal that joins two groups still apart. Classes
-   that met more partners than they proposed meet again: all their pairs between groups still apart are checked.
-4. Links become components by repeated star contraction.
+3. First each class's best proposal is checked on full sets, then every proposal that joins two groups still apart.
+4. What meeting left out is made up for exactly, in each region that still has several groups. In crowded regions each class
+   is first checked against the classes that agree most with the region's commonest minima, which joins stars at linear cost.
+   Then, in crowded regions all classes, in others those that met more partners than they proposed, meet on full sets: all
+   outside the largest group with all others, counted over an inverted index by pairs of salted blocks of bounded size.
+5. Links become components by repeated star contraction.
 
 Cases: a document without words (null or empty text too) has the empty set, is its own component and is linked with
 nothing. Fewer words than a shingle: the whole word sequence is the one shingle. Rows that repeat a doc_id with an equal
@@ -18,8 +21,9 @@ unless all of the class lacks one. Other columns are not read. An empty table gi
 
 Size: signatures take 512 bytes a document and are written once; full sets are built only for classes in some proposal.
 No group is held by one task: a class equal to a third of all rows is one row after partial aggregation, and crowded
-regions are dealt by ranges of the sorted order. A pair of similarity 0.85 shares no region in 16 trees with probability
-below 1e-8.
+regions are dealt by ranges of the sorted order, or by blocks. A pair of similarity 0.85 shares no region in 16 trees with
+probability below 1e-8; one that shares a region is always found. Work in step 4 is, in a region, classes outside its largest
+group times all its classes.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from gaugeleaf.llm.common import WordHash, chunks, hashed_words, materialize, mi
 
 MINIMA, TREES, PER_TREE = 128, 16, 8
 DEPTHS = (2, 6, 12, 24)
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
 _rng = np.random.default_rng(20240607)
 _ODD = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
@@ -86,34 +91,29 @@ def _region(depth: int) -> Column:
     return F.xxhash64("tree", F.substring(_rotated(F.col("tree")), F.lit(1), F.lit(4 * depth)))
 
 
-def _compared(rows: DataFrame, region: int, best: int | None, least: int) -> DataFrame:
+def _compared(rows: DataFrame, region: int, best: int, least: int) -> DataFrame:
     """Runs of equal region, sorted by rotated signature: all classes of a run meet, in long runs those near in order.
 
-    a < b, agree: each class with the `best` it agrees with most; a = b, region, tree: a class that met more partners than
-    that. Without `best`: all pairs of different group.
+    a < b, agree: each class with the `best` it agrees with most; a = b, region: a class that met more partners than that.
     """
 
     def propose(batches):
         seen: set[int] = set()
 
-        def flush(key: int, tree: int, runs: list):
-            ids, sigs, groups = (np.concatenate(x) for x in zip(*runs))
+        def flush(key: int, runs: list):
+            ids, sigs = (np.concatenate(x) for x in zip(*runs))
             out, full = [], []
             step = region if len(ids) <= region else region // 2
             for a in range(0, max(1, len(ids) - (region - step)), step):
-                i, s, g = ids[a : a + region], sigs[a : a + region], groups[a : a + region]
+                i, s = ids[a : a + region], sigs[a : a + region]
                 for r in range(0, len(i), 32):
                     same = (s[r : r + 32, None, :] == s[None]).sum(axis=2, dtype=np.int16)
-                    if best is None:
-                        same[g[r : r + 32, None] == g[None]] = -1
-                        x, y = np.nonzero(same >= least)
-                    else:
-                        same[np.arange(len(same)), np.arange(r, r + len(same))] = -1
-                        k = min(best, len(i) - 1)
-                        top = np.argpartition(-same, k - 1, axis=1)[:, :k]
-                        x, y = np.nonzero(np.take_along_axis(same, top, axis=1) >= least)
-                        y = top[x, y]
-                        full.append(i[r + np.flatnonzero((same >= least).sum(axis=1) > k)])
+                    same[np.arange(len(same)), np.arange(r, r + len(same))] = -1
+                    k = min(best, len(i) - 1)
+                    top = np.argpartition(-same, k - 1, axis=1)[:, :k]
+                    x, y = np.nonzero(np.take_along_axis(same, top, axis=1) >= least)
+                    y = top[x, y]
+                    full.append(i[r + np.flatnonzero((same >= least).sum(axis=1) > k)])
                     p, q = i[r + x], i[y]
                     out.append(np.stack([np.minimum(p, q), np.maximum(p, q), same[x, y].astype(np.int64)]))
             found = np.unique(np.concatenate(out, axis=1), axis=1)
@@ -127,14 +127,14 @@ def _compared(rows: DataFrame, region: int, best: int | None, least: int) -> Dat
             return pa.record_batch(
                 [
                     pa.array(np.concatenate([found[0], more]), pa.int64()), pa.array(np.concatenate([found[1], more]), pa.int64()), pa.array([*found[2].tolist(), *[None] * m], pa.int32()),
-                    pa.array([None] * n + [key] * m, pa.int64()), pa.array([None] * n + [tree] * m, pa.int32()),
+                    pa.array([None] * n + [key] * m, pa.int64()),
                 ],
-                ["a", "b", "agree", "region", "tree"],
+                ["a", "b", "agree", "region"],
             )
 
-        held_key, held_tree, held, fresh = None, 0, [], 0
+        held_key, held, fresh = None, [], 0
         for batch in batches:
-            keys, trees, ids, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "tree", "rep", "group"))
+            keys, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "rep"))
             short = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").astype(np.uint16).reshape(-1, MINIMA)
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:]):
@@ -142,21 +142,21 @@ def _compared(rows: DataFrame, region: int, best: int | None, least: int) -> Dat
                     continue
                 if keys[a] != held_key:
                     if fresh and sum(len(x[0]) for x in held) > 1:
-                        yield flush(held_key, held_tree, held)
-                    held_key, held_tree, held, fresh = int(keys[a]), int(trees[a]), [], 0
-                held.append((ids[a:b], short[a:b], groups[a:b]))
+                        yield flush(held_key, held)
+                    held_key, held, fresh = int(keys[a]), [], 0
+                held.append((ids[a:b], short[a:b]))
                 fresh += b - a
                 if fresh >= 16 * region:
-                    yield flush(held_key, held_tree, held)
+                    yield flush(held_key, held)
                     held, fresh = [tuple(np.concatenate(x)[-region // 2 :] for x in zip(*held))], 0
         if fresh and sum(len(x[0]) for x in held) > 1:
-            yield flush(held_key, held_tree, held)
+            yield flush(held_key, held)
 
-    return rows.select("region", "tree", "rep", "sig", "group").mapInArrow(propose, "a long, b long, agree int, region long, tree int")
+    return rows.select("region", "rep", "sig").mapInArrow(propose, "a long, b long, agree int, region long")
 
 
-def _met(rows: DataFrame, region: int, best: int | None, in_crowd: int | None, least: int) -> tuple[DataFrame, DataFrame]:
-    """What classes propose in regions of at most `region` classes, and in crowded ones. rows: region, tree, held, rep, sig, group."""
+def _met(rows: DataFrame, region: int, best: int, in_crowd: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """What classes propose in regions of at most `region` classes, and in crowded ones. rows: region, tree, held, rep, sig."""
     calm = rows.where(F.col("held") <= region).repartition("region").sortWithinPartitions("region")
     order = rows.where(F.col("held") > region).withColumn("place", _rotated(F.col("tree")))
     crowd = order.repartitionByRange("region", "place").sortWithinPartitions("region", "place")
@@ -169,8 +169,12 @@ def _least(percent: int) -> int:
     return int(MINIMA * (p - 4.5 * (p * (1 - p) / MINIMA) ** 0.5))
 
 
-def proposals(classes: DataFrame, region: int, best: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """a < b, agree: pairs of classes that meet in some tree and whose signatures agree well; rep, region, tree: who met more."""
+def proposals(classes: DataFrame, region: int, best: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What meeting finds, and what it leaves out.
+
+    a < b, agree: pairs of classes that meet in some tree and whose signatures agree well. rep, region: who met more partners
+    in a region that is not crowded. rep, region: all classes of crowded regions; deeper regions are parts of these.
+    """
     level = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     found = None
     for depth in DEPTHS:
@@ -178,28 +182,111 @@ def proposals(classes: DataFrame, region: int, best: int, percent: int) -> tuple
         counts = placed.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
         thin = placed.select("rep", "tree", "region").join(counts, "region")
         thin = materialize(thin)
-        rows = thin.join(classes, "rep").withColumn("group", F.lit(0).cast("long"))
+        rows = thin.join(classes, "rep")
         near, crowd = _met(rows, region, best, 1, _least(percent))
-        found = near if found is None else found.unionByName(near)
+        near = near.withColumn("top", F.lit(found is None))
+        crowd = crowd.withColumn("top", F.lit(False))
+        if found is None:
+            found, crowded = near, thin.where(F.col("held") > region).select("rep", "region")
+        else:
+            found = found.unionByName(near)
         if thin.where(F.col("held") > region).isEmpty():
             break
         found = found.unionByName(crowd)
         level = rows.where(F.col("held") > region).select("rep", "sig", "tree")
     found = materialize(found)
     pairs = materialize(found.where("a < b").groupBy("a", "b").agg(F.max("agree").alias("agree")))
-    return pairs, found.where("a = b").select(F.col("a").alias("rep"), "region", "tree").distinct()
+    return pairs, found.where("a = b and top").select(F.col("a").alias("rep"), "region").distinct(), crowded
 
 
-def still_apart(full: DataFrame, groups: DataFrame, classes: DataFrame, region: int, percent: int) -> DataFrame:
-    """a < b: of classes with more partners than they proposed, all pairs that meet, agree well and are in different groups.
+def _blocks(met: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rep, region, group, block, apart, blocks: classes of regions with several groups, dealt to blocks of bounded size.
 
-    A pair that neither side proposed has both sides among `full` in each region where it meets.
+    Blocks 0 .. apart - 1 hold the classes outside the region's largest group, apart .. blocks - 1 that group.
     """
-    rows = full.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
-    held = rows.groupBy("region").agg(F.count("*").alias("held"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    rows = materialize(rows.join(held.select("region", "held"), "region")).join(classes, "rep")
-    calm, crowd = _met(rows, region, None, None, _least(percent))
-    return calm.unionByName(crowd).select("a", "b").distinct()
+    rows = met.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").join(sizes, "rep")
+    rows = materialize(rows.select("rep", "region", "size", F.coalesce("component", "rep").alias("group")))
+    each = rows.groupBy("region", "group").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    main = F.max_by(F.struct("group", "n", "size"), F.struct("n", "group"))
+    held = each.groupBy("region").agg(F.count("*").alias("several"), F.sum("n").alias("n"), F.sum("size").alias("size"), main.alias("main")).where("several > 1")
+    count = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    apart = count(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    held = held.select("region", F.col("main.group").alias("main"), apart.alias("apart"), (apart + count(F.col("main.n"), F.col("main.size"))).alias("blocks"))
+    mixed_ = F.xxhash64("rep", "region")
+    block = F.when(F.col("group") == F.col("main"), F.col("apart") + F.pmod(mixed_, F.col("blocks") - F.col("apart"))).otherwise(F.pmod(mixed_, F.col("apart")))
+    return materialize(rows.join(held, "region").select("rep", "region", "group", block.cast("int").alias("block"), "apart", "blocks"))
+
+
+def to_hubs(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a < b: each class with the one of another group it agrees with most, among the most central classes of a region."""
+    least = _least(percent)
+
+    def central(table_):
+        sigs = np.frombuffer(b"".join(table_.column("sig").to_pylist()), ">u4").astype(np.uint32).reshape(-1, MINIMA)
+        agree = np.zeros(len(sigs), np.int64)
+        for column in sigs.T:
+            value, n = np.unique(column, return_counts=True)
+            agree += column == value[n.argmax()]
+        top = np.argsort(-agree, kind="stable")[:2]
+        return table_.take(pa.array(top)).append_column("agree", pa.array(agree[top], pa.int64())).select(["region", "blocks", "agree", "rep", "group", "sig"])
+
+    rows = blocks.join(classes, "rep").select("region", "block", "blocks", "rep", "group", "sig")
+    hubs = rows.groupBy("region", "block").applyInArrow(central, "region long, blocks int, agree long, rep long, group long, sig binary")
+    hubs = hubs.groupBy("region", "blocks").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", "rep", "group", "sig")), False), 1, 4).alias("hubs"))
+    hubs = hubs.select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "hubs")
+
+    def agreeing(batches):
+        for batch in batches:
+            out = []
+            for rep, group, sig, near in zip(*(batch.column(c).to_pylist() for c in ("rep", "group", "sig", "hubs"))):
+                own = np.frombuffer(sig, ">u4")
+                found = [(int((own == np.frombuffer(h["sig"], ">u4")).sum()), h["rep"]) for h in near if h["group"] != group]
+                if found and max(found)[0] >= least:
+                    out.append((rep, *max(found)))
+            one, agree, hub = zip(*out) if out else ((), (), ())
+            yield pa.record_batch([pa.array(one, pa.int64()), pa.array(hub, pa.int64()), pa.array(agree, pa.int32())], ["one", "hub", "agree"])
+
+    met = rows.join(hubs, ["region", "block"]).select("rep", "group", "sig", "hubs").mapInArrow(agreeing, "one long, hub long, agree int")
+    best = met.groupBy("one").agg(F.max_by("hub", F.struct("agree", "hub")).alias("hub"))
+    return best.select(F.least("one", "hub").alias("a"), F.greatest("one", "hub").alias("b")).distinct()
+
+
+def still_apart(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a < b: links between classes of one region and different groups, enough to join all groups that full sets link."""
+
+    def linked(key, table_):
+        _, i, j = (k.as_py() for k in key)
+        ids, groups, block = (table_.column(c).to_numpy() for c in ("rep", "group", "block"))
+        all_sets = [np.frombuffer(s, "<u8") for s in table_.column("shingles").to_pylist()]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        lengths = np.array([len(all_sets[k]) for k in right], np.int64)
+        held, of = np.concatenate([np.zeros(0, np.uint64), *(all_sets[k] for k in right)]), np.repeat(np.arange(len(right)), lengths)
+        order = np.argsort(held, kind="stable")
+        held, of, root, out = held[order], of[order], {}, []
+
+        def find(g):
+            while root.get(g, g) != g:
+                root[g] = g = root.get(root[g], root[g])
+            return g
+
+        for k in left.tolist():
+            s = all_sets[k]
+            start = np.searchsorted(held, s, "left")
+            n = np.searchsorted(held, s, "right") - start
+            place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(of[place], minlength=len(right))
+            near = right[(groups[right] != groups[k]) & (both > 0) & (100 * both >= percent * (len(s) + lengths - both))]
+            for g, at in zip(*(x.tolist() for x in np.unique(groups[near], return_index=True))):
+                x, y = find(int(groups[k])), find(g)
+                if x != y:
+                    root[y] = x
+                    out.append(sorted((int(ids[k]), int(ids[near[at]]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    others = F.when(F.col("block") < F.col("apart"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("apart") - 1))
+    dealt = blocks.select("rep", "region", "group", "block", F.explode(others).alias("other"))
+    dealt = dealt.select("rep", "region", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.join(sets, "rep").groupBy("region", "i", "j").applyInArrow(linked, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,8 +327,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region
     """doc_id, row (a hash of doc_id and text), n_shingles, component_id, kept: one row per row of docs."""
     signed = materialize(signatures(docs, shingle))
     classes = materialize(signed.where("n_shingles > 0").groupBy("set_key", "sig").agg(F.min("doc_id").alias("rep"))).where("rep is not null")
-    pairs, full = proposals(classes.select("rep", "sig"), region, best, percent)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(classes.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id")
+    pairs, full, crowded = proposals(classes.select("rep", "sig"), region, best, percent)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded.select(F.col("rep").alias("doc_id"))).distinct().join(classes.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id")
 
     def rebuild(batches):
         cache = WordHash()
@@ -265,8 +352,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region
     if not more.isEmpty():
         links = links.unionByName(more)
         groups = components(links)
-    rest = still_apart(full, groups, classes.select("rep", "sig"), region, percent).join(pairs, ["a", "b"], "left_anti")
-    rest = materialize(confirmed(rest, sets, percent))
+    sizes = sets.select("rep", F.length("shingles").alias("size"))
+    if not crowded.isEmpty():
+        links = materialize(links.unionByName(confirmed(to_hubs(_blocks(crowded, groups, sizes), classes.select("rep", "sig"), percent), sets, percent)))
+        groups = components(links)
+    rest = materialize(still_apart(_blocks(full.unionByName(crowded), groups, sizes), sets, percent))
     if not rest.isEmpty():
         groups = components(links.unionByName(rest))
     member = classes.join(groups, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))

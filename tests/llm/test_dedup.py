@@ -140,3 +140,42 @@ def test_one_link_between_large_groups_is_found(spark, region):
     rows = bridged_rows()
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, region=region)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=repr) == grouped(rows, 3, 85)
+
+
+def star_rows(copies, seed=7):
+    """A base of 400 words and copies with nine words replaced each, which link to the base and hardly to one another."""
+    rng = random.Random(seed)
+    base = [f"s{k}" for k in range(400)]
+    rows = [(copies, " ".join(base))]
+    for c in range(copies):
+        t = list(base)
+        for k in rng.sample(range(400), 9):
+            t[k] = f"c{c}x{k}"
+        rows.append((c, " ".join(t)))
+    return rows
+
+
+def test_star_of_thousands_of_copies_is_one_group(spark):
+    """Every copy within 0.85 of the base is in the base's group."""
+    rows = star_rows(5000)
+    base = shingles(rows[0][1], 3)
+    linked = {i for i, t in rows if 100 * len(base & (s := shingles(t, 3))) >= 85 * len(base | s)}
+    assert len(linked) > 4000
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()}
+    assert {got[i] for i in linked} == {got[5000]}
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_crowded_groups_equal_brute_force(spark, monkeypatch, block):
+    """Stars around several bases that resemble one another, in crowded regions, by blocks of any size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng, rows = random.Random(11), []
+    for b in range(6):
+        base = [f"s{k}" if k % 40 else f"s{k}b{b}" for k in range(400)]
+        for c in range(25):
+            t = list(base)
+            for k in rng.sample(range(400), rng.randint(0, 12)):
+                t[k] = f"b{b}c{c}x{k}"
+            rows.append((len(rows), " ".join(t)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, region=8)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=repr) == grouped(rows, 3, 85)
