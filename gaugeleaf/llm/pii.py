@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data: a keyed Feistel network over the values of a format.
 
 Found by pattern, then validated: payment card numbers (13 to 19 digits, Luhn), IBANs (modulo 97), US social security
-numbers, North American phone numbers, IPv4 addresses, dates from 1900-01-01 to 2099-08-03 (2001-12-31, 31.12.2001 and
+numbers, phone numbers (North American ones, with any area code after +1 or in parentheses; others after + and a country code), IPv4 addresses, dates from 1900-01-01 to 2099-08-03 (2001-12-31, 31.12.2001 and
 12/31/2001), and the local part of e-mail addresses. A value becomes a list of numbers, each below its own bound; eight
 Feistel rounds add to one half, element by element and modulo its bounds, a SHA-256 of key, kind, round and the other half.
 So the map is one-to-one within its format, equal values get equal pseudonyms in all documents, and check digits are
@@ -29,9 +29,15 @@ SHAPES = (
     (DATE, r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}"),
     (IP, r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     (SSN, r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    (PHONE, r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"),
+    (
+        PHONE,
+        r"\+1[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}"
+        r"|(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}|\+[2-9](?:[ .-]?\(?[0-9]\)?){6,14}",
+    ),
     (CARD, r"[0-9](?:[ -]?[0-9]){12,18}"),
 )
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PATTERN = r"(?<![A-Za-z0-9.+_-])(?:" + "|".join(shape for _, shape in SHAPES) + r")(?![A-Za-z0-9_-]|\.[0-9])"
 
 
@@ -144,12 +150,17 @@ def _ssn(text: Column, key: Column) -> Column:
 
 
 def _phone(text: Column, key: Column) -> Column:
+    """Area code and exchange stay on their side of 2, other national numbers with or without a leading 0."""
     digits = _digits(text)
-    ten = F.substring(digits, -10, 10)
-    low = F.array(*(F.lit(2 if i in (0, 3) else 0) for i in range(10)))
-    bounds = F.array(*(F.lit(8 if i in (0, 3) else 10) for i in range(10)))
-    new = F.zip_with(feistel(F.zip_with(_ints(_chars(ten)), low, lambda v, x: v - x), bounds, key, PHONE), low, lambda v, x: v + x)
-    return F.when(F.length(digits).between(10, 11), _dressed(text, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), F.array_join(new.cast("array<string>"), ""))))
+    abroad = text.rlike(r"^\+[2-9]")
+    code = F.when(abroad, F.regexp_extract(digits, COUNTRY, 0)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 10))
+    own = _ints(_chars(F.substring(digits, F.length(code) + 1, F.length(digits))))
+    edge = F.when(abroad, F.lit(1)).otherwise(F.lit(2))
+    led = lambda i: (i == 0) | (~abroad & (i == 3))
+    low = F.transform(own, lambda v, i: F.when(led(i) & (v >= edge), edge).otherwise(F.lit(0)))
+    bounds = F.transform(own, lambda v, i: F.when(led(i), F.when(v >= edge, 10 - edge).otherwise(edge)).otherwise(F.lit(10)))
+    new = F.zip_with(feistel(F.zip_with(own, low, lambda v, x: v - x), bounds, key, PHONE), low, lambda v, x: v + x)
+    return F.when(F.length(digits).between(F.when(abroad, 7).otherwise(10), F.when(abroad, 15).otherwise(11)), _dressed(text, F.concat(code, F.array_join(new.cast("array<string>"), ""))))
 
 
 def _ip(text: Column, key: Column) -> Column:

@@ -194,3 +194,13 @@ def test_feistel_is_a_permutation(spark):
     df = spark.createDataFrame(rows, "a int, b int")
     got = df.select("a", "b", pii.feistel(F.array("a", "b"), F.array(F.lit(6), F.lit(7)), F.lit("k"), "t").alias("v")).collect()
     assert len({tuple(r.v) for r in got}) == 42 and all(list(r.v) == plain_feistel([r.a, r.b], [6, 7], "k", "t") for r in got)
+
+
+def test_phones_of_any_area_and_country(spark):
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(073) 155-8658", "+14155552671", "+44 20 7946 0958", "+49 (0)30 1234567", "+353 1 234 5678", "415-555-2671"]
+    df = spark.createDataFrame([(i, f"call {p}, now") for i, p in enumerate(phones)], "doc_id long, text string")
+    for r in pii.pseudonymize(df).collect():
+        old, new = phones[r.doc_id], r.text[5:-5]
+        code = re.match(r"\+(?:1|44|49|353)|", old).group()
+        assert list(r.pii) == ["phone"] and new != old and new.startswith(code) and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old)
+        assert not (old[4:5] == "(" and (old[5] < "2") != (new[5] < "2"))
