@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data: a keyed Feistel network over the values of a format.
 
-Found by pattern, then validated: payment card numbers (13 to 19 digits, Luhn), IBANs (modulo 97), US social security
+Found by pattern, then validated: payment card numbers (13 to 19 digits, Luhn; also between groups of other digits), IBANs (modulo 97, of the country's length), US social security
 numbers, phone numbers (North American ones, with any area code after +1 or in parentheses; others after + and a country code), IPv4 addresses, dates from 1900-01-01 to 2099-08-03 (2001-12-31, 31.12.2001 and
 12/31/2001), and the local part of e-mail addresses. A value becomes a list of numbers, each below its own bound; eight
 Feistel rounds add to one half, element by element and modulo its bounds, a SHA-256 of key, kind, round and the other half.
@@ -22,10 +22,16 @@ from gaugeleaf.llm.common import table, texts
 
 ROUNDS, DAYS, FIRST_DAY = 8, 270 * 270, "1900-01-01"
 CARD, IBAN, SSN, PHONE, IP, DATE, MAIL = "card", "iban", "ssn", "phone", "ip", "date", "mail"
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_LENGTH = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
 #: Digit runs and separators of each kind, in the order in which they are tried at a place.
 SHAPES = (
     (MAIL, r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,7}\.[A-Za-z]{2,24}"),
-    (IBAN, r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
+    (IBAN, _BY_LENGTH + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
     (DATE, r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}"),
     (IP, r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     (SSN, r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
@@ -34,8 +40,9 @@ SHAPES = (
         r"\+1[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}"
         r"|(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}|\+[2-9](?:[ .-]?\(?[0-9]\)?){6,14}",
     ),
-    (CARD, r"[0-9](?:[ -]?[0-9]){12,18}"),
 )
+#: A run of digits in which card numbers are looked for; it ends before a value of another kind.
+SHAPES += ((CARD, r"[0-9](?:[ -](?!(?:" + "|".join(shape for kind, shape in SHAPES if kind in (DATE, IP, SSN, PHONE)) + r")(?![A-Za-z0-9_-]))[0-9]|[0-9]){12,}"),)
 #: Country codes of one and two digits; all others have three.
 COUNTRY = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PATTERN = r"(?<![A-Za-z0-9.+_-])(?:" + "|".join(shape for _, shape in SHAPES) + r")(?![A-Za-z0-9_-]|\.[0-9])"
@@ -107,6 +114,27 @@ def _card(text: Column, key: Column) -> Column:
     return F.when(n.between(13, 19) & (_luhn(digits) % 10 == 0), _dressed(text, whole))
 
 
+def _pieces(found: Column) -> Column:
+    """A run of digits in pieces that make it up: card numbers from one group border to another, longest first, and single groups."""
+
+    def cut(s: Column) -> Column:
+        groups, n = s["groups"], F.size(s["groups"])
+
+        def step(state: Column, i: Column) -> Column:
+            ends = F.sequence(F.least(i + 18, n - 1), i, F.lit(-1))
+            runs = F.transform(ends, lambda j: F.struct(j.alias("end"), F.array_join(F.slice(groups, i + 1, j - i + 1), "").alias("text")))
+            fits = F.filter(runs, lambda r: F.length(_digits(r["text"])).between(13, 19) & (_luhn(_digits(r["text"])) % 10 == 0))
+            single = F.struct(i.alias("end"), F.get(groups, i).alias("text"))
+            took = _once(F.coalesce(F.get(fits, F.lit(0)), single), lambda r: F.struct((r["end"] + 1).alias("next"), F.concat(state["pieces"], F.array(r["text"])).alias("pieces")))
+            return F.when(i < state["next"], state).otherwise(took)
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("pieces"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["pieces"]
+
+    groups = F.regexp_extract_all(found, F.lit("[0-9]+[ -]?"), F.lit(0))
+    return F.when(kind_of(found) == CARD, _once(F.struct(groups.alias("groups")), cut)).otherwise(F.array(found))
+
+
 def _mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), lambda a, c: F.when(c.between("0", "9"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97)
 
@@ -212,10 +240,12 @@ def pseudonymize(docs: DataFrame, key: str = "gaugeleaf", column: str = "text")
     worth = text.rlike("[0-9@]")
     empty = F.array().cast("array<string>")
     rows = docs.withColumn("pii_found", F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(empty))
-    rows = rows.withColumn("pii_new", F.transform("pii_found", lambda m: pseudonym(m, F.lit(key))))
+    rows = rows.withColumn("pii_found", F.transform("pii_found", _pieces))
+    rows = rows.withColumn("pii_new", F.transform("pii_found", lambda found: F.transform(found, lambda m: pseudonym(m, F.lit(key)))))
     between = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.arrays_zip("pii_found", "pii_new"), lambda t, m: F.concat(t, F.coalesce(m["pii_new"]["text"], m["pii_found"], F.lit("")))), "")
-    done = F.filter("pii_new", lambda n: n["text"].isNotNull())
+    rewritten = F.zip_with("pii_found", "pii_new", lambda found, new: F.array_join(F.zip_with(found, new, lambda m, n: F.coalesce(n["text"], m)), ""))
+    joined = F.array_join(F.zip_with(between, rewritten, lambda t, m: F.concat(t, F.coalesce(m, F.lit("")))), "")
+    done = F.filter(F.flatten("pii_new"), lambda n: n["text"].isNotNull())
     rows = rows.withColumn(column, F.when(F.size(done) > 0, joined).otherwise(text)).withColumn("pii", F.transform(done, lambda n: n["kind"]))
     return rows.drop("pii_found", "pii_new")
 

@@ -204,3 +204,13 @@ def test_phones_of_any_area_and_country(spark):
         code = re.match(r"\+(?:1|44|49|353)|", old).group()
         assert list(r.pii) == ["phone"] and new != old and new.startswith(code) and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old)
         assert not (old[4:5] == "(" and (old[5] < "2") != (new[5] < "2"))
+
+
+def test_cards_and_ibans_beside_other_digits(spark):
+    card, iban = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    texts = [f"{card} 12/26", f"{card} 123", f"{card} 5500 0000 0000 0004", f"123456 {card}", f"{iban} 2024", f"{iban} {card}", f"{card} 2001-12-31", f"{card} 078-05-1120"]
+    kinds = [["card"], ["card"], ["card", "card"], ["card"], ["iban"], ["iban", "card"], ["card", "date"], ["card", "ssn"]]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i].pii) == kinds[i] and card not in got[i].text and iban not in got[i].text and len(got[i].text) == len(t)
+    assert got[0].text.endswith(" 12/26") and got[1].text.endswith(" 123") and got[3].text.startswith("123456 ") and got[4].text.endswith(" 2024")
