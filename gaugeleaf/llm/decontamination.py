@@ -1,10 +1,10 @@
 """Benchmark decontamination by a positional inverted index of the training documents.
 
 Benchmark items are cut into windows of `window` consecutive words (shorter items are one window). The corpus frequency of
-every benchmark term is counted. A window is looked for from its rarest term and the rarer of that term's neighbours: the
-posting lists of the two, adjusted by their offsets, are intersected, which leaves (document, start) candidates; these are
-intersected with the rest of the window at the positions of the document. Proximity matches use the same two lists with a
-tolerance.
+every benchmark term is counted. A window is looked for from its rarest term and the rarer of that term's neighbours by a
+two-word key: the hash of the pair is looked up among the pairs of neighbouring words of each document, which leaves
+(document, start) candidates; these are compared with the rest of the window at the positions of the document. Posting
+lists are not stored for this; postings() and proximity_matches(), which intersects two lists with a tolerance, stand alone.
 
 Cases: a null or empty text has no words and no hit. Items without words or item_id have no windows. Items that share a
 window all count. Rows that repeat are judged by their own text. Other columns are not read. Empty tables: an empty
