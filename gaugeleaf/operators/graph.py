@@ -1,4 +1,4 @@
-"""Claim graphs: premises, typing, anchors, support trees, rescue of derived claims. Bounded iterations of joins."""
+"""Claim graphs: premises, typing, anchors, support trees, rescue of derived claims. Iterations of joins."""
 
 from __future__ import annotations
 
@@ -92,13 +92,13 @@ def support_tree(anchor: DataFrame, links: DataFrame, settings: Config = Config(
     return tree.withColumn("weight", F.pow(F.lit(settings.depth_decay), F.col("depth")))
 
 
-def rescue(nodes: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
+def rescue(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """eval_id, node, axiom, resolved: a node that is no axiom resolves once all its parents, one at least, do.
 
     Each round resolves what the last one allows, until nothing changes; the state is checkpointed between rounds.
     """
     state = nodes.select("eval_id", "node", "axiom", F.col("axiom").alias("resolved"))
-    for n in range(rounds):
+    while True:
         parents = links.join(state.select("eval_id", F.col("node").alias("src"), F.col("resolved").alias("ok")), ["eval_id", "src"], "left")
         ready = parents.groupBy("eval_id", F.col("dst").alias("node")).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ready"))
         new = state.join(ready, ["eval_id", "node"], "left").withColumn("new", F.col("resolved") | F.coalesce("ready", F.lit(False)))
@@ -106,8 +106,7 @@ def rescue(nodes: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
         changed = not new.where("new and not resolved").isEmpty()
         state = new.select("eval_id", "node", "axiom", F.col("new").alias("resolved"))
         if not changed:
-            break
-    return state
+            return state
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:

@@ -117,3 +117,9 @@ def test_calibration_reader(spark, tmp_path):
     p.write_text('{"id": "a", "claim": "x", "context": "y", "label": true}\n\n')
     row = src.calibration(spark, str(p)).first()
     assert row.stratum == "default" and src.recall_sample(spark, "").count() == 0
+
+
+def test_rescue_follows_chains_of_any_length(spark):
+    nodes = spark.createDataFrame([(1, k, k == 0) for k in range(68)], "eval_id int, node int, axiom boolean").coalesce(1)
+    links = spark.createDataFrame([(1, k, k + 1) for k in range(67)], "eval_id int, src int, dst int").coalesce(1)
+    assert graph.rescue(nodes, links).where("not resolved").count() == 0
