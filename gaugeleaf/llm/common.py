@@ -26,10 +26,43 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
+#: What tells rows apart: repeats of a doc_id by their text too, and rows without doc_id by their text alone.
+KEY = ["own_doc", "own_row"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and at most `rest`) with KEY: two longs, of which only rows that repeat both doc_id and text share both."""
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    return rows.withColumn("own_doc", F.coalesce("doc_id", F.xxhash64("text", F.lit("lone")))).withColumn("own_row", F.xxhash64("doc_id", "text"))
+
+
+def _named(name: str):
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and rest: all other columns in one struct, so that their names can clash with no name of ours."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return texts(docs, F.struct(*(_named(c).alias(f"c{i}") for i, c in enumerate(others)), F.lit(0).alias("own")).alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, new: dict | None = None, also: dict | None = None, packed_as: DataFrame | None = None) -> DataFrame:
+    """The columns of docs, in order and with their types, from packed rows.
+
+    new: functions of a column's old value, by name. also: more columns, last. packed_as: what was packed, if docs lacks some of it.
+    """
+    others = [c for c in (packed_as or docs).columns if c not in ("doc_id", "text")]
+    at = {c: F.col("rest")[f"c{i}"] for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    own = lambda f: (new or {}).get(f.name, lambda old: old)(at[f.name]).cast(f.dataType).alias(f.name)
+    return rows.select(*map(own, docs.schema.fields), *(c.alias(name) for name, c in (also or {}).items()))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A temporary one only where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master only."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
+    if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="gaugeleaf-"))
     return _OWN_DIR[0]

@@ -1,24 +1,31 @@
 """Format-preserving pseudonyms for personal data: a keyed Feistel network over the values of a format.
 
-Found by pattern, then validated: payment card numbers (13 to 19 digits, Luhn; also between groups of other digits), IBANs (modulo 97, of the country's length), US social security
-numbers, phone numbers (North American ones, with any area code after +1 or in parentheses; others after + and a country code), IPv4 addresses, dates from 1900-01-01 to 2099-08-03 (2001-12-31, 31.12.2001 and
-12/31/2001), and the local part of e-mail addresses. A value becomes a list of numbers, each below its own bound; eight
+Found by pattern, then validated: payment card numbers (13 to 19 digits, Luhn; also between groups of other digits), IBANs
+(modulo 97, of the country's length), US social security numbers, phone numbers (North American ones, with any area code
+after +1 or in parentheses; others after + and a country code), IPv4 addresses, dates from 1900-01-01 to 2099-08-03
+(2001-12-31, 31.12.2001 and 12/31/2001), and the local part of e-mail addresses. A value becomes a list of numbers, each below its own bound; eight
 Feistel rounds add to one half, element by element and modulo its bounds, a SHA-256 of key, kind, round and the other half.
 So the map is one-to-one within its format, equal values get equal pseudonyms in all documents, and check digits are
 made to fit again. Separators, country codes and mail domains stay.
 
+The key is a secret of the caller: an argument, or the setting spark.gaugeleaf.pii.key. Without either, a random one is drawn
+for this driver, so that values stay linked within its runs and nobody can turn them back.
+
 Cases: a null text stays null, an empty one empty. What looks alike but fails its check stays. Repeated rows get equal
-rows. A column that is not text is kept as it is. An empty table gives an empty result.
+rows. Other columns are kept as they are, whatever their names; only one named pii gives way to the result's. An empty table
+gives an empty result.
 
 Size: one scan and no shuffle; texts without a digit or an at-sign pass without the search. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeleaf.llm.common import table, texts
+from gaugeleaf.llm.common import packed, table, unpacked
 
 ROUNDS, DAYS, FIRST_DAY = 8, 270 * 270, "1900-01-01"
 CARD, IBAN, SSN, PHONE, IP, DATE, MAIL = "card", "iban", "ssn", "phone", "ip", "date", "mail"
@@ -234,23 +241,48 @@ def pseudonym(found: Column, key: Column) -> Column:
     return _once(kind_of(found), made)
 
 
-def pseudonymize(docs: DataFrame, key: str = "gaugeleaf", column: str = "text") -> DataFrame:
-    """docs with `column` rewritten, and pii: the kinds replaced, in order. Existing columns named pii* are replaced."""
-    text = F.col(column)
-    worth = text.rlike("[0-9@]")
+_DRAWN: list[str] = []
+
+
+def secret(spark: SparkSession) -> str:
+    """The key that the session names, else one drawn at random for this driver."""
+    if named := spark.conf.get("spark.gaugeleaf.pii.key", None):
+        return named
+    if not _DRAWN:
+        _DRAWN.append(secrets.token_hex(16))
+    return _DRAWN[0]
+
+
+def _rewritten(docs: DataFrame, key: str | None) -> DataFrame:
+    """doc_id, text, rest (packed) with text rewritten, and pii: the kinds replaced, in order."""
+    key, text = F.lit(secret(docs.sparkSession) if key is None else key), F.col("text")
     empty = F.array().cast("array<string>")
-    rows = docs.withColumn("pii_found", F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(empty))
-    rows = rows.withColumn("pii_found", F.transform("pii_found", _pieces))
-    rows = rows.withColumn("pii_new", F.transform("pii_found", lambda found: F.transform(found, lambda m: pseudonym(m, F.lit(key)))))
+    rows = docs.withColumn("found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(empty))
+    rows = rows.withColumn("found", F.transform("found", _pieces))
+    rows = rows.withColumn("new", F.transform("found", lambda found: F.transform(found, lambda m: pseudonym(m, key))))
     between = F.split(text, PATTERN, -1)
-    rewritten = F.zip_with("pii_found", "pii_new", lambda found, new: F.array_join(F.zip_with(found, new, lambda m, n: F.coalesce(n["text"], m)), ""))
+    rewritten = F.zip_with("found", "new", lambda found, new: F.array_join(F.zip_with(found, new, lambda m, n: F.coalesce(n["text"], m)), ""))
     joined = F.array_join(F.zip_with(between, rewritten, lambda t, m: F.concat(t, F.coalesce(m, F.lit("")))), "")
-    done = F.filter(F.flatten("pii_new"), lambda n: n["text"].isNotNull())
-    rows = rows.withColumn(column, F.when(F.size(done) > 0, joined).otherwise(text)).withColumn("pii", F.transform(done, lambda n: n["kind"]))
-    return rows.drop("pii_found", "pii_new")
+    done = F.filter(F.flatten("new"), lambda n: n["text"].isNotNull())
+    return rows.select("doc_id", F.when(F.size(done) > 0, joined).otherwise(text).alias("text"), "rest", F.transform(done, lambda n: n["kind"]).alias("pii"))
+
+
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with text rewritten, and pii: the kinds replaced, in order."""
+    rows = _rewritten(packed(docs), key)
+    kept = docs.drop("pii")
+    return unpacked(rows, kept, also={"pii": F.col("pii")}, packed_as=docs)
+
+
+def private(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with text rewritten, all other columns as they are; n_chars, where there is one, follows the text."""
+    rows = _rewritten(packed(docs), key)
+    if "n_chars" not in docs.columns:
+        return unpacked(rows, docs)
+    return unpacked(rows, docs, new={"n_chars": lambda old: F.when(F.size("pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(old)})
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_replaced, kinds."""
-    rows = pseudonymize(texts(table(spark, sf_dir, "documents")))
+    rows = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join("pii", ",").alias("kinds"))
