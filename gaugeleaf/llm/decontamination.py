@@ -1,18 +1,20 @@
 """Benchmark decontamination by a positional inverted index of the training documents.
 
-Benchmark items are cut into windows of `window` consecutive words (shorter items are one window). The corpus frequency of
-every benchmark term is counted. A window is looked for from its rarest term and the rarer of that term's neighbours by a
-two-word key: the hash of the pair is looked up among the pairs of neighbouring words of each document, which leaves
-(document, start) candidates; these are compared with the rest of the window at the positions of the document. Posting
-lists are not stored for this; postings() and proximity_matches(), which intersects two lists with a tolerance, stand alone.
+Benchmark items are cut into windows of `window` consecutive words (shorter items are one window); equal windows of several
+items are one. The corpus frequency of every benchmark term is counted. The posting lists (document, position) of each
+window's two rarest terms are written as a table, the index; lists are shifted by the term's place in the window, so that both
+give the start a match would have, and intersected on document, window and start. What is in both lists is compared with the
+whole window at the positions of the document. proximity_matches() meets the same kind of lists within a tolerance.
 
 Cases: a null or empty text has no words and no hit. Items without words or item_id have no windows. Items that share a
-window all count. Rows that repeat are judged by their own text. Other columns are not read. Empty tables: an empty
-benchmark hits nothing, empty documents give an empty result.
-
-Size: the corpus is scanned twice, as (hash, position) rows that are joined before any shuffle; only postings of benchmark
-terms, summed, and candidates are shuffled, and the texts once to meet their candidates. Tables from the benchmark are
-broadcast only while they have `broadcast_rows` rows at most, beyond that Spark plans the join.
+window all count. Rows that repeat are judged by their own text, also under one doc_id or none. Columns of docs besides doc_id
+and text are not read; clean() hands all of them on, whatever their names. Empty tables: an empty benchmark hits nothing,
+empty documents give an empty result.
+
+Size: the corpus is scanned twice, as (term, position) rows that meet the benchmark's terms before any shuffle. Shuffled are
+sums, the postings of rarest terms as (document, window, start), and the texts once to meet their matches. Tables from the
+benchmark are broadcast only while they have `broadcast_rows` rows at most, beyond that Spark plans the join. No list is held
+in one row, so a term of a third of all documents is dealt like any other.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeleaf.llm.common import materialize, table, texts
+from gaugeleaf.llm.common import KEY, keyed, materialize, packed, table, texts, unpacked
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -35,14 +37,23 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), term: the positional index of the training text."""
-    return texts(docs).select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-
-
 def _items(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text").cast("string")).alias("words"))
-    return items.where("item_id is not null and size(words) > 0").distinct().withColumn("item", F.xxhash64("item_id", "words"))
+    return items.where("item_id is not null and size(words) > 0").distinct()
+
+
+def windows_of(items: DataFrame, window: int) -> DataFrame:
+    """w (a hash), words, items: the distinct windows of the benchmark and the item_ids that have them."""
+    n = F.least(F.size("words"), F.lit(window))
+    cut = items.select("item_id", "words", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("s"))
+    rows = cut.select("item_id", F.slice("words", F.col("s") + 1, F.col("n")).alias("words"))
+    return rows.groupBy("words").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64("words").alias("w"), "words", "items")
+
+
+def postings(docs: DataFrame, terms: DataFrame | None = None, broadcast_rows: int = 200_000) -> DataFrame:
+    """KEY, pos (from 0), term: the positional index of the training text, of all terms or of those in `terms`."""
+    rows = keyed(docs).select(*KEY, F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    return rows if terms is None else rows.join(_small(terms.select("term").distinct(), broadcast_rows), "term", "left_semi").select(*KEY, "pos", "term")
 
 
 def term_frequencies(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -52,73 +63,68 @@ def term_frequencies(docs: DataFrame, items: DataFrame, broadcast_rows: int) ->
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def anchors(items: DataFrame, frequencies: DataFrame, window: int) -> DataFrame:
-    """key, ahead (words from the window's start to the anchor), item_id, w: for each window its rarest neighbouring terms.
+def anchors(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """term, w, ahead (words from the window's start to the term), part: the places of each window's two rarest terms.
 
-    key hashes the two terms, or the one of a window of one word.
+    part is 1 for the rarest and 2 for the next; 3 for the only one of a window of one word.
     """
-    placed = items.select("item", F.posexplode("words").alias("q", "term")).join(frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    after = placed.select("item", (F.col("q") - 1).alias("q"), F.col("term").alias("next"), F.col("df").alias("next_df"))
-    pairs = placed.join(after, ["item", "q"], "left")
-    pairs = pairs.select("item", "q", F.least("df", "next_df").alias("rare"), F.greatest("df", "next_df").alias("other"), F.when(F.col("next").isNull(), F.xxhash64("term")).otherwise(F.xxhash64("term", "next")).alias("key"))
-    length = F.least(F.size("words"), F.lit(window))
-    cut = items.select("item", "item_id", "words", length.alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("s"))
-    inside = (F.col("q") >= F.col("s")) & (F.col("q") <= F.col("s") + F.greatest(F.col("n") - 2, F.lit(0)))
-    best = F.min_by(F.struct("q", "key"), F.struct("rare", "other", "q")).alias("best")
-    chosen = cut.join(pairs, "item").where(inside).groupBy("item", "item_id", "s", F.slice("words", F.col("s") + 1, F.col("n")).alias("w")).agg(best)
-    return chosen.select("best.key", (F.col("best.q") - F.col("s")).alias("ahead"), "item_id", "w")
-
-
-def _keys(words: Column, single: bool) -> Column:
-    """Hashes of neighbouring words, and of single words if some window has one word only, each with its position."""
-    two = F.transform(words, lambda w, i: F.when(F.get(words, i + 1).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(w, F.get(words, i + 1))))
-    return F.concat(two, F.transform(words, lambda w: F.xxhash64(w))) if single else two
-
-
-def candidates(docs: DataFrame, chosen: DataFrame, broadcast_rows: int) -> DataFrame:
-    """row, found: for each row of docs (by hash) the starts, windows and items where both anchor lists meet."""
-    single = not chosen.where(F.size("w") == 1).isEmpty()
-    rows = texts(docs).select(F.xxhash64("doc_id", "text").alias("row"), words_of(F.col("text")).alias("words"))
-    index = rows.select("row", F.size("words").alias("n"), F.posexplode(_keys(F.col("words"), single)).alias("pos", "key"))
-    met = index.join(_small(chosen, broadcast_rows), "key").where((F.size("w") == 1) == (F.col("pos") >= F.col("n")))
-    start = F.col("pos") - F.col("ahead") - F.when(F.size("w") == 1, F.col("n")).otherwise(F.lit(0))
-    met = met.select("row", F.struct(start.alias("start"), "w", "item_id").alias("c")).where("c.start >= 0")
-    return met.groupBy("row").agg(F.collect_set("c").alias("found"))
-
-
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = 200_000, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, the columns in extra, words and matches (start, w, item_id): exact occurrences of windows, a row per row of docs."""
+    placed = windows.select("w", "words", F.posexplode("words").alias("q", "term")).join(frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    two = placed.groupBy("w", "words").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "q", "term"))), 1, 2).alias("two"))
+    rows = two.select("w", F.size("two").alias("n"), F.posexplode("two").alias("i", "a"))
+    return rows.select("a.term", "w", F.col("a.q").alias("ahead"), F.when(F.col("n") == 1, 3).otherwise(F.col("i") + 1).alias("part")).distinct()
+
+
+def intersections(index: DataFrame, chosen: DataFrame, broadcast_rows: int) -> DataFrame:
+    """KEY, w, start: where the shifted posting lists of both rarest terms of a window meet."""
+    met = index.join(_small(chosen, broadcast_rows), "term").select(*KEY, "w", (F.col("pos") - F.col("ahead")).alias("start"), "part").where("start >= 0")
+    return met.groupBy(*KEY, "w", "start").agg(F.bit_or("part").alias("parts")).where("parts = 3").drop("parts")
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of docs with own_words and own_matches (start, words, items): exact occurrences of windows. docs: doc_id, text, at most `rest` besides."""
     items = materialize(_items(benchmark))
-    frequencies = term_frequencies(docs, items, broadcast_rows)
-    chosen = materialize(anchors(items, frequencies, window))
-    met = candidates(docs, chosen, broadcast_rows)
-    joined = texts(docs, *extra).withColumn("row", F.xxhash64("doc_id", "text")).join(met, "row", "left").withColumn("words", words_of(F.col("text")))
-    exact = F.filter(F.coalesce("found", F.array().cast(met.schema["found"].dataType)), lambda c: F.slice("words", c["start"] + 1, F.size(c["w"])) == c["w"])
-    return joined.select("doc_id", "text", *extra, "words", exact.alias("matches"))
+    windows = materialize(windows_of(items, window))
+    chosen = materialize(anchors(windows, term_frequencies(docs, items, broadcast_rows)))
+    index = materialize(postings(docs, chosen, broadcast_rows))
+    found = intersections(index, chosen, broadcast_rows).join(_small(windows, broadcast_rows), "w")
+    found = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "words", "items")).alias("found"))
+    joined = keyed(docs).join(found, KEY, "left").withColumn("own_words", words_of(F.col("text")))
+    none = F.array().cast(found.schema["found"].dataType)
+    exact = F.filter(F.coalesce("found", none), lambda c: F.slice("own_words", c["start"] + 1, F.size(c["words"])) == c["words"])
+    return joined.withColumn("own_matches", exact).drop("found", *KEY)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, item_id, pos, distance: where the item's two rarest different terms stand at most `slop` words apart, in any order."""
+    """doc_id, item_id, pos, distance: where the item's two rarest different terms stand at most `slop` words apart, in any order.
+
+    pos is a place of the rarer term and distance that to the nearest other one. Lists meet by stretches of slop + 1 words, of
+    the same stretch or a neighbouring one, so that no two whole lists of a document are paired.
+    """
     items = materialize(_items(benchmark))
-    frequencies = term_frequencies(docs, items, broadcast_rows)
-    terms = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(frequencies, "term")
-    two = terms.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("df", "term"))), 1, 2).alias("t")).where("size(t) = 2")
-    two = two.select("item_id", F.col("t")[0]["term"].alias("first"), F.col("t")[1]["term"].alias("second"))
-    rows = texts(docs).select("doc_id", words_of(F.col("text")).alias("words"))
-    index = rows.select("doc_id", "words", F.posexplode("words").alias("pos", "first")).join(_small(two, broadcast_rows), "first")
-    low = F.greatest(F.col("pos") - slop, F.lit(0))
-    near = F.slice("words", low + 1, F.lit(slop) + F.col("pos") - low + 1)
-    gaps = F.transform(near, lambda w, i: F.when(w == F.col("second"), F.abs(low + i - F.col("pos"))))
-    return index.select("doc_id", "item_id", "pos", F.array_min(gaps).alias("distance")).where("distance is not null")
-
-
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, the columns in extra, n_words, n_hit, n_items, items (as sorted strings), contaminated: a row per row of docs."""
-    rows = phrase_matches(docs, benchmark, window, extra=extra)
-    covered = F.flatten(F.transform("matches", lambda c: F.sequence(c["start"], c["start"] + F.size(c["w"]) - 1)))
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda c: c["item_id"].cast("string"))))
-    rows = rows.select("doc_id", "text", *extra, F.size("words").cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), items.alias("items"))
-    return rows.select("doc_id", "text", *extra, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    terms = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(term_frequencies(docs, items, broadcast_rows), "term")
+    two = terms.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("df", "term"))), 1, 2).alias("two")).where("size(two) = 2")
+    two = materialize(two.select("item_id", F.posexplode("two").alias("i", "a")).select("item_id", "i", "a.term"))
+    index = materialize(postings(docs, two, broadcast_rows)).join(_small(two, broadcast_rows), "term")
+    at = F.floor(F.col("pos") / (slop + 1))
+    first = index.where("i = 0").select(*KEY, "item_id", "pos", F.explode(F.array(at - 1, at, at + 1)).alias("stretch"))
+    second = index.where("i = 1").select(*KEY, "item_id", F.col("pos").alias("other"), at.alias("stretch"))
+    met = first.join(second, [*KEY, "item_id", "stretch"]).withColumn("distance", F.abs(F.col("pos") - F.col("other"))).where(F.col("distance") <= slop)
+    near = met.groupBy(*KEY, "item_id", "pos").agg(F.min("distance").alias("distance"))
+    return keyed(docs).select(*KEY, "doc_id").join(near, KEY).select("doc_id", "item_id", "pos", "distance")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (as sorted strings), contaminated: a row per row of docs."""
+    rows = phrase_matches(texts(docs), benchmark, window)
+    covered = F.flatten(F.transform("own_matches", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1)))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("own_matches", lambda c: c["items"].cast("array<string>")))))
+    rows = rows.select("doc_id", F.size("own_words").cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), items.alias("items"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of docs without any occurrence of a window, all columns as they are."""
+    return unpacked(phrase_matches(packed(docs), benchmark, window).where(F.size("own_matches") == 0), docs)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
