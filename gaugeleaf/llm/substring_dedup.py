@@ -4,21 +4,26 @@ Every window of every document gets a hash. The hashes are dealt to buckets, pac
 smallest doc_id that has it and answers each larger document with the starts of such windows. Windows that a document has
 to lose merge into maximal intervals of words.
 
+Hot windows, those that many documents share, are told by a sample of documents. A chunk of texts deals only one of its
+occurrences, that in its smallest doc_id; the bucket gives the smallest of all, and each document looks its hot windows up in
+that list, of at most `hot` entries. Which windows the sample calls hot changes no result.
+
 Cases: a null or empty text has no words, nothing is removed and the kept text is empty. A row without doc_id takes no
 part: it loses nothing and makes no one lose anything. Rows that repeat doc_id and text get the same result, and never
-make each other lose words. Other columns are not read. An empty table gives an empty result.
+make each other lose words; rows of one doc_id and different texts neither, each loses by its own text. Other columns are not
+read. An empty table gives an empty result.
 
-Size: hash_bytes bytes a window and about one for place and document are shuffled, the text once more at the end. A
-window in many documents comes once from each chunk to its bucket. Buckets hold about `bucket_windows` windows at any
-size of the corpus. A hash counts as equal by 8 * hash_bytes bits and those that choose the bucket: two different windows
-meet with probability below windows**2 / 2**(8 * hash_bytes + log2(buckets) + 1).
+Size: nine bytes a window and about one for place and document are shuffled, the starts of repeated windows with their hashes,
+and the text once at the end. Buckets hold about `bucket_windows` windows at any size of the corpus and are read one after
+the other. Windows are equal if 72 bits of two hashes and the bucket's own bits agree, so that of n windows about
+n**2 / 2**(73 + bucket bits) pairs are equal falsely: 1e-6 pairs in 30 GB, below 0.01 in 100 TB.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeleaf.llm.common import WordHash, chunks, hashed_words, mixed, raw_texts, starts_inside, table, texts, window_hashes
+from gaugeleaf.llm.common import WordHash, chunks, hashed_words, materialize, mixed, raw_texts, starts_inside, table, texts, window_hashes
 
 _PACKED = "bucket int, packed binary"
 _FOUND = "block int, packed binary"
+SECOND_BASE = 0xC2B2AE3D27D4EB4F
 
 
 def _bits(docs: DataFrame, bucket_windows: int) -> int:
@@ -39,137 +45,226 @@ def _bits(docs: DataFrame, bucket_windows: int) -> int:
     return min(24, max(4, int(size / 6.4 / bucket_windows).bit_length()))
 
 
-def _pack(hashes: np.ndarray, width: int, docs: np.ndarray, marks: np.ndarray, which: np.ndarray, pos: np.ndarray) -> bytes:
-    """One bucket's windows of a chunk: its documents, the document of each window as steps, places, hashes."""
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of small numbers, all lowest bytes first: these compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
+
+
+def _pack(hashes: np.ndarray, docs: np.ndarray, which: np.ndarray, pos: np.ndarray) -> bytes:
+    """Windows of some documents: the documents, the document of each window as steps, places, and rows of hash bytes."""
     used, rank = np.unique(which, return_inverse=True)
-    step = np.diff(rank, prepend=0).astype(np.uint32)
-    place = pos.astype(np.uint32)
-    place[1:] -= np.where(step[1:] == 0, pos[:-1].astype(np.uint32), 0).astype(np.uint32)
-    ids = docs[used]
-    meta = zstandard.ZstdCompressor(level=1).compress(
-        np.diff(ids, prepend=0).astype("<i8").tobytes() + marks[used].astype("<u2").tobytes() + step.astype("<u4").tobytes() + place.astype("<u4").tobytes()
-    )
-    body = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    return struct.pack("<III", len(used), len(hashes), len(meta)) + meta + body
-
-
-def _unpack(packed: bytes, width: int):
-    n_docs, n, n_meta = struct.unpack_from("<III", packed)
-    meta = zstandard.ZstdDecompressor().decompress(packed[12 : 12 + n_meta])
+    step = np.diff(rank, prepend=0)
+    place = pos.astype(np.int64)
+    place[1:] -= np.where(step[1:] == 0, pos[:-1], 0)
+    meta = np.diff(docs[used], prepend=0).astype("<i8").tobytes() + _planes(step) + _planes(place)
+    meta = zstandard.ZstdCompressor(level=1).compress(meta)
+    return struct.pack("<IIII", len(used), len(hashes), hashes.shape[1], len(meta)) + meta + hashes.tobytes()
+
+
+def _unpack(packed: bytes):
+    """Hash bytes, doc_id and place of each window."""
+    n_docs, n, width, n_meta = struct.unpack_from("<IIII", packed)
+    meta = zstandard.ZstdDecompressor().decompress(packed[16 : 16 + n_meta])
     ids = np.cumsum(np.frombuffer(meta, "<i8", n_docs))
-    marks = np.frombuffer(meta, "<u2", n_docs, 8 * n_docs)
-    step = np.frombuffer(meta, "<u4", n, 10 * n_docs)
-    place = np.frombuffer(meta, "<u4", n, 10 * n_docs + 4 * n)
-    which = np.cumsum(step)
+    step, place = _from_planes(meta, n, 8 * n_docs), _from_planes(meta, n, 8 * n_docs + 4 * n).astype(np.int64)
     first = np.flatnonzero(step)
     first = np.concatenate([[0], first[first > 0]]).astype(np.int64)
-    total = np.cumsum(place.astype(np.int64))
+    total = np.cumsum(place)
     before = np.zeros(n, np.int64)
     before[first] = total[first] - place[first]
-    pos = total - np.maximum.accumulate(before)
-    hashes = np.zeros((n, 8), np.uint8)
-    if width:
-        hashes[:, :width] = np.frombuffer(packed, np.uint8, n * width, 12 + n_meta).reshape(n, width)
-    return hashes.view("<u8").ravel(), ids[which], marks[which], pos
+    return np.frombuffer(packed, np.uint8, n * width, 16 + n_meta).reshape(n, width), ids[np.cumsum(step)], total - np.maximum.accumulate(before)
+
+
+def _bytes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Nine bytes a window: the first hash and the lowest byte of the second."""
+    return np.concatenate([first.astype("<u8").view(np.uint8).reshape(-1, 8), second.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :1]], axis=1)
+
+
+def _fitting(own: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of some starts, with their hashes, at which a text has windows of these hashes."""
+    inside = at < len(own)
+    at, hashes = at[inside], hashes[inside]
+    same = own[at] == np.ascontiguousarray(hashes).view("<u8").ravel()
+    return at[same], hashes[same]
+
+
+class _Windows:
+    """The windows inside the documents of a chunk: both hashes, the document and the place of each."""
+
+    def __init__(self, raw: list[bytes], cache: WordHash, window: int):
+        h, bounds = hashed_words(raw, cache)
+        at = np.flatnonzero(starts_inside(bounds, window))
+        self.first, self.second = window_hashes(h, window)[at], window_hashes(mixed(h + np.uint64(1)), window, SECOND_BASE)[at]
+        self.which = np.searchsorted(bounds, at, "right") - 1
+        self.pos = at - bounds[self.which]
+
 
+def hot_windows(docs: DataFrame, window: int, bits: int, bucket_windows: int, sample_docs: int, hot: int) -> np.ndarray:
+    """Sorted first hashes of at most `hot` windows that stand in one of 200 sampled documents or would fill a bucket."""
+    n = docs.count()
+    share = min(1.0, max(sample_docs / max(n, 1), 100 / bucket_windows))
 
-def repeated_windows(marked: DataFrame, bits: int, window: int, hash_bytes: int) -> DataFrame:
-    """block, packed: the starts of windows that a document with a smaller doc_id has too, by block of documents."""
+    def count(batches):
+        cache, seen = WordHash(), Counter()
+        for batch in chunks(batches):
+            w = _Windows(raw_texts(batch), cache, window)
+            order = np.lexsort((w.which, w.first))
+            value, of = w.first[order].view(np.int64), w.which[order]
+            once = np.concatenate([[True], (np.diff(value) != 0) | (np.diff(of) != 0)])[: len(value)]
+            value, times = np.unique(value[once], return_counts=True)
+            seen.update(dict(zip(value[times > 1].tolist(), times[times > 1].tolist())))
+        yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["hash", "n"])
+
+    least = max(8, min(n * share / 200, share * bucket_windows / 8))
+    found = docs.select("text").sample(share, 11).mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r[0] for r in found.orderBy(F.desc("n"), "hash").limit(hot).collect()], np.int64).view(np.uint64))
+
+
+def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def repeated_windows(docs: DataFrame, bits: int, window: int, hot: np.ndarray) -> DataFrame:
+    """block, packed: the starts of windows that a document with a smaller doc_id has too, by block of documents.
+
+    Block -1 has the smallest doc_id of hot windows in place of starts.
+    """
 
     def deal(batches):
         cache = WordHash()
         for batch in chunks(batches):
-            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
-            h, bounds = hashed_words(raw_texts(batch), cache)
-            w, inside = window_hashes(h, window), starts_inside(bounds, window)
-            at = np.flatnonzero(inside)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            w = _Windows(raw_texts(batch), cache, window)
+            keep = ~_is_in(w.first, hot)
+            often = np.flatnonzero(~keep)
+            if len(often):  # one of each, in the smallest doc_id
+                often = often[np.lexsort((ids[w.which[often]], w.second[often], w.first[often]))]
+                new = np.concatenate([[True], (np.diff(w.first[often]) != 0) | (np.diff(w.second[often]) != 0)])
+                keep[often[new]] = True
+            at = np.flatnonzero(keep)
             if not len(at):
                 continue
-            which = np.searchsorted(bounds, at, "right") - 1
-            pos, w = at - bounds[which], w[at]
-            bucket = (w >> np.uint64(64 - bits)).astype(np.uint32)
+            bucket = (w.second[at] >> np.uint64(64 - bits)).astype(np.uint32)
             order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            parts = np.split(order, cuts)
+            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+            body, which, pos = _bytes(w.first[at], w.second[at]), w.which[at], w.pos[at]
             yield pa.record_batch(
-                [
-                    pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
-                    pa.array([_pack(w[p], hash_bytes, ids, marks, which[p], pos[p]) for p in parts], pa.binary()),
-                ],
-                ["bucket", "packed"],
+                [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([_pack(body[p], ids, which[p], pos[p]) for p in parts], pa.binary())], ["bucket", "packed"]
             )
 
-    def find(batches):
-        held = defaultdict(list)
-        for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[bucket].append(packed)
-        found = []
-        for bucket in list(held):
-            h, ids, marks, pos = map(np.concatenate, zip(*(_unpack(x, hash_bytes) for x in held.pop(bucket))))
-            order = np.argsort(h, kind="stable")
-            h, ids = h[order], ids[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(h))))
-            late = ids > least
-            found.append((ids[late], marks[order][late], pos[order][late]))
-        if not found:
-            return
-        ids, marks, pos = map(np.concatenate, zip(*found))
+    def answers(bucket: int, held: list[bytes]):
+        body, ids, pos = map(np.concatenate, zip(*map(_unpack, held)))
+        h, more = np.ascontiguousarray(body[:, :8]).view("<u8").ravel(), body[:, 8]
+        order = np.argsort(h, kind="stable")
+        if ((h[order][1:] == h[order][:-1]) & (more[order][1:] != more[order][:-1])).any():
+            order = np.lexsort((more, h))
+        h, more, ids, pos, body = h[order], more[order], ids[order], pos[order], body[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])]))
+        least = np.minimum.reduceat(ids, first)
+        often = _is_in(h[first], hot)
+        if often.any():
+            # a hot window's bucket bits are part of its identity
+            tail = np.full((int(often.sum()), 1), bucket, "<u4").view(np.uint8)
+            yield -1, _pack(np.concatenate([body[first[often]], tail], axis=1), least[often], np.arange(int(often.sum())), np.zeros(int(often.sum()), np.int64))
+        late = (ids > np.repeat(least, np.diff(np.append(first, len(h))))) & ~_is_in(h, hot)
+        ids, pos, body = ids[late], pos[late], body[late]
         block = (mixed(ids.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int32)
-        order = np.lexsort((pos, marks, ids, block))
+        order = np.lexsort((pos, ids, block))
         for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
             if len(part):
-                docs_of, which = np.unique(np.stack([ids[part], marks[part].astype(np.int64)]), axis=1, return_inverse=True)
-                packed = _pack(np.zeros(len(part), np.uint64), 0, docs_of[0], docs_of[1], which.ravel(), pos[part])
-                yield pa.record_batch([pa.array([int(block[part[0]])], pa.int32()), pa.array([packed], pa.binary())], ["block", "packed"])
+                docs_of, which = np.unique(ids[part], return_inverse=True)
+                yield int(block[part[0]]), _pack(body[part][:, :8], docs_of, which, pos[part])
+
+    def find(batches):
+        held, now = [], None
 
-    dealt = marked.where("doc_id is not null").mapInArrow(deal, _PACKED)
-    return dealt.repartition(1 << bits, "bucket").mapInArrow(find, _FOUND)
+        def flush():
+            found = list(answers(now, held))
+            return pa.record_batch([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], ["block", "packed"])
 
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now and held:
+                    yield flush()
+                    held = []
+                now = bucket
+                held.append(packed.as_py())
+        if held:
+            yield flush()
 
-def _marked(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
+    dealt = docs.where("doc_id is not null").mapInArrow(deal, _PACKED)
+    return dealt.repartition(1 << min(bits, 17), "bucket").sortWithinPartitions("bucket").mapInArrow(find, _FOUND)
 
 
 def _block(bits: int):
-    """mixed() as a pandas-free Arrow column: the block of each document, spread by its text where it has no doc_id."""
+    """The block of each document, spread by its text where it has no doc_id."""
 
     def add(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False) if not batch.column("doc_id").null_count else pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
-            at = mixed(ids.astype(np.int64).astype(np.uint64)) & np.uint64((1 << bits) - 1)
             lone = pc.is_null(batch.column("doc_id")).to_numpy(zero_copy_only=False)
-            at = np.where(lone, batch.column("mark").to_numpy(zero_copy_only=False).astype(np.uint64) & np.uint64((1 << bits) - 1), at)
-            yield batch.append_column("block", pa.array(at.astype(np.int32)))
+            ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
+            ids = np.where(lone, batch.column("spread").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), ids)
+            at = mixed(ids) & np.uint64((1 << bits) - 1)
+            yield batch.select(["doc_id", "text"]).append_column("block", pa.array(at.astype(np.int32)))
 
     return add
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, hash_bytes: int = 7, bucket_windows: int = 2_000_000, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, bucket_windows: int = 2_000_000, digest: bool = False, sample_docs: int = 4_000, hot: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_removed, intervals (start and end in words, maximal) and kept: the kept text, or its SHA-256 if digest."""
-    marked = _marked(docs)
-    bits = _bits(marked, bucket_windows)
+    docs = texts(docs)
+    bits = _bits(docs, bucket_windows)
+    often = hot_windows(docs, window, bits, bucket_windows, sample_docs, hot)
+    found = materialize(repeated_windows(docs, bits, window, often))
+    body, least = np.zeros((0, 13), np.uint8), np.zeros(0, np.int64)
+    if lists := [_unpack(r.packed)[:2] for r in found.where("block = -1").select("packed").collect()]:  # `hot` windows at most, whatever the corpus
+        body, least = map(np.concatenate, zip(*lists))
+    known = {bytes(k): int(i) for k, i in zip(body, least)}
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", span), ("kept", pa.string())])
 
+    def hot_starts(raw: list[bytes], ids: list[int | None], cache: WordHash) -> dict[int, np.ndarray]:
+        """By row of a chunk: where windows start that are hot and stand in a smaller doc_id."""
+        w, out = _Windows(raw, cache, window), {}
+        at = np.flatnonzero(_is_in(w.first, often))
+        keys = np.concatenate([_bytes(w.first[at], w.second[at]), (w.second[at] >> np.uint64(64 - bits)).astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+        own = np.array([-(1 << 63) if i is None else i for i in ids], np.int64)[w.which[at]]
+        late = np.fromiter((known.get(k.tobytes(), 1 << 62) for k in keys), np.int64, len(at)) < own
+        for row in np.unique(w.which[at][late]).tolist():
+            out[row] = w.pos[at][late & (w.which[at] == row)]
+        return out
+
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         starts = defaultdict(list)
         for packed in right.column("packed").to_pylist():
-            _, ids, marks, pos = _unpack(packed, 0)
-            edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]), [True]]))
+            hashes, ids, pos = _unpack(packed)
+            edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                starts[int(ids[a]), int(marks[a])].append(pos[a:b])
-        out = []
-        for batch in left.to_batches():
-            for doc_id, mark, raw in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), raw_texts(batch)):
+                starts[int(ids[a])].append((pos[a:b], hashes[a:b]))
+        several = {i for i, n in Counter(left.column("doc_id").to_pylist()).items() if n > 1}
+        cache, out = WordHash(), []
+        for batch in chunks(left.to_batches()):
+            texts_, ids = raw_texts(batch), batch.column("doc_id").to_pylist()
+            again = hot_starts(texts_, ids, cache) if len(often) else {}
+            for row, (doc_id, raw) in enumerate(zip(ids, texts_)):
                 words, spans = raw.split(), []
                 n = len(words)
-                if found := starts.get((doc_id, mark)):
+                found_ = starts.get(doc_id, [])
+                if found_ and doc_id in several:  # of rows with one doc_id, each takes the starts that fit its text
+                    w = _Windows([raw], cache, window)
+                    found_ = [_fitting(w.first, at, h) for at, h in found_]
+                at = [p for p, _ in found_] + ([again[row]] if row in again else [])
+                if at:
                     hit = np.zeros(n + 1, np.int64)
-                    for at in found:
-                        np.add.at(hit, at, 1)
-                        np.add.at(hit, at + window, -1)
+                    for p in at:
+                        np.add.at(hit, p, 1)
+                        np.add.at(hit, p + window, -1)
                     gone = np.cumsum(hit)[:n] > 0
                     spans = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
@@ -177,10 +272,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, hash_bytes: int = 7, bucke
                 out.append((doc_id, n, n - len(words), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
 
-    blocked = marked.mapInArrow(_block(bits), "doc_id long, text string, mark int, block int")
-    found = repeated_windows(marked, bits, window, hash_bytes)
+    spread = docs.withColumn("spread", F.xxhash64("text"))
+    blocked = spread.mapInArrow(_block(bits), "doc_id long, text string, block int")
     kind = "doc_id long, n_words long, n_removed long, intervals array<struct<start:int,end:int>>, kept string"
-    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, kind)
+    return blocked.groupBy("block").cogroup(found.where("block >= 0").groupBy("block")).applyInArrow(cut, kind)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
