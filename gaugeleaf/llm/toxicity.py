@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeleaf.llm.common import LOWER, chunks, raw_texts, table, texts
+from gaugeleaf.llm.common import LOWER, chunks, materialize, raw_texts, table, texts
 
 BITS, SIZES, FOLDS, PAD = 20, (3, 4, 5), 5, 64
 _MULT = {n: np.uint64(0x9E3779B97F4A7C15 + 2 * n) for n in SIZES}
@@ -97,15 +97,23 @@ def train(raw: list[bytes], toxic: np.ndarray, dim: int = 2, epochs: int = 8, ra
     return (scale * (emb @ (out[:, 1] - out[:, 0]))).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 5_000) -> tuple[np.ndarray, float]:
-    """Train on rows outside the held-out fold only; `most` of them at most."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 5_000, most_bytes: int = 64 << 20) -> tuple[np.ndarray, float]:
+    """Train on rows outside the held-out fold only: whole texts in an order by hash, `most` of them and `most_bytes` bytes at most."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).dropDuplicates(["doc_id"])
+    known = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*order).limit(most // 2).unionByName(known.where("toxic = 0").orderBy(*order).limit(most // 2))
-    rows = texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64))
+    rows = texts(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialize(rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))))
+    sizes = rows.select("doc_id", "toxic", "size").orderBy(*order).collect()
+    held, ids = {0: 0, 1: 0}, []
+    for r in sizes:
+        held[r.toxic] += r.size
+        if held[r.toxic] <= most_bytes // 2:
+            ids.append(r.doc_id)
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    taught = sorted(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect(), key=lambda r: r.doc_id)
+    return train([(r.text or "").encode() for r in taught], np.array([r.toxic for r in taught], np.int64))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
