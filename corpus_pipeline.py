@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
 columns of documents. Rows that repeat doc_id and text in full are one document to every decision and stay or go together.
+Rows of one doc_id and different texts are judged apart. Further columns pass unchanged, whatever their names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,41 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeleaf.llm import byte_bpe, decontamination, near_dedup, pii, quality_resampling
-from gaugeleaf.llm.common import materialize, table
+from gaugeleaf.llm.common import materialize, packed, table, unpacked
 
 
 def _those(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id and text are among rows (by hash)."""
-    at = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.withColumn("row_", at).join(rows.select(F.col("row").alias("row_")), "row_", "left_semi").select(*docs.columns)
+    """The rows of docs whose doc_id and text (by hash, among rows of that doc_id) are among rows (doc_id, row)."""
+    left = packed(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    right = rows.select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"))
+    return unpacked(left.join(right, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")), "left_semi"), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects."""
+    """Documents that importance resampling selects. Null and empty texts have log weight 0 and are drawn like others."""
     return _those(docs, quality_resampling.resample(docs, table(spark, sf_dir, "labels")).where("selected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each near-duplicate group."""
+    """One document, that with the smallest doc_id, of each near-duplicate group. Texts without words are groups of their own."""
     return _those(docs, near_dedup.near_duplicates(docs).where("kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return decontamination.report(docs, table(spark, sf_dir, "benchmark"), extra=extra).where("not contaminated").select(*docs.columns)
+    """Documents without a benchmark passage. Null and empty texts have none and stay."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by pseudonyms."""
-    rows = pii.pseudonymize(docs)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    """All documents, personal data replaced by pseudonyms. A null text stays null."""
+    return pii.private(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the SHA-256 of the decoded bytes."""
+    """doc_id, n_tokens, ids and the SHA-256 of the decoded bytes. A null text has no ids."""
     path, pattern = byte_bpe.vocabulary()
     rows = byte_bpe.encode(docs, path, pattern)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(byte_bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
