@@ -44,11 +44,25 @@ class Config:
     embedding_seed: int = 20250730
     embedding_dim: int = 64
     judge_seed: int = 1729
+    entailment: str = "lexical"
+    relevance: str = "lexical"
+    resolver: str = "lexical"
+    segmenter: str = "lexical"
+    generator: str = "lexical"
+    judge: str = "seeded"
+    unanswerable: str = "deny"
+    #: None: the fixed lists below.
+    allowed: tuple[str, ...] | None = None
+    denied: tuple[str, ...] | None = None
+    coi_domains: tuple[str, ...] | None = None
+    coi_authors: tuple[str, ...] | None = None
 
     def __post_init__(self) -> None:
         for name in ("relevance_tau", "entail_tau", "contra_tau", "band_green", "band_amber", "dedupe_tau", "conformal_alpha", "anchor_alpha", "depth_decay"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must be between 0 and 1")
+        if self.method not in ("A", "B", "both"):
+            raise ValueError(f"unknown method {self.method}")
         if self.reference_mode not in ("generated", "archetype", "templated"):
             raise ValueError(f"unknown reference_mode {self.reference_mode}")
 
@@ -75,6 +89,8 @@ TERM_STOP = (
 ).split()
 NEGATION = "not no never none cannot without fails fewer lower".split()
 HEDGES = [*"maybe perhaps possibly probably likely arguably".split(), "i think", "i believe", "in my opinion", *"might may could should would seem seems appear appears hypothetically if".split()]
+JUDGE_HEDGES = "maybe perhaps think believe arguably possibly might opinion feel seems probably likely guess suppose".split()
+DECLINE = "cannot answer decline refuse unable insufficient information"
 PRONOUNS = "he she it they this that these those".split()
 LEADING_PRONOUNS = "he she it they this that these those him her them his its their".split()
 DEIXIS = "here there now then today yesterday tomorrow currently recently".split()
@@ -87,7 +103,7 @@ NOT_FILLER = "The A An It This That These Those They He She We You I In On At Fo
 LEADING_ASK = "what which who whom whose when where why how is are was were do does did can could should would will".split()
 IMPOSSIBLE, REASONS = ("cannot", "can't", "impossible", "not possible", "unable to"), ("because", "due to", "since ")
 MISSING_MARKS = ("fabricated", "nonexistent", "doesnotexist", "fake", "madeup")
-ALLOWED = ("nexa.internal", "reuters.com", "bloomberg.com", "sec.gov", "ft.com", "wsj.com")
+ALLOWED = ("reuters.com", "bloomberg.com", "sec.gov", "ft.com", "wsj.com")
 DENIED = ("fakenews.example", "contentfarm.example", "randomblog.example")
 COI_DOMAINS, COI_AUTHORS = ("press.example", "ir.example"), ("Company Communications", "Investor Relations")
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from gaugeleaf import config as c
+from gaugeleaf.config import Config
 from gaugeleaf.functions import text as t
 
 #: kind -> name -> function of columns.
@@ -22,17 +24,53 @@ _PROVIDERS: dict[str, dict[str, Callable[..., Column]]] = {
     "relevance": {"lexical": lambda question, answer: t.jaccard(t.tokens(question), t.tokens(answer))},
     "embedding": {"lexical": t.embedding},
     "segmenter": {"lexical": t.sentences},
-    "resolver": {"lexical": lambda reference: ~reference.rlike("(?i)fabricated|nonexistent|doesnotexist|fake|madeup")},
-    "judge": {"affirm": lambda q, c: F.lit(True), "deny": lambda q, c: F.lit(False), "seeded": lambda q, c: t.seeded_bit(1729, q, c)},
-}
+    "resolver": {"lexical": lambda reference: ~t.contains_any(reference, c.MISSING_MARKS)},
+    "generator": {"lexical": lambda text, n: F.array_repeat(text, n)},
+    "judge": {
+        "affirm": lambda q, x: F.lit(True), "deny": lambda q, x: F.lit(False), "seeded": lambda q, x: t.seeded_bit(Config().judge_seed, q, x),
+        "overlap": lambda q, x: t.coverage(t.tokens(q), t.tokens(x)) >= 0.5, "verifiable": lambda q, x: verifiable(x),
+    },
+    "consistency": {"lexical": lambda premise, conclusion: F.lit(True)},
+}
+_VERSIONS: dict[tuple[str, str], str] = {}
 
 
-def register(kind: str, name: str, make: Callable[..., Column]) -> None:
+def verifiable(text: Column) -> Column:
+    """Whether a text reads like a claim that can be checked: three content tokens, no hedge among them, no question."""
+    found = t.tokens(text)
+    return (F.size(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: ~x.isin(c.STOP))) >= 3) & ~F.arrays_overlap(found, F.array(*map(F.lit, c.JUDGE_HEDGES))) & ~t.strip(text).endswith("?")
+
+
+def overlap(tau: float) -> Callable[..., Column]:
+    """A judge that says yes where the context covers a share of the question's content tokens."""
+    return lambda q, x: t.coverage(t.tokens(q), t.tokens(x)) >= tau
+
+
+def generated(tag: str, payload: Column, n: int = 1) -> Column:
+    """What the built-in generator makes of a payload, as an array: its sentences, n repeats, its triplets spelt out, or itself."""
+    if tag == "sentences":
+        return t.sentences(payload)
+    if tag == "repeat":
+        return F.array_repeat(t.strip(payload), max(1, n))
+    if tag == "triplets":
+        parts = F.filter(F.transform(F.split(payload, r"(?i)\s+and\s+|;|,"), t.strip), lambda x: x != "")
+        return F.transform(F.transform(parts, t.by_place), lambda p: F.concat_ws(" | ", p["subject"], p["predicate"], p["obj"]))
+    return F.when(t.strip(payload) == "", F.array().cast("array<string>")).otherwise(F.array(t.strip(payload)))
+
+
+def register(kind: str, name: str, make: Callable[..., Column], version: str = "1") -> None:
     if kind not in _PROVIDERS:
         raise KeyError(f"unknown kind {kind}")
     if name in _PROVIDERS[kind]:
         raise ValueError(f"{kind} provider {name} is registered")
     _PROVIDERS[kind][name] = make
+    _VERSIONS[kind, name] = version
+
+
+def stamp(kind: str, name: str = "lexical") -> tuple[str, str]:
+    """Model and version that atoms carry of what decided them."""
+    provider(kind, name)
+    return f"{name}-{kind}", _VERSIONS.get((kind, name), "1")
 
 
 def provider(kind: str, name: str = "lexical") -> Callable[..., Column]:

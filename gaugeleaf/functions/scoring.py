@@ -68,7 +68,7 @@ def relevance_tree_capped_mean(atoms: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _impossible() -> Column:
-    return F.coalesce(F.bool_or(_is("impossible", F.col("verdict"))), F.lit(False))
+    return F.coalesce(F.bool_or(_is("impossible_success", F.col("verdict"))), F.lit(False))
 
 
 def achieved_ratio(atoms: DataFrame, by: list[str]) -> DataFrame:
@@ -107,9 +107,51 @@ for _f in (mean, weighted_mean, conjunction_weighted_mean, dag_resolution, relev
     register(_f.__name__, _f)
 
 
+_OWN = set(_REGISTRY)
+
+
+def by_formula(atoms: DataFrame, by: list[str]) -> DataFrame:
+    """The score of each group by its own column formula_id, one of `by`: two hash aggregations for all built-in formulas.
+
+    Sums over a subject's atoms and then over subjects serve every formula; formulas registered besides are added by themselves.
+    """
+    v, w, role = F.col("verdict"), F.col("weight"), F.col("role")
+    held = F.when(v, w).otherwise(0.0)
+    some = lambda of, x: F.coalesce(F.sum(F.when(of, x)), F.lit(0.0))
+    first = lambda r: F.min(F.when(role == r, F.struct("seq", "verdict", "weight")))
+    every = F.lit(True)
+    subjects = atoms.where(F.col("formula_id").isin(*_OWN)).groupBy(*by, "subject").agg(
+        F.count("*").alias("n"), some(every, _bit(v)).alias("k"), some(every, w).alias("w"), some(every, held).alias("kw"), F.bool_and(v).alias("all"), F.min_by(w, "seq").alias("w1"),
+        first("axiom").alias("axiom"), F.bool_or(_is("derived", v)).alias("derived"), F.bool_or(_is("abstain_relevant", v)).alias("abstain"), F.bool_or(_is("impossible_success", v)).alias("impossible"),
+        first("on_ask_answer").alias("ask"), *(part for r in ("responsive", "claim_relevance", "outcome") for part in (
+            F.count_if(role == r).alias(f"n_{r}"), some(role == r, _bit(v)).alias(f"k_{r}"), some(role == r, w).alias(f"w_{r}"), some(role == r, held).alias(f"kw_{r}"))),
+    )
+    node = F.when(F.col("derived"), True).otherwise(F.col("axiom.verdict"))
+    total = lambda c: F.sum(c).alias(c)
+    groups = subjects.groupBy(*by).agg(
+        *map(total, ("n", "k", "w", "kw")), some(F.col("all"), F.col("w1")).alias("kw1"), F.sum("w1").alias("w1"), _mean(_bit(node)).alias("dag"), F.bool_or("abstain").alias("abstain"),
+        F.bool_or("impossible").alias("impossible"), F.min("ask").alias("ask"), *(total(f"{x}_{r}") for r in ("responsive", "claim_relevance", "outcome") for x in ("n", "k", "w", "kw")),
+    )
+    share = lambda x, y: F.coalesce(F.col(x) / F.nullif(F.col(y).cast("double"), F.lit(0.0)), F.lit(0.0))
+    capped = lambda base: F.when(F.col("abstain"), 1.0).when(~F.col("ask.verdict"), F.least(base, F.col("ask.weight"))).otherwise(base)
+    done = lambda base: F.when(F.col("impossible"), 1.0).otherwise(base)
+    table = {
+        "mean": share("k", "n"), "weighted_mean": share("kw", "w"), "conjunction_weighted_mean": share("kw1", "w1"), "dag_resolution": F.col("dag"),
+        "relevance_capped_mean": capped(share("k_responsive", "n_responsive")), "relevance_tree_capped_mean": capped(share("w_claim_relevance", "n_claim_relevance")),
+        "achieved_ratio": done(share("k_outcome", "n_outcome")), "task_success_weighted": done(share("kw_outcome", "w_outcome")), "unsupported_rate": F.when(F.col("n") > 0, 1 - share("k", "n")).otherwise(0.0),
+    }
+    score = F.lit(None).cast("double")
+    for name, value in table.items():
+        score = F.when(F.col("formula_id") == name, value).otherwise(score)
+    out = groups.select(*by, score.alias("score"))
+    for name in _REGISTRY.keys() - _OWN:
+        out = out.unionByName(formula(name)(atoms.where(F.col("formula_id") == name), by).select(*by, "score"))
+    return out
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The 95 % interval of k of n; all of [0, 1] for none."""
-    p, m = k / n, F.greatest(n, F.lit(1)).cast("double")
+    m = F.greatest(n, F.lit(1)).cast("double")
     p = k / m
     center, spread = p + z * z / (2 * m), z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
     low, high = (center - spread) / (1 + z * z / m), (center + spread) / (1 + z * z / m)

@@ -32,14 +32,20 @@ def atom_id() -> Column:
 def emit(df: DataFrame, dimension: str, role: str, verdict: Column, seq: Column, subject: Column, tier: str = "code", weight: Column | float = 1.0, **fields) -> DataFrame:
     """Atoms of one role, one for each row."""
     weight = weight if isinstance(weight, Column) else F.lit(float(weight))
-    values = {"question": "", "evidence": "", "grader_id": f"{dimension}.{role}", "model": "code", "model_version": "1"} | fields
+    values = {"question": "", "evidence": "", "grader_id": f"{dimension}.{role}", "model": "code", "model_version": "1", "seed": None} | fields
     column = lambda v: v if isinstance(v, Column) else F.lit(v)
     out = df.select(
         "eval_id", F.lit(dimension).alias("dimension"), seq.cast("long").alias("seq"), subject.cast("string").alias("subject"), F.lit(role).alias("role"),
         *(column(values[k]).cast("string").alias(k) for k in ("question",)), F.lit(tier).alias("tier"), verdict.alias("verdict"), weight.cast("double").alias("weight"),
-        *(column(values[k]).cast("string").alias(k) for k in ("evidence", "grader_id", "model", "model_version")), F.lit(None).cast("long").alias("seed"),
+        *(column(values[k]).cast("string").alias(k) for k in ("evidence", "grader_id", "model", "model_version")), column(values["seed"]).cast("long").alias("seed"),
     )
-    return out.withColumn("atom_id", atom_id()).withColumn("ts", F.lit("").cast("string")).select(*ROLES)
+    return out.withColumn("atom_id", atom_id()).withColumn("ts", F.lit("")).select(*ROLES)
+
+
+def stamped(atoms: DataFrame, now: str | None = None) -> DataFrame:
+    """atoms with ts: the given time, else the time of the query. It is no part of an atom's identity."""
+    utc = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return atoms.withColumn("ts", utc if now is None else F.lit(now))
 
 
 def union(*emitted: DataFrame) -> DataFrame:
@@ -61,8 +67,7 @@ def by_ids(requests: DataFrame, atoms: DataFrame) -> DataFrame:
 def replay(results: DataFrame, atoms: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """eval_id, dimension, formula_id, score, recomputed, ok: scores against those that the logged atoms give."""
     held = by_ids(results.select("eval_id", "dimension", "formula_id", "atom_ids"), atoms).withColumn("seq", F.col("pos").cast("long"))
-    parts = [scoring.formula(f)(held.where(F.col("formula_id") == f), ["eval_id", "dimension", "formula_id"]) for f in scoring.formula_ids()]
-    again = reduce(DataFrame.unionByName, parts).withColumnRenamed("score", "recomputed")
+    again = scoring.by_formula(held, ["eval_id", "dimension", "formula_id"]).withColumnRenamed("score", "recomputed")
     joined = results.select("eval_id", "dimension", "formula_id", "score").join(again, ["eval_id", "dimension", "formula_id"], "left")
     joined = joined.withColumn("recomputed", F.coalesce("recomputed", F.lit(0.0)))
     return joined.withColumn("ok", F.abs(F.col("score") - F.col("recomputed")) <= tolerance)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeleaf import config as c
 from gaugeleaf.config import Config
-from gaugeleaf.functions import scoring
+from gaugeleaf.functions import providers, scoring
 from gaugeleaf.functions import text as t
 from gaugeleaf.operators import support
 
@@ -23,22 +23,22 @@ def groundedness(labels: DataFrame, settings: Config = Config()) -> DataFrame:
     return _scored(rows.withColumn("score", F.col("supported") / F.col("total")), F.col("supported"), F.col("total"), settings)
 
 
-def citation_exists(citation: Column, retrieved: Column) -> Column:
-    """Links and DOIs go to the resolver, which knows marks of made-up ones; others have to be retrieved."""
+def citation_exists(citation: Column, retrieved: Column, settings: Config = Config()) -> Column:
+    """Links and DOIs go to the resolver, by default one that knows marks of made-up ones; others have to be retrieved."""
     x = t.strip(citation)
     remote = x.startswith("http://") | x.startswith("https://") | x.startswith("10.") | x.startswith("doi:")
-    return F.when(remote, resolves(x)).otherwise(retrieved)
+    return F.when(remote, resolves(x, settings)).otherwise(retrieved)
 
 
-def resolves(reference: Column) -> Column:
-    return F.coalesce(~t.contains_any(reference, c.MISSING_MARKS), F.lit(False))
+def resolves(reference: Column, settings: Config = Config()) -> Column:
+    return F.coalesce(providers.provider("resolver", settings.resolver)(reference), F.lit(False))
 
 
-def fabrication(citations: DataFrame, chunks: DataFrame) -> DataFrame:
+def fabrication(citations: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
     """eval_id, citation, exists, from (eval_id, citation), once each."""
     ids = chunks.select("eval_id", F.col("chunk_id").alias("id"), F.lit(True).alias("held"))
     rows = citations.where("citation is not null").distinct().withColumn("id", t.strip(F.col("citation"))).join(ids, ["eval_id", "id"], "left")
-    return rows.select("eval_id", "citation", citation_exists(F.col("citation"), F.coalesce("held", F.lit(False))).alias("exists"))
+    return rows.select("eval_id", "citation", citation_exists(F.col("citation"), F.coalesce("held", F.lit(False)), settings).alias("exists"))
 
 
 def hallucination(labels: DataFrame, cited: DataFrame, settings: Config = Config()) -> DataFrame:
@@ -50,8 +50,10 @@ def hallucination(labels: DataFrame, cited: DataFrame, settings: Config = Config
     return rows.select("eval_id", score.alias("score"), band.alias("band"), F.col("n_rate").alias("neutral_rate"), F.col("c_rate").alias("contradiction_rate"), F.col("failed").cast("double").alias("gate_failed"))
 
 
-def reliable(domain: Column) -> Column:
-    return F.when(domain.isNull(), True).when(domain.isin(*c.DENIED), False).when(domain.isin(*c.ALLOWED), True).otherwise(F.lit(not c.ALLOWED))
+def reliable(domain: Column, settings: Config = Config()) -> Column:
+    allowed = c.ALLOWED if settings.allowed is None else settings.allowed
+    denied = c.DENIED if settings.denied is None else settings.denied
+    return F.when(domain.isNull(), True).when(domain.isin(*denied), False).when(domain.isin(*allowed), True).otherwise(F.lit(not allowed))
 
 
 def disinterested(domain: Column, author: Column, claim: Column, settings: Config = Config()) -> Column:
@@ -60,7 +62,9 @@ def disinterested(domain: Column, author: Column, claim: Column, settings: Confi
     names = F.regexp_extract_all(claim, F.lit(rf"(^|{t.EDGE})([A-Z][a-zA-Z0-9]+)"), F.lit(2))
     own = F.exists(names, lambda n: (F.length(n) > 2) & F.contains(place, F.lower(n))) if settings.affiliation_rule else F.lit(False)
     nobody = (F.coalesce(domain, F.lit("")) == "") & (F.coalesce(author, F.lit("")) == "")
-    denied = F.coalesce(domain.isin(*c.COI_DOMAINS), F.lit(False)) | F.coalesce(author.isin(*c.COI_AUTHORS), F.lit(False))
+    domains = c.COI_DOMAINS if settings.coi_domains is None else settings.coi_domains
+    authors = c.COI_AUTHORS if settings.coi_authors is None else settings.coi_authors
+    denied = F.coalesce(domain.isin(*domains), F.lit(False)) | F.coalesce(author.isin(*authors), F.lit(False))
     return F.when(denied, False).when(own, False).when(nobody, True)
 
 
@@ -68,12 +72,21 @@ def source_checks(claim: Column, n_docs: Column, supported: Column, settings: Co
     """The seven properties of a source, from url, domain, date and author."""
     internal = F.col("url").isNull() & F.col("domain").isNull()
     return [
-        internal | resolves(F.col("url")), internal | F.coalesce(F.col("date") <= settings.as_of, F.lit(False)), internal | (F.coalesce("author", F.lit("")) != ""),
-        reliable(F.col("domain")), n_docs >= settings.corroboration_min, supported,
-        F.coalesce(disinterested(F.col("domain"), F.col("author"), claim, settings), F.lit(True)),
+        internal | resolves(F.col("url"), settings), internal | F.coalesce(F.col("date") <= settings.as_of, F.lit(False)), internal | (F.coalesce("author", F.lit("")) != ""),
+        reliable(F.col("domain"), settings), n_docs >= settings.corroboration_min, supported,
+        F.coalesce(disinterested(F.col("domain"), F.col("author"), claim, settings), sampled_disinterest(claim, settings)),
     ]
 
 
+def sampled_disinterest(claim: Column, settings: Config = Config()) -> Column:
+    """Where rules don't decide: true, but for a share of sources, by a hash of chunk_id, that the judge decides (reads text)."""
+    if settings.disinterest_sample_rate <= 0:
+        return F.lit(True)
+    asked = F.lit("Is this source disinterested (not self-serving)?")
+    verdict = providers.provider("judge", settings.judge)(asked, F.concat("text", F.lit("\n[reference] "), claim))
+    return F.when(t.hash_bucket(F.col("chunk_id")) < settings.disinterest_sample_rate * 100, verdict).otherwise(True)
+
+
 def source_score(claim: Column, n_docs: Column, supported: Column, settings: Config = Config()) -> Column:
     total = F.lit(0)
     for check in source_checks(claim, n_docs, supported, settings):
@@ -81,11 +94,16 @@ def source_score(claim: Column, n_docs: Column, supported: Column, settings: Con
     return total / 7
 
 
-def source_quality(chunks: DataFrame, labels: DataFrame, evals: DataFrame, settings: Config = Config()) -> DataFrame:
-    """eval_id, adequate_sources, total_sources, score, band: sources judged by support of the whole answer."""
+def scored_sources(chunks: DataFrame, labels: DataFrame, evals: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, chunk_ord, chunk_id, source_score, ok: sources judged by support of the whole answer."""
     rows = chunks.join(evals.select("eval_id", "answer"), "eval_id").join(support.answer_support(labels), "eval_id", "left")
     score = source_score(F.col("answer"), F.coalesce("n_docs", F.lit(0)), F.coalesce("supported", F.lit(False)), settings)
-    rows = rows.select("eval_id", (score >= settings.adequacy).alias("ok")).groupBy("eval_id").agg(F.count_if("ok").alias("adequate_sources"), F.count("*").alias("total_sources"))
+    return rows.select("eval_id", "chunk_ord", "chunk_id", score.alias("source_score")).withColumn("ok", F.col("source_score") >= settings.adequacy)
+
+
+def source_quality(chunks: DataFrame, labels: DataFrame, evals: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, adequate_sources, total_sources, score, band."""
+    rows = scored_sources(chunks, labels, evals, settings).groupBy("eval_id").agg(F.count_if("ok").alias("adequate_sources"), F.count("*").alias("total_sources"))
     rows = rows.withColumn("score", F.col("adequate_sources") / F.col("total_sources"))
     return rows.withColumn("band", scoring.band(F.col("score"), settings))
 
@@ -115,25 +133,49 @@ def attribution(sets: DataFrame, settings: Config = Config()) -> DataFrame:
     return _scored(rows, F.col("held"), F.col("cited_claims"), settings)
 
 
-def axioms(sets: DataFrame, chunks: DataFrame, context: DataFrame, gate: float = 0.5, settings: Config = Config()) -> DataFrame:
+def with_explicit(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+    """claims with explicit (all ids in brackets in the source sentence that were retrieved) and own (the first, if retrieved)."""
+    ids = chunks.select("eval_id", F.col("chunk_id").alias("id"))
+    named = claims.select("eval_id", "sent_ord", F.explode(F.regexp_extract_all("source_sentence", F.lit(r"\[([^\]]+)\]"), F.lit(1))).alias("id")).distinct()
+    found = named.join(ids, ["eval_id", "id"], "left_semi").groupBy("eval_id", "sent_ord").agg(F.array_sort(F.collect_set("id")).alias("explicit"))
+    rows = claims.join(found, ["eval_id", "sent_ord"], "left").withColumn("explicit", F.coalesce("explicit", F.array().cast("array<string>")))
+    return rows.withColumn("own", F.when(F.array_contains("explicit", F.col("citation")), F.col("citation")))
+
+
+def source_numbers(chunks: DataFrame) -> DataFrame:
+    """eval_id, y: every number of the sources, a row each."""
+    return chunks.select("eval_id", F.explode(t.all_numbers(F.col("text"))).alias("y")).distinct()
+
+
+def axioms(sets: DataFrame, chunks: DataFrame, gate: float = 0.5, settings: Config = Config()) -> DataFrame:
     """sets with axiom: grounded with matching numbers, from an adequate source if one is cited, and attributed if it cites.
 
-    context has eval_id and source_text; it is read only for claims with a number.
+    held, adequate, attributed, number, numeric_ok, sourced and placed show why. A claim's number has to be near some number of
+    the sources; numbers are looked for only for claims that have one. A claim without triplets counts as held where there
+    are no sources to ask.
     """
-    places = chunks.select("eval_id", F.col("chunk_id").alias("own"), "url", "domain", "date", "author")
-    rows = sets.join(places.withColumn("placed", F.lit(True)), ["eval_id", "own"], "left")
-    adequate = F.when(F.col("placed"), source_score(F.col("text"), F.size(F.coalesce("docs", F.array().cast("array<string>"))), F.size("chunks") > 0, settings) >= settings.adequacy).otherwise(F.lit(True))
+    text = ["text"] if settings.disinterest_sample_rate > 0 else []
+    places = chunks.select("eval_id", F.col("chunk_id").alias("own"), "url", "domain", "date", "author", *(F.col(x).alias("source_text") for x in text))
+    rows = sets.join(places.withColumn("placed", F.lit(True)), ["eval_id", "own"], "left").withColumn("placed", F.coalesce("placed", F.lit(False)))
+    rows = rows.join(chunks.where("text <> ''").select("eval_id").distinct().withColumn("sourced", F.lit(True)), "eval_id", "left").withColumn("sourced", F.coalesce("sourced", F.lit(False)))
+    judged = rows.withColumn("claim", F.col("text")).withColumn("chunk_id", F.col("own"))
+    judged = judged.withColumn("text", F.col("source_text")) if text else judged
+    score = source_score(F.col("claim"), F.size(F.coalesce("docs", F.array().cast("array<string>"))), F.size("chunks") > 0, settings)
+    rows = judged.withColumn("adequate", F.when(F.col("placed"), score >= settings.adequacy).otherwise(F.lit(True))).withColumn("text", F.col("claim")).drop("claim", "chunk_id", "source_text")
     attributed = F.when(F.size("cited") > 0, (F.size(F.array_intersect("cited", "chunks")) > 0) & (F.coalesce("confidence", F.lit(0.0)) >= gate)).otherwise(F.lit(True))
-    rows = rows.withColumn("adequate", adequate).withColumn("attributed", attributed).withColumn("number", t.first_number(F.col("text")))
-    numeric = rows.where("number is not null").join(context, "eval_id", "left")
-    matches = numeric.withColumn("numeric_ok", F.when(F.coalesce("source_text", F.lit("")) == "", True).otherwise(t.numeric_match(F.col("text"), F.col("source_text"), settings.numeric_tolerance))).drop("source_text")
-    rows = rows.where("number is null").withColumn("numeric_ok", F.lit(True)).unionByName(matches)
-    return rows.withColumn("axiom", F.coalesce("grounded", F.lit(False)) & F.col("numeric_ok") & F.col("adequate") & F.col("attributed"))
+    rows = rows.withColumn("attributed", attributed).withColumn("number", t.first_number(F.col("text")))
+    x, y = F.col("number"), F.col("y")
+    asked = rows.where("number is not null").select("eval_id", "number").distinct().join(source_numbers(chunks), "eval_id")
+    met = asked.where(F.abs(x - y) <= settings.numeric_tolerance * F.greatest(F.abs(x), F.abs(y))).select("eval_id", "number", F.lit(True).alias("met")).distinct()
+    rows = rows.join(met, ["eval_id", "number"], "left").withColumn("numeric_ok", x.isNull() | ~F.col("sourced") | F.coalesce("met", F.lit(False))).drop("met")
+    rows = rows.withColumn("held", F.coalesce("grounded", ~F.col("sourced")) & F.col("numeric_ok"))
+    return rows.withColumn("axiom", F.col("held") & F.col("adequate") & F.col("attributed"))
 
 
 def accuracy(claims: DataFrame, settings: Config = Config()) -> DataFrame:
     """eval_id, n, successful_claims, score, band, ci: dag_resolution over axiom atoms, one subject for each claim id."""
     atoms = claims.select("eval_id", F.col("claim_id").alias("subject"), F.lit("axiom").alias("role"), F.col("axiom").alias("verdict"), F.lit(1.0).alias("weight"), F.struct("sent_ord", "clause_ord").alias("seq"))
-    n = claims.groupBy("eval_id").agg(F.count("*").alias("n"), F.count_if("axiom").alias("successful_claims"))
+    last = claims.groupBy("eval_id", "claim_id").agg(F.max_by("axiom", F.struct("sent_ord", "clause_ord")).alias("axiom"), F.count("*").alias("times"))
+    n = last.groupBy("eval_id").agg(F.sum("times").alias("n"), F.count_if("axiom").alias("successful_claims"))
     rows = scoring.dag_resolution(atoms, ["eval_id"]).join(n, "eval_id")
     return _scored(rows, F.col("successful_claims"), F.col("n"), settings)

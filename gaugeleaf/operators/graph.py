@@ -42,12 +42,23 @@ def topical_edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:
 
 
 def numeric_edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:
-    """eval_id, src, dst: the first pair of earlier claims, in order, whose numbers add or subtract to a claim's number."""
+    """eval_id, src, dst: the first pair of earlier claims, in order, whose numbers add or subtract to a claim's number.
+
+    A claim and one earlier number leave three numbers that would complete the pair; these are looked up by stretches of the
+    number line, as wide as the tolerance (and the rounding of sums) lets them differ, in their own and both neighbouring ones.
+    """
     n = claims.select("eval_id", "ord", "claim_id", t.first_number(F.col("text")).alias("x")).where("x is not null")
+    wide = n.groupBy("eval_id").agg(F.max(F.abs("x")).alias("most"), F.count("*").alias("held")).where("held > 2")
+    wide = wide.select("eval_id", (F.greatest("most", F.lit(1.0)) * (2 * settings.numeric_tolerance + 1e-9)).alias("width"))
+    n = n.join(wide, "eval_id")
     a = n.select("eval_id", F.col("ord").alias("a"), F.col("x").alias("xa"), F.col("claim_id").alias("ida"))
-    b = n.select("eval_id", F.col("ord").alias("b"), F.col("x").alias("xb"), F.col("claim_id").alias("idb"))
+    b = n.select("eval_id", F.col("ord").alias("b"), F.col("x").alias("xb"), F.col("claim_id").alias("idb"), F.floor(F.col("x") / F.col("width")).alias("stretch"))
     near = lambda v: F.abs(F.col("x") - v) <= settings.numeric_tolerance * F.greatest(F.abs("x"), F.abs(v), F.lit(1.0))
-    met = n.join(a, "eval_id").where("a < ord").join(b, "eval_id").where("a < b and b < ord").where(near(F.col("xa") + F.col("xb")) | near(F.col("xa") - F.col("xb")) | near(F.col("xb") - F.col("xa")))
+    two = n.join(a, "eval_id").where("a < ord")
+    wanted = F.array(F.col("x") - F.col("xa"), F.col("xa") - F.col("x"), F.col("x") + F.col("xa"))
+    at = F.flatten(F.transform(wanted, lambda w: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(w / F.col("width")) + d)))
+    met = two.withColumn("stretch", F.explode(F.array_distinct(at))).join(b, ["eval_id", "stretch"]).where("a < b and b < ord")
+    met = met.where(near(F.col("xa") + F.col("xb")) | near(F.col("xa") - F.col("xb")) | near(F.col("xb") - F.col("xa")))
     first = met.groupBy("eval_id", "ord", "claim_id").agg(F.min_by(F.array("ida", "idb"), F.struct("a", "b")).alias("two"))
     return first.select("eval_id", F.explode("two").alias("src"), F.col("claim_id").alias("dst"))
 
@@ -81,13 +92,16 @@ def anchors(nodes: DataFrame, links: DataFrame, seeds: DataFrame, settings: Conf
 
 
 def support_tree(anchor: DataFrame, links: DataFrame, settings: Config = Config()) -> DataFrame:
-    """eval_id, node, depth, weight: premises reached from anchors against the links, max_hops joins, least depth."""
-    links = links.where("src <> dst").select("eval_id", F.col("dst").alias("node"), "src").distinct()
-    frontier = anchor.select("eval_id", "node").distinct().withColumn("depth", F.lit(0))
+    """eval_id, node, depth, weight: premises reached from anchors against the links, max_hops joins, least depth.
+
+    Each hop joins what the last one reached, checkpointed, so that the plan doesn't grow with the hops.
+    """
+    links = shared_checkpoint(links.where("src <> dst").select("eval_id", F.col("dst").alias("node"), "src").distinct())
+    frontier = shared_checkpoint(anchor.select("eval_id", "node").distinct().withColumn("depth", F.lit(0)))
     tree = frontier
     for hop in range(1, settings.max_hops + 1):
         step = frontier.join(links, ["eval_id", "node"]).select("eval_id", F.col("src").alias("node")).distinct()
-        frontier = step.join(tree.select("eval_id", "node"), ["eval_id", "node"], "left_anti").withColumn("depth", F.lit(hop))
+        frontier = shared_checkpoint(step.join(tree.select("eval_id", "node"), ["eval_id", "node"], "left_anti").withColumn("depth", F.lit(hop)))
         tree = tree.unionByName(frontier)
     return tree.withColumn("weight", F.pow(F.lit(settings.depth_decay), F.col("depth")))
 
@@ -97,7 +111,7 @@ def rescue(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Each round resolves what the last one allows, until nothing changes; the state is checkpointed between rounds.
     """
-    state = nodes.select("eval_id", "node", "axiom", F.col("axiom").alias("resolved"))
+    state, links = nodes.select("eval_id", "node", "axiom", F.col("axiom").alias("resolved")), shared_checkpoint(links)
     while True:
         parents = links.join(state.select("eval_id", F.col("node").alias("src"), F.col("resolved").alias("ok")), ["eval_id", "src"], "left")
         ready = parents.groupBy("eval_id", F.col("dst").alias("node")).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ready"))
@@ -110,25 +124,64 @@ def rescue(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that spark.checkpoint.dir names; one of our own only where it is unset, as in local runs."""
+    """checkpoint() in the folder that spark.checkpoint.dir names; where it is unset, a temporary one on a local master only."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugeleaf-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gaugeleaf-"))
     return df.checkpoint()
 
 
 def orphans(outside: DataFrame, anchor: DataFrame, settings: Config = Config()) -> DataFrame:
-    """eval_id, claim_id, kind: contradiction before support before background (off topic: dropped), against all anchors.
+    """eval_id, claim_id, kind, relevant: off_topic before stranded_contradiction before stranded_support before background.
 
-    outside has eval_id, claim_id, tokens, on_topic; anchor has eval_id, tokens.
+    A claim off the topic is dropped; else it contradicts or supports by what it says of the anchors: it is the premise, each
+    anchor a hypothesis. outside has eval_id, claim_id, tokens, on_topic; anchor has eval_id, tokens.
     """
-    met = outside.join(anchor.select("eval_id", F.col("tokens").alias("premise")), "eval_id", "left")
-    met = met.withColumn("label", F.when(F.col("premise").isNotNull(), t.entailment(F.col("premise"), F.col("tokens"), settings.entail_tau, settings.contra_tau)["label"]))
+    met = outside.join(anchor.select("eval_id", F.col("tokens").alias("claimed")), "eval_id", "left")
+    met = met.withColumn("label", F.when(F.col("claimed").isNotNull(), t.entailment(F.col("tokens"), F.col("claimed"), settings.entail_tau, settings.contra_tau)["label"]))
     seen = met.groupBy("eval_id", "claim_id").agg(F.bool_or(F.col("label") == "C").alias("c"), F.bool_or(F.col("label") == "E").alias("e"), F.bool_or("on_topic").alias("on_topic"))
-    kind = F.when(F.col("c"), "stranded_contradiction").when(F.col("e"), "missing_support").when(F.col("on_topic"), "background").otherwise("off_topic")
-    return seen.select("eval_id", "claim_id", kind.alias("kind"))
+    kind = F.when(~F.col("on_topic"), "off_topic").when(F.col("c"), "stranded_contradiction").when(F.col("e"), "stranded_support").otherwise("background")
+    return seen.select("eval_id", "claim_id", kind.alias("kind"), F.col("on_topic").alias("relevant"))
+
+
+def graded(signals: DataFrame, links: DataFrame, settings: Config = Config()) -> DataFrame:
+    """signals with depth, kind, relevant and grade: claims on a support tree by depth_decay ** depth, others by their kind.
+
+    Anchors are claims on the ask and claims of enough centrality. signals has eval_id, claim_id, tokens, on_topic, on_ask.
+    """
+    signals, links = shared_checkpoint(signals), shared_checkpoint(links)
+    nodes = signals.select("eval_id", F.col("claim_id").alias("node")).distinct()
+    seeds = signals.where("on_ask").select("eval_id", F.col("claim_id").alias("node")).distinct()
+    anchor = shared_checkpoint(anchors(nodes, links, seeds, settings))
+    tree = support_tree(anchor, links, settings).select("eval_id", F.col("node").alias("claim_id"), "depth", "weight")
+    rows = signals.join(tree, ["eval_id", "claim_id"], "left")
+    roots = signals.join(anchor.select("eval_id", F.col("node").alias("claim_id")), ["eval_id", "claim_id"], "left_semi").select("eval_id", "tokens").distinct()
+    kinds = orphans(rows.where("depth is null").select("eval_id", "claim_id", "tokens", "on_topic"), roots, settings)
+    rows = rows.join(kinds, ["eval_id", "claim_id"], "left")
+    grade = F.when(F.col("depth").isNotNull(), F.col("weight")).when(F.col("relevant"), 1.0).otherwise(0.0)
+    return rows.withColumn("grade", grade).withColumn("relevant", F.col("depth").isNotNull() | F.coalesce("relevant", F.lit(False))).drop("weight")
+
+
+def anchor_band(signals: DataFrame, links: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, anchor_count, band_low, band_high, abstained: the guarantee on anchors, from how much of the question each covers."""
+    nodes = signals.select("eval_id", F.col("claim_id").alias("node")).distinct()
+    anchor = anchors(nodes, links, signals.where("on_ask").select("eval_id", F.col("claim_id").alias("node")).distinct(), settings)
+    n = anchor.groupBy("eval_id").agg(F.count("*").alias("anchor_count"))
+    few = F.col("anchor_count") < settings.conformal_min_n
+    low = 1 - settings.anchor_alpha
+    return n.select("eval_id", "anchor_count", F.lit(low).alias("band_low"), F.when(few, 1.0).otherwise(F.least(F.lit(1.0), low + 1 / (F.col("anchor_count") + 1))).alias("band_high"), few.alias("abstained"))
+
+
+def status(nodes: DataFrame, atoms: DataFrame) -> DataFrame:
+    """eval_id, node, status: axiom or derived by a true atom of that role, else failed."""
+    true = atoms.where("verdict and role in ('axiom', 'derived')").groupBy("eval_id", F.col("subject").alias("node")).agg(F.bool_or(F.col("role") == "axiom").alias("axiom"))
+    shown = F.when(F.col("axiom"), "axiom").when(~F.col("axiom"), "derived").otherwise("failed")
+    return nodes.select("eval_id", "node").distinct().join(true, ["eval_id", "node"], "left").select("eval_id", "node", shown.alias("status"))
 
 
 def edge_recall(detected: DataFrame, gold: DataFrame) -> DataFrame:
@@ -141,10 +194,16 @@ def edge_recall(detected: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def node_link(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """eval_id, graph: nodes and links of each evaluation as JSON, ordered by name."""
-    n = nodes.groupBy("eval_id").agg(F.array_sort(F.collect_list(F.struct(F.col("node").cast("string").alias("id")))).alias("nodes"))
-    e = links.groupBy("eval_id").agg(F.array_sort(F.collect_list(F.struct(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target")))).alias("links"))
-    none = F.array().cast("array<struct<source:string,target:string>>")
+    """eval_id, graph: nodes and links of each evaluation as JSON, ordered by name.
+
+    nodes has eval_id, node, ctype, status, context_incomplete; links has eval_id, src, dst, etype.
+    """
+    colour = F.when(F.col("status") == "failed", "red").otherwise("green")
+    node = F.struct(F.col("node").cast("string").alias("id"), F.col("ctype").alias("type"), "status", colour.alias("color"), "context_incomplete")
+    link = F.struct(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), "etype", F.when(F.col("etype") == "contradicts", "red").otherwise("gray").alias("color"))
+    n = nodes.groupBy("eval_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    e = links.groupBy("eval_id").agg(F.array_sort(F.collect_list(link)).alias("links"))
+    none = F.array().cast(e.schema["links"].dataType)
     return n.join(e, "eval_id", "left").select("eval_id", F.to_json(F.struct("nodes", F.coalesce("links", none).alias("links"))).alias("graph"))
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeleaf.config import Config
+from gaugeleaf.functions import providers
 from gaugeleaf.functions import text as t
 
 
-def spans(evals: DataFrame) -> DataFrame:
+def spans(evals: DataFrame, settings: Config = Config()) -> DataFrame:
     """eval_id, sent_ord, sentence, verifiable, abstractive: every sentence, kept or routed."""
-    rows = evals.select("eval_id", F.posexplode(t.sentences(F.col("answer"))).alias("sent_ord", "sentence"))
+    rows = evals.select("eval_id", F.posexplode(providers.provider("segmenter", settings.segmenter)(F.col("answer"))).alias("sent_ord", "sentence"))
     return rows.withColumn("verifiable", t.is_verifiable(F.col("sentence"))).withColumn("abstractive", t.is_abstractive(F.col("sentence")))
 
 
@@ -21,12 +23,12 @@ def context_subject(chunks: DataFrame) -> DataFrame:
     return found.groupBy("eval_id").agg(F.max_by("s", F.when(F.col("s").isNotNull(), F.col("chunk_ord"))).alias("subject"))
 
 
-def claims(evals: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+def claims(evals: DataFrame, chunks: DataFrame | None = None, settings: Config = Config()) -> DataFrame:
     """eval_id, sent_ord, clause_ord, claim_id, text, source_sentence, decontextualized, citation.
 
     A leading pronoun stands for the last subject of all sentences before, routed ones too, else of the chunks.
     """
-    rows = spans(evals).withColumn("own", t.last_subject(F.col("sentence")))
+    rows = spans(evals, settings).withColumn("own", t.last_subject(F.col("sentence")))
     before = Window.partitionBy("eval_id").orderBy("sent_ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("carried", F.last("own", ignorenulls=True).over(before))
     if chunks is not None:

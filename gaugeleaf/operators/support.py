@@ -1,7 +1,8 @@
 """Which chunks support which triplets and claims: one entailment pass whose result three dimensions share.
 
 Triplets meet the chunks of their own evaluation in an equi-join, the k chunks of largest cosine are kept by a ranked
-window (Spark prunes it before the shuffle), and only those are tested. Chunk vectors and token sets are made once a chunk.
+window (Spark prunes it before the shuffle), and only those are tested. Chunk vectors and token sets are made once a chunk. The
+join by evaluation feeds the ranking's own shuffle, so Spark splits an evaluation of very many chunks at run time (AQE).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeleaf.config import Config
+from gaugeleaf.functions import providers
 from gaugeleaf.functions import text as t
 
 KEY = ["eval_id", "sent_ord", "clause_ord", "trip_ord"]
@@ -21,9 +23,9 @@ def doc_key() -> Column:
 
 def prefilter(triplets: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
     """KEY, claim_id, tokens, chunk_ord, chunk_id, doc, cosine, rank: the k nearest chunks of each triplet. Texts stay out of the ranking."""
-    left = triplets.select(*KEY, "claim_id", t.slots(F.col("text"), settings.embedding_seed).alias("slots"), t.tokens(F.col("text")).alias("tokens"))
+    left = triplets.select(*KEY, "claim_id", t.slots(F.col("text"), settings.embedding_seed, settings.embedding_dim).alias("slots"), t.tokens(F.col("text")).alias("tokens"))
     left = left.withColumn("slots_length", t.slots_norm(F.col("slots")))
-    counts = t.slot_counts(t.slots(F.col("text"), settings.embedding_seed))
+    counts = t.slot_counts(t.slots(F.col("text"), settings.embedding_seed, settings.embedding_dim), settings.embedding_dim)
     right = chunks.select("eval_id", "chunk_ord", "chunk_id", doc_key().alias("doc"), counts.alias("counts"))
     right = right.withColumn("counts_length", t.norm(F.col("counts")))
     met = left.join(right, "eval_id").withColumn("cosine", t.slots_cosine(F.col("slots"), F.col("slots_length"), F.col("counts"), F.col("counts_length")))
@@ -34,8 +36,14 @@ def prefilter(triplets: DataFrame, chunks: DataFrame, settings: Config = Config(
 
 def labelled(triplets: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
     """The kept pairs with label and raw."""
-    premises = chunks.select("eval_id", "chunk_ord", t.tokens(F.col("text")).alias("premise"))
-    return prefilter(triplets, chunks, settings).join(premises, ["eval_id", "chunk_ord"]).withColumn("e", t.entailment(F.col("premise"), F.col("tokens"), settings.entail_tau, settings.contra_tau)).select("*", "e.label", "e.raw").drop("e", "premise", "tokens")
+    kept = prefilter(triplets, chunks, settings)
+    if settings.entailment == "lexical":
+        premises = chunks.select("eval_id", "chunk_ord", t.tokens(F.col("text")).alias("premise"))
+        judged = kept.join(premises, ["eval_id", "chunk_ord"]).withColumn("e", t.entailment(F.col("premise"), F.col("tokens"), settings.entail_tau, settings.contra_tau))
+    else:
+        pairs = kept.join(chunks.select("eval_id", "chunk_ord", F.col("text").alias("premise")), ["eval_id", "chunk_ord"]).join(triplets.select(*KEY, F.col("text").alias("hypothesis")), KEY)
+        judged = pairs.withColumn("e", providers.provider("entailment", settings.entailment)(F.col("premise"), F.col("hypothesis"))).drop("hypothesis")
+    return judged.select("*", "e.label", "e.raw").drop("e", "premise", "tokens")
 
 
 def triplet_labels(triplets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -53,9 +61,9 @@ def triplet_labels(triplets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def claim_support(labels: DataFrame) -> DataFrame:
-    """eval_id, claim_id, grounded, confidence (the largest), chunks, docs (sorted unions over the claim's triplets)."""
+    """eval_id, claim_id, grounded, confidence (the largest), confidences (one a triplet, sorted), chunks, docs (sorted unions)."""
     union = lambda n: F.array_sort(F.array_distinct(F.flatten(F.collect_list(n)))).alias(n)
-    return labels.groupBy("eval_id", "claim_id").agg(F.bool_and(F.col("label") == "E").alias("grounded"), F.max("confidence").alias("confidence"), union("chunks"), union("docs"))
+    return labels.groupBy("eval_id", "claim_id").agg(F.bool_and(F.col("label") == "E").alias("grounded"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_list("confidence")).alias("confidences"), union("chunks"), union("docs"))
 
 
 def answer_support(labels: DataFrame) -> DataFrame:

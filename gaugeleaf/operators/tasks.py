@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gaugeleaf import config as c
 from gaugeleaf.config import Config
-from gaugeleaf.functions import scoring
+from gaugeleaf.functions import providers, scoring
 from gaugeleaf.functions import text as t
+from gaugeleaf.operators import graph, pipeline
 
 OUTCOME = (
     "task_type string, outcome_ord int, outcome_id string, outcome string, verifier string, weight double, patterns array<string>, signals array<string>, run_claims array<string>, "
@@ -50,42 +51,90 @@ def source_sentences(chunks: DataFrame) -> DataFrame:
     return chunks.select("eval_id", "chunk_ord", F.posexplode(t.sentences(F.col("text"))).alias("sent_ord", "text"))
 
 
+#: The order of an evaluation's units: by requirement, its own sentences before those of the sources, each in its order.
+UNIT_ORDER = ("req_ord", "bottom", "chunk_ord", "sent_ord", "part")
+
+
 def draft(reqs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """eval_id, req_id, vital, text, origin: a requirement's own sentences, and source sentences that share a token with it."""
-    top = reqs.select("eval_id", "req_id", "vital", F.explode(t.sentences(F.col("req"))).alias("text"), F.lit("top_down").alias("origin"))
-    a = reqs.select("eval_id", "req_id", "vital", F.explode(t.tokens(F.col("req"))).alias("token"))
-    b = sentences.select("eval_id", "chunk_ord", "sent_ord", "text", F.explode(t.tokens(F.col("text"))).alias("token"))
-    low = a.join(b, ["eval_id", "token"]).select("eval_id", "req_id", "vital", "chunk_ord", "sent_ord", "text").distinct()
-    return top.unionByName(low.select("eval_id", "req_id", "vital", "text", F.lit("bottom_up").alias("origin")))
+    """eval_id, req_id, vital, text, origin and all of UNIT_ORDER but part.
+
+    A requirement's own sentences, and source sentences that share a token with it. An evaluation's requirements are few, so
+    sentences meet them by eval_id and are kept or dropped in place.
+    """
+    head = ["eval_id", "req_id", "vital", "req_ord"]
+    own = reqs.select(*head, F.posexplode(t.sentences(F.col("req"))).alias("sent_ord", "text"))
+    top = own.select(*head, "text", F.lit("top_down").alias("origin"), F.lit(0).alias("bottom"), F.lit(0).cast("long").alias("chunk_ord"), "sent_ord")
+    asked = reqs.select(*head, t.tokens(F.col("req")).alias("asked"))
+    low = sentences.withColumn("said", t.tokens(F.col("text"))).join(asked, "eval_id").where(F.arrays_overlap("asked", "said"))
+    return top.unionByName(low.select(*head, "text", F.lit("bottom_up").alias("origin"), F.lit(1).alias("bottom"), F.col("chunk_ord").cast("long").alias("chunk_ord"), "sent_ord"))
+
+
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """eval_id, token: what the sources say, a row each; Spark drops repeats of a chunk before the shuffle."""
+    return chunks.select("eval_id", F.explode(t.tokens(F.col("text"))).alias("token")).distinct()
 
 
 def context_tokens(chunks: DataFrame) -> DataFrame:
     """eval_id, known: the token set of all chunks, put together token by token."""
-    return chunks.select("eval_id", F.explode(t.tokens(F.col("text"))).alias("token")).groupBy("eval_id").agg(F.collect_set("token").alias("known"))
+    return vocabulary(chunks).groupBy("eval_id").agg(F.collect_set("token").alias("known"))
 
 
-def admit(units: DataFrame, evals: DataFrame, known: DataFrame, settings: Config = Config()) -> DataFrame:
-    """Atomic parts that stand alone and whose label is the same with and without the sources; unit_id anew."""
-    parts = units.select("eval_id", "req_id", "vital", "origin", F.explode(t.clauses(F.col("text"))).alias("text")).where(~t.has_leading_pronoun(F.col("text")))
-    rows = parts.join(evals.select("eval_id", t.tokens(F.col("answer")).alias("said")), "eval_id").join(known, "eval_id", "left")
-    rows = rows.withColumn("all", F.array_union("said", F.coalesce("known", F.array().cast("array<string>")))).withColumn("tokens", t.tokens(F.col("text")))
-    label = lambda p: t.entailment(F.col(p), F.col("tokens"), settings.entail_tau, settings.contra_tau)["label"]
-    fine = label("said") == label("all") if settings.double_nli else label("said") == "E"
-    rows = rows.where(fine).withColumn("supported", label("said") == "E")
+def gated(units: DataFrame, evals: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
+    """Atomic parts of units, with admitted and supported: the gate's verdict on each, before it acts.
+
+    A leading pronoun is resolved against the sources first. A part passes if it stands alone and its label is the same with and
+    without the sources (or, without double_nli, if the answer entails it). The sources enter as counts: how many of a part's
+    tokens they have beyond the answer's, and whether they negate.
+    """
+    parts = units.withColumn("parts", t.clauses(F.col("text"))).select("*", F.posexplode("parts").alias("part", "raw")).drop("parts", "text")
+    parts = parts.join(pipeline.context_subject(chunks), "eval_id", "left").withColumn("text", t.resolve(F.col("raw"), F.col("subject"))).drop("raw", "subject")
+    said = evals.select("eval_id", t.tokens(F.col("answer")).alias("said"))
+    rows = parts.join(said, "eval_id").withColumn("tokens", t.tokens(F.col("text"))).withColumn("mark", F.xxhash64("text"))
+    words = vocabulary(chunks)
+    need = rows.select("eval_id", "mark", F.explode(F.array_except("tokens", "said")).alias("token")).distinct()
+    more = need.join(words, ["eval_id", "token"], "left_semi").groupBy("eval_id", "mark").agg(F.count("*").alias("more"))
+    negates = words.where(F.col("token").isin(c.NEGATION)).select("eval_id", F.lit(True).alias("negates")).distinct()
+    rows = rows.join(more, ["eval_id", "mark"], "left").join(negates, "eval_id", "left").fillna(0, ["more"]).fillna(False, ["negates"])
+    negation = F.array(*map(F.lit, c.NEGATION))
+    answer_negates, unit_negates = F.arrays_overlap("said", negation), F.arrays_overlap("tokens", negation)
+    n, held = F.size("tokens"), F.size(F.array_intersect("tokens", "said"))
+
+    def label(held: Column, negates: Column) -> Column:
+        raw = F.when(n == 0, F.lit(0.0)).otherwise(held / n)
+        return F.when((raw >= settings.contra_tau) & (negates != unit_negates), "C").when(raw >= settings.entail_tau, "E").otherwise("N")
+
+    rows = rows.withColumn("own", label(held, answer_negates)).withColumn("with_sources", label(held + F.col("more"), answer_negates | F.col("negates")))
+    alone = ~F.col("text").rlike(t.LEADING_SHORT)
+    fine = F.col("own") == (F.col("with_sources") if settings.double_nli else F.lit("E"))
     unit = t.short_hash("unit:", F.concat_ws("|", "req_id", "text"))
-    return rows.select("eval_id", unit.alias("unit_id"), "req_id", "vital", "origin", "text", "supported").distinct()
+    return rows.select("eval_id", unit.alias("unit_id"), "req_id", "vital", "origin", "text", *UNIT_ORDER, (alone & fine).alias("admitted"), (F.col("own") == "E").alias("supported"))
+
+
+def admit(units: DataFrame, evals: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
+    """The parts that pass the gate, as frozen() has them."""
+    return frozen(gated(units, evals, chunks, settings))
+
+
+def frozen(parts: DataFrame) -> DataFrame:
+    """Admitted parts, equal ones of a requirement once, with ord: a struct that orders them."""
+    rows = parts.where("admitted").drop("admitted").withColumn("ord", F.struct(*UNIT_ORDER)).drop(*UNIT_ORDER)
+    first = rows.groupBy("eval_id", "unit_id").agg(F.min_by(F.struct("req_id", "vital", "origin", "text", "supported"), "ord").alias("u"), F.min("ord").alias("ord"))
+    return first.select("eval_id", "unit_id", "u.*", "ord")
 
 
 def dedupe(units: DataFrame, settings: Config = Config()) -> DataFrame:
     """Units kept by a greedy fold: in order, one goes if its cosine with some unit kept before reaches dedupe_tau.
 
-    Order matters, so an evaluation's units are folded in one row; they are the few units of one answer.
+    Order matters, so an evaluation's units are folded in one row; they are the few units of one answer. Columns stay.
     """
-    rows = units.select("eval_id", F.struct(F.col("ord"), F.col("unit_id"), t.embedding(F.col("text"), settings.embedding_seed).alias("v")).alias("u"))
+    rest = [x for x in units.columns if x != "eval_id"]
+    rows = units.select("eval_id", F.struct(F.col("ord"), F.col("unit_id"), t.embedding(F.col("text"), settings.embedding_seed, settings.embedding_dim).alias("v")).alias("u"))
     lists = rows.groupBy("eval_id").agg(F.array_sort(F.collect_list("u")).alias("us"))
-    near = lambda u, k: F.exists(k, lambda x: F.aggregate(F.zip_with(x["v"], u["v"], lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y) >= settings.dedupe_tau)
+    dot = lambda x, u: F.round(F.aggregate(F.zip_with(x["v"], u["v"], lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y), 9)
+    near = lambda u, k: F.exists(k, lambda x: dot(x, u) >= settings.dedupe_tau)
     kept = F.aggregate("us", F.slice("us", 1, 0), lambda k, u: F.when(near(u, k), k).otherwise(F.concat(k, F.array(u))))
-    return lists.select("eval_id", F.explode(kept).alias("u")).select("eval_id", "u.ord", "u.unit_id")
+    ids = lists.select("eval_id", F.explode(F.transform(kept, lambda u: F.struct(u["ord"].alias("ord"), u["unit_id"].alias("unit_id")))).alias("u")).select("eval_id", "u.*")
+    return units.join(ids, ["eval_id", "ord", "unit_id"], "left_semi").select("eval_id", *rest)
 
 
 def coverage(reqs: DataFrame, units: DataFrame, settings: Config = Config()) -> DataFrame:
@@ -98,11 +147,22 @@ def coverage(reqs: DataFrame, units: DataFrame, settings: Config = Config()) ->
     )
 
 
+def _grams(text: Column) -> Column:
+    """All runs of up to three characters, the empty one too."""
+    runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(runs, (1, 2, 3))))
+
+
 def recall_miss(evals: DataFrame, units: DataFrame, sample: DataFrame) -> DataFrame:
-    """eval_id, miss_rate: facts of the sample for such questions that no unit covers to a half; the sample is small by design."""
-    facts = evals.join(F.broadcast(sample), F.contains("question", "question_match")).select("eval_id", "fact", t.tokens(F.col("fact")).alias("need"))
-    met = facts.join(units.select("eval_id", t.tokens(F.col("text")).alias("have")), "eval_id", "left")
-    hit = met.groupBy("eval_id", "fact").agg(F.bool_or(F.coalesce(t.coverage(F.col("need"), F.col("have")) >= 0.5, F.lit(False))).alias("hit"))
+    """eval_id, miss_rate: facts of the sample for questions that contain its phrase, in any case, that no unit covers to a half.
+
+    Phrases meet questions by their first three characters, so a sample of any size is joined by equal keys.
+    """
+    phrases = sample.select(F.lower("question_match").alias("phrase"), "fact").withColumn("gram", F.substring("phrase", 1, 3))
+    asked = evals.select("eval_id", F.lower("question").alias("asked")).select("eval_id", "asked", F.explode(_grams(F.col("asked"))).alias("gram"))
+    facts = asked.join(phrases, "gram").where(F.contains("asked", "phrase")).select("eval_id", "phrase", "fact", t.tokens(F.col("fact"), c.TERM_STOP).alias("need"))
+    met = facts.join(units.select("eval_id", t.tokens(F.col("text"), c.TERM_STOP).alias("have")), "eval_id", "left")
+    hit = met.groupBy("eval_id", "phrase", "fact").agg(F.bool_or(F.coalesce(t.coverage(F.col("need"), F.col("have")) >= 0.5, F.lit(False))).alias("hit"))
     return hit.groupBy("eval_id").agg(F.avg((~F.col("hit")).cast("int")).alias("miss_rate"))
 
 
@@ -147,48 +207,76 @@ def impossible(answer: Column) -> Column:
     return t.contains_any(answer, c.IMPOSSIBLE) & t.contains_any(answer, c.REASONS)
 
 
-def task_success(evals: DataFrame, known: DataFrame, settings: Config = Config()) -> DataFrame:
-    """eval_id, task_type, achieved, required, score, band: outcomes weighed; a well-founded "impossible" counts as done."""
+def judged_outcomes(evals: DataFrame, known: DataFrame) -> DataFrame:
+    """The outcomes of each evaluation with ok, and impossible: whether the answer says why the task can't be done."""
     rows = outcomes(evals).join(known, "eval_id", "left").withColumn("said", t.tokens(F.col("answer")))
-    rows = rows.withColumn("ok", verdict(F.col("known"))).withColumn("impossible", impossible(F.col("answer")))
-    done = rows.groupBy("eval_id", "task_type").agg(
-        F.bool_or("impossible").alias("impossible"), F.count_if("ok").alias("achieved"), F.count("*").alias("required"), (F.sum(F.when(F.col("ok"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("share")
-    )
-    done = done.withColumn("score", F.when(F.col("impossible"), 1.0).otherwise(F.col("share"))).drop("share")
+    return rows.withColumn("ok", verdict(F.col("known"))).withColumn("impossible", impossible(F.col("answer")))
+
+
+def task_success(evals: DataFrame, known: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, task_type, impossible, achieved, required, score, band: outcomes weighed; a well-founded "impossible" counts as
+    done, with no outcome achieved or required.
+    """
+    share = F.sum(F.when(F.col("ok"), F.col("weight")).otherwise(0.0)) / F.sum("weight")
+    done = judged_outcomes(evals, known).groupBy("eval_id", "task_type").agg(F.bool_or("impossible").alias("impossible"), F.count_if("ok").alias("achieved"), F.count("*").alias("required"), share.alias("share"))
+    none = lambda n: F.when(F.col("impossible"), 0).otherwise(F.col(n)).cast("long")
+    done = done.withColumn("score", F.when(F.col("impossible"), 1.0).otherwise(F.col("share"))).withColumn("achieved", none("achieved")).withColumn("required", none("required")).drop("share")
     return done.withColumn("band", scoring.band(F.col("score"), settings))
 
 
 def claim_signals(claims: DataFrame, evals: DataFrame, settings: Config = Config()) -> DataFrame:
-    """claims with on_topic, on_ask and responsive."""
-    asks = evals.select("eval_id", t.tokens(F.col("question")).alias("q"), t.tokens(F.col("question"), c.TERM_STOP).alias("q_terms"), t.tokens(t.ask_hypothesis(F.col("question"))).alias("ask"))
+    """claims with tokens, on_topic, on_ask and responsive."""
+    asks = evals.select("eval_id", "question", t.tokens(F.col("question")).alias("q"), t.tokens(F.col("question"), c.TERM_STOP).alias("q_terms"), t.tokens(t.ask_hypothesis(F.col("question"))).alias("ask"))
     rows = claims.join(asks, "eval_id").withColumn("tokens", t.tokens(F.col("text")))
     nli = t.entailment(F.col("tokens"), F.col("ask"), settings.entail_tau, settings.contra_tau)["label"] == "E"
     lex = t.coverage(F.col("q_terms"), t.tokens(F.col("text"), c.TERM_STOP)) >= settings.lexical_min_overlap
-    rows = rows.withColumn("on_topic", t.jaccard(F.col("q"), F.col("tokens")) >= settings.relevance_tau).withColumn("on_ask", nli | lex)
-    return rows.withColumn("responsive", F.col("on_topic") & F.col("on_ask")).drop("q", "q_terms", "ask")
+    if settings.relevance == "lexical":
+        near = t.jaccard(F.col("q"), F.col("tokens"))  # of the tokens that are there already
+    else:
+        near = providers.provider("relevance", settings.relevance)(F.col("question"), F.col("text"))
+    rows = rows.withColumn("on_topic", near >= settings.relevance_tau).withColumn("on_ask", nli | lex)
+    return rows.withColumn("responsive", F.col("on_topic") & F.col("on_ask")).drop("question", "q", "q_terms", "ask")
 
 
-def relevance(signals: DataFrame, evals: DataFrame, settings: Config = Config()) -> DataFrame:
-    """eval_id, n, score, band, ci: the share of responsive claims, capped where the answer misses the ask."""
+def answer_on_ask(evals: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, answer_on_ask, declined: whether the answer addresses the ask; whether it properly declines what nobody could answer."""
     said, ask = t.tokens(F.col("answer")), t.tokens(t.ask_hypothesis(F.col("question")))
     lex = t.coverage(t.tokens(F.col("question"), c.TERM_STOP), t.tokens(F.col("answer"), c.TERM_STOP)) >= settings.lexical_min_overlap
-    whole = evals.select("eval_id", ((t.entailment(said, ask, settings.entail_tau, settings.contra_tau)["label"] == "E") | lex).alias("answer_on_ask"))
-    rows = signals.groupBy("eval_id").agg(F.count("*").alias("n"), F.count_if("responsive").alias("responsive")).join(whole, "eval_id")
-    base = F.col("responsive") / F.col("n")
-    rows = rows.withColumn("score", F.when(F.col("answer_on_ask"), base).otherwise(F.least(base, F.lit(settings.off_ask_cap))))
+    on_ask = (t.entailment(said, ask, settings.entail_tau, settings.contra_tau)["label"] == "E") | lex
+    heard = F.concat("answer", F.lit("\n[reference] "), "question")
+    decline = providers.overlap(0.4)(F.lit(c.DECLINE), heard)
+    unanswerable = providers.provider("judge", settings.unanswerable)(F.lit("Is this question impossible to answer from any available source?"), F.col("question"))
+    return evals.select("eval_id", on_ask.alias("answer_on_ask"), (decline & unanswerable).alias("declined"))
+
+
+def relevance(signals: DataFrame, evals: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, n, score, band, ci, abstained: the share of responsive claims, capped where the answer misses the ask.
+
+    An answer without claims has 0 of 0; a proper decline scores 1 and abstains.
+    """
+    n = signals.groupBy("eval_id").agg(F.count("*").alias("n"), F.count_if("responsive").alias("responsive"))
+    rows = answer_on_ask(evals, settings).join(n, "eval_id", "left").fillna(0, ["n", "responsive"])
+    base = F.coalesce(F.col("responsive") / F.nullif("n", F.lit(0)), F.lit(0.0))
+    rows = rows.withColumn("score", F.when(F.col("declined"), 1.0).when(F.col("answer_on_ask"), base).otherwise(F.least(base, F.lit(settings.off_ask_cap))))
     low, high = scoring.wilson(F.col("responsive"), F.col("n"))
-    return rows.withColumn("band", scoring.band(F.col("score"), settings)).withColumn("ci_low", low).withColumn("ci_high", high)
+    rows = rows.withColumn("band", scoring.band(F.col("score"), settings)).withColumn("ci_low", F.when(F.col("declined"), 0.0).otherwise(low)).withColumn("ci_high", F.when(F.col("declined"), 1.0).otherwise(high))
+    return rows.withColumnRenamed("declined", "abstained")
 
 
-def reverse_relevance(evals: DataFrame, settings: Config = Config()) -> DataFrame:
-    """eval_id, relevance: the cosine of question and answer, which N reverse questions of an echoing generator give N times."""
-    v = lambda x: t.embedding(F.col(x), settings.embedding_seed)
-    dot = F.aggregate(F.zip_with(v("question"), v("answer"), lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y)
-    return evals.select("eval_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("relevance"))
+def relevance_tree(signals: DataFrame, links: DataFrame, evals: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, n, relevant, score, band: the mean grade of claims on the support tree and beside it, capped like relevance."""
+    rows = graph.graded(signals, links, settings).groupBy("eval_id").agg(F.count("*").alias("n"), F.count_if("relevant").alias("relevant"), F.avg("grade").alias("base"))
+    rows = answer_on_ask(evals, settings).join(rows, "eval_id", "left").fillna(0, ["n", "relevant", "base"])
+    rows = rows.withColumn("score", F.when(F.col("declined"), 1.0).when(F.col("answer_on_ask"), F.col("base")).otherwise(F.least("base", F.lit(settings.off_ask_cap))))
+    return rows.withColumn("band", scoring.band(F.col("score"), settings))
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """eval_id, summary: "dimension: score [band]" lines in order of dimension."""
-    line = F.format_string("%s: %.3f [%s]", "dimension", "score", "band")
-    rows = results.select("eval_id", F.struct("dimension", line.alias("line")).alias("x")).groupBy("eval_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return rows.select("eval_id", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("summary"))
+def reverse_relevance(evals: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, relevance: the mean cosine of the question and the N questions that a generator derives from the answer."""
+    v = lambda x: t.embedding(x, settings.embedding_seed, settings.embedding_dim)
+    asked = providers.provider("generator", settings.generator)(F.col("answer"), settings.reverse_questions_n)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y)
+    rows = evals.select("eval_id", v(F.col("question")).alias("own"), F.array_distinct(asked).alias("kinds"), asked.alias("asked"))
+    rows = rows.withColumn("cosines", F.transform("kinds", lambda x: F.struct(x.alias("text"), dot(v(x), F.col("own")).alias("cosine"))))
+    total = F.aggregate("cosines", F.lit(0.0), lambda s, x: s + x["cosine"] * F.size(F.filter("asked", lambda y: y == x["text"])))
+    return rows.select("eval_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / F.size("asked"))).alias("relevance"))

@@ -14,8 +14,8 @@ ROLE = {
     "dag_resolution": "CASE WHEN l_linestatus = 'O' THEN 'axiom' WHEN l_linenumber % 3 = 0 THEN 'note' ELSE 'derived' END",
     "relevance_capped_mean": "CASE l_linenumber % 4 WHEN 0 THEN 'on_ask_answer' WHEN 3 THEN CASE WHEN l_tax > 0.07 THEN 'abstain_relevant' ELSE 'responsive' END ELSE 'responsive' END",
     "relevance_tree_capped_mean": "CASE l_linenumber % 4 WHEN 0 THEN 'on_ask_answer' ELSE 'claim_relevance' END",
-    "achieved_ratio": "CASE WHEN l_tax > 0.07 THEN 'impossible' ELSE 'outcome' END",
-    "task_success_weighted": "CASE WHEN l_tax > 0.07 THEN 'impossible' ELSE 'outcome' END",
+    "achieved_ratio": "CASE WHEN l_tax > 0.07 THEN 'impossible_success' ELSE 'outcome' END",
+    "task_success_weighted": "CASE WHEN l_tax > 0.07 THEN 'impossible_success' ELSE 'outcome' END",
 }
 WEIGHT = {"relevance_capped_mean": "l_discount", "relevance_tree_capped_mean": "l_discount"}
 KEYS = {
@@ -58,8 +58,8 @@ _ONE = {
     "mean": "coalesce(avg(CAST(v AS INT)), 0.0)",
     "weighted_mean": _RATIO.format(v="v", w="w"),
     "unsupported_rate": "coalesce(1 - avg(CAST(v AS INT)), 0.0)",
-    "achieved_ratio": "CASE WHEN coalesce(bool_or(v) FILTER (role = 'impossible'), false) THEN 1.0 ELSE coalesce(avg(CAST(v AS INT)) FILTER (role = 'outcome'), 0.0) END",
-    "task_success_weighted": "CASE WHEN coalesce(bool_or(v) FILTER (role = 'impossible'), false) THEN 1.0 ELSE "
+    "achieved_ratio": "CASE WHEN coalesce(bool_or(v) FILTER (role = 'impossible_success'), false) THEN 1.0 ELSE coalesce(avg(CAST(v AS INT)) FILTER (role = 'outcome'), 0.0) END",
+    "task_success_weighted": "CASE WHEN coalesce(bool_or(v) FILTER (role = 'impossible_success'), false) THEN 1.0 ELSE "
     "coalesce(sum(CASE WHEN v THEN w ELSE 0 END) FILTER (role = 'outcome') / nullif(sum(w) FILTER (role = 'outcome'), 0), 0.0) END",
 }
 for _name, _base in (("relevance_capped_mean", "coalesce(avg(CAST(v AS INT)) FILTER (role = 'responsive'), 0.0)"), ("relevance_tree_capped_mean", "coalesce(avg(w) FILTER (role = 'claim_relevance'), 0.0)")):

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeleaf.config import NOT_FILLER
+from gaugeleaf.config import NEGATION, NOT_FILLER, TERM_STOP
 from gaugeleaf.functions import text as t
-from gaugeleaf.operators import graph, support
+from gaugeleaf.operators import graph, support, tasks
 from gaugeleaf.plans import sql as s
-from gaugeleaf.plans.support_queries import BASE, labels_of
-from gaugeleaf.plans.task_queries import _SIG, signals_of
+from gaugeleaf.plans.atom_queries import ORDER
+from gaugeleaf.plans.support_queries import AXIOMS, BASE, CITED, SETS, axioms_of, band_sql, labels_of
+from gaugeleaf.plans.task_queries import _SIG, ANSWER_ASK, signals_of
 from gaugeleaf.plans.text_queries import claims_of
+from gaugeleaf.sources import evaluations as src
 
 #: Claims with arithmetic provenance, by evaluation, in order.
 NUMERIC = (
@@ -26,16 +28,30 @@ def _cases(spark: SparkSession) -> DataFrame:
 
 
 _CASES_SQL = "cs AS (SELECT * FROM (VALUES " + ", ".join(f"({e}, {o}, {s.q(i)}, {s.q(x)})" for e, o, i, x in NUMERIC) + ") AS v(eval_id, ord, claim_id, text))"
-_NUMERIC_SQL = s.with_(
-    _CASES_SQL, rf"nn AS (SELECT eval_id, ord, claim_id, TRY_CAST(regexp_extract(text, '{t.NUMBER}') AS DOUBLE) AS x FROM cs WHERE regexp_matches(text, '[0-9]'))",
+_EDGES_OF = (
+    rf"nn AS (SELECT eval_id, ord, claim_id, TRY_CAST(regexp_extract(text, '{t.NUMBER}') AS DOUBLE) AS x FROM cs WHERE regexp_matches(text, '[0-9]'))",
     """pp AS (SELECT n.eval_id, n.ord, n.claim_id, a.claim_id AS ia, b.claim_id AS ib, row_number() OVER (PARTITION BY n.eval_id, n.ord ORDER BY a.ord, b.ord) AS k
   FROM nn n JOIN nn a ON a.eval_id = n.eval_id AND a.ord < n.ord JOIN nn b ON b.eval_id = n.eval_id AND b.ord < n.ord AND b.ord > a.ord WHERE n.x IN (a.x + b.x, a.x - b.x, b.x - a.x))""",
     "de AS (SELECT eval_id, unnest([ia, ib]) AS src, claim_id AS dst FROM pp WHERE k = 1)",
-)
+)
+_NUMERIC_SQL = s.with_(_CASES_SQL, *_EDGES_OF)
+
+
+def line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with a number each: the lines of every order, in order, and what they say of their quantity."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)) - 1
+    text = F.format_string("A line of the order has %d units.", F.col("l_quantity").cast("int"))
+    return li.select(F.col("l_orderkey").alias("eval_id"), at.alias("ord"), F.concat(F.lit("line-"), at).alias("claim_id"), text.alias("text"))
 
 
 def numeric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.numeric_edges(_cases(spark))
+    return graph.numeric_edges(line_claims(spark, sf_dir))
+
+
+_LINES = f"""cs AS (SELECT l_orderkey AS eval_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORDER)}) - 1 AS ord, 'line-' || ord AS claim_id,
+  'A line of the order has ' || CAST(l_quantity AS INT) || ' units.' AS text FROM lineitem)"""
+NUMERIC_EDGES = s.with_(_LINES, *_EDGES_OF) + "SELECT * FROM de"
 
 
 def edge_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +64,27 @@ EDGE_RECALL = _NUMERIC_SQL + "SELECT round(count(*) FILTER (d AND g) / CAST(coun
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Premises among the claims of each answer: an order-dependent reduction, held against brute force in the tests."""
+    """Premises among the claims of each answer."""
     return graph.edges(graph.ordered(claims_of(spark, sf_dir)))
 
 
+def _confirms_sql(premise: str) -> str:
+    neg, raw = s.listed(NEGATION), s.coverage("tk", premise)
+    return f"({raw} >= 0.5 AND NOT (list_has_any({premise}, {neg}) <> list_has_any(tk, {neg})))"
+
+
+_TOGETHER = "list_distinct(flatten(list_transform({0}, lambda q: q.tk)))"
+_REST = "list_filter(acc, lambda q: q.id <> x[1].id)"
+#: No claim of the conversations holds a digit, so there are topical edges only; the reduction drops premises one after the other.
+LINKS = (
+    f"ec AS MATERIALIZED (SELECT eval_id, claim_id, row_number() OVER (PARTITION BY eval_id ORDER BY sent_ord, clause_ord) - 1 AS ord, {s.tokens('text')} AS tk, {s.tokens('text', TERM_STOP)} AS kk FROM claims)",
+    f"em AS (SELECT c.eval_id, c.ord, c.claim_id, c.tk, list({{'ord': p.ord, 'id': p.claim_id, 'tk': p.tk}} ORDER BY p.ord) AS ps FROM ec c JOIN ec p ON p.eval_id = c.eval_id AND p.ord < c.ord AND {s.coverage('c.kk', 'p.kk')} >= 0.3 GROUP BY ALL)",
+    f"ef AS (SELECT eval_id, claim_id, list_reduce(list_concat([ps], list_transform(ps, lambda p: [p])), lambda acc, x: CASE WHEN len({_REST}) > 0 AND {_confirms_sql(_TOGETHER.format(_REST))} THEN {_REST} ELSE acc END) AS kept FROM em WHERE {_confirms_sql(_TOGETHER.format('ps'))})",
+    "lk AS (SELECT DISTINCT eval_id, src, dst FROM (SELECT eval_id, unnest(kept).id AS src, claim_id AS dst FROM ef) WHERE src <> dst)",
+)
+EDGES = s.with_(s.EV, s.CHUNKS, s.SPANS, s.CLAIMS, *LINKS) + "SELECT eval_id, src, dst FROM lk"
+
+
 def claim_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = graph.typed(graph.ordered(claims_of(spark, sf_dir)), support.claim_support(labels_of(spark, sf_dir)))
     return rows.groupBy("eval_id", "ctype").agg(F.count("*").alias("n"), F.count_if("context_incomplete").alias("incomplete"))
@@ -73,9 +106,28 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORPHANS = s.with_(
-    *_SIG, f"om AS (SELECT o.eval_id, o.claim_id, o.on_topic, o.tk, a.tk AS pm FROM sg o LEFT JOIN (SELECT eval_id, tk FROM sg WHERE on_ask) a USING (eval_id) WHERE NOT o.on_ask), on1 AS (SELECT *, CASE WHEN pm IS NULL THEN 0.0 ELSE {s.coverage('tk', 'pm')} END AS rr FROM om)",
-    f"ol AS (SELECT eval_id, claim_id, on_topic, CASE WHEN pm IS NOT NULL THEN {s.label('rr', 'pm', 'tk')} END AS l FROM on1), og AS (SELECT eval_id, claim_id, bool_or(l = 'C') AS c, bool_or(l = 'E') AS e, bool_or(on_topic) AS tp FROM ol GROUP BY ALL)",
-) + "SELECT eval_id, CASE WHEN c THEN 'stranded_contradiction' WHEN e THEN 'missing_support' WHEN tp THEN 'background' ELSE 'off_topic' END AS kind, count(*) AS n FROM og GROUP BY ALL"
+    *_SIG, f"om AS (SELECT o.eval_id, o.claim_id, o.on_topic, o.tk, a.tk AS pm FROM sg o LEFT JOIN (SELECT eval_id, tk FROM sg WHERE on_ask) a USING (eval_id) WHERE NOT o.on_ask), on1 AS (SELECT *, CASE WHEN pm IS NULL THEN 0.0 ELSE {s.coverage('pm', 'tk')} END AS rr FROM om)",
+    f"ol AS (SELECT eval_id, claim_id, on_topic, CASE WHEN pm IS NOT NULL THEN {s.label('rr', 'tk', 'pm')} END AS l FROM on1), og AS (SELECT eval_id, claim_id, bool_or(l = 'C') AS c, bool_or(l = 'E') AS e, bool_or(on_topic) AS tp FROM ol GROUP BY ALL)",
+) + "SELECT eval_id, CASE WHEN NOT tp THEN 'off_topic' WHEN c THEN 'stranded_contradiction' WHEN e THEN 'stranded_support' ELSE 'background' END AS kind, count(*) AS n FROM og GROUP BY ALL"
+
+
+def relevance_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance by the support tree over the claims' own edges."""
+    rows = tasks.relevance_tree(signals_of(spark, sf_dir), edges(spark, sf_dir), src.conversations(spark, sf_dir))
+    return rows.select("eval_id", "n", "relevant", F.round("score", 6).alias("score"), "band")
+
+
+RELEVANCE_TREE = s.with_(*_SIG, ANSWER_ASK, *LINKS).replace("WITH", "WITH RECURSIVE", 1).rstrip() + f""",
+an AS (SELECT eval_id, claim_id AS node FROM sg WHERE on_ask UNION SELECT eval_id, dst FROM lk GROUP BY ALL HAVING count(DISTINCT src) >= 2),
+tr AS (SELECT eval_id, node, 0 AS depth FROM an UNION SELECT tr.eval_id, lk.src, tr.depth + 1 FROM tr JOIN lk ON lk.eval_id = tr.eval_id AND lk.dst = tr.node WHERE tr.depth < 3),
+dp AS (SELECT eval_id, node AS claim_id, min(depth) AS depth FROM tr GROUP BY ALL), root AS (SELECT DISTINCT sg.eval_id, tk AS pm FROM sg JOIN an ON an.eval_id = sg.eval_id AND an.node = sg.claim_id),
+om AS (SELECT o.eval_id, o.claim_id, o.on_topic, o.tk, pm, CASE WHEN pm IS NULL THEN 0.0 ELSE {s.coverage('pm', 'tk')} END AS rr FROM (SELECT sg.* FROM sg ANTI JOIN dp USING (eval_id, claim_id)) o LEFT JOIN root USING (eval_id)),
+rel AS (SELECT eval_id, claim_id, bool_or(on_topic) AS relevant FROM om GROUP BY ALL),
+gr AS (SELECT sg.eval_id, depth IS NOT NULL OR coalesce(rel.relevant, false) AS relevant, CASE WHEN depth IS NOT NULL THEN pow(0.5, depth) WHEN rel.relevant THEN 1.0 ELSE 0.0 END AS grade
+  FROM sg LEFT JOIN dp USING (eval_id, claim_id) LEFT JOIN rel USING (eval_id, claim_id)),
+gg AS (SELECT eval_id, count(*) AS n, count(*) FILTER (relevant) AS relevant, avg(grade) AS base FROM gr GROUP BY eval_id),
+gs AS (SELECT eval_id, coalesce(n, 0) AS n, coalesce(relevant, 0) AS relevant, CASE WHEN ok THEN coalesce(base, 0.0) ELSE least(coalesce(base, 0.0), 0.5) END AS score FROM aw2 LEFT JOIN gg USING (eval_id))
+SELECT eval_id, n, relevant, round(score, 6) AS score, {band_sql('score')} AS band FROM gs"""
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -134,15 +186,33 @@ bool_or(event_id * 7 % 4 <> 0) OVER (PARTITION BY user_id ORDER BY ts, event_id
 
 
 def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph.ordered(claims_of(spark, sf_dir))
-    return graph.node_link(rows.select("eval_id", F.col("claim_id").alias("node")).distinct(), graph.topical_edges(rows))
+    """The claim graph of every answer with the status of its nodes, where claims cite by the rule of cited_claims()."""
+    rows = graph.typed(graph.ordered(claims_of(spark, sf_dir)), support.claim_support(labels_of(spark, sf_dir)))
+    nodes = rows.groupBy("eval_id", F.col("claim_id").alias("node")).agg(F.min_by("ctype", "ord").alias("ctype"), F.min_by("context_incomplete", "ord").alias("context_incomplete"))
+    axiom = axioms_of(spark, sf_dir).where("axiom").select("eval_id", F.col("claim_id").alias("subject"), F.lit("axiom").alias("role"), F.col("axiom").alias("verdict"))
+    nodes = nodes.join(graph.status(nodes, axiom), ["eval_id", "node"])
+    return graph.node_link(nodes, edges(spark, sf_dir).withColumn("etype", F.lit("supports")))
+
+
+_JSON = lambda *pairs: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in pairs) + " || '}'"
+_TEXT = lambda x: f"'\"' || {x} || '\"'"
+GRAPH_JSON = s.with_(
+    *BASE, CITED, SETS, AXIOMS, *LINKS,
+    f"fl AS (SELECT eval_id, claim_id, list_filter(regexp_extract_all(text, {_FILL}, 2), lambda x: NOT list_contains({s.listed(NOT_FILLER)}, x))[1] AS fill FROM claims)",
+    f"ix AS (SELECT c.*, {s.rlike('text', t.LEADING)} OR {s.rlike('text', t.DEICTIC)} AS deictic FROM claims c)",
+    "ty AS (SELECT DISTINCT ix.eval_id, ix.claim_id, deictic, len(sup.chunks) AS held, EXISTS (SELECT 1 FROM fl WHERE fl.eval_id = ix.eval_id AND fl.claim_id <> ix.claim_id AND fill IS NOT NULL) AS bound FROM ix LEFT JOIN sup USING (eval_id, claim_id))",
+    "tn AS (SELECT ty.*, CASE WHEN deictic THEN 'indexical' WHEN held = 0 THEN 'inference' ELSE 'independent' END AS ctype, CASE WHEN x THEN 'axiom' ELSE 'failed' END AS status, CASE WHEN x THEN 'green' ELSE 'red' END AS color"
+    " FROM ty LEFT JOIN (SELECT eval_id, claim_id, bool_or(axiom) AS x FROM ax GROUP BY ALL) USING (eval_id, claim_id))",
+    "nj AS (SELECT eval_id, string_agg(" + _JSON(("id", _TEXT("claim_id")), ("type", _TEXT("ctype")), ("status", _TEXT("status")), ("color", _TEXT("color")), ("context_incomplete", "CAST(deictic AND NOT bound AS VARCHAR)")) + ", ',' ORDER BY claim_id) AS j FROM tn GROUP BY eval_id)",
+    "lj AS (SELECT eval_id, string_agg(" + _JSON(("source", _TEXT("src")), ("target", _TEXT("dst")), ("etype", "'\"supports\"'"), ("color", "'\"gray\"'")) + ", ',' ORDER BY src, dst) AS j FROM lk GROUP BY eval_id)",
+) + """SELECT eval_id, '{"nodes":[' || nj.j || '],"links":[' || coalesce(lj.j, '') || ']}' AS graph FROM nj LEFT JOIN lj USING (eval_id)"""
 
 
 QUERIES = {
     "numeric_edges": numeric_edges, "edge_recall": edge_recall, "edges": edges, "claim_types": claim_types, "orphans": orphans, "centrality": centrality, "anchors": anchors,
-    "support_tree": support_tree, "dag_rescue": dag_rescue, "graph_json": graph_json,
+    "support_tree": support_tree, "dag_rescue": dag_rescue, "graph_json": graph_json, "relevance_tree": relevance_tree,
 }
 SQL = {
-    "numeric_edges": _NUMERIC_SQL + "SELECT * FROM de", "edge_recall": EDGE_RECALL, "claim_types": CLAIM_TYPES, "orphans": ORPHANS, "centrality": CENTRALITY, "anchors": ANCHORS,
+    "numeric_edges": NUMERIC_EDGES, "edge_recall": EDGE_RECALL, "edges": EDGES, "graph_json": GRAPH_JSON, "relevance_tree": RELEVANCE_TREE, "claim_types": CLAIM_TYPES, "orphans": ORPHANS, "centrality": CENTRALITY, "anchors": ANCHORS,
     "support_tree": SUPPORT_TREE, "dag_rescue": DAG_RESCUE,
 }

@@ -205,9 +205,7 @@ FROM sets WHERE len(cited) > 0"""
 
 
 def axioms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = src.chunks(spark, sf_dir)
-    context = texts.groupBy("eval_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ord", "text"))), lambda x: x["text"]), " ").alias("source_text"))
-    return dim.axioms(sets_of(spark, sf_dir), texts, context)
+    return dim.axioms(sets_of(spark, sf_dir), src.chunks(spark, sf_dir))
 
 
 def source_adequate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +228,8 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOW, _HIGH = wilson_sql("successful_claims", "n")
 ACCURACY = s.with_(
-    *BASE, CITED, SETS, AXIOMS, "an AS (SELECT eval_id, count(*) AS n, count(*) FILTER (axiom) AS successful_claims FROM ax GROUP BY eval_id)",
+    *BASE, CITED, SETS, AXIOMS, "la AS (SELECT eval_id, claim_id, last(axiom ORDER BY sent_ord, clause_ord) AS axiom, count(*) AS times FROM ax GROUP BY ALL)",
+    "an AS (SELECT eval_id, CAST(sum(times) AS BIGINT) AS n, count(*) FILTER (axiom) AS successful_claims FROM la GROUP BY eval_id)",
     "av AS (SELECT eval_id, avg(CAST(v AS INT)) AS x FROM (SELECT eval_id, claim_id, first(axiom ORDER BY sent_ord, clause_ord) AS v FROM ax GROUP BY ALL) GROUP BY eval_id)",
 ) + f"SELECT eval_id, n, successful_claims, round(x, 6) AS score, {band_sql('x')} AS band, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM an JOIN av USING (eval_id)"
 

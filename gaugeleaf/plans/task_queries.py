@@ -9,7 +9,7 @@ from gaugeleaf import config as c
 from gaugeleaf.functions import text as t
 from gaugeleaf.operators import tasks
 from gaugeleaf.plans import sql as s
-from gaugeleaf.plans.support_queries import band_sql, groundedness, hallucination, r6, wilson_sql
+from gaugeleaf.plans.support_queries import band_sql, r6, wilson_sql
 from gaugeleaf.plans.text_queries import claims_of
 from gaugeleaf.sources import evaluations as src
 
@@ -95,67 +95,84 @@ TASK = s.with_(
   WHEN 'adequacy' THEN {s.coverage('ct', 'list_concat(said, ot)')} >= 0.34 WHEN 'coverage' THEN {s.label('rc', 'said', 'rt')} = 'E' WHEN 'constraint' THEN {_WORDS} <= max_words
   ELSE CASE WHEN signal = 'responsive' THEN {s.jaccard('qt', 'said')} >= 0.5 WHEN known IS NULL THEN true ELSE {s.label('gc', 'known', 'said')} = 'E' END END AS ok,
   ({' OR '.join(f'contains(lower(answer), {s.q(x)})' for x in c.IMPOSSIBLE)}) AND ({' OR '.join(f'contains(lower(answer), {s.q(x)})' for x in c.REASONS)}) AS imp FROM rawt)""",
-    "tg AS (SELECT eval_id, task_type, bool_or(imp) AS impossible, count(*) FILTER (ok) AS achieved, count(*) AS required, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight) AS share FROM okt GROUP BY ALL)",
+    "tg AS (SELECT eval_id, task_type, bool_or(imp) AS impossible, CASE WHEN bool_or(imp) THEN 0 ELSE count(*) FILTER (ok) END AS achieved, CASE WHEN bool_or(imp) THEN 0 ELSE count(*) END AS required, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight) AS share FROM okt GROUP BY ALL)",
     "ts AS (SELECT * EXCLUDE (share), CASE WHEN impossible THEN 1.0 ELSE share END AS score FROM tg)",
 ) + f"SELECT eval_id, task_type, impossible, achieved, required, round(CAST(score AS DOUBLE), 6) AS score, {band_sql('score')} AS band FROM ts"
 
 
 def admitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ev, ch = src.conversations(spark, sf_dir), src.chunks(spark, sf_dir)
+    """Requirements, and the units that pass the gate, near-duplicates among them."""
+    ev, ch = evals_of(spark, sf_dir), src.chunks(spark, sf_dir)
     reqs = tasks.generated(ev)
-    return reqs, tasks.admit(tasks.draft(reqs, tasks.source_sentences(ch)), ev, tasks.context_tokens(ch))
+    return reqs, tasks.admit(tasks.draft(reqs, tasks.source_sentences(ch)), ev, ch)
+
+
+def frozen_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    reqs, units = admitted(spark, sf_dir)
+    return reqs, tasks.dedupe(units)
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admitted(spark, sf_dir)[1].select("eval_id", "unit_id", "req_id", "origin", "supported")
 
 
+_ORDER = "req_ord, bottom, chunk_ord, sent_ord, part"
 UNIT = (
-    s.EV, s.CHUNKS, GENERATED.replace("FROM evals", "FROM ev"), KNOWN,
-    f"ss AS (SELECT eval_id, unnest({s.sentences('text')}) AS text FROM chunks)",
+    s.EV, s.CHUNKS, EVALS, GENERATED, s.CSUB, KNOWN,
+    f"ss AS (SELECT eval_id, chunk_ord, unnest(range(0, len(z))) AS sent_ord, unnest(z) AS text FROM (SELECT eval_id, chunk_ord, {s.sentences('text')} AS z FROM chunks))",
     f"sst AS MATERIALIZED (SELECT *, {s.tokens('text')} AS tk FROM ss), rqt AS MATERIALIZED (SELECT *, {s.tokens('req')} AS tk FROM reqs)",
-    f"""dr AS (SELECT eval_id, req_id, vital, unnest({s.sentences('req')}) AS text, 'top_down' AS origin FROM reqs
-  UNION ALL SELECT r.eval_id, req_id, vital, x.text, 'bottom_up' FROM rqt r JOIN sst x ON x.eval_id = r.eval_id AND list_has_any(r.tk, x.tk))""",
-    f"pt AS (SELECT eval_id, req_id, vital, origin, unnest({s.clauses('text')}) AS text FROM dr)",
-    f"""ut AS MATERIALIZED (SELECT DISTINCT pt.*, {s.tokens('pt.text')} AS tk FROM pt WHERE NOT {s.rlike('text', t.LEADING)}), uj AS (SELECT ut.*, {s.tokens('answer')} AS said, coalesce(known, []) AS known
-  FROM ut JOIN ev USING (eval_id) LEFT JOIN known USING (eval_id)), uk AS (SELECT *, list_concat(said, known) AS al FROM uj), ul AS (SELECT *, {s.coverage('tk', 'said')} AS c1, {s.coverage('tk', 'al')} AS c2 FROM uk),
+    f"""dr AS (SELECT eval_id, req_id, vital, req_ord, 'top_down' AS origin, 0 AS bottom, CAST(0 AS BIGINT) AS chunk_ord, unnest(range(0, len(z))) AS sent_ord, unnest(z) AS text FROM (SELECT *, {s.sentences('req')} AS z FROM reqs)
+  UNION ALL SELECT r.eval_id, req_id, vital, req_ord, 'bottom_up', 1, x.chunk_ord, x.sent_ord, x.text FROM rqt r JOIN sst x ON x.eval_id = r.eval_id AND list_has_any(r.tk, x.tk))""",
+    f"pt0 AS (SELECT * EXCLUDE (text, z), unnest(range(0, len(z))) AS part, unnest(z) AS raw FROM (SELECT *, {s.clauses('text')} AS z FROM dr))",
+    f"pt AS (SELECT pt0.* EXCLUDE (raw), {s.resolve('raw', 'subject')} AS text FROM pt0 LEFT JOIN csub USING (eval_id))",
+    f"""ut AS MATERIALIZED (SELECT pt.*, {s.tokens('pt.text')} AS tk FROM pt WHERE NOT {s.rlike('text', t.LEADING_SHORT)}), uj AS (SELECT ut.*, {s.tokens('answer')} AS said, coalesce(known, []) AS known
+  FROM ut JOIN evals USING (eval_id) LEFT JOIN known USING (eval_id)), uk AS (SELECT *, list_concat(said, known) AS al FROM uj), ul AS (SELECT *, {s.coverage('tk', 'said')} AS c1, {s.coverage('tk', 'al')} AS c2 FROM uk),
 um AS (SELECT *, {s.label('c1', 'said', 'tk')} AS l1, {s.label('c2', 'al', 'tk')} AS l2 FROM ul),
-units AS (SELECT DISTINCT eval_id, 'unit:' || substr(sha256(req_id || '|' || text), 1, 12) AS unit_id, req_id, vital, origin, text, l1 = 'E' AS supported FROM um WHERE l1 = l2)""",
+units AS MATERIALIZED (SELECT eval_id, 'unit:' || substr(sha256(req_id || '|' || text), 1, 12) AS unit_id, req_id, vital, origin, text, l1 = 'E' AS supported, {_ORDER} FROM um WHERE l1 = l2
+  QUALIFY row_number() OVER (PARTITION BY eval_id, unit_id ORDER BY {_ORDER}) = 1)""",
 )
 UNITS = s.with_(*UNIT) + "SELECT eval_id, unit_id, req_id, origin, supported FROM units"
+#: Units left by the greedy fold, in order.
+FROZEN = (
+    *UNIT,
+    f"dv AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY {_ORDER}) AS k, {s.vector('text')} AS v FROM units)",
+    """dl AS (SELECT eval_id, list_transform(list({'k': k, 'v': v} ORDER BY k), lambda x: [x]) AS us FROM dv GROUP BY eval_id),
+kept AS (SELECT eval_id, unnest(list_reduce(us, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: round(list_cosine_similarity(y.v, x[1].v), 9) >= 0.85)) > 0 THEN acc ELSE list_concat(acc, x) END)).k AS k FROM dl),
+frozen AS MATERIALIZED (SELECT dv.* FROM dv JOIN kept USING (eval_id, k))""",
+)
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tasks.completeness(*admitted(spark, sf_dir))
+    rows = tasks.completeness(*frozen_of(spark, sf_dir))
     return rows.select("eval_id", "vital_units", "total_units", r6("requirement_coverage").alias("requirement_coverage"), r6("weighted_recall").alias("weighted_recall"), r6("score").alias("score"), "band", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "abstained")
 
 
 _LOW, _HIGH = wilson_sql("held", "vital_units")
 _SCORE = "coalesce(held / CAST(nullif(vital_units, 0) AS DOUBLE), 0.0)"
 COMPLETENESS = s.with_(
-    *UNIT, "pr AS (SELECT eval_id, req_id, avg(CAST(supported AS INT)) AS recall, bool_or(supported) AS hit FROM units GROUP BY ALL)",
+    *FROZEN, "pr AS (SELECT eval_id, req_id, avg(CAST(supported AS INT)) AS recall, bool_or(supported) AS hit FROM frozen GROUP BY ALL)",
     "cv AS (SELECT eval_id, avg(CAST(coalesce(hit, false) AS INT)) AS rc, sum(CASE WHEN vital THEN 2.0 ELSE 1.0 END * coalesce(recall, 0.0)) / sum(CASE WHEN vital THEN 2.0 ELSE 1.0 END) AS wr FROM reqs LEFT JOIN pr USING (eval_id, req_id) GROUP BY eval_id)",
-    "nu AS (SELECT eval_id, coalesce(v, 0) AS vital_units, coalesce(a, 0) AS total_units, coalesce(h, 0) AS held, rc, wr FROM cv LEFT JOIN (SELECT eval_id, count(*) FILTER (vital) AS v, count(*) AS a, count(*) FILTER (vital AND supported) AS h FROM units GROUP BY eval_id) USING (eval_id))",
+    """nu AS (SELECT eval_id, coalesce(v, 0) AS vital_units, coalesce(a, 0) AS total_units, coalesce(h, 0) AS held, rc, wr FROM cv
+  LEFT JOIN (SELECT eval_id, count(*) FILTER (vital) AS v, count(*) AS a, count(*) FILTER (vital AND supported) AS h FROM frozen GROUP BY eval_id) USING (eval_id))""",
 ) + f"SELECT eval_id, vital_units, total_units, round(rc, 6) AS requirement_coverage, round(wr, 6) AS weighted_recall, round({_SCORE}, 6) AS score, {band_sql(_SCORE)} AS band, {_LOW} AS ci_low, {_HIGH} AS ci_high, vital_units < 10 AS abstained FROM nu"
 
 
 def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-down units only: the units of one answer are folded in one row, and are few."""
-    reqs = tasks.generated(src.conversations(spark, sf_dir))
-    rows = reqs.select("eval_id", F.col("req_ord").alias("ord"), F.col("req_id").alias("unit_id"), F.col("req").alias("text"))
-    return tasks.dedupe(rows).select("eval_id", "ord", "unit_id")
+    return frozen_of(spark, sf_dir)[1].select("eval_id", "unit_id", "req_id", "origin")
+
+
+DEDUPE = s.with_(*FROZEN) + "SELECT eval_id, unit_id, req_id, origin FROM frozen"
 
 
 def recall_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = evals_of(spark, sf_dir)
     sample = spark.createDataFrame(list(c.RECALL_SAMPLE), src.RECALL)
-    return tasks.recall_miss(ev, ev.select("eval_id", F.explode(t.sentences(F.col("answer"))).alias("text")), sample).select("eval_id", r6("miss_rate").alias("miss_rate"))
+    return tasks.recall_miss(evals_of(spark, sf_dir), frozen_of(spark, sf_dir)[1], sample).select("eval_id", r6("miss_rate").alias("miss_rate"))
 
 
 RECALL_MISS = s.with_(
-    s.EV, EVALS, "sm AS (SELECT * FROM (VALUES " + ", ".join(f"({s.q(a)}, {s.q(b)})" for a, b in c.RECALL_SAMPLE) + ") AS v(m, fact))",
-    f"fx AS (SELECT eval_id, fact, {s.tokens('fact')} AS need FROM evals JOIN sm ON contains(question, m))", f"un AS (SELECT eval_id, unnest({s.sentences('answer')}) AS text FROM evals)",
-    f"ht AS (SELECT fx.eval_id, fact, bool_or(coalesce({s.coverage('need', 'have')} >= 0.5, false)) AS hit FROM fx LEFT JOIN (SELECT eval_id, {s.tokens('text')} AS have FROM un) u USING (eval_id) GROUP BY ALL)",
+    *FROZEN, "sm AS (SELECT * FROM (VALUES " + ", ".join(f"({s.q(a)}, {s.q(b)})" for a, b in c.RECALL_SAMPLE) + ") AS v(m, fact))",
+    f"fx AS (SELECT eval_id, fact, {s.tokens('fact', c.TERM_STOP)} AS need FROM evals JOIN sm ON contains(lower(question), lower(m)))",
+    f"ht AS (SELECT fx.eval_id, fact, bool_or(coalesce({s.coverage('need', 'have')} >= 0.5, false)) AS hit FROM fx LEFT JOIN (SELECT eval_id, {s.tokens('text', c.TERM_STOP)} AS have FROM frozen) u USING (eval_id) GROUP BY ALL)",
 ) + "SELECT eval_id, round(avg(CAST(NOT hit AS INT)), 6) AS miss_rate FROM ht GROUP BY eval_id"
 
 
@@ -179,45 +196,35 @@ ON_TOPIC = s.with_(*_SIG) + "SELECT eval_id, count(*) FILTER (on_topic) AS on_to
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tasks.relevance(signals_of(spark, sf_dir), src.conversations(spark, sf_dir))
-    return rows.select("eval_id", "n", r6("score").alias("score"), "band", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
+    return rows.select("eval_id", "n", r6("score").alias("score"), "band", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "abstained")
 
 
 _LOW, _HIGH = wilson_sql("resp", "n")
+ANSWER_ASK = f"""aw AS (SELECT eval_id, ak, qk, {s.tokens('answer')} AS said, {s.tokens('answer', c.TERM_STOP)} AS sk FROM ask), aw1 AS (SELECT *, {s.coverage('ak', 'said')} AS r FROM aw),
+aw2 AS (SELECT eval_id, {s.label('r', 'said', 'ak')} = 'E' OR {s.coverage('qk', 'sk')} >= 0.5 AS ok FROM aw1)"""
 RELEVANCE = s.with_(
-    *_SIG, f"aw AS (SELECT eval_id, ak, qk, {s.tokens('answer')} AS said, {s.tokens('answer', c.TERM_STOP)} AS sk FROM ask), aw1 AS (SELECT *, {s.coverage('ak', 'said')} AS r FROM aw), aw2 AS (SELECT eval_id, {s.label('r', 'said', 'ak')} = 'E' OR {s.coverage('qk', 'sk')} >= 0.5 AS ok FROM aw1)",
-    "rg AS (SELECT eval_id, count(*) AS n, count(*) FILTER (on_topic AND on_ask) AS resp FROM sg GROUP BY eval_id)", "rs AS (SELECT *, CASE WHEN ok THEN resp / CAST(n AS DOUBLE) ELSE least(resp / CAST(n AS DOUBLE), 0.5) END AS score FROM rg JOIN aw2 USING (eval_id))",
-) + f"SELECT eval_id, n, round(score, 6) AS score, {band_sql('score')} AS band, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM rs"
+    *_SIG, ANSWER_ASK, "rg AS (SELECT eval_id, count(*) AS n, count(*) FILTER (on_topic AND on_ask) AS resp FROM sg GROUP BY eval_id)",
+    "rh AS (SELECT eval_id, ok, coalesce(n, 0) AS n, coalesce(resp, 0) AS resp FROM aw2 LEFT JOIN rg USING (eval_id)), ri AS (SELECT *, coalesce(resp / CAST(nullif(n, 0) AS DOUBLE), 0.0) AS base FROM rh)",
+    "rs AS (SELECT *, CASE WHEN ok THEN base ELSE least(base, 0.5) END AS score FROM ri)",
+) + f"SELECT eval_id, n, round(score, 6) AS score, {band_sql('score')} AS band, {_LOW} AS ci_low, {_HIGH} AS ci_high, false AS abstained FROM rs"
 
 
 def method_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.reverse_relevance(src.conversations(spark, sf_dir)).select("eval_id", r6("relevance").alias("relevance"))
 
 
-def _vec(x: str) -> str:
-    sl = f"list_transform(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: NOT list_contains({s.listed(c.STOP)}, w)), lambda w: CAST('0x' || substr(md5('20250730:' || w), 1, 8) AS BIGINT) % 64)"
-    return f"(CASE WHEN len({sl}) = 0 THEN [20250730 % 64] ELSE {sl} END)"
-
-
-METHOD_A = s.with_(
-    s.EV, f"v0 AS (SELECT eval_id, {_vec('question')} AS a, {_vec('answer')} AS b FROM ev)",
-    "v1 AS (SELECT eval_id, list_transform(range(0, 64), lambda d: CAST(len(list_filter(a, lambda x: x = d)) AS DOUBLE)) AS a, list_transform(range(0, 64), lambda d: CAST(len(list_filter(b, lambda x: x = d)) AS DOUBLE)) AS b FROM v0)",
-) + "SELECT eval_id, round(least(1.0, list_cosine_similarity(a, b)), 6) AS relevance FROM v1"
-
-
-def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda q, name: q(spark, sf_dir).select("eval_id", F.lit(name).alias("dimension"), "score", "band")
-    return tasks.summary(one(groundedness, "groundedness").unionByName(one(hallucination, "hallucination")))
+METHOD_A = s.with_(s.EV, f"v1 AS (SELECT eval_id, {s.vector('question')} AS a, {s.vector('answer')} AS b FROM ev)") + "SELECT eval_id, round(least(1.0, list_cosine_similarity(a, b)), 6) AS relevance FROM v1"
 
 
 QUERIES = {
     "classify_task": _classify(c.TASKS, c.TASK_DEFAULT), "classify_req": _classify(c.REQUIREMENTS, "default"), "classify_archetype": _classify(c.ARCHETYPES, "default"),
     "req_templates": _types(c.REQUIREMENTS), "archetypes": _types(c.ARCHETYPES), "requirements": requirements, "outcomes": outcomes, "task_success": task_success, "units": units,
-    "completeness": completeness, "dedupe": dedupe, "recall_miss": recall_miss, "on_topic": on_topic, "relevance": relevance, "method_a": method_a, "summary": summary,
+    "completeness": completeness, "dedupe": dedupe, "recall_miss": recall_miss, "on_topic": on_topic, "relevance": relevance, "method_a": method_a,
 }
 SQL = {
     "classify_task": s.with_(s.EV, EVALS) + f"SELECT eval_id, {_classify_sql(c.TASKS, c.TASK_DEFAULT)} AS qtype FROM evals",
     "classify_req": s.with_(s.EV, EVALS) + f"SELECT eval_id, {_classify_sql(c.REQUIREMENTS, 'default')} AS qtype FROM evals",
     "classify_archetype": s.with_(s.EV, EVALS) + f"SELECT eval_id, {_classify_sql(c.ARCHETYPES, 'default')} AS qtype FROM evals",
     "req_templates": _types_sql(c.REQUIREMENTS), "archetypes": _types_sql(c.ARCHETYPES), "requirements": REQUIREMENTS, "outcomes": OUTCOMES, "task_success": TASK, "units": UNITS,
-    "completeness": COMPLETENESS, "recall_miss": RECALL_MISS, "on_topic": ON_TOPIC, "relevance": RELEVANCE, "method_a": METHOD_A,
+    "completeness": COMPLETENESS, "dedupe": DEDUPE, "recall_miss": RECALL_MISS, "on_topic": ON_TOPIC, "relevance": RELEVANCE, "method_a": METHOD_A,
 }

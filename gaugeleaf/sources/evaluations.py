@@ -60,15 +60,29 @@ def read_atoms(spark: SparkSession, path: str, schema: T.StructType, kind: str =
     return spark.read.schema(schema).format(kind).load(path)
 
 
-#: Evaluation cases whose outcome is known in kind.
+#: Evaluation cases whose outcome is known in kind: name, question, answer, texts, request citations, and (url, domain, author) of the first text.
+DRIVERS = "Cost drivers behind the change included freight and wages. Pricing actions taken were small discounts. One-time or non-recurring items included a settlement. Foreign-exchange effects lowered sales."
 CASES = (
-    ("aligned", "Why did revenue rise?", "Revenue rose on strong demand. Costs fell in the quarter.", ["Revenue rose on strong demand. Costs fell in the quarter."], []),
-    ("off_ask", "Why did revenue decline?", "Bananas are yellow fruit.", ["Revenue declined because demand fell."], []),
-    ("contradiction", "What colour is the sky?", "The sky is not blue today.", ["The sky is blue today."], []),
-    ("fabricated_citation", "Why did revenue rise?", "Revenue rose on strong demand [fabricated-99].", ["Revenue rose on strong demand."], ["fabricated-99"]),
-    ("wrong_citation", "Who won the final?", "Real Madrid won the final [chunk-2].", ["Real Madrid won the final.", "Bananas are yellow fruit."], []),
-)
+    ("aligned", "Why did revenue rise?", "Revenue rose on strong demand. Costs fell in the quarter.", ["Revenue rose on strong demand. Costs fell in the quarter."], [], None),
+    ("off_ask", "Why did revenue decline?", "Bananas are yellow fruit.", ["Revenue declined because demand fell."], [], None),
+    ("missing_facet", "What were the key drivers of the revenue decline?", "Cost drivers behind the change included freight and wages.", [DRIVERS], [], None),
+    ("explanation_instead_of_fix", "Fix this broken function.", "The loop runs too often, so the function is slow.", ["The function has a loop in a loop."], [], None),
+    ("contradiction", "What colour is the sky?", "The sky is not blue today.", ["The sky is blue today."], [], None),
+    ("fabricated_citation", "Why did revenue rise?", "Revenue rose on strong demand [fabricated-99].", ["Revenue rose on strong demand."], ["fabricated-99"], None),
+    ("wrong_citation", "Who won the final?", "Real Madrid won the final [chunk-2].", ["Real Madrid won the final.", "Bananas are yellow fruit."], [], None),
+    ("bad_source", "What happened to prices?", "Prices fell sharply in June [chunk-1].", ["Prices fell sharply in June."], [], ("https://fakenews.example/a", "fakenews.example", None)),
+    ("self_citation", "How did Acme do?", "Acme raised its sales by a fifth [chunk-1].", ["Acme raised its sales by a fifth."], [], ("https://acme.com/news", "acme.com", "Acme Press Office")),
+)
 
 
 def fixtures(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CASES), "eval_id string, question string, answer string, context array<string>, citations array<string>")
+    """eval_id (the case's place), name, question, answer, context, citations, url, domain, author."""
+    rows = [(i, *case[:5], *(case[5] or (None, None, None))) for i, case in enumerate(CASES)]
+    return spark.createDataFrame(rows, "eval_id long, name string, question string, answer string, context array<string>, citations array<string>, url string, domain string, author string")
+
+
+def fixture_chunks(cases: DataFrame) -> DataFrame:
+    """The chunks of fixtures(); a case's place, domain and author belong to its first."""
+    first = lambda c: F.when(F.col("chunk_ord") == 0, F.col(c)).alias(c)
+    rows = number_chunks(cases).join(cases.select("eval_id", "url", "domain", "author"), "eval_id")
+    return rows.select("eval_id", "chunk_ord", "chunk_id", "text", first("url"), first("domain"), F.lit(None).cast("string").alias("date"), first("author"))

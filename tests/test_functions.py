@@ -82,7 +82,7 @@ def test_formulas(spark):
     assert math.isclose(score(spark, "dag_resolution", dag), 2 / 3)
     capped = [("x", "responsive", True, 1.0), ("x", "on_ask_answer", False, 0.5)]
     assert score(spark, "relevance_capped_mean", capped) == 0.5
-    assert score(spark, "task_success_weighted", [("i", "impossible", True, 1.0), ("o", "outcome", False, 1.0)]) == 1.0
+    assert score(spark, "task_success_weighted", [("i", "impossible_success", True, 1.0), ("o", "outcome", False, 1.0)]) == 1.0
     with pytest.raises(KeyError):
         scoring.formula("none")
     with pytest.raises(ValueError):

@@ -3,30 +3,123 @@
 from pyspark.sql import functions as F
 
 from gaugeleaf.config import Config, load
-from gaugeleaf.operators import atoms, graph, pipeline, support, tasks
+from gaugeleaf.functions import providers
+from gaugeleaf.operators import atoms, graph, pipeline, records, support, tasks
+from gaugeleaf.operators import dimensions as dim
 from gaugeleaf.plans import engine
 from gaugeleaf.sources import evaluations as src
+from gaugeleaf.sources import tables
 from gaugeleaf.streaming import atom_stream
 
 
-def bundle(spark, settings=Config()):
-    fx = src.fixtures(spark).withColumn("name", F.col("eval_id")).withColumn("eval_id", F.monotonically_increasing_id())
-    fx = spark.createDataFrame(fx.collect(), fx.schema)
-    chunks = src.number_chunks(fx).select("eval_id", "chunk_ord", "chunk_id", "text", *(F.lit(None).cast("string").alias(n) for n in ("url", "domain", "date", "author")))
-    b = engine.evaluate(fx.select("eval_id", "question", "answer"), chunks, settings)
-    names = {r.eval_id: r.name for r in fx.collect()}
+def bundle(spark, settings=Config(), **more):
+    cases = src.fixtures(spark)
+    b = engine.evaluate(cases.select("eval_id", "question", "answer", "citations"), src.fixture_chunks(cases), settings, now="1970-01-01", **more)
+    names = {r.eval_id: r.name for r in cases.collect()}
     return {(names[r.eval_id], r.dimension): r for r in b.results.collect()}, b
 
 
 def test_engine_on_fixtures(spark):
-    got, b = bundle(spark)
+    points = spark.createDataFrame([(k / 10, True, "s") for k in range(10)], "confidence double, label boolean, stratum string")
+    got, b = bundle(spark, load({"reference_mode": "templated", "method": "both"}), calibration=points, recall=spark.createDataFrame([("Revenue Decline", "freight and wages")], src.RECALL))
+    assert len(got) == 8 * len(src.CASES)
     assert got["aligned", "groundedness"].score == 1.0
-    assert got["off_ask", "relevance"].score <= 0.5
-    assert got["contradiction", "hallucination"].score == 1.0
-    assert got["fabricated_citation", "hallucination"].band == "R"
+    assert got["off_ask", "relevance"].score <= 0.5 and {"method_a", "method_b"} <= set(got["aligned", "relevance"].extra)
+    assert 0 < got["missing_facet", "completeness"].extra["requirement_coverage"] < 1.0 and got["missing_facet", "completeness"].extra["recall_miss_rate"] == 0.0
+    assert "recall_miss_rate" not in got["aligned", "completeness"].extra and got["aligned", "completeness"].assurance_mode == "templated"
+    assert got["explanation_instead_of_fix", "task_success"].score < 1.0
+    assert got["contradiction", "hallucination"].score == 1.0 and got["contradiction", "hallucination"].extra["contradiction_rate"] > 0
+    assert got["fabricated_citation", "hallucination"].band == "R" and got["fabricated_citation", "hallucination"].extra["gate_failed"] == 1.0
     assert got["wrong_citation", "source_attribution"].score == 0.0 and got["wrong_citation", "groundedness"].score > 0
-    assert len({d for n, d in got if n == "aligned"}) == 8
-    assert b.summary.where("summary like '%groundedness: 1.000 [G]%'").count() >= 1
+    assert got["bad_source", "source_quality"].score < 0.6 and got["bad_source", "groundedness"].score > 0
+    stamp = got["aligned", "groundedness"].extra
+    assert stamp["conformal_band_low"] == 0.95 and stamp["conformal_abstained"] == 0.0 and "conformal_band_low" not in got["aligned", "accuracy"].extra
+    assert b.summary.where("summary like '%groundedness: 1.000 [G]%' and summary like 'Summary of 8 dimensions over % atoms:%'").count() >= 1
+    lines = b.report.where("eval_id = 0").first().report.split("\n")
+    shown = [x.split("] ")[1].split()[0] for x in lines if x.startswith("  [")]
+    assert shown == list(records.ORDER) and any(x.startswith("  atoms by tier: ") for x in lines)
+    log = b.atoms.cache()
+    assert {r.ts for r in log.select("ts").distinct().collect()} == {"1970-01-01"}
+    done = atoms.replay(b.results, log).collect()
+    assert len(done) == 8 * len(src.CASES) and all(r.ok for r in done)
+    assert log.where("role = 'frozen_set'").count() == len(src.CASES)
+    assert not all(r.ok for r in atoms.replay(b.results, log.withColumn("verdict", ~F.col("verdict"))).collect())
+
+
+def test_no_claims_no_sources(spark):
+    """Every evaluation has a row in all dimensions."""
+    ev = spark.createDataFrame([(1, "What is it?", "Maybe it rains."), (2, "Why?", "")], "eval_id long, question string, answer string")
+    chunks = src.fixture_chunks(src.fixtures(spark)).where("false")
+    got = {(r.eval_id, r.dimension): r for r in engine.evaluate(ev, chunks).results.collect()}
+    assert len(got) == 16
+    for d in ("groundedness", "accuracy", "source_attribution", "source_quality", "hallucination"):
+        assert (got[1, d].n, got[1, d].abstained, got[1, d].score, got[1, d].atom_ids) == (0, True, 0.0, [])
+    assert got[1, "hallucination"].band == "G" and got[1, "relevance"].n == 0 and not got[1, "relevance"].abstained
+
+
+def test_rescue_and_tree_change_results(spark):
+    text = "Revenue was 100 dollars. Costs were 40 dollars. Profit was 60 dollars."
+    ev = spark.createDataFrame([(1, "What was revenue?", text)], "eval_id long, question string, answer string")
+    chunks = spark.createDataFrame([(1, 0, "c0", "Revenue was 100 dollars. Costs were 40 dollars.", None, None, None, None)], "eval_id long, chunk_ord int, chunk_id string, text string, url string, domain string, date string, author string")
+    score = lambda settings: {r.dimension: r for r in engine.evaluate(ev, chunks, load(settings)).results.collect()}
+    plain, rescued = score({})["accuracy"], score({"dag_rescue": True, "tree": True})
+    assert plain.score == 2 / 3 and rescued["accuracy"].score == 1.0 and rescued["accuracy"].extra == {"successful_claims": 3.0, "axiom_derived_ratio": 2 / 3}
+    tree = rescued["relevance"]
+    assert tree.formula_id == "relevance_tree_capped_mean" and tree.extra["anchor_count"] >= 1 and tree.extra["anchor_band_low"] == 0.9
+
+
+def test_a_proper_decline_abstains(spark):
+    ev = spark.createDataFrame([(1, "What is the number nobody knows?", "I cannot answer: insufficient information, so I decline.")], "eval_id long, question string, answer string")
+    chunks = src.fixture_chunks(src.fixtures(spark)).where("false")
+    settings = load({"unanswerable": "affirm"})
+    row = engine.evaluate(ev, chunks, settings).results.where("dimension = 'relevance'").first()
+    assert (row.score, row.abstained, row.ci_low, row.ci_high, len(row.atom_ids)) == (1.0, True, 0.0, 1.0, 1)
+
+
+def test_orphans_are_off_topic_first(spark):
+    out = spark.createDataFrame([(1, "a", ["sky", "not", "blue"], True), (1, "b", ["sky", "blue", "today"], True), (1, "c", ["sky", "blue"], False), (1, "d", ["other"], True)], "eval_id int, claim_id string, tokens array<string>, on_topic boolean")
+    anchor = spark.createDataFrame([(1, ["sky", "blue"])], "eval_id int, tokens array<string>")
+    assert {r.claim_id: r.kind for r in graph.orphans(out, anchor).collect()} == {"a": "stranded_contradiction", "b": "stranded_support", "c": "off_topic", "d": "background"}
+
+
+def test_numeric_edges_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(e, k, f"c{k}", f"It was {rng.choice([rng.randint(1, 30), round(rng.uniform(1, 9), 1), rng.randint(1, 9) * 10**9])} units.") for e in range(12) for k in range(10)]
+    got = {(r.eval_id, r.src, r.dst) for r in graph.numeric_edges(spark.createDataFrame(rows, "eval_id int, ord int, claim_id string, text string")).collect()}
+    want = set()
+    for e in range(12):
+        xs = [float(t.split()[2]) for i, _, _, t in rows if i == e]
+        for n in range(10):
+            two = next(((a, b) for a in range(n) for b in range(a + 1, n) if xs[n] in (xs[a] + xs[b], xs[a] - xs[b], xs[b] - xs[a])), None)
+            want |= {(e, f"c{x}", f"c{n}") for x in two or ()}
+    assert got == want and want
+
+
+def test_tables_that_people_maintain(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"type": "x", "keywords": ["foo"], "requirements": [{"id": "r", "text": "the foo", "vital": true}]}\n{"type": "default", "requirements": []}\n')
+    types = tables.requirement_types(spark, str(tmp_path / "t.jsonl"))
+    ev = spark.createDataFrame([(1, "what foo?"), (2, "bar")], "eval_id int, question string")
+    assert [(r.eval_id, r.req_id) for r in tasks.templated(ev, types).collect()] == [(1, "r")]
+    (tmp_path / "d.jsonl").write_text('{"kind": "denied", "value": "bad.example"}\n')
+    settings = load(tables.source_lists(spark, str(tmp_path / "d.jsonl")))
+    row = spark.createDataFrame([("bad.example",)], "d string").select(dim.reliable(F.col("d"), settings).alias("ok")).first()
+    assert settings.denied == ("bad.example",) and not row.ok
+    (tmp_path / "p.jsonl").write_text('{"version": "1", "name": "realize", "text": "Say: {clause}"}\n')
+    prompt = tables.prompts(spark, str(tmp_path / "p.jsonl"), "1")["realize"]
+    assert spark.range(1).select(tables.realized(prompt, F.lit("a b")).alias("p")).first().p == "Say: a b"
+
+
+def test_providers_plug_in(spark):
+    providers.register("entailment", "never", lambda premise, hypothesis: F.struct(F.lit("N").alias("label"), F.lit(0.0).alias("raw")), "7")
+    assert providers.stamp("entailment", "never") == ("never-entailment", "7")
+    got, b = bundle(spark, load({"entailment": "never"}))
+    assert got["aligned", "groundedness"].score == 0.0 and b.atoms.where("role = 'triplet_grounded' and model = 'never-entailment' and model_version = '7'").count() > 0
+    text = spark.createDataFrame([("a red fox jumped over",), ("maybe a red fox jumped",), ("is it a red fox jumping?",)], "x string")
+    assert [r.v for r in text.select(providers.verifiable(F.col("x")).alias("v")).collect()] == [True, False, False]
+    made = text.limit(1).select(providers.generated("triplets", F.lit("Ann saw Bob and Bob ran")).alias("t"), providers.generated("repeat", F.lit("x"), 2).alias("r"), providers.generated("sentences", F.lit("A b. C d.")).alias("s")).first()
+    assert (list(made.t), list(made.r), list(made.s)) == (["Ann | saw | Bob", "Bob | ran | "], ["x", "x"], ["A b.", "C d."])
 
 
 def test_claims_and_coref(spark):
