@@ -149,6 +149,21 @@ def test_url_model_learns_its_table(spark):
     assert right >= 0.95 * len(rows)
 
 
+def test_url_rule_part_equals_sql(spark):
+    """Host, path, rule and the rules' verdicts over the pages table; the model's verdict is not SQL's to state."""
+    import duckdb
+
+    got = url_filter.op5_url_filter(spark, "/root/testdata/sf0.001").collect()
+    arms = " ".join(f"WHEN (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '{r[r.index('/'):]}') THEN '{v}|{r}'" for v, r in sorted(url_filter.RULES, key=lambda x: -len(x[1])))
+    sql = f"""SELECT page_id, host, path, CASE {arms} END AS fit FROM (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM '/root/testdata/sf0.001/pages.parquet')"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    assert len(got) == len(want) and all((r.host, r.path) == want[r.page_id][:2] for r in got)
+    for r in got:
+        fit = want[r.page_id][2]
+        assert (r.rule, r.verdict) == tuple(reversed(fit.split("|"))) if fit else r.rule is None and r.verdict == ("block" if r.score >= 0.5 else "allow")
+
+
 def luhn(d):
     return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
