@@ -3,7 +3,7 @@
 Host: what follows the first "://" up to a slash, question mark, hash or the end, A-Z lower-cased. Path: what follows it up
 to a question mark, hash or the end. A rule fits its host and all subdomains where the path starts with the rule's; the
 longest fitting rule decides. Other URLs are judged by the model: 3- to 5-character grams of host and path, marked apart
-and at their ends, hashed to weights that a small labelled table taught.
+and at their ends, hashed to weights that a small labelled table taught: words that tell, in invented URLs of several frames.
 
 Cases: a null URL or one without "://" has an empty host and path, which no rule fits; the model judges what remains. Rows
 that repeat are judged alike. Other columns, html too, are not read. An empty table gives an empty result.
@@ -23,28 +23,27 @@ from gaugeleaf.llm.common import table
 BUCKETS, SIZES = 1024, (3, 4, 5)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: Hosts and paths of invented URLs to learn from: unwanted, then wanted.
-UNWANTED = """casino-bonus.example/win/free-spins slots777.example/jackpot bestpills.example/buy/cheap-pills viagra-shop.example/order
-hot-singles.example/chat/now xxxvideos.example/watch adult-cams.example/live free-iphone.example/claim/prize lottery-winner.example/claim
-login-verify.example/account/confirm secure-bank-update.example/signin.php crypto-doubler.example/send/btc get-rich-fast.example/offer
-cheap-watches.example/replica/buy torrent-movies.example/download/crack warez-keys.example/serial/keygen popup-ads.example/click?id=1
-clickbait.example/you-wont-believe spam-links.example/seo/backlinks buy-followers.example/instagram/likes tracker.adserver.example/banner/click
-doubleclick.ads.example/pixel.gif win.prize-draw.example/spin betting-odds.example/poker/bonus escort-city.example/girls
-payday-loans.example/apply/instant miracle-diet.example/lose-weight-fast fake-news.example/shocking/truth hacktool.example/cheats/free
-proxy-list.example/free/vpn/download""".split()
-WANTED = """news.example/world/article/2021 encyclopedia.example/wiki/physics university.example/research/papers library.example/catalog/books
-docs.example/manual/install weather.example/forecast/city museum.example/exhibitions/history blog.gardening.example/posts/roses
-recipes.example/soup/lentil government.example/services/passport health.example/conditions/flu school.example/courses/algebra
-opensource.example/projects/compiler forum.example/questions/123 travel.example/guides/alps sports.example/results/football
-science.example/journal/issue-4 music.example/albums/review city-council.example/meetings/minutes maps.example/streets
-law.example/statutes/chapter-2 history.example/essays/rome nature.example/birds/robin kids.example/stories/tales
-engineering.example/bridges/design chess.example/openings/sicilian dictionary.example/words/leaf archive.example/letters/1890
-cinema.example/reviews/drama statistics.example/tables/census""".split()
+#: Words of names that are unwanted, and of names that are not, to make labelled URLs of.
+UNWANTED = """casino slots jackpot poker betting lottery bingo roulette pills viagra pharma steroids porn xxx adult sex escort singles cams nude
+payday loans doubler freecoins iphone-prize winner warez keygen crack torrent replica spam backlinks clickbait popup adserver tracker
+phishing login-verify hacktool cheats miracle-diet get-rich malware scam""".split()
+WANTED = """news library university school museum weather recipes garden travel maps health law history nature music cinema science
+engineering chess dictionary archive statistics council sports forum docs wiki journal research books courses community church village
+energy bakery railway parliament hospital theatre farming geology poetry""".split()
+#: Where in a URL a word can stand; {n} is a number.
+FRAMES = (
+    "http://www.{w}.example.com/en/{n}", "https://{w}-{n}.example.org/de/{n}.html", "http://m.{w}-x.example.net/fr/{n}?page=2", "https://blog.best{w}.example.org/{n}/", "http://site{n}.example.com/{w}/{n}#top",
+)
+#: Syllables of made-up names, which are wanted as far as their letters say nothing.
+SYLLABLES = "ka lo mi ren tor sel va dun pe shi ro an the on er st ne li".split()
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, label (1: unwanted): the small table that comes with the filter."""
-    rows = [(f"http://{u}", 1) for u in UNWANTED] + [(f"http://{u}", 0) for u in WANTED]
+    """url, label (1: unwanted): a small table, every word in every frame and as many made-up names as there are unwanted words."""
+    n = len(SYLLABLES)
+    made = [SYLLABLES[i % n] + SYLLABLES[(3 * i + 1) % n] + SYLLABLES[(7 * i + i // n) % n] for i in range(len(UNWANTED))]
+    words = [(w, 1) for w in UNWANTED] + [(w, 0) for w in (*WANTED, *made)]
+    rows = [(frame.format(w=w, n=(37 * i + 11 * j) % 9000 + 100), label) for i, (w, label) in enumerate(words) for j, frame in enumerate(FRAMES)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -79,13 +78,13 @@ def gram_buckets(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(*(_grams(mark, whole, n, buckets) for mark, whole in ends for n in SIZES))
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS, most: int = 10_000) -> tuple[list[float], float]:
+def train(labelled: DataFrame, buckets: int = BUCKETS, most: int = 10_000, penalty: float = 0.001) -> tuple[list[float], float]:
     """Weights by bucket and the intercept. Uses `most` labelled rows at most, always the same ones."""
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("label in (0, 1)").select("url", "label").distinct().orderBy(F.xxhash64("url", "label"), "url", "label").limit(most)
     grams = rows.select(F.col("label").cast("double").alias("label"), gram_buckets(host, path, buckets).alias("g"))
     share = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: (F.size("g") - F.size(F.array_remove("g", b))) / F.sqrt(F.greatest(F.size("g"), F.lit(1))))
-    model = LogisticRegression(maxIter=50, regParam=0.01, standardization=False).fit(grams.select("label", array_to_vector(share).alias("features")))
+    model = LogisticRegression(maxIter=100, regParam=penalty, standardization=False).fit(grams.select("label", array_to_vector(share).alias("features")))
     return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
 
 
