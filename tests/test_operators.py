@@ -1,5 +1,6 @@
 """Pipeline, support, graph, log, streaming and the engine on small cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeleaf.config import Config, load
@@ -12,6 +13,14 @@ from gaugeleaf.sources import tables
 from gaugeleaf.streaming import atom_stream
 
 
+@pytest.fixture(autouse=True)
+def interpreted(spark):
+    """Wide plans over a few rows: compiling them takes longer than running them."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+
+
 def bundle(spark, settings=Config(), **more):
     cases = src.fixtures(spark)
     b = engine.evaluate(cases.select("eval_id", "question", "answer", "citations"), src.fixture_chunks(cases), settings, now="1970-01-01", **more)
