@@ -23,7 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The rest, and the pipeline, can't be stated in SQL: tests hold them against brute force."""
+    """The rest, and the pipeline, can't be stated in SQL as a whole: tests hold them against brute force, op5's rules and op9's base columns against SQL."""
     return {
         "op2_substring_dedup": substring_dedup.ORACLE,
         "op4_decontamination": decontamination.ORACLE,
