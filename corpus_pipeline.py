@@ -57,7 +57,8 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL can't state a trained model, Gumbel noise by hash or ranked merges: tests hold run() against a brute-force version.
+#: SQL can't state a trained model, Gumbel noise by hash or ranked merges: tests hold each stage against plain Python and the
+#: last one against the tokenizer's library.
 ORACLE_SQL = None
 
 
