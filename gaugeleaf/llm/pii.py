@@ -15,6 +15,8 @@ Cases: a null text stays null, an empty one empty. What looks alike but fails it
 rows. Other columns are kept as they are, whatever their names; only one named pii gives way to the result's. An empty table
 gives an empty result.
 
+Texts and runs of digits of any length are searched whole, in time and memory in proportion to them.
+
 Size: one scan and no shuffle; texts without a digit or an at-sign pass without the search. DataFrame functions only.
 """
 
@@ -48,11 +50,18 @@ SHAPES = (
         r"|(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}|\+[2-9](?:[ .-]?\(?[0-9]\)?){6,14}",
     ),
 )
-#: A run of digits in which card numbers are looked for; it ends before a value of another kind.
-SHAPES += ((CARD, r"[0-9](?:[ -](?!(?:" + "|".join(shape for kind, shape in SHAPES if kind in (DATE, IP, SSN, PHONE)) + r")(?![A-Za-z0-9_-]))[0-9]|[0-9]){12,}"),)
+#: A run of digits in which card numbers are looked for: groups between blanks or hyphens; it ends before a value of another
+#: kind, and after the last group that such a number may end with. All loops over a run are possessive, which Java matches in a
+#: loop; other repeated groups have bounds, since Java goes one call deeper with each turn of them.
+_OTHER = r"(?!(?:" + "|".join(shape for kind, shape in SHAPES if kind in (DATE, IP, SSN, PHONE)) + r")(?![A-Za-z0-9_-]))"
+_END = r"(?![A-Za-z0-9_-]|\.[0-9])"
+_GROUP = rf"[0-9]++(?:-{_OTHER}[0-9]++)*+{_END}"
+SHAPES += ((CARD, rf"(?=[0-9](?:[ -]{_OTHER}[0-9]|[0-9]){{12}}){_GROUP}(?: {_OTHER}{_GROUP})*+"),)
 #: Country codes of one and two digits; all others have three.
 COUNTRY = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
-PATTERN = r"(?<![A-Za-z0-9.+_-])(?:" + "|".join(shape for _, shape in SHAPES) + r")(?![A-Za-z0-9_-]|\.[0-9])"
+PATTERN = r"(?<![A-Za-z0-9.+_-])(?:" + "|".join(shape for _, shape in SHAPES) + ")" + _END
+#: Groups of a run that one fold passes over; a fold copies what it has kept at each step.
+BLOCK = 512
 
 
 def _once(value: Column, use) -> Column:
@@ -122,24 +131,45 @@ def _card(text: Column, key: Column) -> Column:
 
 
 def _pieces(found: Column) -> Column:
-    """A run of digits in pieces that make it up: card numbers from one group border to another, longest first, and single groups."""
+    """A run of digits in pieces that make it up: card numbers from one group border to another, longest first, and single groups.
+
+    Runs have any length: a step looks at the 19 groups that a card number can have, and folds go over blocks of groups.
+    """
+
+    def fits(near: Column) -> Column:
+        """How many of the first groups make up the longest card number, or null."""
 
-    def cut(s: Column) -> Column:
-        groups, n = s["groups"], F.size(s["groups"])
+        def add(s: Column, g: Column) -> Column:
+            total = s["total"] + g["digits"]
+            return F.struct(F.least(total, F.lit(20)).alias("total"), (s["k"] + 1).alias("k"), F.when(total.between(13, 19), F.concat(F.array(s["k"] + 1), s["ends"])).otherwise(s["ends"]).alias("ends"))
+
+        start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("ends"))
+        ends = F.aggregate(near, start, add)["ends"]
+        return F.get(F.filter(ends, lambda k: _luhn(_digits(_text(F.slice(near, F.lit(1), k)))) % 10 == 0), F.lit(0))
+
+    def cut(groups: Column) -> Column:
+        n = F.size(groups)
 
         def step(state: Column, i: Column) -> Column:
-            ends = F.sequence(F.least(i + 18, n - 1), i, F.lit(-1))
-            runs = F.transform(ends, lambda j: F.struct(j.alias("end"), F.array_join(F.slice(groups, i + 1, j - i + 1), "").alias("text")))
-            fits = F.filter(runs, lambda r: F.length(_digits(r["text"])).between(13, 19) & (_luhn(_digits(r["text"])) % 10 == 0))
-            single = F.struct(i.alias("end"), F.get(groups, i).alias("text"))
-            took = _once(F.coalesce(F.get(fits, F.lit(0)), single), lambda r: F.struct((r["end"] + 1).alias("next"), F.concat(state["pieces"], F.array(r["text"])).alias("pieces")))
-            return F.when(i < state["next"], state).otherwise(took)
-
-        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("pieces"))
-        return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["pieces"]
-
-    groups = F.regexp_extract_all(found, F.lit("[0-9]+[ -]?"), F.lit(0))
-    return F.when(kind_of(found) == CARD, _once(F.struct(groups.alias("groups")), cut)).otherwise(F.array(found))
+            def took(near: Column) -> Column:
+                return _once(F.coalesce(fits(near), F.lit(1)), lambda k: F.struct((i + k).alias("next"), F.concat(state["pieces"], F.array(_text(F.slice(near, F.lit(1), k)))).alias("pieces")))
+
+            return F.when(i < state["next"], state).otherwise(_once(F.slice(groups, i + 1, F.lit(19)), took))
+
+        def block(state: Column, b: Column) -> Column:
+            start = F.struct(state["next"].alias("next"), F.array().cast("array<string>").alias("pieces"))
+            inner = F.aggregate(F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK, n) - 1), start, step)
+            return _once(inner, lambda s: F.struct(s["next"].alias("next"), F.concat(state["blocks"], F.array(s["pieces"])).alias("blocks")))
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<array<string>>").alias("blocks"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), start, block)["blocks"])
+
+    groups = F.transform(F.regexp_extract_all(found, F.lit("[0-9]+[ -]?"), F.lit(0)), lambda g: F.struct(g.alias("text"), F.length(F.rtrim(F.replace(g, F.lit("-"), F.lit(" ")))).alias("digits")))
+    return F.when(kind_of(found) == CARD, _once(groups, cut)).otherwise(F.array(found))
+
+
+def _text(groups: Column) -> Column:
+    return F.array_join(F.transform(groups, lambda g: g["text"]), "")
 
 
 def _mod97(text: Column) -> Column:

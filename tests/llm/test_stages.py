@@ -223,3 +223,17 @@ def test_pseudonyms_need_a_key_to_repeat(spark):
     assert one == {r.doc_id: r.text for r in pii.pseudonymize(df, "one").collect()} != {r.doc_id: r.text for r in pii.pseudonymize(df, "two").collect()}
     drawn = {r.doc_id: r.text for r in pii.pseudonymize(df).collect()}
     assert drawn[2] == f"so {drawn[1]}" and drawn == {r.doc_id: r.text for r in pii.pseudonymize(df).collect()}
+
+
+def test_runs_of_digits_of_any_length(spark):
+    card = "4111 1111 1111 1111"
+    for run, by in (("7" * 10_000, 1), ("12 34 " * 2500, 1), ("7" * 300_000, 1), ("12 34-" * 50_000, 0), ("7" * 5_000_000, 0)):
+        text = f"see {run} and {card}."
+        rows = corpus_pipeline.private(spark, spark.createDataFrame([(1, text, len(text)), (2, None, None)], "doc_id long, text string, n_chars long"), "")
+        got = {r.doc_id: r.text for r in rows.collect()}
+        assert got[2] is None and len(got[1]) == len(text) and card not in got[1] and got[1].startswith("see ")
+        if by:
+            spark.conf.set("spark.gaugeleaf.pii.key", "k1")
+            same = {r.doc_id: r.text for r in corpus_pipeline.private(spark, rows.sparkSession.createDataFrame([(1, text)], "doc_id long, text string"), "").collect()}
+            spark.conf.unset("spark.gaugeleaf.pii.key")
+            assert same[1] == plain_text(text, "k1")
