@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gaugeleaf.llm import byte_bpe, decontamination, near_dedup, packing, pii, quality_resampling, quality_rules, substring_dedup, toxicity, url_filter
+from gaugeleaf.llm import byte_bpe, conversation_repair, decontamination, near_dedup, packing, periodic_runs, pii, quality_resampling, quality_rules, sharding, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_quality_resampling": quality_resampling.op8_quality_resampling,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_sharding": sharding.op11_sharding,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": substring_dedup.ORACLE,
         "op4_decontamination": decontamination.ORACLE,
         "op10_near_dedup": near_dedup.ORACLE,
+        "op12_conversation_repair": conversation_repair.ORACLE,
+        "op13_periodic_runs": periodic_runs.ORACLE,
     }
