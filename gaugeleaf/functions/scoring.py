@@ -115,22 +115,38 @@ def by_formula(atoms: DataFrame, by: list[str]) -> DataFrame:
 
     Sums over a subject's atoms and then over subjects serve every formula; formulas registered besides are added by themselves.
     """
+    out = from_subjects(subject_sums(atoms.where(F.col("formula_id").isin(*_OWN)), by), by)
+    for name in _REGISTRY.keys() - _OWN:
+        out = out.unionByName(formula(name)(atoms.where(F.col("formula_id") == name), by).select(*by, "score"))
+    return out
+
+
+_ROLES = ("responsive", "claim_relevance", "outcome")
+
+
+def subject_sums(atoms: DataFrame, by: list[str]) -> DataFrame:
+    """What the built-in formulas need of each subject, in sums and firsts that keep up with new atoms (batch or stream)."""
     v, w, role = F.col("verdict"), F.col("weight"), F.col("role")
     held = F.when(v, w).otherwise(0.0)
     some = lambda of, x: F.coalesce(F.sum(F.when(of, x)), F.lit(0.0))
     first = lambda r: F.min(F.when(role == r, F.struct("seq", "verdict", "weight")))
     every = F.lit(True)
-    subjects = atoms.where(F.col("formula_id").isin(*_OWN)).groupBy(*by, "subject").agg(
+    return atoms.groupBy(*by, "subject").agg(
         F.count("*").alias("n"), some(every, _bit(v)).alias("k"), some(every, w).alias("w"), some(every, held).alias("kw"), F.bool_and(v).alias("all"), F.min_by(w, "seq").alias("w1"),
         first("axiom").alias("axiom"), F.bool_or(_is("derived", v)).alias("derived"), F.bool_or(_is("abstain_relevant", v)).alias("abstain"), F.bool_or(_is("impossible_success", v)).alias("impossible"),
-        first("on_ask_answer").alias("ask"), *(part for r in ("responsive", "claim_relevance", "outcome") for part in (
+        first("on_ask_answer").alias("ask"), *(part for r in _ROLES for part in (
             F.count_if(role == r).alias(f"n_{r}"), some(role == r, _bit(v)).alias(f"k_{r}"), some(role == r, w).alias(f"w_{r}"), some(role == r, held).alias(f"kw_{r}"))),
     )
+
+
+def from_subjects(subjects: DataFrame, by: list[str]) -> DataFrame:
+    """by, score: each group's score by its column formula_id, from the sums of its subjects."""
+    some = lambda of, x: F.coalesce(F.sum(F.when(of, x)), F.lit(0.0))
     node = F.when(F.col("derived"), True).otherwise(F.col("axiom.verdict"))
     total = lambda c: F.sum(c).alias(c)
     groups = subjects.groupBy(*by).agg(
         *map(total, ("n", "k", "w", "kw")), some(F.col("all"), F.col("w1")).alias("kw1"), F.sum("w1").alias("w1"), _mean(_bit(node)).alias("dag"), F.bool_or("abstain").alias("abstain"),
-        F.bool_or("impossible").alias("impossible"), F.min("ask").alias("ask"), *(total(f"{x}_{r}") for r in ("responsive", "claim_relevance", "outcome") for x in ("n", "k", "w", "kw")),
+        F.bool_or("impossible").alias("impossible"), F.min("ask").alias("ask"), *(total(f"{x}_{r}") for r in _ROLES for x in ("n", "k", "w", "kw")),
     )
     share = lambda x, y: F.coalesce(F.col(x) / F.nullif(F.col(y).cast("double"), F.lit(0.0)), F.lit(0.0))
     capped = lambda base: F.when(F.col("abstain"), 1.0).when(~F.col("ask.verdict"), F.least(base, F.col("ask.weight"))).otherwise(base)
@@ -143,10 +159,7 @@ def by_formula(atoms: DataFrame, by: list[str]) -> DataFrame:
     score = F.lit(None).cast("double")
     for name, value in table.items():
         score = F.when(F.col("formula_id") == name, value).otherwise(score)
-    out = groups.select(*by, score.alias("score"))
-    for name in _REGISTRY.keys() - _OWN:
-        out = out.unionByName(formula(name)(atoms.where(F.col("formula_id") == name), by).select(*by, "score"))
-    return out
+    return groups.select(*by, score.alias("score"))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -171,31 +184,75 @@ def should_abstain(n: Column, settings: Config = Config()) -> Column:
     return n < settings.min_n
 
 
-def conformal(points: DataFrame, strata: bool = False, alpha: float = 0.05, min_n: int = 6) -> DataFrame:
-    """stratum (null: all), threshold, tau_hat, band_low, band_high, n, abstained, from confidence and label.
+def order_statistic(rows: DataFrame, by: list[str], value: str, rank: Column, levels: int = 2, width: int = 4096) -> DataFrame:
+    """by, n, value: the rank-th smallest value of each group, exact; rank may read n. Null values are left out, value is null for rank 0.
 
-    Calibration sets are labelled by hand and small; their true confidences are ranked by a window in each stratum, and the
-    ceil((1 - alpha) * (n + 1))-th smallest of 1 - confidence is taken.
+    No group is sorted. Values are counted in buckets of 1 / width, a running sum over these few counts finds the bucket of the
+    wanted rank, and only its values are counted in finer buckets; what is left after `levels` rounds is summed by distinct value.
     """
     from pyspark.sql import Window
 
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
+    n = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    open_ = n.withColumn("left", rank.cast("long"))
+    same = lambda a, b: F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in by) or "true")
+    held = rows
+    for level in range(1, levels + 2):
+        cell = F.floor(F.col("x") * F.lit(float(width) ** level)) if level <= levels else F.col("x")
+        counts = held.withColumn("cell", cell).groupBy(*by, "cell").agg(F.count("*").alias("held"))
+        upto = F.sum("held").over(Window.partitionBy(*by).orderBy("cell"))
+        found = counts.withColumn("upto", upto).alias("c").join(F.broadcast(open_.select(*by, "left")).alias("o"), same("c", "o")).where("upto >= left and upto - held < left")
+        open_ = found.select(*(F.col(f"c.{c}").alias(c) for c in by), "cell", (F.col("left") - (F.col("upto") - F.col("held"))).alias("left"))
+        if level <= levels:
+            picked = F.broadcast(open_.select(*by, F.col("cell").alias("want")))  # one row a group
+            held = held.alias("h").join(picked.alias("p"), same("h", "p") & (cell == F.col("want"))).select("h.*")
+    return n.alias("n").join(open_.select(*by, F.col("cell").alias("value")).alias("f"), same("n", "f"), "left").select(*(F.col(f"n.{c}").alias(c) for c in by), "n.n", "f.value")
+
+
+def conformal(points: DataFrame, strata: bool = False, alpha: float = 0.05, min_n: int = 6) -> DataFrame:
+    """stratum (null: all), threshold, tau_hat, band_low, band_high, n, abstained, from confidence and label.
+
+    tau_hat is the ceil((1 - alpha) * (n + 1))-th smallest of 1 - confidence over the true points, an exact order statistic.
+    """
     rows = points.select(F.lit(None).cast("string").alias("stratum"), "confidence", "label")
     if strata:
         rows = rows.unionByName(points.select(F.col("stratum").cast("string").alias("stratum"), "confidence", "label"))
-    counts = rows.groupBy("stratum").agg(F.count_if("label").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("confidence")))
-    ranked = rows.where("label").select("stratum", "confidence", rank.alias("rank"))
-    k = F.least(F.ceil((1 - alpha) * (F.col("n") + 1)), F.col("n")).cast("int")
-    same = F.col("c.stratum").eqNullSafe(F.col("r.stratum")) & (F.col("rank") == k)
-    joined = counts.alias("c").join(ranked.alias("r"), same, "left")
+    groups = rows.groupBy("stratum").agg(F.count_if("label").alias("n"))
+    k = F.least(F.ceil((1 - alpha) * (F.col("n") + 1)), F.col("n"))
+    best = order_statistic(rows.where("label").withColumn("lack", -F.col("confidence")), ["stratum"], "lack", k)
+    joined = groups.alias("c").join(best.select(F.col("stratum").alias("own"), (-F.col("value")).alias("confidence")), F.expr("c.stratum <=> own"), "left")
     few = (F.col("n") < min_n) | F.col("confidence").isNull()
     tau = F.when(few, 1.0).otherwise(1 - F.col("confidence"))
     high = F.when(few, 1.0).otherwise(F.least(F.lit(1.0), 1 - alpha + 1 / (F.col("n") + 1)))
     return joined.select(
-        F.col("c.stratum").alias("stratum"), F.when(few, 0.0).otherwise(1 - tau).alias("threshold"), tau.alias("tau_hat"),
+        "stratum", F.when(few, 0.0).otherwise(1 - tau).alias("threshold"), tau.alias("tau_hat"),
         F.lit(1 - alpha).alias("band_low"), high.alias("band_high"), F.col("n").cast("long").alias("n"), few.alias("abstained"),
     )
 
 
+def reliability(points: DataFrame, bins: int = 10) -> DataFrame:
+    """stratum (null: all), bin, low, high, n, accuracy, confidence: stated confidences against labels, by bin; empty bins stay, with n 0.
+
+    Both groupings come from one pass over partial sums. A confidence on a border belongs to the bin above it, 1 to the last.
+    """
+    place = F.least(F.greatest(F.floor(F.col("confidence") * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    rows = points.where("confidence is not null and label is not null").select(F.coalesce(F.col("stratum").cast("string"), F.lit("default")).alias("stratum"), "confidence", F.col("label").cast("int").alias("hit"), place.alias("bin"))
+    sums = rows.groupingSets([["stratum", "bin"], ["bin"]], "stratum", "bin").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.sum("confidence").alias("stated"))
+    every = sums.select("stratum").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).alias("e")
+    met = every.join(sums.alias("s"), F.expr("e.stratum <=> s.stratum and e.bin = s.bin"), "left")
+    return met.select("e.stratum", "e.bin", (F.col("e.bin") / bins).alias("low"), ((F.col("e.bin") + 1) / bins).alias("high"), F.coalesce("n", F.lit(0)).alias("n"), (F.col("hits") / F.col("n")).alias("accuracy"), (F.col("stated") / F.col("n")).alias("confidence"))
+
+
+def calibration_error(table: DataFrame, min_n: int = 1) -> DataFrame:
+    """stratum, n, bins, used, ece, mce, abstained from reliability(): the mean and the largest gap of accuracy and confidence.
+
+    With the number of bins and of those in use, as ece says little without them; fewer points than min_n abstain.
+    """
+    gap = F.abs(F.col("accuracy") - F.col("confidence"))
+    rows = table.groupBy("stratum").agg(F.sum("n").alias("n"), F.count("*").alias("bins"), F.count_if(F.col("n") > 0).alias("used"), F.sum(gap * F.col("n")).alias("total"), F.max(gap).alias("mce"))
+    few = F.col("n") < min_n
+    return rows.select("stratum", "n", "bins", "used", F.when(~few, F.col("total") / F.col("n")).alias("ece"), F.when(~few, F.col("mce")).alias("mce"), few.alias("abstained"))
+
+
 def retain(confidence: Column, threshold: Column, abstained: Column) -> Column:
     return abstained | (confidence >= threshold)

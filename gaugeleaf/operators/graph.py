@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeleaf import config as c
@@ -27,8 +27,9 @@ def _confirms(premise: Column, target: Column, tau: float) -> Column:
     return (raw >= tau) & ~((raw >= 0.5) & (F.arrays_overlap(premise, negation) != F.arrays_overlap(target, negation)))
 
 
-def topical_edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:
-    """eval_id, src, dst: earlier claims that share terms with a later one and together entail it, reduced to what is needed.
+def premise_sets(claims: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, ord, claim_id, tokens, ps: for each claim the earlier claims (structs of ord, id, tokens) that share terms with it and
+    together entail it, none left out yet.
 
     claims has eval_id, ord, claim_id, text. An answer's claims are few; pairs stay within one answer.
     """
@@ -36,7 +37,12 @@ def topical_edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:
     a = rows.select("eval_id", F.struct(F.col("ord"), F.col("claim_id").alias("id"), F.col("tokens")).alias("p"), F.col("terms").alias("p_terms"))
     met = rows.join(a, "eval_id").where((F.col("p.ord") < F.col("ord")) & (t.coverage(F.col("terms"), F.col("p_terms")) >= settings.topical_min))
     sets = met.groupBy("eval_id", "ord", "claim_id").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.first("tokens").alias("tokens"))
-    sets = sets.where(_confirms(F.array_distinct(F.flatten(F.transform("ps", lambda p: p["tokens"]))), F.col("tokens"), settings.edge_tau))
+    return sets.where(_confirms(F.array_distinct(F.flatten(F.transform("ps", lambda p: p["tokens"]))), F.col("tokens"), settings.edge_tau))
+
+
+def topical_edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, src, dst: the premise sets, reduced to what is needed."""
+    sets = premise_sets(claims, settings)
     kept = sets.select("eval_id", F.col("claim_id").alias("dst"), F.explode(minimal(F.col("ps"), F.col("tokens"), settings.edge_tau)).alias("p"))
     return kept.select("eval_id", F.col("p.id").alias("src"), "dst").where("src <> dst").distinct()
 
@@ -64,9 +70,62 @@ def numeric_edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:
 
 
 def edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:
-    """Numeric premises where there are any, else topical ones."""
+    """Numeric premises where there are any, else topical ones; without cycles.
+
+    Premises stand earlier than what they support, so only a claim that an answer repeats can lead back to itself.
+    """
+    claims = shared_checkpoint(claims.select("eval_id", "ord", "claim_id", "text"))
     numeric = numeric_edges(claims, settings)
-    return numeric.unionByName(topical_edges(claims, settings).join(numeric.select("eval_id", "dst").distinct(), ["eval_id", "dst"], "left_anti"))
+    found = numeric.unionByName(topical_edges(claims, settings).join(numeric.select("eval_id", "dst").distinct(), ["eval_id", "dst"], "left_anti"))
+    order = claims.groupBy("eval_id", F.col("claim_id").alias("node")).agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    again = shared_checkpoint(order.where("n > 1").select("eval_id").distinct())
+    if again.isEmpty():
+        return found
+    found = shared_checkpoint(found)
+    cut = cut_cycles(found.join(again, "eval_id", "left_semi"), order.join(again, "eval_id", "left_semi"))
+    return found.join(again, "eval_id", "left_anti").unionByName(cut)
+
+
+def cut_cycles(links: DataFrame, order: DataFrame) -> DataFrame:
+    """links (eval_id, src, dst) without those by which the first node of a cycle leads into it. order: eval_id, node, ord.
+
+    Each cycle has a back link, from a node to itself or to an earlier one, and lies where back links' stretches of ord overlap; all
+    other links stay unseen. In each such stretch the first node that a back link leads to loses its links to nodes that
+    lead back to it, which ends all its cycles; with its links set aside, the stretches are made anew, until no back link is
+    left. Rounds: as many as back links lead to different nodes of a stretch, and within each the steps of its longest way.
+    """
+    at = order.select("eval_id", F.col("node").alias("at"), "ord")
+    ends = lambda x, name: at.withColumnRenamed("at", x).withColumnRenamed("ord", name)
+    links = shared_checkpoint(links.select("eval_id", "src", "dst").distinct().join(ends("src", "a"), ["eval_id", "src"]).join(ends("dst", "b"), ["eval_id", "dst"]))
+    rest, cut = links, []
+    while True:
+        back = shared_checkpoint(stretches(rest.where("a >= b").select("eval_id", F.col("b").alias("low"), F.col("a").alias("high"))))
+        if back.isEmpty():
+            break
+        blocks = back.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / 1024), F.floor(F.col("high") / 1024))))
+        inside = rest.withColumn("block", F.floor(F.col("a") / 1024)).join(blocks, ["eval_id", "block"]).where("a between low and high and b between low and high")
+        inside = shared_checkpoint(inside.select("eval_id", "src", "dst", "a", "b", "low"))
+        reach = frontier = shared_checkpoint(inside.where("b = low").select("eval_id", "low", F.col("src").alias("node")).distinct())
+        while not frontier.isEmpty():
+            into = inside.select("eval_id", "low", F.col("dst").alias("node"), "src", "a").where("a > low")
+            step = frontier.join(into, ["eval_id", "low", "node"]).select("eval_id", "low", F.col("src").alias("node")).distinct()
+            frontier = shared_checkpoint(step.join(reach, ["eval_id", "low", "node"], "left_anti"))
+            reach = reach.unionByName(frontier)
+        gone = inside.where("a = low").join(reach.withColumnRenamed("node", "dst"), ["eval_id", "low", "dst"], "left_semi")
+        cut.append(shared_checkpoint(gone.select("eval_id", "src", "dst")))
+        rest = inside.where("a <> low and b <> low").select("eval_id", "src", "dst", "a", "b")  # no other link is on a cycle
+    kept = links.select("eval_id", "src", "dst")
+    for gone in cut:
+        kept = kept.join(gone, ["eval_id", "src", "dst"], "left_anti")
+    return kept
+
+
+def stretches(spans: DataFrame) -> DataFrame:
+    """eval_id, low, high: spans that overlap put together, by a running maximum over sorted starts."""
+    before = Window.partitionBy("eval_id").orderBy("low", F.desc("high")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.distinct().withColumn("new", F.coalesce((F.col("low") > F.max("high").over(before)).cast("int"), F.lit(1)))
+    rows = rows.withColumn("k", F.sum("new").over(Window.partitionBy("eval_id").orderBy("low", F.desc("high"))))
+    return rows.groupBy("eval_id", "k").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("k")
 
 
 def typed(claims: DataFrame, supports: DataFrame) -> DataFrame:
@@ -109,30 +168,43 @@ def support_tree(anchor: DataFrame, links: DataFrame, settings: Config = Config(
 def rescue(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """eval_id, node, axiom, resolved: a node that is no axiom resolves once all its parents, one at least, do.
 
-    Each round resolves what the last one allows, until nothing changes; the state is checkpointed between rounds.
+    A round joins only the nodes that the last one resolved with the links that still wait for their premise, and what it answers
+    leaves those links; rounds end when nothing resolves.
     """
-    state, links = nodes.select("eval_id", "node", "axiom", F.col("axiom").alias("resolved")), shared_checkpoint(links)
-    while True:
-        parents = links.join(state.select("eval_id", F.col("node").alias("src"), F.col("resolved").alias("ok")), ["eval_id", "src"], "left")
-        ready = parents.groupBy("eval_id", F.col("dst").alias("node")).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ready"))
-        new = state.join(ready, ["eval_id", "node"], "left").withColumn("new", F.col("resolved") | F.coalesce("ready", F.lit(False)))
-        new = shared_checkpoint(new)
-        changed = not new.where("new and not resolved").isEmpty()
-        state = new.select("eval_id", "node", "axiom", F.col("new").alias("resolved"))
-        if not changed:
-            return state
+    rows = nodes.select("eval_id", "node", "axiom").distinct()
+    frontier = shared_checkpoint(rows.where("axiom").select("eval_id", "node"))
+    derived = rows.where("not axiom").select("eval_id", F.col("node").alias("dst"))
+    waiting = shared_checkpoint(links.select("eval_id", "src", "dst").distinct().join(derived, ["eval_id", "dst"], "left_semi"))
+    resolved = frontier
+    while not frontier.isEmpty():
+        met = shared_checkpoint(waiting.join(frontier.select("eval_id", F.col("node").alias("src"), F.lit(True).alias("hit")), ["eval_id", "src"], "left"))
+        frontier = shared_checkpoint(met.groupBy("eval_id", F.col("dst").alias("node")).agg(F.bool_and(F.col("hit").isNotNull()).alias("all")).where("all").select("eval_id", "node"))
+        waiting = met.where("hit is null").select("eval_id", "src", "dst")
+        resolved = resolved.unionByName(frontier)
+    return rows.join(resolved.withColumn("ok", F.lit(True)), ["eval_id", "node"], "left").select("eval_id", "node", "axiom", F.coalesce("ok", F.lit(False)).alias("resolved"))
+
+
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one on a local master only."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN:
+        import tempfile
+
+        _OWN.append(tempfile.mkdtemp(prefix="gaugeleaf-"))
+    return _OWN[0]
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that spark.checkpoint.dir names; where it is unset, a temporary one on a local master only."""
+    """checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gaugeleaf-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -168,7 +240,7 @@ def graded(signals: DataFrame, links: DataFrame, settings: Config = Config()) ->
 
 
 def anchor_band(signals: DataFrame, links: DataFrame, settings: Config = Config()) -> DataFrame:
-    """eval_id, anchor_count, band_low, band_high, abstained: the guarantee on anchors, from how much of the question each covers."""
+    """eval_id, anchor_count, band_low, band_high, abstained: the guarantee on anchors, by how many there are."""
     nodes = signals.select("eval_id", F.col("claim_id").alias("node")).distinct()
     anchor = anchors(nodes, links, signals.where("on_ask").select("eval_id", F.col("claim_id").alias("node")).distinct(), settings)
     n = anchor.groupBy("eval_id").agg(F.count("*").alias("anchor_count"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gaugeleaf.plans import atom_queries, graph_queries, result_queries, support_queries, task_queries, text_queries
+from gaugeleaf.plans import atom_queries, graph_queries, reasoning_queries, result_queries, support_queries, task_queries, text_queries
 
-MODULES = (atom_queries, text_queries, support_queries, task_queries, graph_queries, result_queries)
+MODULES = (atom_queries, text_queries, support_queries, task_queries, graph_queries, reasoning_queries, result_queries)
 
 
 def queries() -> dict:

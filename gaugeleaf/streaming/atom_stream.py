@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from gaugeleaf.functions import scoring
+from gaugeleaf.sources import atom_log
 
 ATOM = T.StructType([
     T.StructField("eval_id", T.LongType()), T.StructField("dimension", T.StringType()), T.StructField("atom_id", T.StringType()), T.StructField("verdict", T.BooleanType()),
@@ -34,3 +36,35 @@ def running_scores(atoms: DataFrame, delay: str = "1 hour") -> DataFrame:
         "eval_id", "dimension", "n", "supported", (F.col("supported") / F.col("n")).alias("score"), F.coalesce(F.col("held") / F.nullif("total", F.lit(0.0)), F.lit(0.0)).alias("weighted"),
         "all_hold", low.alias("ci_low"), high.alias("ci_high"),
     )
+
+
+#: What the formulas read of an atom; seq orders a group's atoms.
+SCORED = T.StructType([
+    T.StructField("eval_id", T.LongType()), T.StructField("dimension", T.StringType()), T.StructField("formula_id", T.StringType()), T.StructField("atom_id", T.StringType()), T.StructField("seq", T.LongType()),
+    T.StructField("subject", T.StringType()), T.StructField("role", T.StringType()), T.StructField("verdict", T.BooleanType()), T.StructField("weight", T.DoubleType()), T.StructField("at", T.TimestampType()),
+])
+GROUP = ["eval_id", "dimension", "formula_id"]
+
+
+def subject_states(atoms: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The sums of each subject that all nine formulas are made of, kept as state: first verdicts and weights by seq, whatever the
+    order of arrival, and each atom once within the watermark's delay. For output in update mode.
+    """
+    once = atoms.withWatermark("at", delay).dropDuplicatesWithinWatermark(["eval_id", "dimension", "atom_id"])
+    return scoring.subject_sums(once, GROUP).withColumn("key", F.concat_ws("|", "eval_id", "dimension", "formula_id", "subject"))
+
+
+def keep_scores(atoms: DataFrame, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
+    """Write the states that each batch changed as a version of a keyed log at path, numbered by the batch: a repeated batch writes the
+    same version again. Ends when all files there are have been read.
+    """
+    states = subject_states(atoms, delay)
+    put = lambda batch, number: atom_log.write(batch.withColumn("seq", F.lit(0).cast("long")), path, number)
+    return states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def kept_scores(spark: SparkSession, path: str) -> DataFrame:
+    """eval_id, dimension, formula_id, score: all nine formulas from the last state of each subject."""
+    empty = spark.createDataFrame([], SCORED)
+    schema = scoring.subject_sums(empty, GROUP).withColumn("key", F.lit("")).withColumn("seq", F.lit(0).cast("long")).schema
+    return scoring.from_subjects(atom_log.read(spark, path, schema, "key"), GROUP)
