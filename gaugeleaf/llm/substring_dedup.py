@@ -1,281 +1,206 @@
 """Removal of passages that an earlier document has too, by Rabin-Karp hashes of fixed-length word windows.
 
-Every window of every document gets a hash. The hashes are dealt to buckets, packed; a bucket finds, for each hash, the
-smallest doc_id that has it and answers each larger document with the starts of such windows. Windows that a document has
-to lose merge into maximal intervals of words.
+Documents are dealt to blocks, and a block finds each distinct window it has and the smallest doc_id that has it there. These go
+to buckets by hash, where the smallest doc_id of all blocks is found for each hash; blocks that have a larger one are told. A
+block then removes every window whose smallest doc_id, its own or the one it was told, is smaller than the document's. Windows
+that a document has to lose merge into maximal intervals of words.
 
-Hot windows, those that many documents share, are told by a sample of documents. A chunk of texts deals only one of its
-occurrences, that in its smallest doc_id; the bucket gives the smallest of all, and each document looks its hot windows up in
-that list, of at most `hot` entries. Which windows the sample calls hot changes no result.
+A window that very many documents share, be it one of thousands, costs a bucket one entry a block and not one a document: the
+minimum is taken in the block first. Nothing is sampled, listed or broadcast.
 
 Cases: a null or empty text has no words, nothing is removed and the kept text is empty. A row without doc_id takes no
 part: it loses nothing and makes no one lose anything. Rows that repeat doc_id and text get the same result, and never
-make each other lose words; rows of one doc_id and different texts neither, each loses by its own text. Other columns are not
+make each other lose words; rows of one doc_id and different texts neither, each loses by its own text. Such rows are dealt by
+text and place in the scan too, so that many of them are many blocks. A very long text is a block by itself. Other columns are not
 read. An empty table gives an empty result.
 
-Size: nine bytes a window and about one for place and document are shuffled, the starts of repeated windows with their hashes,
-and the text once at the end. Buckets hold about `bucket_windows` windows at any size of the corpus and are read one after
-the other. Windows are equal if 72 bits of two hashes and the bucket's own bits agree, so that of n windows about
-n**2 / 2**(73 + bucket bits) pairs are equal falsely: 1e-6 pairs in 30 GB, below 0.01 in 100 TB.
+Size: the texts are shuffled once, compressed, and both passes read that one exchange; besides, eight bytes a distinct window of a
+block and about one for its document, and hash and smallest doc_id of those windows that are told. A task holds one
+block of `block_bytes` or one bucket of `bucket_windows` windows at a time, at any size of the corpus. Windows of different blocks are
+equal if 64 bits and the bucket's own bits agree, windows of one block if 64 do: 1e-3 pairs in 30 GB are equal falsely, a few in
+100 TB.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeleaf.llm.common import WordHash, chunks, hashed_words, materialize, mixed, raw_texts, starts_inside, table, texts, window_hashes
+from gaugeleaf.llm.common import WordHash, chunks, hashed_words, mixed, raw_texts, starts_inside, table, texts, window_hashes
 
-_PACKED = "bucket int, packed binary"
-_FOUND = "block int, packed binary"
 SECOND_BASE = 0xC2B2AE3D27D4EB4F
 
 
-def _bits(docs: DataFrame, bucket_windows: int) -> int:
-    """Bits of the bucket number: so many buckets that each holds about bucket_windows windows."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(24, max(4, int(size / 6.4 / bucket_windows).bit_length()))
-
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
 
-def _planes(values: np.ndarray) -> bytes:
-    """The bytes of small numbers, all lowest bytes first: these compress well."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, all lowest bytes first: small ones compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
 
-def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
 
+def _from_planes(raw: bytes, n: int, at: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel()
 
-def _pack(hashes: np.ndarray, docs: np.ndarray, which: np.ndarray, pos: np.ndarray) -> bytes:
-    """Windows of some documents: the documents, the document of each window as steps, places, and rows of hash bytes."""
-    used, rank = np.unique(which, return_inverse=True)
-    step = np.diff(rank, prepend=0)
-    place = pos.astype(np.int64)
-    place[1:] -= np.where(step[1:] == 0, pos[:-1], 0)
-    meta = np.diff(docs[used], prepend=0).astype("<i8").tobytes() + _planes(step) + _planes(place)
-    meta = zstandard.ZstdCompressor(level=1).compress(meta)
-    return struct.pack("<IIII", len(used), len(hashes), hashes.shape[1], len(meta)) + meta + hashes.tobytes()
 
+def _pack_texts(ids: list[int | None], raw: list[bytes]) -> bytes:
+    n = len(raw)
+    head = np.array([0 if i is None else i for i in ids], "<i8"), np.array([i is not None for i in ids], np.uint8), np.array([len(t) for t in raw], "<i8")
+    return struct.pack("<I", n) + _squeezed(*head, np.frombuffer(b"".join(raw), np.uint8))
 
-def _unpack(packed: bytes):
-    """Hash bytes, doc_id and place of each window."""
-    n_docs, n, width, n_meta = struct.unpack_from("<IIII", packed)
-    meta = zstandard.ZstdDecompressor().decompress(packed[16 : 16 + n_meta])
-    ids = np.cumsum(np.frombuffer(meta, "<i8", n_docs))
-    step, place = _from_planes(meta, n, 8 * n_docs), _from_planes(meta, n, 8 * n_docs + 4 * n).astype(np.int64)
-    first = np.flatnonzero(step)
-    first = np.concatenate([[0], first[first > 0]]).astype(np.int64)
-    total = np.cumsum(place)
-    before = np.zeros(n, np.int64)
-    before[first] = total[first] - place[first]
-    return np.frombuffer(packed, np.uint8, n * width, 16 + n_meta).reshape(n, width), ids[np.cumsum(step)], total - np.maximum.accumulate(before)
 
+def _unpack_texts(packed: bytes) -> list[tuple[int | None, bytes]]:
+    n = struct.unpack_from("<I", packed)[0]
+    body = zstandard.ZstdDecompressor().decompress(packed[4:])
+    ids, there, sizes = np.frombuffer(body, "<i8", n), np.frombuffer(body, np.uint8, n, 8 * n), np.frombuffer(body, "<i8", n, 9 * n)
+    ends = 17 * n + np.cumsum(sizes)
+    return [(i if k else None, body[e - m : e]) for i, k, m, e in zip(ids.tolist(), there.tolist(), sizes.tolist(), ends.tolist())]
 
-def _bytes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Nine bytes a window: the first hash and the lowest byte of the second."""
-    return np.concatenate([first.astype("<u8").view(np.uint8).reshape(-1, 8), second.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :1]], axis=1)
 
+def _pack_found(hashes: np.ndarray, ids: np.ndarray) -> bytes:
+    """Hashes, each with a doc_id; cheap where doc_ids ascend or are few."""
+    used, rank = np.unique(ids, return_inverse=True)
+    meta = _squeezed(_planes(np.diff(used, prepend=0).astype("<i8")), _planes(np.diff(rank, prepend=0).astype("<i4")))
+    return struct.pack("<III", len(used), len(hashes), len(meta)) + meta + hashes.astype("<u8").tobytes()
 
-def _fitting(own: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of some starts, with their hashes, at which a text has windows of these hashes."""
-    inside = at < len(own)
-    at, hashes = at[inside], hashes[inside]
-    same = own[at] == np.ascontiguousarray(hashes).view("<u8").ravel()
-    return at[same], hashes[same]
 
+def _unpack_found(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n_ids, n, size = struct.unpack_from("<III", packed)
+    meta = zstandard.ZstdDecompressor().decompress(packed[12 : 12 + size])
+    ids = np.cumsum(_from_planes(meta, n_ids, 0, "<i8"))
+    return np.frombuffer(packed, "<u8", n, 12 + size), ids[np.cumsum(_from_planes(meta, n, 8 * n_ids, "<i4"))]
 
-class _Windows:
-    """The windows inside the documents of a chunk: both hashes, the document and the place of each."""
 
-    def __init__(self, raw: list[bytes], cache: WordHash, window: int):
-        h, bounds = hashed_words(raw, cache)
-        at = np.flatnonzero(starts_inside(bounds, window))
-        self.first, self.second = window_hashes(h, window)[at], window_hashes(mixed(h + np.uint64(1)), window, SECOND_BASE)[at]
-        self.which = np.searchsorted(bounds, at, "right") - 1
-        self.pos = at - bounds[self.which]
+class _Block:
+    """The documents of a block, smallest doc_id first, and the windows of those that have one: hash, document, place."""
 
+    def __init__(self, blobs: list[bytes], cache: WordHash, window: int):
+        docs = [d for b in blobs for d in _unpack_texts(b)]
+        self.docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
+        self.raw = [t for _, t in self.docs]
+        owned = sum(i is not None for i, _ in self.docs)
+        self.ids = np.array([i for i, _ in self.docs[:owned]], np.int64)
+        self.words, bounds = hashed_words(self.raw[:owned], cache)
+        self.at = np.flatnonzero(starts_inside(bounds, window))
+        self.hashes = window_hashes(self.words, window)[self.at]
+        self.which = np.searchsorted(bounds, self.at, "right") - 1
+        self.pos = self.at - bounds[self.which]
+        self.order = np.argsort(self.hashes, kind="stable")
+        ordered = self.hashes[self.order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+        self.group = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)  # of each distinct window, in order of hash, the place of its smallest document in order
 
-def hot_windows(docs: DataFrame, window: int, bits: int, bucket_windows: int, sample_docs: int, hot: int) -> np.ndarray:
-    """Sorted first hashes of at most `hot` windows that stand in one of 200 sampled documents or would fill a bucket."""
-    n = docs.count()
-    share = min(1.0, max(sample_docs / max(n, 1), 100 / bucket_windows))
 
-    def count(batches):
-        cache, seen = WordHash(), Counter()
-        for batch in chunks(batches):
-            w = _Windows(raw_texts(batch), cache, window)
-            order = np.lexsort((w.which, w.first))
-            value, of = w.first[order].view(np.int64), w.which[order]
-            once = np.concatenate([[True], (np.diff(value) != 0) | (np.diff(of) != 0)])[: len(value)]
-            value, times = np.unique(value[once], return_counts=True)
-            seen.update(dict(zip(value[times > 1].tolist(), times[times > 1].tolist())))
-        yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["hash", "n"])
+def _one_by_one(batches):
+    """(key, blobs) of each key of sorted batches of key and blob."""
+    now, held = None, []
+    for batch in batches:
+        for key, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if held and key != now:
+                yield now, held
+                held = []
+            now = key
+            held.append(blob.as_py())
+    if held:
+        yield now, held
 
-    least = max(8, min(n * share / 200, share * bucket_windows / 8))
-    found = docs.select("text").sample(share, 11).mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r[0] for r in found.orderBy(F.desc("n"), "hash").limit(hot).collect()], np.int64).view(np.uint64))
 
+def _batch(names: list[str], rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names)
 
-def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
+def _parts(keys: np.ndarray) -> list[np.ndarray]:
+    """Places of equal keys, key by key, each in order."""
+    order = np.argsort(keys.astype(np.uint16) if not len(keys) or keys.max() < 1 << 16 else keys, kind="stable")
+    return [p for p in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(p)]
 
-def repeated_windows(docs: DataFrame, bits: int, window: int, hot: np.ndarray) -> DataFrame:
-    """block, packed: the starts of windows that a document with a smaller doc_id has too, by block of documents.
 
-    Block -1 has the smallest doc_id of hot windows in place of starts.
-    """
+def _told(blocks: DataFrame, bits: int, window: int) -> DataFrame:
+    """block, told: the windows of a block that a document of another block with a smaller doc_id has, with that doc_id."""
 
     def deal(batches):
         cache = WordHash()
-        for batch in chunks(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            w = _Windows(raw_texts(batch), cache, window)
-            keep = ~_is_in(w.first, hot)
-            often = np.flatnonzero(~keep)
-            if len(often):  # one of each, in the smallest doc_id
-                often = often[np.lexsort((ids[w.which[often]], w.second[often], w.first[often]))]
-                new = np.concatenate([[True], (np.diff(w.first[often]) != 0) | (np.diff(w.second[often]) != 0)])
-                keep[often[new]] = True
-            at = np.flatnonzero(keep)
-            if not len(at):
-                continue
-            bucket = (w.second[at] >> np.uint64(64 - bits)).astype(np.uint32)
-            order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-            body, which, pos = _bytes(w.first[at], w.second[at]), w.which[at], w.pos[at]
-            yield pa.record_batch(
-                [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([_pack(body[p], ids, which[p], pos[p]) for p in parts], pa.binary())], ["bucket", "packed"]
-            )
-
-    def answers(bucket: int, held: list[bytes]):
-        body, ids, pos = map(np.concatenate, zip(*map(_unpack, held)))
-        h, more = np.ascontiguousarray(body[:, :8]).view("<u8").ravel(), body[:, 8]
-        order = np.argsort(h, kind="stable")
-        if ((h[order][1:] == h[order][:-1]) & (more[order][1:] != more[order][:-1])).any():
-            order = np.lexsort((more, h))
-        h, more, ids, pos, body = h[order], more[order], ids[order], pos[order], body[order]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])]))
-        least = np.minimum.reduceat(ids, first)
-        often = _is_in(h[first], hot)
-        if often.any():
-            # a hot window's bucket bits are part of its identity
-            tail = np.full((int(often.sum()), 1), bucket, "<u4").view(np.uint8)
-            yield -1, _pack(np.concatenate([body[first[often]], tail], axis=1), least[often], np.arange(int(often.sum())), np.zeros(int(often.sum()), np.int64))
-        late = (ids > np.repeat(least, np.diff(np.append(first, len(h))))) & ~_is_in(h, hot)
-        ids, pos, body = ids[late], pos[late], body[late]
-        block = (mixed(ids.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int32)
-        order = np.lexsort((pos, ids, block))
-        for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            if len(part):
-                docs_of, which = np.unique(ids[part], return_inverse=True)
-                yield int(block[part[0]]), _pack(body[part][:, :8], docs_of, which, pos[part])
+        for block, blobs in _one_by_one(batches):
+            b = _Block(blobs, cache, window)
+            own = np.sort(b.order[b.first])  # one place of each distinct window, by document
+            second = window_hashes(mixed(b.words + np.uint64(1)), window, SECOND_BASE)[b.at[own]]
+            bucket = (second >> np.uint64(64 - bits)).astype(np.int64)
+            mark = struct.pack("<I", block)
+            yield _batch(["bucket", "packed"], [(int(bucket[p[0]]), mark + _pack_found(b.hashes[own[p]], b.ids[b.which[own[p]]])) for p in _parts(bucket)])
 
     def find(batches):
-        held, now = [], None
-
-        def flush():
-            found = list(answers(now, held))
-            return pa.record_batch([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], ["block", "packed"])
-
-        for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if bucket != now and held:
-                    yield flush()
-                    held = []
-                now = bucket
-                held.append(packed.as_py())
-        if held:
-            yield flush()
-
-    dealt = docs.where("doc_id is not null").mapInArrow(deal, _PACKED)
-    return dealt.repartition(1 << min(bits, 17), "bucket").sortWithinPartitions("bucket").mapInArrow(find, _FOUND)
-
-
-def _block(bits: int):
-    """The block of each document, spread by its text where it has no doc_id."""
-
-    def add(batches):
-        for batch in batches:
-            lone = pc.is_null(batch.column("doc_id")).to_numpy(zero_copy_only=False)
-            ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
-            ids = np.where(lone, batch.column("spread").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), ids)
-            at = mixed(ids) & np.uint64((1 << bits) - 1)
-            yield batch.select(["doc_id", "text"]).append_column("block", pa.array(at.astype(np.int32)))
-
-    return add
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, bucket_windows: int = 2_000_000, digest: bool = False, sample_docs: int = 4_000, hot: int = 20_000) -> DataFrame:
+        for _, blobs in _one_by_one(batches):
+            found = [_unpack_found(b[4:]) for b in blobs]
+            block = np.repeat([struct.unpack_from("<I", b)[0] for b in blobs], [len(h) for h, _ in found])
+            hashes, ids = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(hashes, kind="stable")
+            hashes, ids, block = hashes[order], ids[order], block[order]
+            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
+            late = np.flatnonzero(ids > least)
+            late = late[np.argsort(least[late], kind="stable")]
+            yield _batch(["block", "told"], [(int(block[late[p[0]]]), _pack_found(hashes[late[p]], least[late[p]])) for p in _parts(block[late])])
+
+    dealt = blocks.sortWithinPartitions("block").mapInArrow(deal, "bucket int, packed binary")
+    return dealt.repartition(1 << min(bits, 17), "bucket").sortWithinPartitions("bucket").mapInArrow(find, "block int, told binary")
+
+
+def _intervals(at: np.ndarray, window: int, n: int) -> list[list[int]]:
+    """The union of the windows that start at `at`, as maximal intervals of words."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + window, -1)
+    gone = np.cumsum(edge)[:n] > 0
+    return np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 16_000_000, bucket_windows: int = 2_000_000, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, intervals (start and end in words, maximal) and kept: the kept text, or its SHA-256 if digest."""
     docs = texts(docs)
-    bits = _bits(docs, bucket_windows)
-    often = hot_windows(docs, window, bits, bucket_windows, sample_docs, hot)
-    found = materialize(repeated_windows(docs, bits, window, often))
-    body, least = np.zeros((0, 13), np.uint8), np.zeros(0, np.int64)
-    if lists := [_unpack(r.packed)[:2] for r in found.where("block = -1").select("packed").collect()]:  # `hot` windows at most, whatever the corpus
-        body, least = map(np.concatenate, zip(*lists))
-    known = {bytes(k): int(i) for k, i in zip(body, least)}
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks, bits = max(16, -(-size // block_bytes)), min(24, max(4, int(size / 6.4 / bucket_windows).bit_length()))
+
+    def squeeze(batches):
+        for batch in chunks(batches):
+            ids, raw, block = batch.column("doc_id").to_pylist(), raw_texts(batch), batch.column("block").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield _batch(["block", "packed"], [(int(block[p[0]]), _pack_texts([ids[i] for i in p], [raw[i] for i in p])) for p in _parts(block)])
+
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks)).cast("int"))
+    blocks = dealt.mapInArrow(squeeze, "block int, packed binary").repartition(min(n_blocks, 1 << 17), "block")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", span), ("kept", pa.string())])
 
-    def hot_starts(raw: list[bytes], ids: list[int | None], cache: WordHash) -> dict[int, np.ndarray]:
-        """By row of a chunk: where windows start that are hot and stand in a smaller doc_id."""
-        w, out = _Windows(raw, cache, window), {}
-        at = np.flatnonzero(_is_in(w.first, often))
-        keys = np.concatenate([_bytes(w.first[at], w.second[at]), (w.second[at] >> np.uint64(64 - bits)).astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
-        own = np.array([-(1 << 63) if i is None else i for i in ids], np.int64)[w.which[at]]
-        late = np.fromiter((known.get(k.tobytes(), 1 << 62) for k in keys), np.int64, len(at)) < own
-        for row in np.unique(w.which[at][late]).tolist():
-            out[row] = w.pos[at][late & (w.which[at] == row)]
-        return out
-
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        starts = defaultdict(list)
-        for packed in right.column("packed").to_pylist():
-            hashes, ids, pos = _unpack(packed)
-            edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                starts[int(ids[a])].append((pos[a:b], hashes[a:b]))
-        several = {i for i, n in Counter(left.column("doc_id").to_pylist()).items() if n > 1}
-        cache, out = WordHash(), []
-        for batch in chunks(left.to_batches()):
-            texts_, ids = raw_texts(batch), batch.column("doc_id").to_pylist()
-            again = hot_starts(texts_, ids, cache) if len(often) else {}
-            for row, (doc_id, raw) in enumerate(zip(ids, texts_)):
-                words, spans = raw.split(), []
-                n = len(words)
-                found_ = starts.get(doc_id, [])
-                if found_ and doc_id in several:  # of rows with one doc_id, each takes the starts that fit its text
-                    w = _Windows([raw], cache, window)
-                    found_ = [_fitting(w.first, at, h) for at, h in found_]
-                at = [p for p, _ in found_] + ([again[row]] if row in again else [])
-                if at:
-                    hit = np.zeros(n + 1, np.int64)
-                    for p in at:
-                        np.add.at(hit, p, 1)
-                        np.add.at(hit, p + window, -1)
-                    gone = np.cumsum(hit)[:n] > 0
-                    spans = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                kept = b" ".join(words)
-                out.append((doc_id, n, n - len(words), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+        b = _Block(left.column("packed").to_pylist(), WordHash(), window)
+        least = b.ids[b.which[b.order[b.first]]]
+        distinct = b.hashes[b.order[b.first]]
+        for blob in right.column("told").to_pylist():
+            hashes, ids = _unpack_found(blob)
+            at = np.searchsorted(distinct, hashes)
+            least[at] = np.minimum(least[at], ids)
+        late = np.sort(b.order[b.ids[b.which[b.order]] > least[b.group]]) if len(b.order) else b.order
+        edges = np.searchsorted(b.which[late], np.arange(len(b.raw) + 1))
+        out = []
+        for k, (doc_id, raw) in enumerate(b.docs):
+            words = raw.split()
+            n, at = len(words), b.pos[late[edges[k] : edges[k + 1]]]
+            spans = _intervals(at, window, n) if len(at) else []
+            kept = [words[x:y] for x, y in zip([0] + [e for _, e in spans], [s for s, _ in spans] + [n])] if spans else [words]
+            kept = b" ".join([w for part in kept for w in part])
+            out.append((doc_id, n, sum(e - s for s, e in spans), [{"start": s, "end": e} for s, e in spans], hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
 
-    spread = docs.withColumn("spread", F.xxhash64("text"))
-    blocked = spread.mapInArrow(_block(bits), "doc_id long, text string, block int")
     kind = "doc_id long, n_words long, n_removed long, intervals array<struct<start:int,end:int>>, kept string"
-    return blocked.groupBy("block").cogroup(found.where("block >= 0").groupBy("block")).applyInArrow(cut, kind)
+    return blocks.groupBy("block").cogroup(_told(blocks, bits, window).groupBy("block")).applyInArrow(cut, kind)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

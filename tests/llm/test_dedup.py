@@ -48,9 +48,24 @@ def mixed_rows(seed=3, n=60):
 
 def test_removal_equals_brute_force(spark, odd):
     for df in (odd, spark.createDataFrame(mixed_rows(), "doc_id long, text string")):
-        got = substring_dedup.remove_repeats(df, WINDOW, bucket_windows=50, digest=True)
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=repr) == removed(rows)
+        for size in (16_000_000, 300):
+            got = substring_dedup.remove_repeats(df, WINDOW, block_bytes=size, bucket_windows=50, digest=True)
+            assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=repr) == removed(rows)
+
+
+def test_many_hot_windows_and_rows_of_one_id(spark):
+    licence = " ".join(f"w{k}" for k in range(50_012))  # 50,000 windows, in half of all documents
+    rows = [(i, f"own {i} " * 9 + (licence if i % 2 else "")) for i in range(24)] + [(5, "again " + licence)] * 9 + [(None, licence)] * 9 + [(30, None), (31, licence)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring_dedup.remove_repeats(df, WINDOW, block_bytes=500_000, bucket_windows=100_000, digest=True)
+    assert sorted((tuple(r)[:3] + (r.kept,) for r in got.drop("intervals").collect()), key=repr) == removed(rows)
+
+
+def test_both_passes_read_one_exchange(spark):
+    df = substring_dedup.remove_repeats(spark.createDataFrame(mixed_rows(), "doc_id long, text string"))
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_intervals_are_maximal_and_kept_is_text(spark):
