@@ -49,7 +49,10 @@ class Config:
     resolver: str = "lexical"
     segmenter: str = "lexical"
     generator: str = "lexical"
+    clause_parser: str = "lexical"
+    coreference: str = "lexical"
     judge: str = "seeded"
+    residual: str = "affirm"
     unanswerable: str = "deny"
     #: None: the fixed lists below.
     allowed: tuple[str, ...] | None = None
@@ -61,6 +64,11 @@ class Config:
         for name in ("relevance_tau", "entail_tau", "contra_tau", "band_green", "band_amber", "dedupe_tau", "conformal_alpha", "anchor_alpha", "depth_decay"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must be between 0 and 1")
+        for f in fields(self):
+            value, default = getattr(self, f.name), f.default
+            fits = isinstance(value, (int, float)) and not isinstance(value, bool) if type(default) is float else type(value) is type(default)
+            if default is not None and not fits:
+                raise ValueError(f"{f.name} must be {type(default).__name__}, not {type(value).__name__}")
         if self.method not in ("A", "B", "both"):
             raise ValueError(f"unknown method {self.method}")
         if self.reference_mode not in ("generated", "archetype", "templated"):
@@ -76,9 +84,14 @@ def load(values: dict | None = None) -> Config:
 
 
 def load_file(spark, path: str) -> Config:
-    """Settings from a one-object JSON file on any store that Spark reads."""
+    """Settings from a one-object JSON file on any store that Spark reads; it names them all, but for the lists that replace fixed ones."""
     row = spark.read.option("multiLine", True).json(path).first()
-    return load(row.asDict() if row else None)
+    values = row.asDict() if row else {}
+    if missing := sorted(f.name for f in fields(Config) if f.default is not None and values.get(f.name) is None):
+        raise ValueError(f"settings without a value: {missing}")
+    values = {k: tuple(v) if isinstance(v, list) else v for k, v in values.items()}
+    floats = {f.name for f in fields(Config) if type(f.default) is float}
+    return load({k: float(v) if k in floats and isinstance(v, int) else v for k, v in values.items()})
 
 
 #: Words and patterns.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -24,6 +24,8 @@ _PROVIDERS: dict[str, dict[str, Callable[..., Column]]] = {
     "relevance": {"lexical": lambda question, answer: t.jaccard(t.tokens(question), t.tokens(answer))},
     "embedding": {"lexical": t.embedding},
     "segmenter": {"lexical": t.sentences},
+    "clauses": {"lexical": t.clauses},
+    "coreference": {"lexical": t.resolve},
     "resolver": {"lexical": lambda reference: ~t.contains_any(reference, c.MISSING_MARKS)},
     "generator": {"lexical": lambda text, n: F.array_repeat(text, n)},
     "judge": {
@@ -79,6 +81,30 @@ def provider(kind: str, name: str = "lexical") -> Callable[..., Column]:
     return _PROVIDERS[kind][name]
 
 
+#: What a probe asks of each kind, as texts.
+_PROBES = {
+    "entailment": ("The bridge is open.", "bridge open"), "relevance": ("Is the bridge open?", "The bridge is open."), "embedding": ("bridge",), "segmenter": ("One. Two.",), "clauses": ("One and two.",),
+    "coreference": ("It is open.", "bridge"), "resolver": ("https://a.example",), "generator": ("One. Two.", 2), "judge": ("Is it?", "It is."), "consistency": ("One.", "Two."),
+}
+#: The setting that names a kind's provider; kinds without one have their built-in provider.
+SETTINGS = {"entailment": "entailment", "relevance": "relevance", "resolver": "resolver", "segmenter": "segmenter", "generator": "generator", "judge": "judge", "clauses": "clause_parser", "coreference": "coreference"}
+
+
+def probe(spark: SparkSession, settings: Config = Config()) -> DataFrame:
+    """kind, name, ok, error: whether each provider that the settings name is registered and answers; for before a run."""
+    rows = []
+    for kind, texts in _PROBES.items():
+        name, error = getattr(settings, SETTINGS[kind]) if kind in SETTINGS else "lexical", None
+        try:
+            made = provider(kind, name)(*(F.lit(x) if isinstance(x, str) else x for x in texts))
+            if spark.range(1).select(made.alias("x")).where("x is not null").isEmpty():
+                error = "no answer"
+        except Exception as e:  # of any model: what a probe is to find
+            error = f"{type(e).__name__}: {e}".splitlines()[0][:300]
+        rows.append((kind, name, error is None, error))
+    return spark.createDataFrame(rows, "kind string, name string, ok boolean, error string")
+
+
 def external_score(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
     """A scoring function of two texts from a model that load() makes on each worker, called on whole batches."""
 

@@ -147,12 +147,29 @@ def source_numbers(chunks: DataFrame) -> DataFrame:
     return chunks.select("eval_id", F.explode(t.all_numbers(F.col("text"))).alias("y")).distinct()
 
 
-def axioms(sets: DataFrame, chunks: DataFrame, gate: float = 0.5, settings: Config = Config()) -> DataFrame:
+def local_support(sets: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
+    """eval_id, claim_id, entailed: claims that no exported label covers, against all sources of their evaluation together.
+
+    The sources enter token by token and by whether they negate; no text is gathered. Without sources a judge has the word.
+    """
+    bare = sets.where("grounded is null").select("eval_id", "claim_id", "text").distinct().withColumn("tokens", t.tokens(F.col("text")))
+    words = chunks.select("eval_id", F.explode(t.tokens(F.col("text"))).alias("token")).distinct()
+    met = bare.select("eval_id", "claim_id", F.explode("tokens").alias("token")).join(words, ["eval_id", "token"], "left_semi").groupBy("eval_id", "claim_id").agg(F.count("*").alias("met"))
+    negates = words.where(F.col("token").isin(c.NEGATION)).select("eval_id", F.lit(True).alias("negates")).distinct()
+    sourced = chunks.where("text <> ''").select("eval_id", F.lit(True).alias("any")).distinct()
+    rows = bare.join(met, ["eval_id", "claim_id"], "left").join(negates, "eval_id", "left").join(sourced, "eval_id", "left").fillna(0, ["met"]).fillna(False, ["negates", "any"])
+    raw = F.when(F.size("tokens") == 0, 0.0).otherwise(F.col("met") / F.size("tokens"))
+    against = (raw >= settings.contra_tau) & (F.col("negates") != F.arrays_overlap("tokens", F.array(*map(F.lit, c.NEGATION))))
+    judged = providers.provider("judge", settings.residual)(F.lit("Is this claim true?"), F.col("text"))
+    return rows.select("eval_id", "claim_id", F.when(F.col("any"), ~against & (raw >= settings.entail_tau)).otherwise(judged).alias("entailed"))
+
+
+def axioms(sets: DataFrame, chunks: DataFrame, gate: float = 0.5, settings: Config = Config(), local: DataFrame | None = None) -> DataFrame:
     """sets with axiom: grounded with matching numbers, from an adequate source if one is cited, and attributed if it cites.
 
     held, adequate, attributed, number, numeric_ok, sourced and placed show why. A claim's number has to be near some number of
-    the sources; numbers are looked for only for claims that have one. A claim without triplets counts as held where there
-    are no sources to ask.
+    the sources; numbers are looked for only for claims that have one. A claim without an exported label has that of local
+    (local_support()); where that is not given either, it counts as held if there are no sources to ask.
     """
     text = ["text"] if settings.disinterest_sample_rate > 0 else []
     places = chunks.select("eval_id", F.col("chunk_id").alias("own"), "url", "domain", "date", "author", *(F.col(x).alias("source_text") for x in text))
@@ -168,6 +185,8 @@ def axioms(sets: DataFrame, chunks: DataFrame, gate: float = 0.5, settings: Conf
     asked = rows.where("number is not null").select("eval_id", "number").distinct().join(source_numbers(chunks), "eval_id")
     met = asked.where(F.abs(x - y) <= settings.numeric_tolerance * F.greatest(F.abs(x), F.abs(y))).select("eval_id", "number", F.lit(True).alias("met")).distinct()
     rows = rows.join(met, ["eval_id", "number"], "left").withColumn("numeric_ok", x.isNull() | ~F.col("sourced") | F.coalesce("met", F.lit(False))).drop("met")
+    if local is not None:
+        rows = rows.join(local.select("eval_id", "claim_id", "entailed"), ["eval_id", "claim_id"], "left").withColumn("grounded", F.coalesce("grounded", "entailed")).drop("entailed")
     rows = rows.withColumn("held", F.coalesce("grounded", ~F.col("sourced")) & F.col("numeric_ok"))
     return rows.withColumn("axiom", F.col("held") & F.col("adequate") & F.col("attributed"))
 

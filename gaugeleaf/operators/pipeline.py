@@ -34,8 +34,8 @@ def claims(evals: DataFrame, chunks: DataFrame | None = None, settings: Config =
     if chunks is not None:
         rows = rows.join(context_subject(chunks), "eval_id", "left").withColumn("carried", F.coalesce("carried", "subject"))
     kept = rows.where(F.col("verifiable") & ~F.col("abstractive"))
-    parts = kept.select("eval_id", "sent_ord", "sentence", "carried", F.posexplode(t.clauses(F.col("sentence"))).alias("clause_ord", "clause"))
-    parts = parts.withColumn("text", t.resolve(F.col("clause"), F.col("carried")))
+    parts = kept.select("eval_id", "sent_ord", "sentence", "carried", F.posexplode(providers.provider("clauses", settings.clause_parser)(F.col("sentence"))).alias("clause_ord", "clause"))
+    parts = parts.withColumn("text", providers.provider("coreference", settings.coreference)(F.col("clause"), F.col("carried")))
     return parts.select(
         "eval_id", "sent_ord", "clause_ord", t.short_hash("claim:", F.col("text")).alias("claim_id"), "text", F.col("sentence").alias("source_sentence"),
         (~t.has_leading_pronoun(F.col("text"))).alias("decontextualized"), t.citation(F.col("sentence")).alias("citation"),

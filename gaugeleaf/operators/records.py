@@ -45,7 +45,7 @@ def text_hashes(chunks: DataFrame) -> DataFrame:
 
 
 def result(dimension: str, evals: DataFrame, atoms: DataFrame, formula_id: str | Column, facts: DataFrame, settings: Config, extra: dict[str, str], interval: bool = True, band: Column | None = None) -> DataFrame:
-    """RESULT rows from the atoms that count, which are checkpointed. facts: eval_id, n, k (successes), abstained, inputs_hash, the columns of extra and at will mode.
+    """RESULT rows from the atoms that count, which their dimension has checkpointed: ids, scores and the log read them. facts: eval_id, n, k (successes), abstained, inputs_hash, the columns of extra and at will mode.
 
     extra names columns of facts, left out where null. Without interval it is all of 0 to 1. band may read score.
     """
@@ -90,7 +90,7 @@ def grounded_atoms(supports: DataFrame, settings: Config) -> DataFrame:
 
 def groundedness(evals: DataFrame, labels: DataFrame, trips: DataFrame, chunks: DataFrame, settings: Config) -> tuple[DataFrame, DataFrame]:
     """Triplet atoms, and results: the share of triplets that some chunk entails."""
-    atoms = triplet_atoms(labels, trips, settings)
+    atoms = graph.shared_checkpoint(triplet_atoms(labels, trips, settings))
     n = labels.groupBy("eval_id").agg(F.count("*").alias("n"), F.count_if(F.size("chunks") > 0).alias("k"))
     facts = _counted(evals, n).join(text_hashes(chunks), "eval_id", "left").select("eval_id", "n", "k", (F.col("n") == 0).alias("abstained"), hashed(F.coalesce("sources", F.lit(""))).alias("inputs_hash"))
     return atoms, result("groundedness", evals, atoms, "mean", facts, settings, {"supported": "k", "total": "n"})
@@ -120,6 +120,7 @@ def source_quality(evals: DataFrame, chunks: DataFrame, labels: DataFrame, setti
     rows = dim.scored_sources(chunks, labels, evals, settings).withColumn("seq", place("chunk_ord"))
     atoms = log.emit(rows, "source_quality", "source_adequate", F.col("ok"), F.col("seq"), F.concat(F.lit("source:"), "chunk_id"), "T1", question="source adequate (score >= threshold)?",
                      evidence=F.concat(F.lit("score="), F.format_string("%.4f", "source_score")), grader_id="source_quality.adequate")
+    atoms = graph.shared_checkpoint(atoms)
     n = rows.groupBy("eval_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("k"))
     facts = _counted(evals, n).select("eval_id", "n", "k", (F.col("n") == 0).alias("abstained"), hashed(F.col("answer")).alias("inputs_hash"))
     return atoms, result("source_quality", evals, atoms, "mean", facts, settings, {"adequate_sources": "k", "total_sources": "n"}, interval=False)
@@ -132,6 +133,7 @@ def source_attribution(evals: DataFrame, sets: DataFrame, settings: Config) -> t
     evidence = F.concat(F.lit("tag="), "tag", F.lit(" C="), listed(F.col("cited")), F.lit(" S∩C="), listed(F.col("both")))
     atoms = log.emit(cites, "source_attribution", "citation_attributable", F.size("both") > 0, F.col("seq"), F.concat(F.lit("cite:"), "claim_id"), "T1",
                      question="cited set intersects support set (C∩S≠∅)?", evidence=evidence, grader_id="source_attribution.cite")
+    atoms = graph.shared_checkpoint(atoms)
     n = rows.groupBy("eval_id").agg(
         F.count_if(F.size("cited") > 0).alias("n"), F.count_if(F.size("both") > 0).alias("k"), F.count_if((F.size("cited") > 0) & (F.size("both") == 0)).alias("mis"),
         F.count_if((F.size("cited") == 0) & (F.size("chunks") > 0)).alias("unused"), F.count_if(F.size("cited") == 0).alias("none"),
@@ -162,7 +164,7 @@ def accuracy(evals: DataFrame, judged: DataFrame, links: DataFrame | None, setti
         above = links.groupBy("eval_id", F.col("dst").alias("claim_id")).agg(F.collect_set("src").alias("parents"))
         derived = derived.join(above, ["eval_id", "claim_id"])
         parts.append(part(derived, "derived", F.lit(True), 5, "code", "sub-DAG resolves to true axioms via valid steps?", F.concat(F.lit("parents="), listed(F.col("parents")), F.lit(" all-true")), "derived"))
-    atoms = log.union(*parts)
+    atoms = graph.shared_checkpoint(log.union(*parts))
     n = rows.groupBy("eval_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "claim_id"))), lambda x: x["claim_id"]), "|").alias("ids"))
     k = last.groupBy("eval_id").agg(F.count_if("axiom").alias("axioms"))
     more = derived.groupBy("eval_id").agg(F.sum("times").alias("rescued")) if derived is not None else k.select("eval_id", F.lit(0).alias("rescued"))
@@ -181,6 +183,7 @@ def completeness(evals: DataFrame, reqs: DataFrame, gate: DataFrame, frozen: Dat
     weight = F.when(F.col("vital") & F.lit(settings.vital_weighting), 2.0).otherwise(1.0)
     support = log.emit(units.withColumn("w", weight), "completeness", "unit_support", F.col("supported"), F.col("seq"), F.col("unit_id"), "T2", weight=F.col("w"), question="supported by the source?",
                        grader_id="completeness.assign", model=model, model_version=version, seed=settings.judge_seed)
+    support = graph.shared_checkpoint(support)
     vital = support.join(units.where("vital").select("eval_id", "seq"), ["eval_id", "seq"], "left_semi")
     n = frozen.groupBy("eval_id").agg(F.count_if("vital").alias("n"), F.count("*").alias("total"), F.count_if(F.col("vital") & F.col("supported")).alias("k"))
     rows = _counted(evals, n).join(tasks.coverage(reqs, frozen, settings), "eval_id", "left").join(text_hashes(chunks), "eval_id", "left").withColumn("corpus", hashed(F.coalesce("sources", F.lit("")), F.lit("")))
@@ -198,8 +201,8 @@ def relevance(evals: DataFrame, signals: DataFrame, links: DataFrame | None, set
     model, version = providers.stamp("relevance", settings.relevance)
     rows = signals.withColumn("seq", 4 * place(*CLAIM_ORDER) + 4)
     claim = lambda df, role, verdict, k, **more: log.emit(df, "relevance", role, verdict, F.col("seq") + k, F.col("claim_id"), "T2", grader_id=f"relevance.{role}", model=model, model_version=version, seed=settings.judge_seed, **more)
-    responsive = claim(rows, "responsive", F.col("responsive"), 0, question="on_topic AND on_ask")
-    asked = tasks.answer_on_ask(evals, settings)
+    responsive = graph.shared_checkpoint(claim(rows, "responsive", F.col("responsive"), 0, question="on_topic AND on_ask"))
+    asked = graph.shared_checkpoint(tasks.answer_on_ask(evals, settings))
     ask = log.emit(asked, "relevance", "on_ask_answer", F.col("answer_on_ask"), F.lit(0), F.lit("answer"), "T2", weight=float(settings.off_ask_cap), question="answer addresses the ask?", grader_id="relevance.answer_on_ask")
     declined = asked.where("declined")
     abstain = log.emit(declined, "relevance", "abstain_relevant", F.lit(True), F.lit(0), F.lit("answer"), "T3", question="proper decline to an unanswerable question", grader_id="relevance.abstain", seed=settings.judge_seed)
@@ -208,7 +211,7 @@ def relevance(evals: DataFrame, signals: DataFrame, links: DataFrame | None, set
     kept = lambda df: df.join(declined.select("eval_id"), "eval_id", "left_anti")
     counted, logged, band = [kept(ask), kept(responsive)], [ask, responsive, abstain], None
     if tree:
-        graded = graph.graded(rows, links, settings)
+        graded = graph.shared_checkpoint(graph.graded(rows, links, settings))
         evidence = F.when(F.col("depth").isNotNull(), F.concat(F.lit("in_tree depth="), "depth")).otherwise(F.concat(F.lit("orphan="), "kind"))
         grade = claim(graded, "claim_relevance", F.col("relevant"), 1, weight=F.col("grade"), question="relevance grade (tree depth)", evidence=evidence)
         routed = graded.where("kind = 'stranded_contradiction'")
@@ -233,11 +236,12 @@ def relevance(evals: DataFrame, signals: DataFrame, links: DataFrame | None, set
 
 def task_success(evals: DataFrame, known: DataFrame, settings: Config) -> tuple[DataFrame, DataFrame]:
     """One atom an outcome, or one alone where the task is rightly called impossible."""
-    rows = tasks.judged_outcomes(evals, known)
+    rows = graph.shared_checkpoint(tasks.judged_outcomes(evals, known))
     done = evals.select("eval_id", tasks.impossible(F.col("answer")).alias("verdict"))
     whole = log.emit(done, "task_success", "impossible_success", F.col("verdict"), F.lit(0), F.lit("task"), "T1", question="well-scoped impossibility?", evidence="marker+reason", grader_id="task_success.impossible")
     possible = rows.where("not impossible").withColumn("seq", F.col("outcome_ord") + 2)
     each = log.emit(possible, "task_success", "outcome", F.col("ok"), F.col("seq"), F.col("outcome_id"), "T1", weight=F.col("weight"), question=F.col("outcome"), grader_id=F.concat(F.lit("task_success."), "verifier"))
+    each = graph.shared_checkpoint(each)
     kinds = possible.groupBy("eval_id", "task_type").agg(F.count("*").alias("n"), F.count_if("ok").alias("k"))
     kind = log.emit(kinds, "task_success", "task_type", F.lit(True), F.lit(1), F.lit("task"), "T1", question="task-type classification", evidence=F.concat(F.lit("type="), "task_type"), grader_id="task_success.classify")
     facts = _counted(evals, kinds.drop("task_type")).join(done, "eval_id").select("eval_id", "n", "k", F.lit(False).alias("abstained"), F.col("verdict").alias("free"), hashed(F.col("question"), F.col("answer")).alias("inputs_hash"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def generated(evals: DataFrame) -> DataFrame:
 
 def templated(evals: DataFrame, types: dict) -> DataFrame:
     """The requirements of the type that the question falls into; the type table is fixed, hence the broadcast."""
-    rows = evals.select("eval_id", t.classify(F.col("question"), types, "default").alias("qtype"))
+    rows = classified(evals.select("eval_id", "question"), types, "default")
     return rows.join(F.broadcast(requirement_table(evals.sparkSession, types)), "qtype").select("eval_id", "req_ord", "req_id", "req", "vital")
 
 
@@ -84,26 +86,28 @@ def gated(units: DataFrame, evals: DataFrame, chunks: DataFrame, settings: Confi
 
     A leading pronoun is resolved against the sources first. A part passes if it stands alone and its label is the same with and
     without the sources (or, without double_nli, if the answer entails it). The sources enter as counts: how many of a part's
-    tokens they have beyond the answer's, and whether they negate.
+    tokens they have beyond the answer's, and whether they negate. Parts are told apart by 128 bits of their text and checkpointed, as
+    the tokens they lack are looked up apart from them.
     """
-    parts = units.withColumn("parts", t.clauses(F.col("text"))).select("*", F.posexplode("parts").alias("part", "raw")).drop("parts", "text")
-    parts = parts.join(pipeline.context_subject(chunks), "eval_id", "left").withColumn("text", t.resolve(F.col("raw"), F.col("subject"))).drop("raw", "subject")
-    said = evals.select("eval_id", t.tokens(F.col("answer")).alias("said"))
-    rows = parts.join(said, "eval_id").withColumn("tokens", t.tokens(F.col("text"))).withColumn("mark", F.xxhash64("text"))
-    words = vocabulary(chunks)
-    need = rows.select("eval_id", "mark", F.explode(F.array_except("tokens", "said")).alias("token")).distinct()
-    more = need.join(words, ["eval_id", "token"], "left_semi").groupBy("eval_id", "mark").agg(F.count("*").alias("more"))
-    negates = words.where(F.col("token").isin(c.NEGATION)).select("eval_id", F.lit(True).alias("negates")).distinct()
-    rows = rows.join(more, ["eval_id", "mark"], "left").join(negates, "eval_id", "left").fillna(0, ["more"]).fillna(False, ["negates"])
+    parts = units.withColumn("parts", providers.provider("clauses", settings.clause_parser)(F.col("text"))).select("*", F.posexplode("parts").alias("part", "raw")).drop("parts", "text")
+    parts = parts.join(pipeline.context_subject(chunks), "eval_id", "left").withColumn("text", providers.provider("coreference", settings.coreference)(F.col("raw"), F.col("subject"))).drop("raw", "subject")
     negation = F.array(*map(F.lit, c.NEGATION))
-    answer_negates, unit_negates = F.arrays_overlap("said", negation), F.arrays_overlap("tokens", negation)
-    n, held = F.size("tokens"), F.size(F.array_intersect("tokens", "said"))
+    said = evals.select("eval_id", t.tokens(F.col("answer")).alias("said")).withColumn("answer_negates", F.arrays_overlap("said", negation))
+    rows = parts.join(said, "eval_id").withColumn("tokens", t.tokens(F.col("text")))
+    rows = rows.withColumn("n", F.size("tokens")).withColumn("held", F.size(F.array_intersect("tokens", "said"))).withColumn("need", F.array_except("tokens", "said"))
+    rows = rows.withColumn("unit_negates", F.arrays_overlap("tokens", negation)).withColumn("mark", F.md5(F.col("text").cast("binary"))).drop("said", "tokens")
+    rows = graph.shared_checkpoint(rows)
+    need = rows.select("eval_id", "mark", F.explode("need").alias("token")).distinct()
+    more = need.join(vocabulary(chunks), ["eval_id", "token"], "left_semi").groupBy("eval_id", "mark").agg(F.count("*").alias("more"))
+    some = "(^|[^a-z0-9])(" + "|".join(c.NEGATION) + ")([^a-z0-9]|$)"
+    negates = chunks.where(F.lower("text").rlike(some)).select("eval_id", F.lit(True).alias("negates")).distinct()
+    rows = rows.drop("need").join(more, ["eval_id", "mark"], "left").join(negates, "eval_id", "left").fillna(0, ["more"]).fillna(False, ["negates"])
 
     def label(held: Column, negates: Column) -> Column:
-        raw = F.when(n == 0, F.lit(0.0)).otherwise(held / n)
-        return F.when((raw >= settings.contra_tau) & (negates != unit_negates), "C").when(raw >= settings.entail_tau, "E").otherwise("N")
+        raw = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(held / F.col("n"))
+        return F.when((raw >= settings.contra_tau) & (negates != F.col("unit_negates")), "C").when(raw >= settings.entail_tau, "E").otherwise("N")
 
-    rows = rows.withColumn("own", label(held, answer_negates)).withColumn("with_sources", label(held + F.col("more"), answer_negates | F.col("negates")))
+    rows = rows.withColumn("own", label(F.col("held"), F.col("answer_negates"))).withColumn("with_sources", label(F.col("held") + F.col("more"), F.col("answer_negates") | F.col("negates")))
     alone = ~F.col("text").rlike(t.LEADING_SHORT)
     fine = F.col("own") == (F.col("with_sources") if settings.double_nli else F.lit("E"))
     unit = t.short_hash("unit:", F.concat_ws("|", "req_id", "text"))
@@ -175,31 +179,76 @@ def completeness(reqs: DataFrame, units: DataFrame, settings: Config = Config())
     return rows.withColumn("band", scoring.band(F.col("score"), settings)).withColumn("ci_low", low).withColumn("ci_high", high).withColumn("abstained", scoring.should_abstain(F.col("vital_units"), settings))
 
 
-def outcomes(evals: DataFrame) -> DataFrame:
-    rows = evals.withColumn("task_type", t.classify(F.col("question"), c.TASKS, c.TASK_DEFAULT))
-    return rows.join(F.broadcast(outcome_table(evals.sparkSession)), "task_type")
+def classified(evals: DataFrame, types: dict, default: str, arms: int = 64) -> DataFrame:
+    """evals with qtype: the first type one of whose keywords the question contains, in any case, else the default.
+
+    A short table is one expression. Of a longer one, keywords meet questions by their first three characters, as no plan holds
+    thousands of conditions; both say the same.
+    """
+    if len(types) <= arms:
+        return evals.withColumn("qtype", t.classify(F.col("question"), types, default))
+    rows = [(i, k, w.lower(), w.lower()[:3]) for i, (k, (words, *_)) in enumerate(types.items()) for w in words]
+    words = evals.sparkSession.createDataFrame(rows, "at int, kind string, word string, gram string")
+    asked = evals.select("eval_id", F.lower("question").alias("asked")).select("eval_id", "asked", F.explode(_grams(F.col("asked"))).alias("gram"))
+    found = asked.join(words, "gram").where(F.contains("asked", "word")).groupBy("eval_id").agg(F.min(F.struct("at", "kind")).alias("first"))
+    return evals.join(found, "eval_id", "left").withColumn("qtype", F.coalesce("first.kind", F.lit(default))).drop("first")
+
+
+def outcomes(evals: DataFrame, types: dict | None = None, default: str = c.TASK_DEFAULT) -> DataFrame:
+    """The outcomes of each question's task type, of the fixed types or of a table's (sources.tables.task_types())."""
+    types = c.TASKS if types is None else types
+    rows = classified(evals, types, default).withColumnRenamed("qtype", "task_type")
+    return rows.join(F.broadcast(outcome_table(evals.sparkSession, types)), "task_type")  # read from a table of bounded length
+
+
+def _some(needles: Column) -> Column:
+    return F.coalesce(F.exists(needles, lambda p: F.contains(F.lower("answer"), F.lower(p))), F.lit(False))
+
+
+def _entails(premise: Column, hypothesis: Column) -> Column:
+    return t.entailment(premise, hypothesis)["label"] == "E"
+
+
+def _limits(known: Column) -> Column:
+    n, none = t.word_count(F.col("answer")), F.array().cast("array<string>")
+    fits = (n <= F.coalesce("max_words", n)) & (n >= F.coalesce("min_words", n)) & ~_some(F.coalesce("excludes", none))
+    return fits & F.forall(F.coalesce("includes", none), lambda p: F.contains(F.lower("answer"), F.lower(p)))
+
+
+def _state(known: Column) -> Column:
+    same = t.strip(F.col("answer")) == t.strip(F.col("expected"))
+    return F.when(F.col("expected").isNull(), True).when(F.coalesce("exact", F.lit(False)), same).otherwise(F.contains(F.lower("answer"), F.lower("expected")))
+
+
+def _imported(known: Column) -> Column:
+    asked = t.jaccard(t.tokens(F.col("question")), F.col("said")) >= 0.5
+    return F.when(F.col("signal") == "responsive", asked).otherwise(F.when(known.isNull(), True).otherwise(_entails(known, F.col("said"))))
+
+
+def _adequate(known: Column) -> Column:
+    heard = F.array_union("said", F.array_union(F.array(F.lit("reference")), t.tokens(F.col("outcome"))))
+    return t.coverage(t.tokens(F.array_join("cues", " ")), heard) >= 0.34
+
+
+#: What each verifier tag of an outcome asks of a row: question, answer, said (its tokens) and the outcome's columns; known: the context's tokens.
+_VERIFIERS = {
+    "artifact_presence": lambda known: _some(F.col("patterns")), "executable": lambda known: _some(F.col("signals")) & _some(F.col("run_claims")), "adequacy": _adequate,
+    "coverage": lambda known: _entails(F.col("said"), t.tokens(F.coalesce("requirement", F.lit("")))), "constraint": _limits, "state": _state, "import": _imported,
+}
+
+
+def register_verifier(tag: str, make: Callable[[Column], Column]) -> None:
+    """Let outcomes name a further verifier: a function from the context's token column to a condition on an outcome row."""
+    if tag in _VERIFIERS:
+        raise ValueError(f"verifier {tag} is registered")
+    _VERIFIERS[tag] = make
 
 
 def verdict(known: Column) -> Column:
-    """Whether an outcome row (with question, answer, and the context's token set) is achieved, by its verifier."""
-    answer, said = F.col("answer"), F.col("said")
-    some = lambda needles: F.coalesce(F.exists(needles, lambda p: F.contains(F.lower(answer), F.lower(p))), F.lit(False))
-    n = t.word_count(answer)
-    cues = t.tokens(F.array_join("cues", " "))
-    entails = lambda premise, hypothesis: t.entailment(premise, hypothesis)["label"] == "E"
-    none = F.array().cast("array<string>")
-    limits = (n <= F.coalesce("max_words", n)) & (n >= F.coalesce("min_words", n)) & ~some(F.coalesce("excludes", none))
-    limits = limits & F.forall(F.coalesce("includes", none), lambda p: F.contains(F.lower(answer), F.lower(p)))
-    state = F.when(F.col("expected").isNull(), True).when(F.coalesce("exact", F.lit(False)), t.strip(answer) == t.strip(F.col("expected"))).otherwise(F.contains(F.lower(answer), F.lower("expected")))
-    imports = F.when(F.col("signal") == "responsive", t.jaccard(t.tokens(F.col("question")), said) >= 0.5).otherwise(F.when(known.isNull(), True).otherwise(entails(known, said)))
-    table = {
-        "artifact_presence": some(F.col("patterns")), "executable": some(F.col("signals")) & some(F.col("run_claims")),
-        "adequacy": t.coverage(cues, F.array_union(said, F.array_union(F.array(F.lit("reference")), t.tokens(F.col("outcome"))))) >= 0.34,
-        "coverage": entails(said, t.tokens(F.coalesce("requirement", F.lit("")))), "constraint": limits, "state": state, "import": imports,
-    }
+    """Whether an outcome row (with question, answer, and the context's token set) is achieved, by its verifier; an unknown one is an error."""
     out = F.raise_error(F.concat(F.lit("unknown verifier "), "verifier")).cast("boolean")
-    for name, value in table.items():
-        out = F.when(F.col("verifier") == name, value).otherwise(out)
+    for tag, make in _VERIFIERS.items():
+        out = F.when(F.col("verifier") == tag, make(known)).otherwise(out)
     return out
 
 
@@ -207,18 +256,18 @@ def impossible(answer: Column) -> Column:
     return t.contains_any(answer, c.IMPOSSIBLE) & t.contains_any(answer, c.REASONS)
 
 
-def judged_outcomes(evals: DataFrame, known: DataFrame) -> DataFrame:
+def judged_outcomes(evals: DataFrame, known: DataFrame, types: dict | None = None, default: str = c.TASK_DEFAULT) -> DataFrame:
     """The outcomes of each evaluation with ok, and impossible: whether the answer says why the task can't be done."""
-    rows = outcomes(evals).join(known, "eval_id", "left").withColumn("said", t.tokens(F.col("answer")))
+    rows = outcomes(evals, types, default).join(known, "eval_id", "left").withColumn("said", t.tokens(F.col("answer")))
     return rows.withColumn("ok", verdict(F.col("known"))).withColumn("impossible", impossible(F.col("answer")))
 
 
-def task_success(evals: DataFrame, known: DataFrame, settings: Config = Config()) -> DataFrame:
+def task_success(evals: DataFrame, known: DataFrame, settings: Config = Config(), types: dict | None = None, default: str = c.TASK_DEFAULT) -> DataFrame:
     """eval_id, task_type, impossible, achieved, required, score, band: outcomes weighed; a well-founded "impossible" counts as
     done, with no outcome achieved or required.
     """
     share = F.sum(F.when(F.col("ok"), F.col("weight")).otherwise(0.0)) / F.sum("weight")
-    done = judged_outcomes(evals, known).groupBy("eval_id", "task_type").agg(F.bool_or("impossible").alias("impossible"), F.count_if("ok").alias("achieved"), F.count("*").alias("required"), share.alias("share"))
+    done = judged_outcomes(evals, known, types, default).groupBy("eval_id", "task_type").agg(F.bool_or("impossible").alias("impossible"), F.count_if("ok").alias("achieved"), F.count("*").alias("required"), share.alias("share"))
     none = lambda n: F.when(F.col("impossible"), 0).otherwise(F.col(n)).cast("long")
     done = done.withColumn("score", F.when(F.col("impossible"), 1.0).otherwise(F.col("share"))).withColumn("achieved", none("achieved")).withColumn("required", none("required")).drop("share")
     return done.withColumn("band", scoring.band(F.col("score"), settings))

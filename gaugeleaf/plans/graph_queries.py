@@ -1,4 +1,4 @@
-"""Claim graphs: over the conversations' claims, over fixed cases, and over users' event chains for size."""
+"""Claim graphs: over the conversations' claims, over order lines, and over users' event chains for size."""
 
 from __future__ import annotations
 
@@ -15,26 +15,12 @@ from gaugeleaf.plans.task_queries import _SIG, ANSWER_ASK, signals_of
 from gaugeleaf.plans.text_queries import claims_of
 from gaugeleaf.sources import evaluations as src
 
-#: Claims with arithmetic provenance, by evaluation, in order.
-NUMERIC = (
-    (1, 0, "c1", "Revenue was 100 dollars."), (1, 1, "c2", "Costs were 40 dollars."), (1, 2, "c3", "Profit was 60 dollars."),
-    (2, 0, "d1", "Sales were 7."), (2, 1, "d2", "Returns were 2."), (2, 2, "d3", "Orders were 9."), (2, 3, "d4", "Net was 5."), (3, 0, "e1", "Nothing to add."),
-)
-GOLD = ((1, "c1", "c3"), (1, "c2", "c3"), (2, "d1", "d3"), (2, "d3", "d4"))
-
-
-def _cases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NUMERIC), "eval_id int, ord int, claim_id string, text string")
-
-
-_CASES_SQL = "cs AS (SELECT * FROM (VALUES " + ", ".join(f"({e}, {o}, {s.q(i)}, {s.q(x)})" for e, o, i, x in NUMERIC) + ") AS v(eval_id, ord, claim_id, text))"
 _EDGES_OF = (
     rf"nn AS (SELECT eval_id, ord, claim_id, TRY_CAST(regexp_extract(text, '{t.NUMBER}') AS DOUBLE) AS x FROM cs WHERE regexp_matches(text, '[0-9]'))",
     """pp AS (SELECT n.eval_id, n.ord, n.claim_id, a.claim_id AS ia, b.claim_id AS ib, row_number() OVER (PARTITION BY n.eval_id, n.ord ORDER BY a.ord, b.ord) AS k
   FROM nn n JOIN nn a ON a.eval_id = n.eval_id AND a.ord < n.ord JOIN nn b ON b.eval_id = n.eval_id AND b.ord < n.ord AND b.ord > a.ord WHERE n.x IN (a.x + b.x, a.x - b.x, b.x - a.x))""",
     "de AS (SELECT eval_id, unnest([ia, ib]) AS src, claim_id AS dst FROM pp WHERE k = 1)",
 )
-_NUMERIC_SQL = s.with_(_CASES_SQL, *_EDGES_OF)
 
 
 def line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +41,20 @@ NUMERIC_EDGES = s.with_(_LINES, *_EDGES_OF) + "SELECT * FROM de"
 
 
 def edge_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = spark.createDataFrame(list(GOLD), "eval_id int, src string, dst string")
-    rows = graph.edge_recall(graph.numeric_edges(_cases(spark)), gold)
+    """Arithmetic edges among order lines against a gold set: two of three of them, and a link from each order's first line to its second."""
+    lines = line_claims(spark, sf_dir)
+    found = graph.shared_checkpoint(graph.numeric_edges(lines))
+    gold = found.where("(eval_id + length(src) * 7 + ascii(right(dst, 1))) % 3 <> 0")
+    gold = gold.unionByName(lines.where("ord = 1").select("eval_id", F.lit("line-0").alias("src"), F.col("claim_id").alias("dst")))
+    rows = graph.edge_recall(found, gold)
     return rows.select(F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "tp", "detected", "gold")
 
 
-EDGE_RECALL = _NUMERIC_SQL + "SELECT round(count(*) FILTER (d AND g) / CAST(count(*) FILTER (g) AS DOUBLE), 6) AS recall, round(count(*) FILTER (d AND g) / CAST(count(*) FILTER (d) AS DOUBLE), 6) AS precision, count(*) FILTER (d AND g) AS tp, count(*) FILTER (d) AS detected, count(*) FILTER (g) AS gold FROM (SELECT coalesce(d, false) AS d, coalesce(g, false) AS g FROM (SELECT DISTINCT *, true AS d FROM de) FULL JOIN (SELECT *, true AS g FROM (VALUES " + ", ".join(f"({e}, {s.q(a)}, {s.q(b)})" for e, a, b in GOLD) + ") AS v(eval_id, src, dst)) USING (eval_id, src, dst))"
+EDGE_RECALL = s.with_(
+    _LINES, *_EDGES_OF, "fd AS MATERIALIZED (SELECT DISTINCT * FROM de)",
+    "gd AS (SELECT * FROM fd WHERE (eval_id + length(src) * 7 + ascii(right(dst, 1))) % 3 <> 0 UNION SELECT eval_id, 'line-0', claim_id FROM cs WHERE ord = 1)",
+    "bo AS (SELECT count(*) AS tp FROM fd SEMI JOIN gd USING (eval_id, src, dst))",
+) + "SELECT round(tp / CAST(g AS DOUBLE), 6) AS recall, round(tp / CAST(d AS DOUBLE), 6) AS precision, tp, d AS detected, g AS gold FROM bo, (SELECT count(*) AS d FROM fd), (SELECT count(*) AS g FROM gd)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,13 @@ def _classify(types: dict, default: str):
 
 
 def _types(types: dict):
-    return lambda spark, sf_dir: tasks.requirement_table(spark, types)
+    """The requirements of each type, with how many questions fall into it."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        asked = tasks.classified(evals_of(spark, sf_dir).select("eval_id", "question"), types, "default").groupBy("qtype").agg(F.count("*").alias("asked"))
+        return tasks.requirement_table(spark, types).join(asked, "qtype", "left").fillna(0, ["asked"])
+
+    return query
 
 
 def _types_sql(types: dict) -> str:
@@ -53,6 +59,10 @@ def _types_sql(types: dict) -> str:
     return f"SELECT * FROM (VALUES {rows}) AS v(qtype, req_ord, req_id, req, vital)"
 
 
+def _asked_sql(types: dict) -> str:
+    return s.with_(s.EV, EVALS, f"qt AS (SELECT {_classify_sql(types, 'default')} AS qtype, count(*) AS n FROM evals GROUP BY 1)") + f"SELECT x.*, coalesce(n, 0) AS asked FROM ({_types_sql(types)}) x LEFT JOIN qt USING (qtype)"
+
+
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = evals_of(spark, sf_dir)
     rows = tasks.generated(ev).unionByName(tasks.templated(ev, c.REQUIREMENTS)).unionByName(tasks.templated(ev, c.ARCHETYPES))
@@ -225,6 +235,6 @@ SQL = {
     "classify_task": s.with_(s.EV, EVALS) + f"SELECT eval_id, {_classify_sql(c.TASKS, c.TASK_DEFAULT)} AS qtype FROM evals",
     "classify_req": s.with_(s.EV, EVALS) + f"SELECT eval_id, {_classify_sql(c.REQUIREMENTS, 'default')} AS qtype FROM evals",
     "classify_archetype": s.with_(s.EV, EVALS) + f"SELECT eval_id, {_classify_sql(c.ARCHETYPES, 'default')} AS qtype FROM evals",
-    "req_templates": _types_sql(c.REQUIREMENTS), "archetypes": _types_sql(c.ARCHETYPES), "requirements": REQUIREMENTS, "outcomes": OUTCOMES, "task_success": TASK, "units": UNITS,
+    "req_templates": _asked_sql(c.REQUIREMENTS), "archetypes": _asked_sql(c.ARCHETYPES), "requirements": REQUIREMENTS, "outcomes": OUTCOMES, "task_success": TASK, "units": UNITS,
     "completeness": COMPLETENESS, "dedupe": DEDUPE, "recall_miss": RECALL_MISS, "on_topic": ON_TOPIC, "relevance": RELEVANCE, "method_a": METHOD_A,
 }

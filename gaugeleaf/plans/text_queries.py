@@ -94,9 +94,16 @@ ASK_HYP = s.with_(
 ) + "SELECT CAST(eval_id AS BIGINT) AS eval_id, CASE WHEN h = '' THEN x ELSE h END AS hypothesis FROM r"
 
 
+def sentences_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id (doc_id * 100,000 + place) and x: every sentence of every document, and the cases."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(t.sentences(F.coalesce("text", F.lit("")))).alias("place", "x"))
+    return d.select((F.col("doc_id") * 100_000 + F.col("place")).alias("id"), "x").unionByName(_texts(spark).select((F.col("id") - 1000).cast("long").alias("id"), "x"))
+
+
 def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules say of each sentence of the documents."""
     x = F.col("x")
-    return _texts(spark).select(
+    return sentences_of(spark, sf_dir).select(
         "id", t.is_verifiable(x).alias("verifiable"), t.is_abstractive(x).alias("abstractive"), t.has_leading_pronoun(x).alias("pronoun"), t.is_indexical(x).alias("indexical"),
         t.has_discourse_marker(x).alias("marker"), t.is_atomic(x).alias("atomic"), F.round(t.first_number(x), 3).alias("number"), t.citation(x).alias("citation"),
         t.word_count(x).cast("long").alias("words"),
@@ -105,7 +112,10 @@ def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NUM = s.q(rf"(?s)^(.*?)({t.NUMBER})(.*)$")
 _TAIL = f"lower({s.strip(f'regexp_extract(x, {_NUM}, 3)')})"
-PREDICATES = s.with_(_TEXTS_SQL) + rf"""
+PREDICATES = s.with_(
+    _TEXTS_SQL.replace("x AS (", "cases AS (", 1), f"sd AS (SELECT doc_id, {s.sentences('coalesce(text, chr(32))')} AS z FROM documents)",
+    "x AS (SELECT doc_id * 100000 + unnest(range(len(z))) AS id, unnest(z) AS x FROM sd UNION ALL SELECT id - 1000, x FROM cases)",
+) + rf"""
 SELECT id, NOT {s.rlike('x', t.HEDGE)} AS verifiable, {s.rlike('x', r'\[[^\]]*\s[^\]]*\]')} AS abstractive, {s.rlike('x', t.LEADING)} AS pronoun,
   {s.rlike('x', t.LEADING)} OR {s.rlike('x', t.DEICTIC)} AS indexical, {s.rlike('x', t.MARKER)} AS marker, NOT ({s.rlike('x', t.SPLIT_WORDS)} OR contains(x, ';')) AS atomic,
   round(TRY_CAST(replace(regexp_extract(x, {_NUM}, 2), ',', '') AS DOUBLE) * CASE WHEN {_TAIL} LIKE 'k%' OR {_TAIL} LIKE 'thousand%' THEN 1e3 WHEN {_TAIL} LIKE 'm%' THEN 1e6

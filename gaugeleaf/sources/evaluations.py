@@ -60,18 +60,18 @@ def read_atoms(spark: SparkSession, path: str, schema: T.StructType, kind: str =
     return spark.read.schema(schema).format(kind).load(path)
 
 
-#: Evaluation cases whose outcome is known in kind: name, question, answer, texts, request citations, and (url, domain, author) of the first text.
-DRIVERS = "Cost drivers behind the change included freight and wages. Pricing actions taken were small discounts. One-time or non-recurring items included a settlement. Foreign-exchange effects lowered sales."
+#: Cases whose outcome is known in kind: name, question, answer, texts, request citations, and (url, domain, author) of the first text.
+FERRIES = "Cost drivers behind the change included diesel and crews. Pricing actions taken were a spring fare. One-time or non-recurring items included a strike. Foreign-exchange effects stayed small."
 CASES = (
-    ("aligned", "Why did revenue rise?", "Revenue rose on strong demand. Costs fell in the quarter.", ["Revenue rose on strong demand. Costs fell in the quarter."], [], None),
-    ("off_ask", "Why did revenue decline?", "Bananas are yellow fruit.", ["Revenue declined because demand fell."], [], None),
-    ("missing_facet", "What were the key drivers of the revenue decline?", "Cost drivers behind the change included freight and wages.", [DRIVERS], [], None),
-    ("explanation_instead_of_fix", "Fix this broken function.", "The loop runs too often, so the function is slow.", ["The function has a loop in a loop."], [], None),
-    ("contradiction", "What colour is the sky?", "The sky is not blue today.", ["The sky is blue today."], [], None),
-    ("fabricated_citation", "Why did revenue rise?", "Revenue rose on strong demand [fabricated-99].", ["Revenue rose on strong demand."], ["fabricated-99"], None),
-    ("wrong_citation", "Who won the final?", "Real Madrid won the final [chunk-2].", ["Real Madrid won the final.", "Bananas are yellow fruit."], [], None),
-    ("bad_source", "What happened to prices?", "Prices fell sharply in June [chunk-1].", ["Prices fell sharply in June."], [], ("https://fakenews.example/a", "fakenews.example", None)),
-    ("self_citation", "How did Acme do?", "Acme raised its sales by a fifth [chunk-1].", ["Acme raised its sales by a fifth."], [], ("https://acme.com/news", "acme.com", "Acme Press Office")),
+    ("well_sourced", "Why did the herring catch grow?", "The herring catch grew after the quota rose. Ice became cheaper in spring.", ["The herring catch grew after the quota rose. Ice became cheaper in spring."], [], None),
+    ("beside_the_point", "Why did the herring catch shrink?", "Granite cools slowly below ground.", ["The herring catch shrank because the water warmed."], [], None),
+    ("one_part_of_four", "What were the main drivers of the decline in ferry traffic?", "Cost drivers behind the change included diesel and crews.", [FERRIES], [], None),
+    ("words_for_a_patch", "Repair this broken parser.", "The parser reads a token too many, so the last line is lost.", ["The parser reads a token before it looks for the end."], [], None),
+    ("denies_its_source", "Is the bridge open tonight?", "The bridge is not open tonight.", ["The bridge is open tonight."], [], None),
+    ("made_up_reference", "Why did the herring catch grow?", "The herring catch grew after the quota rose [madeup-7].", ["The herring catch grew after the quota rose."], ["madeup-7"], None),
+    ("reference_elsewhere", "Who kept the lighthouse?", "Ida Lewis kept the lighthouse [chunk-2].", ["Ida Lewis kept the lighthouse.", "Granite cools slowly below ground."], [], None),
+    ("denied_publisher", "What became of the dam?", "The dam held through the flood [chunk-1].", ["The dam held through the flood."], [], ("https://contentfarm.example/dam", "contentfarm.example", None)),
+    ("own_publicity", "How did Northmill do?", "Northmill doubled its output of paper [chunk-1].", ["Northmill doubled its output of paper."], [], ("https://ir.example/northmill", "ir.example", "Investor Relations")),
 )
 
 

@@ -30,19 +30,19 @@ def bundle(spark, settings=Config(), **more):
 
 def test_engine_on_fixtures(spark):
     points = spark.createDataFrame([(k / 10, True, "s") for k in range(10)], "confidence double, label boolean, stratum string")
-    got, b = bundle(spark, load({"reference_mode": "templated", "method": "both"}), calibration=points, recall=spark.createDataFrame([("Revenue Decline", "freight and wages")], src.RECALL))
+    got, b = bundle(spark, load({"reference_mode": "templated", "method": "both"}), calibration=points, recall=spark.createDataFrame([("Ferry Traffic", "diesel and crews")], src.RECALL))
     assert len(got) == 8 * len(src.CASES)
-    assert got["aligned", "groundedness"].score == 1.0
-    assert got["off_ask", "relevance"].score <= 0.5 and {"method_a", "method_b"} <= set(got["aligned", "relevance"].extra)
-    assert 0 < got["missing_facet", "completeness"].extra["requirement_coverage"] < 1.0 and got["missing_facet", "completeness"].extra["recall_miss_rate"] == 0.0
-    assert "recall_miss_rate" not in got["aligned", "completeness"].extra and got["aligned", "completeness"].assurance_mode == "templated"
-    assert got["explanation_instead_of_fix", "task_success"].score < 1.0
-    assert got["contradiction", "hallucination"].score == 1.0 and got["contradiction", "hallucination"].extra["contradiction_rate"] > 0
-    assert got["fabricated_citation", "hallucination"].band == "R" and got["fabricated_citation", "hallucination"].extra["gate_failed"] == 1.0
-    assert got["wrong_citation", "source_attribution"].score == 0.0 and got["wrong_citation", "groundedness"].score > 0
-    assert got["bad_source", "source_quality"].score < 0.6 and got["bad_source", "groundedness"].score > 0
-    stamp = got["aligned", "groundedness"].extra
-    assert stamp["conformal_band_low"] == 0.95 and stamp["conformal_abstained"] == 0.0 and "conformal_band_low" not in got["aligned", "accuracy"].extra
+    assert got["well_sourced", "groundedness"].score == 1.0
+    assert got["beside_the_point", "relevance"].score <= 0.5 and {"method_a", "method_b"} <= set(got["well_sourced", "relevance"].extra)
+    assert 0 < got["one_part_of_four", "completeness"].extra["requirement_coverage"] < 1.0 and got["one_part_of_four", "completeness"].extra["recall_miss_rate"] == 0.0
+    assert "recall_miss_rate" not in got["well_sourced", "completeness"].extra and got["well_sourced", "completeness"].assurance_mode == "templated"
+    assert got["words_for_a_patch", "task_success"].score < 1.0
+    assert got["denies_its_source", "hallucination"].score == 1.0 and got["denies_its_source", "hallucination"].extra["contradiction_rate"] > 0
+    assert got["made_up_reference", "hallucination"].band == "R" and got["made_up_reference", "hallucination"].extra["gate_failed"] == 1.0
+    assert got["reference_elsewhere", "source_attribution"].score == 0.0 and got["reference_elsewhere", "groundedness"].score > 0
+    assert got["denied_publisher", "source_quality"].score < 0.6 and got["denied_publisher", "groundedness"].score > 0
+    stamp = got["well_sourced", "groundedness"].extra
+    assert stamp["conformal_band_low"] == 0.95 and stamp["conformal_abstained"] == 0.0 and "conformal_band_low" not in got["well_sourced", "accuracy"].extra
     assert b.summary.where("summary like '%groundedness: 1.000 [G]%' and summary like 'Summary of 8 dimensions over % atoms:%'").count() >= 1
     lines = b.report.where("eval_id = 0").first().report.split("\n")
     shown = [x.split("] ")[1].split()[0] for x in lines if x.startswith("  [")]
@@ -124,7 +124,7 @@ def test_providers_plug_in(spark):
     providers.register("entailment", "never", lambda premise, hypothesis: F.struct(F.lit("N").alias("label"), F.lit(0.0).alias("raw")), "7")
     assert providers.stamp("entailment", "never") == ("never-entailment", "7")
     got, b = bundle(spark, load({"entailment": "never"}))
-    assert got["aligned", "groundedness"].score == 0.0 and b.atoms.where("role = 'triplet_grounded' and model = 'never-entailment' and model_version = '7'").count() > 0
+    assert got["well_sourced", "groundedness"].score == 0.0 and b.atoms.where("role = 'triplet_grounded' and model = 'never-entailment' and model_version = '7'").count() > 0
     text = spark.createDataFrame([("a red fox jumped over",), ("maybe a red fox jumped",), ("is it a red fox jumping?",)], "x string")
     assert [r.v for r in text.select(providers.verifiable(F.col("x")).alias("v")).collect()] == [True, False, False]
     made = text.limit(1).select(providers.generated("triplets", F.lit("Ann saw Bob and Bob ran")).alias("t"), providers.generated("repeat", F.lit("x"), 2).alias("r"), providers.generated("sentences", F.lit("A b. C d.")).alias("s")).first()
@@ -225,3 +225,92 @@ def test_rescue_follows_chains_of_any_length(spark):
     nodes = spark.createDataFrame([(1, k, k == 0) for k in range(68)], "eval_id int, node int, axiom boolean").coalesce(1)
     links = spark.createDataFrame([(1, k, k + 1) for k in range(67)], "eval_id int, src int, dst int").coalesce(1)
     assert graph.rescue(nodes, links).where("not resolved").count() == 0
+
+
+def test_verifiers_and_task_types_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "types.json")
+    spark.createDataFrame([(
+        '{"type":"sum","keywords":["add up"],"outcomes":[{"id":"right","text":"the sum is right","verifier":"state","expected":"42","exact":true},{"id":"near","text":"names it","verifier":"state","expected":"42"},'
+        '{"id":"long","text":"is short","verifier":"at_most","weight":2.0,"max_words":3}]}',
+    ), ('{"type":"other","keywords":[],"outcomes":[{"id":"any","text":"says so","verifier":"constraint","min_words":1,"excludes":["sorry"],"includes":["so"]}]}',)], "value string").coalesce(1).write.text(path)
+    types = tables.task_types(spark, path)
+    assert [o[:4] for o in types["sum"][1]] == [("right", "the sum is right", "state", 1.0), ("near", "names it", "state", 1.0), ("long", "is short", "at_most", 2.0)]
+    ev = spark.createDataFrame([(1, "Please add up 40 and 2", " 42 "), (2, "Add up all", "it is 42 in the end"), (3, "Hm", "so it is"), (4, "Hm", "so sorry")], "eval_id long, question string, answer string")
+    known = spark.createDataFrame([], "eval_id long, known array<string>")
+    with pytest.raises(Exception, match="unknown verifier at_most"):
+        tasks.task_success(ev, known, types=types, default="other").collect()
+    tasks.register_verifier("at_most", lambda _: F.size(F.split(F.trim("answer"), " ")) <= F.col("max_words"))
+    try:
+        with pytest.raises(ValueError):
+            tasks.register_verifier("state", lambda _: F.lit(True))
+        got = {r.eval_id: (r.task_type, r.achieved, r.required, r.score) for r in tasks.task_success(ev, known, types=types, default="other").collect()}
+        assert got == {1: ("sum", 3, 3, 1.0), 2: ("sum", 1, 3, 0.25), 3: ("other", 1, 1, 1.0), 4: ("other", 0, 1, 0.0)}
+    finally:
+        del tasks._VERIFIERS["at_most"]
+    bad = str(tmp_path / "bad.json")
+    spark.createDataFrame([('{"type":"x","outcomes":[{"id":"a","verifier":"state"}]}',)], "value string").write.text(bad)
+    with pytest.raises(ValueError):
+        tables.task_types(spark, bad)
+    assert tables.records(spark, path, "type string").count() == 2
+    with pytest.raises(ValueError):
+        tables.records(spark, path, "type string", most=1)
+
+
+def test_long_type_tables_say_what_short_ones_do(spark):
+    types = {f"t{i}": ([f"word{i}", f"w{i} x"], []) for i in range(300)} | {"tiny": (["qz"], []), "late": (["word7"], [])}
+    asked = ["About word7 and word3", "WORD299!", "a w12 x here", "qz", "nothing", "", "word300 (has word30)"]
+    ev = spark.createDataFrame(list(enumerate(asked)), "eval_id int, question string")
+    long_ = {r.eval_id: r.qtype for r in tasks.classified(ev, types, "none", arms=1).collect()}
+    short = {r.eval_id: r.qtype for r in tasks.classified(ev, types, "none", arms=1000).collect()}
+    assert long_ == short == {0: "t3", 1: "t2", 2: "t12", 3: "tiny", 4: "none", 5: "none", 6: "t3"}
+
+
+def test_clause_parser_and_coreference_plug_in(spark):
+    providers.register("clauses", "commas", lambda x: F.filter(F.transform(F.split(x, ","), lambda y: F.trim(y)), lambda y: y != ""))
+    providers.register("coreference", "never", lambda x, _: F.trim(x))
+    ev = spark.createDataFrame([(1, "Why?", "Vienna grew fast, it was rich and big.")], "eval_id long, question string, answer string")
+    texts = lambda settings: [r.text for r in pipeline.claims(ev, None, settings).orderBy("sent_ord", "clause_ord").collect()]
+    assert texts(load({"clause_parser": "commas", "coreference": "never"})) == ["Vienna grew fast", "it was rich and big."]
+    assert texts(Config()) == ["Vienna grew fast, it was rich", "big."]
+    found = {r.kind: (r.ok, r.error) for r in providers.probe(spark, load({"clause_parser": "commas"})).collect()}
+    assert set(found) == set(providers._PROVIDERS) and all(ok for ok, _ in found.values())
+    providers.register("entailment", "broken", lambda a, b: F.raise_error(F.lit("model is gone")).cast("string"))
+    found = {r.kind: (r.ok, r.error) for r in providers.probe(spark, load({"entailment": "broken", "resolver": "absent"})).collect()}
+    assert not found["entailment"][0] and "gone" in found["entailment"][1] and found["resolver"] == (False, "KeyError: 'unknown resolver provider absent'") and found["judge"][0]
+
+
+def test_settings_file_names_every_setting(spark, tmp_path):
+    import json
+    from dataclasses import asdict
+
+    from gaugeleaf.config import load_file
+
+    values = {k: v for k, v in asdict(Config()).items() if v is not None} | {"min_n": 4, "edge_tau": 1}
+    write = lambda name, v: (tmp_path / name).write_text(json.dumps(v)) and str(tmp_path / name)
+    assert load_file(spark, write("whole.json", values)) == load({"min_n": 4, "edge_tau": 1.0})
+    for broken in ({k: v for k, v in values.items() if k != "min_n"}, values | {"more": 1}, values | {"min_n": "four"}, values | {"tree": 1}):
+        with pytest.raises(ValueError):
+            load_file(spark, write("broken.json", broken))
+
+
+def test_claims_without_exported_labels(spark):
+    sets = spark.createDataFrame([(1, "a", "The bridge is open tonight", None), (1, "b", "The dam burst at noon", None), (1, "c", "The bridge is not open", None), (2, "d", "Nobody knows it", None), (1, "e", "kept", True)],
+                                 "eval_id long, claim_id string, text string, grounded boolean")
+    chunks = spark.createDataFrame([(1, "A bridge is open"), (1, "until tonight"), (3, "x")], "eval_id long, text string")
+    held = lambda settings: {r.claim_id: r.entailed for r in dim.local_support(sets, chunks, settings).collect()}
+    assert held(Config()) == {"a": True, "b": False, "c": False, "d": True} and held(load({"residual": "deny"}))["d"] is False
+
+
+def test_report_as_a_query(spark):
+    from gaugeleaf.plans import result_queries as rq
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.eval_id: r.report.split("\n") for r in rq.report(spark, sf).collect()}
+    scores = {(r.eval_id, r.dimension): r for r in rq.results(spark, sf).collect()}
+    assert len(rows) == len({e for e, _ in scores})
+    for e, lines in rows.items():
+        shown = [x for x in lines if x.startswith("  [")]
+        assert len(shown) == 8
+        for name, line in zip(records.ORDER, shown):
+            r = scores[e, name]
+            assert line.startswith(f"  [{r.band}] {name:<13} {r.score:.3f}  CI[") and line.endswith(f"n={r.n}" + " ABSTAINED" * r.abstained)
