@@ -299,18 +299,3 @@ def test_claims_without_exported_labels(spark):
     chunks = spark.createDataFrame([(1, "A bridge is open"), (1, "until tonight"), (3, "x")], "eval_id long, text string")
     held = lambda settings: {r.claim_id: r.entailed for r in dim.local_support(sets, chunks, settings).collect()}
     assert held(Config()) == {"a": True, "b": False, "c": False, "d": True} and held(load({"residual": "deny"}))["d"] is False
-
-
-def test_report_as_a_query(spark):
-    from gaugeleaf.plans import result_queries as rq
-
-    sf = "/root/testdata/sf0.001"
-    rows = {r.eval_id: r.report.split("\n") for r in rq.report(spark, sf).collect()}
-    scores = {(r.eval_id, r.dimension): r for r in rq.results(spark, sf).collect()}
-    assert len(rows) == len({e for e, _ in scores})
-    for e, lines in rows.items():
-        shown = [x for x in lines if x.startswith("  [")]
-        assert len(shown) == 8
-        for name, line in zip(records.ORDER, shown):
-            r = scores[e, name]
-            assert line.startswith(f"  [{r.band}] {name:<13} {r.score:.3f}  CI[") and line.endswith(f"n={r.n}" + " ABSTAINED" * r.abstained)
