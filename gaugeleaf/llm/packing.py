@@ -1,7 +1,7 @@
 """Token-id output: documents packed into rows of fixed length by best fit, longest first.
 
 Texts become token ids. A document longer than a row is cut into parts of a full row and a rest, nothing is dropped. Parts
-are dealt to shards by hash; in a shard they go, longest first, each to the fullest row that still holds it, found by a
+are dealt to shards by hash of document, part and place in the scan; in a shard they go, longest first, each to the fullest row that still holds it, found by a
 segment tree over free capacities. Rows leave as matrices of ids (padded), with the cumulative lengths of each row's
 segments and positions that start again at 0 in every segment.
 
@@ -9,13 +9,12 @@ Cases: a text without tokens (null, empty) is in no row. Rows that repeat are pa
 doc_id and part. A null doc_id is packed and stays null. Other columns are not read. An empty table gives an empty result.
 
 Size: one scan; ids are shuffled once, packed in two or four bytes. A shard holds about `shard_tokens` tokens at any size
-of the corpus, so a task's memory is bounded; packing by shard costs at most a few open rows a shard.
+of the corpus, also where many rows are equal, and a task holds one shard at a time; packing by shard costs at most a few open rows a shard.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -129,35 +128,43 @@ def pack(docs: DataFrame, path: str, pattern: str, row_tokens: int = 2048, rows_
                     ids.append(whole[a : a + row_tokens * width])
             yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "part", "ids"])
 
+    def matrices(shard: int, rows: list[list]):
+        rows = sorted(rows, key=lambda r: (-len(r[2]), r[0] is None, r[0], r[1], r[2]))
+        bins = best_fit([len(r[2]) // width for r in rows], row_tokens)
+        for a in range(0, len(bins), rows_per_matrix):
+            part = bins[a : a + rows_per_matrix]
+            ids = np.full((len(part), row_tokens), pad, dtype)
+            positions = np.zeros((len(part), row_tokens), dtype)
+            edges = []
+            for k, row in enumerate(part):
+                edge = [0]
+                for i in row:
+                    x = np.frombuffer(rows[i][2], dtype)
+                    ids[k, edge[-1] : edge[-1] + len(x)] = x
+                    positions[k, edge[-1] : edge[-1] + len(x)] = np.arange(len(x))
+                    edge.append(edge[-1] + len(x))
+                edges.append(edge)
+            yield pa.record_batch([
+                pa.array([(shard << 32) + a // rows_per_matrix], pa.int64()), pa.array([len(part)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([positions.tobytes()], pa.binary()),
+                pa.array([edges], _ROW.field("cu_seqlens").type), pa.array([[[rows[i][0] for i in r] for r in part]], _ROW.field("doc_ids").type), pa.array([[[rows[i][1] for i in r] for r in part]], _ROW.field("parts").type),
+            ], schema=_ROW)
+
     def fill(batches):
-        held = defaultdict(list)
-        for batch in batches:
+        now, held = None, []
+        for batch in batches:  # sorted by shard: one is held at a time
             for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "part", "ids"))):
-                held[shard].append(row)
-        for shard in list(held):
-            rows = sorted(held.pop(shard), key=lambda r: (-len(r[2]), r[0] is None, r[0], r[1], r[2]))
-            bins = best_fit([len(r[2]) // width for r in rows], row_tokens)
-            for a in range(0, len(bins), rows_per_matrix):
-                part = bins[a : a + rows_per_matrix]
-                ids = np.full((len(part), row_tokens), pad, dtype)
-                positions = np.zeros((len(part), row_tokens), dtype)
-                edges = []
-                for k, row in enumerate(part):
-                    edge = [0]
-                    for i in row:
-                        x = np.frombuffer(rows[i][2], dtype)
-                        ids[k, edge[-1] : edge[-1] + len(x)] = x
-                        positions[k, edge[-1] : edge[-1] + len(x)] = np.arange(len(x))
-                        edge.append(edge[-1] + len(x))
-                    edges.append(edge)
-                yield pa.record_batch([
-                    pa.array([(shard << 32) + a // rows_per_matrix], pa.int64()), pa.array([len(part)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([positions.tobytes()], pa.binary()),
-                    pa.array([edges], _ROW.field("cu_seqlens").type), pa.array([[[rows[i][0] for i in r] for r in part]], _ROW.field("doc_ids").type), pa.array([[[rows[i][1] for i in r] for r in part]], _ROW.field("parts").type),
-                ], schema=_ROW)
+                if held and shard != now:
+                    yield from matrices(now, held)
+                    held = []
+                now = shard
+                held.append(row)
+        if held:
+            yield from matrices(now, held)
 
     pieces = docs.mapInArrow(cut, "doc_id long, part int, ids binary")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "ids"), F.lit(shards)).cast("int"))
-    return dealt.repartition(shards, "shard").mapInArrow(fill, _KIND)
+    place = F.monotonically_increasing_id()  # deals rows that repeat to all shards; read once, in this one exchange
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", place), F.lit(shards)).cast("int"))
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(fill, _KIND)
 
 
 def write(packed: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ get equal scores. Rows of labels with a null toxic teach nothing; without rows o
 untrained model. A null doc_id is not held out. Other columns are not read. An empty table gives an empty result.
 
 Size: training takes `most` labelled rows at most, half of each class where there are enough, chosen by hash; scoring is one
-scan of the texts without a shuffle, and the model is one array of 2**18 floats.
+scan of the texts without a shuffle, and the model is one array of 2**20 floats.
 """
 
 from __future__ import annotations
@@ -108,8 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 5_000, most_bytes: int =
     sizes = rows.select("doc_id", "toxic", "size").orderBy(*order).collect()
     held, ids = {0: 0, 1: 0}, []
     for r in sizes:
-        held[r.toxic] += r.size
-        if held[r.toxic] <= most_bytes // 2:
+        if held[r.toxic] + r.size <= most_bytes // 2:  # a text that doesn't fit is left out alone
+            held[r.toxic] += r.size
             ids.append(r.doc_id)
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
     taught = sorted(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect(), key=lambda r: r.doc_id)

@@ -1,6 +1,7 @@
 """op7, op8, op9: exact counts against plain Python, held-out accuracy, sampling."""
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -152,3 +153,50 @@ def test_rule_counts_equal_sql(spark):
     again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1) GROUP BY doc_id)
     SELECT doc_id, len(w), length(array_to_string(w, '')), length(regexp_replace(array_to_string(w, ''), '[^#*$%&|<>]', '', 'g')), len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) FROM d LEFT JOIN again USING (doc_id)"""
     assert got == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_a_labelled_text_beyond_the_bound_is_left_out_alone(corpus, spark):
+    docs, labels = corpus
+    huge = spark.createDataFrame([(100_000 + i, "giant " * 40_000) for i in range(6)], "doc_id long, text string")
+    more = labels.unionByName(huge.select("doc_id", F.lit(1).alias("toxic"), F.lit(0).alias("quality")), allowMissingColumns=True)
+    model = toxicity.fit(docs.select("doc_id", "text").unionByName(huge), more, most_bytes=400_000)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, model).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert (model[0] != 0).any() and np.mean([got[i] == (i % 5 == 1) for i in held]) >= 0.9
+
+
+def plain_buckets(text, n):
+    """Buckets of the unigrams and bigrams of a text, one by one."""
+    import xxhash
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    low = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+    h = [xxhash.xxh3_64_intdigest(t) for t in re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+", low)]
+    return [mixed(x) % n for x in h] + [mixed((x * 0x9E3779B97F4A7C15 + y) % 2**64) % n for x, y in zip(h, h[1:])]
+
+
+def test_kept_by_the_ratio_equals_brute_force(spark, odd, corpus):
+    docs, labels = corpus
+    docs = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame([(9000, "zq xq vq kq jq wq " * 8), (9001, "fine words of a text " * 2)], "doc_id long, text string"))
+    marked = ngram_ratio.with_target(docs, labels).collect()
+    n = ngram_ratio.BUCKETS
+    raw, target = np.zeros(n), np.zeros(n)
+    grams = [plain_buckets(r.text, n) for r in marked]
+    for r, g in zip(marked, grams):
+        for x in g:
+            raw[x] += 1
+            target[x] += r.target
+    assert target.sum() > 0 and any(r.held for r in marked)
+    ratio = np.log((target + 1) / (target.sum() + n)) - np.log((raw + 1) / (raw.sum() + n))
+    score = [ratio[g].sum() / max(len(g), 1) for g in grams]
+    lowest = np.percentile([x for r, x in zip(marked, score) if r.held], 0.5)
+    want = []
+    for r, x in zip(marked, score):
+        words, _, _, _, again = brute(r.text)
+        want.append((r.doc_id, round(float(x), 9), not (words < 20 or 100 * again > 30 * words) and bool(x >= lowest)))
+    got = [(r.doc_id, round(r.score, 9), r.kept) for r in quality_rules.judge(docs, labels).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {k for *_, k in want} == {True, False}

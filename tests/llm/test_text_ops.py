@@ -56,6 +56,17 @@ def test_packing_is_lossless(spark, odd, tokenizer):
             assert edges[0] == 0 and edges[-1] <= 256 and all((pos[k, a:b] == np.arange(b - a)).all() for a, b in zip(edges, edges[1:]))
 
 
+def test_rows_that_repeat_fill_many_shards(spark, tokenizer):
+    path, pattern = byte_bpe.vocabulary()
+    text = "the same text again, and some more of it " * 3
+    n = len(tokenizer.encode_ordinary(text))
+    df = spark.createDataFrame([(7, text)] * 3000 + [(None, text)] * 500, "doc_id long, text string").repartition(4)
+    packed = packing.pack(df, path, pattern, row_tokens=128, rows_per_matrix=8, shard_tokens=n * 200).cache()
+    held = packed.select((F.col("matrix_id") / (1 << 32)).cast("long").alias("shard"), F.aggregate("doc_ids", F.lit(0), lambda a, x: a + F.size(x)).alias("k")).groupBy("shard").agg(F.sum("k").alias("k")).collect()
+    assert sum(r.k for r in held) == 3500 * -(-n // 128) and len(held) >= 16 and max(r.k for r in held) < 600 * -(-n // 128)
+    assert {tuple(r.ids) for r in packing.unpack(packed, 128).where("part = 0").select("ids").collect()} == {tuple(tokenizer.encode_ordinary(text)[:128])}
+
+
 def test_best_fit_takes_the_fullest_row():
     import random
 
