@@ -3,7 +3,8 @@
 Host: what follows the first "://" up to a slash, question mark, hash or the end, A-Z lower-cased. Path: what follows it up
 to a question mark, hash or the end. A rule fits its host and all subdomains where the path starts with the rule's; the
 longest fitting rule decides. Other URLs are judged by the model: 3- to 5-character grams of host and path, marked apart
-and at their ends, hashed to weights that a small labelled table taught: words that tell, in invented URLs of several frames.
+and at their ends, hashed to 2**18 weights that a small labelled table taught: words that tell, in invented URLs of several frames.
+A word that the table doesn't have is judged by the letters it shares with those it has, which is little.
 
 Cases: a null URL or one without "://" has an empty host and path, which no rule fits; the model judges what remains. Rows
 that repeat are judged alike. Other columns, html too, are not read. An empty table gives an empty result.
@@ -13,14 +14,15 @@ Size: one scan of the url column, no shuffle, no Python on executors. The labell
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeleaf.llm.common import table
 
-BUCKETS, SIZES = 1024, (3, 4, 5)
+BUCKETS, SIZES = 1 << 18, (3, 4, 5)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 #: Words of names that are unwanted, and of names that are not, to make labelled URLs of.
@@ -38,11 +40,13 @@ FRAMES = (
 SYLLABLES = "ka lo mi ren tor sel va dun pe shi ro an the on er st ne li".split()
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, label (1: unwanted): a small table, every word in every frame and as many made-up names as there are unwanted words."""
+def labelled_urls(spark: SparkSession, without: frozenset[str] = frozenset()) -> DataFrame:
+    """url, label (1: unwanted): a small table, every word (but those of `without`) in every frame and as many made-up names as there are
+    unwanted words.
+    """
     n = len(SYLLABLES)
     made = [SYLLABLES[i % n] + SYLLABLES[(3 * i + 1) % n] + SYLLABLES[(7 * i + i // n) % n] for i in range(len(UNWANTED))]
-    words = [(w, 1) for w in UNWANTED] + [(w, 0) for w in (*WANTED, *made)]
+    words = [(w, 1) for w in UNWANTED if w not in without] + [(w, 0) for w in (*WANTED, *made) if w not in without]
     rows = [(frame.format(w=w, n=(37 * i + 11 * j) % 9000 + 100), label) for i, (w, label) in enumerate(words) for j, frame in enumerate(FRAMES)]
     return spark.createDataFrame(rows, "url string, label int")
 
@@ -67,37 +71,37 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return chosen
 
 
-def _grams(mark: str, whole: Column, n: int, buckets: int) -> Column:
+def _grams(mark: str, whole: Column, n: int) -> Column:
     starts = F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(whole, i, F.lit(n))), F.lit(buckets)).cast("int"))
+    return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(whole, i, F.lit(n))))
 
 
-def gram_buckets(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
-    """Hash buckets of the character n-grams of host and path, with repeats."""
+def grams(host: Column, path: Column) -> Column:
+    """The character n-grams of host and path, told apart by a mark, with repeats."""
     ends = (("h", F.concat(F.lit("<"), host, F.lit(">"))), ("p", F.concat(F.lit("<"), path, F.lit(">"))))
-    return F.concat(*(_grams(mark, whole, n, buckets) for mark, whole in ends for n in SIZES))
+    return F.concat(*(_grams(mark, whole, n) for mark, whole in ends for n in SIZES))
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS, most: int = 10_000, penalty: float = 0.001) -> tuple[list[float], float]:
-    """Weights by bucket and the intercept. Uses `most` labelled rows at most, always the same ones."""
+def features(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """rows (host, path) with features: a sparse vector of hashed n-gram counts of length 1."""
+    counted = HashingTF(inputCol="grams", outputCol="counts", numFeatures=buckets).transform(rows.withColumn("grams", grams(F.col("host"), F.col("path"))))
+    return Normalizer(inputCol="counts", outputCol="features", p=2.0).transform(counted).drop("grams", "counts")
+
+
+def train(labelled: DataFrame, most: int = 10_000, penalty: float = 0.0005) -> LogisticRegressionModel:
+    """Uses `most` labelled rows at most, always the same ones."""
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("label in (0, 1)").select("url", "label").distinct().orderBy(F.xxhash64("url", "label"), "url", "label").limit(most)
-    grams = rows.select(F.col("label").cast("double").alias("label"), gram_buckets(host, path, buckets).alias("g"))
-    share = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: (F.size("g") - F.size(F.array_remove("g", b))) / F.sqrt(F.greatest(F.size("g"), F.lit(1))))
-    model = LogisticRegression(maxIter=100, regParam=penalty, standardization=False).fit(grams.select("label", array_to_vector(share).alias("features")))
-    return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
+    rows = features(rows.select(F.col("label").cast("double").alias("label"), host.alias("host"), path.alias("path")))
+    return LogisticRegression(maxIter=100, regParam=penalty, standardization=False).fit(rows.select("label", "features"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the model's chance that the URL is unwanted): a row per row of pages."""
-    weights, intercept = train(labelled)
-    known = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    model = train(labelled)
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("fits", rule_for(F.col("host"), F.col("path"), rules)).withColumn("g", gram_buckets(F.col("host"), F.col("path")))
-    total = F.aggregate("g", F.lit(0.0), lambda a, b: a + F.get(known, b)) / F.sqrt(F.greatest(F.size("g"), F.lit(1)))
-    score = 1 / (1 + F.exp(-(total + intercept)))
-    rows = rows.withColumn("score", score)
+    rows = model.transform(features(rows)).withColumn("fits", rule_for(F.col("host"), F.col("path"), rules)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     verdict = F.coalesce("fits.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"), "score")
 
