@@ -89,11 +89,14 @@ def features(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def train(labelled: DataFrame, most: int = 10_000, penalty: float = 0.0005) -> LogisticRegressionModel:
-    """Uses `most` labelled rows at most, always the same ones."""
+    """Uses `most` labelled rows at most, always the same ones; both labels weigh the same in sum."""
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("label in (0, 1)").select("url", "label").distinct().orderBy(F.xxhash64("url", "label"), "url", "label").limit(most)
     rows = features(rows.select(F.col("label").cast("double").alias("label"), host.alias("host"), path.alias("path")))
-    return LogisticRegression(maxIter=100, regParam=penalty, standardization=False).fit(rows.select("label", "features"))
+    n = rows.agg(F.sum("label").alias("bad"), F.count("*").alias("all")).first()
+    share = n.bad / n.all if n.all and 0 < n.bad < n.all else 0.5
+    rows = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    return LogisticRegression(maxIter=100, regParam=penalty, standardization=False, weightCol="weight").fit(rows.select("label", "weight", "features"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
