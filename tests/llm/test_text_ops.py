@@ -261,5 +261,4 @@ def test_url_model_on_words_it_never_saw(spark):
         got = {r.page_id: r.score for r in url_filter.judge(df, url_filter.labelled_urls(spark, frozenset(out[0] + out[1])), rules=()).collect()}
         bad, good = ([got[i] for i, (_, x) in enumerate(rows) if x == label] for label in (1, 0))
         pairs += [(b > g) + 0.5 * (b == g) for b in bad for g in good]
-    print("AUC on unseen words", sum(pairs) / len(pairs))
     assert sum(pairs) / len(pairs) > 0.5
