@@ -22,7 +22,8 @@ unless all of the class lacks one. Other columns are not read. An empty table gi
 Size: signatures take 512 bytes a document and are written once; full sets are built only for classes in some proposal.
 No group is held by one task: a class equal to a third of all rows is one row after partial aggregation, and crowded
 regions are dealt by ranges of the sorted order, or by blocks. A pair of similarity 0.85 shares no region in 16 trees with
-probability below 1e-8; one that shares a region is always found. Work in step 4 is, in a region, classes outside its largest
+probability below 1e-8; one that shares a region is found unless its signatures agree in fewer than 90 of 128 minima (4e-6 at 0.85)
+and nothing else joins the two. Work in step 4 is, in a region, classes outside its largest
 group times all its classes.
 """
 
