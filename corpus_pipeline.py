@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
 columns of documents. Rows that repeat doc_id and text in full are one document to every decision and stay or go together.
 Rows of one doc_id and different texts are judged apart. Further columns pass unchanged, whatever their names; an empty table
-gives an empty one.
+gives an empty one. Pseudonyms follow the key in spark.gaugeleaf.pii.key; without it each driver draws its own, so that two runs, or one
+that is started anew, differ in them: set it where that matters.
 """
 
 from __future__ import annotations
