@@ -4,7 +4,7 @@ Benchmark items are cut into windows of `window` consecutive words (shorter item
 items are one. The corpus frequency of every benchmark term is counted. The posting lists (document, position) of each
 window's two rarest terms are written as a table, the index; lists are shifted by the term's place in the window, so that both
 give the start a match would have, and intersected on document, window and start. What is in both lists is compared with the
-whole window at the positions of the document. proximity_matches() meets the same kind of lists within a tolerance.
+whole window at the positions of the document. For proximity, the lists of each item's two rarest terms meet within a tolerance.
 
 Cases: a null or empty text has no words and no hit. Items without words or item_id have no windows. Items that share a
 window all count. Rows that repeat are judged by their own text, also under one doc_id or none. Columns of docs besides doc_id
@@ -13,12 +13,15 @@ empty documents give an empty result.
 
 Size: the corpus is scanned twice, as (term, position) rows that meet the benchmark's terms before any shuffle. Shuffled are
 sums, the postings of rarest terms as (document, window, start), and the texts once to meet their matches. Tables from the
-benchmark are broadcast only while they have `broadcast_rows` rows at most, beyond that Spark plans the join. No list is held
-in one row, so a term of a third of all documents is dealt like any other.
+benchmark are broadcast only while they have `broadcast_rows` rows and 64 MB at most, beyond that Spark plans the join. No
+posting list and no window's list of items is held in one row, so a term of a third of all documents, or a window of all
+items, is dealt like any other; only what one document itself hits is put together.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +35,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    """df, marked for broadcast if a count says that it is small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _small(df: DataFrame, most: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """df, marked for broadcast if a count of its rows and of the bytes of its strings says that it is small."""
+    strings = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "array<string>")]
+    size = F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", *strings))), F.lit(0))
+    rows, held = df.limit(most + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= most and held <= most_bytes else df
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -43,11 +49,18 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
-    """w (a hash), words, items: the distinct windows of the benchmark and the item_ids that have them."""
+    """w (a hash), words, item_id: the windows of the benchmark, a row for each item that has one."""
     n = F.least(F.size("words"), F.lit(window))
     cut = items.select("item_id", "words", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("s"))
     rows = cut.select("item_id", F.slice("words", F.col("s") + 1, F.col("n")).alias("words"))
-    return rows.groupBy("words").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64("words").alias("w"), "words", "items")
+    return rows.select(F.xxhash64("words").alias("w"), "words", "item_id").distinct()
+
+
+def pairs_of(items: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """item_id, rare, second: each item's two rarest different terms of those that the corpus has; items with fewer have no row."""
+    terms = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(frequencies, "term")
+    two = terms.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("df", "term"))), 1, 2).alias("two")).where("size(two) = 2")
+    return two.select("item_id", F.col("two")[0]["term"].alias("rare"), F.col("two")[1]["term"].alias("second"))
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, broadcast_rows: int = 200_000) -> DataFrame:
@@ -80,56 +93,98 @@ def intersections(index: DataFrame, chosen: DataFrame, broadcast_rows: int) -> D
     return met.groupBy(*KEY, "w", "start").agg(F.bit_or("part").alias("parts")).where("parts = 3").drop("parts")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
-    """The rows of docs with own_words and own_matches (start, words, items): exact occurrences of windows. docs: doc_id, text, at most `rest` besides."""
+class Index(NamedTuple):
+    """Written tables: windows (w, words) and who has them (w, words, item_id), places of rarest terms, pairs of rarest terms
+    (pair, rare, second) and who has them (pair, item_id), and the postings of all these terms."""
+
+    windows: DataFrame
+    holders: DataFrame
+    chosen: DataFrame
+    pairs: DataFrame
+    paired: DataFrame
+    postings: DataFrame
+
+
+def index_of(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = 200_000, near: bool = True) -> Index:
+    """The index of docs (doc_id, text) for the windows of the benchmark and, if `near`, for its items' pairs of rarest terms."""
     items = materialize(_items(benchmark))
-    windows = materialize(windows_of(items, window))
-    chosen = materialize(anchors(windows, term_frequencies(docs, items, broadcast_rows)))
-    index = materialize(postings(docs, chosen, broadcast_rows))
-    found = intersections(index, chosen, broadcast_rows).join(_small(windows, broadcast_rows), "w")
-    found = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "words", "items")).alias("found"))
+    holders = materialize(windows_of(items, window))
+    windows = materialize(holders.select("w", "words").distinct())
+    frequencies = materialize(term_frequencies(docs, items, broadcast_rows))
+    chosen = materialize(anchors(windows, frequencies))
+    two = materialize(pairs_of(items, frequencies) if near else pairs_of(items.limit(0), frequencies))
+    pairs = materialize(two.select("rare", "second").distinct().withColumn("pair", F.monotonically_increasing_id()))
+    paired = materialize(two.join(pairs, ["rare", "second"]).select("pair", "item_id"))
+    terms = chosen.select("term").unionByName(pairs.select(F.explode(F.array("rare", "second")).alias("term")))
+    return Index(windows, holders, chosen, pairs, paired, materialize(postings(docs, terms, broadcast_rows)))
+
+
+def phrase_matches(docs: DataFrame, index: Index, broadcast_rows: int = 200_000) -> DataFrame:
+    """docs with KEY, own_words and own_matches (start, w, words): exact occurrences of windows. docs: doc_id, text, at most `rest` besides."""
+    found = intersections(index.postings, index.chosen, broadcast_rows).join(_small(index.windows, broadcast_rows), "w")
+    found = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "w", "words")).alias("found"))
     joined = keyed(docs).join(found, KEY, "left").withColumn("own_words", words_of(F.col("text")))
     none = F.array().cast(found.schema["found"].dataType)
     exact = F.filter(F.coalesce("found", none), lambda c: F.slice("own_words", c["start"] + 1, F.size(c["words"])) == c["words"])
-    return joined.withColumn("own_matches", exact).drop("found", *KEY)
+    return joined.withColumn("own_matches", exact).drop("found")
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, item_id, pos, distance: where the item's two rarest different terms stand at most `slop` words apart, in any order.
+def near_pairs(index: Index, slop: int, broadcast_rows: int = 200_000) -> DataFrame:
+    """KEY, pair, pos, distance: the places of a pair's rarer term with the other at most `slop` words away, in any order.
 
-    pos is a place of the rarer term and distance that to the nearest other one. Lists meet by stretches of slop + 1 words, of
-    the same stretch or a neighbouring one, so that no two whole lists of a document are paired.
+    Lists meet by stretches of slop + 1 words, of the same stretch or a neighbouring one, so that no two whole lists of a
+    document are paired. Items with the same two terms are one pair.
     """
-    items = materialize(_items(benchmark))
-    terms = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(term_frequencies(docs, items, broadcast_rows), "term")
-    two = terms.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("df", "term"))), 1, 2).alias("two")).where("size(two) = 2")
-    two = materialize(two.select("item_id", F.posexplode("two").alias("i", "a")).select("item_id", "i", "a.term"))
-    index = materialize(postings(docs, two, broadcast_rows)).join(_small(two, broadcast_rows), "term")
     at = F.floor(F.col("pos") / (slop + 1))
-    first = index.where("i = 0").select(*KEY, "item_id", "pos", F.explode(F.array(at - 1, at, at + 1)).alias("stretch"))
-    second = index.where("i = 1").select(*KEY, "item_id", F.col("pos").alias("other"), at.alias("stretch"))
-    met = first.join(second, [*KEY, "item_id", "stretch"]).withColumn("distance", F.abs(F.col("pos") - F.col("other"))).where(F.col("distance") <= slop)
-    near = met.groupBy(*KEY, "item_id", "pos").agg(F.min("distance").alias("distance"))
+    listed = lambda term: index.postings.join(_small(index.pairs.select("pair", F.col(term).alias("term")), broadcast_rows), "term")
+    first = listed("rare").select(*KEY, "pair", "pos", F.explode(F.array(at - 1, at, at + 1)).alias("stretch"))
+    second = listed("second").select(*KEY, "pair", F.col("pos").alias("other"), at.alias("stretch"))
+    met = first.join(second, [*KEY, "pair", "stretch"]).withColumn("distance", F.abs(F.col("pos") - F.col("other"))).where(F.col("distance") <= slop)
+    return met.groupBy(*KEY, "pair", "pos").agg(F.min("distance").alias("distance"))
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5) -> DataFrame:
+    """doc_id, item_id, pos, distance: where the item's two rarest different terms stand at most `slop` words apart, in any order.
+
+    pos is a place of the rarer term and distance that to the nearest other one.
+    """
+    index = index_of(docs, benchmark)
+    near = near_pairs(index, slop).join(index.paired, "pair")
     return keyed(docs).select(*KEY, "doc_id").join(near, KEY).select("doc_id", "item_id", "pos", "distance")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (as sorted strings), contaminated: a row per row of docs."""
-    rows = phrase_matches(texts(docs), benchmark, window)
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (as sorted strings), contaminated, n_near, near_distance: a row per row of docs.
+
+    n_near: items whose two rarest terms stand at most `slop` words apart somewhere; near_distance: the least such distance.
+    Items of a window are rows until a document's own are put together.
+    """
+    index = index_of(docs, benchmark, window, broadcast_rows)
+    rows = phrase_matches(texts(docs), index, broadcast_rows)
     covered = F.flatten(F.transform("own_matches", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1)))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("own_matches", lambda c: c["items"].cast("array<string>")))))
-    rows = rows.select("doc_id", F.size("own_words").cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), items.alias("items"))
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    own = F.array_distinct(F.transform("own_matches", lambda c: F.struct(c["w"].alias("w"), c["words"].alias("words"))))
+    rows = materialize(rows.select("doc_id", *KEY, F.size("own_words").cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), own.alias("own")))
+    met = rows.select(*KEY, F.explode("own").alias("m")).select(*KEY, "m.w", "m.words").join(_small(index.holders, broadcast_rows), ["w", "words"])
+    items = met.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    each = near_pairs(index, slop, broadcast_rows).groupBy(*KEY, "pair").agg(F.min("distance").alias("distance"))
+    many = _small(index.paired.groupBy("pair").agg(F.count("*").alias("n")), broadcast_rows)
+    near = each.join(many, "pair").groupBy(*KEY).agg(F.sum("n").alias("n_near"), F.min("distance").alias("near_distance"))
+    rows = rows.drop("own").join(items, KEY, "left").join(near, KEY, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        F.col("near_distance").cast("int").alias("near_distance"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs without any occurrence of a window, all columns as they are."""
-    return unpacked(phrase_matches(packed(docs), benchmark, window).where(F.size("own_matches") == 0), docs)
+    rows = packed(docs)
+    return unpacked(phrase_matches(rows, index_of(rows, benchmark, window, near=False)).where(F.size("own_matches") == 0), docs)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near", "near_distance")
 
 
 ORACLE = r"""
@@ -141,8 +196,13 @@ l AS (SELECT DISTINCT n FROM k),
 g AS MATERIALIZED (SELECT doc_id, l.n, unnest(range(1, greatest(len(w) - l.n + 2, 1))) AS i, unnest(list_transform(range(1, greatest(len(w) - l.n + 2, 1)), lambda x: array_to_string(w[x:x + l.n - 1], ' '))) AS t FROM d, l),
 m AS (SELECT g.doc_id, g.i, g.n, k.item_id FROM g JOIN k ON k.n = g.n AND k.t = g.t),
 hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM m) GROUP BY doc_id),
+tw AS (SELECT DISTINCT item_id, unnest(w) AS term FROM b), dw AS MATERIALIZED (SELECT doc_id, i, w[i] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT term FROM tw)),
+fq AS (SELECT term, count(*) AS df FROM dw GROUP BY term), rk AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS k FROM tw JOIN fq USING (term)),
+pr AS (SELECT item_id, x.term AS rare, y.term AS second FROM rk x JOIN rk y USING (item_id) WHERE x.k = 1 AND y.k = 2), pp AS (SELECT rare, second, count(*) AS n FROM pr GROUP BY ALL),
+nr AS (SELECT doc_id, rare, second, n, min(abs(x.i - y.i)) AS dist FROM pp JOIN dw x ON x.term = rare JOIN dw y USING (doc_id) WHERE y.term = second AND abs(x.i - y.i) <= 5 GROUP BY ALL),
+ne AS (SELECT doc_id, sum(n) AS n_near, min(dist) AS near_distance FROM nr GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(near_distance AS INTEGER) AS near_distance
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ne USING (doc_id)
 """

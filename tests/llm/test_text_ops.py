@@ -3,7 +3,9 @@
 import base64
 import datetime as dt
 import hashlib
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +130,39 @@ def test_proximity(spark):
     got = {(r.doc_id, r.distance) for r in decontamination.proximity_matches(docs, bench, slop=5).collect()}
     assert got == {(1, 3), (2, 1)}
     assert decontamination.postings(docs).where("term = 'rare'").count() == 3
+    rows = {r.doc_id: (r.n_near, r.near_distance, r.n_hit) for r in decontamination.report(docs, bench).collect()}
+    assert rows == {1: (1, 3, 0), 2: (1, 1, 0), 3: (0, None, 0)}
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(4000)]
+    rows = [(i % 37 or None, " ".join(words[i * 40 : i * 40 + rng.randrange(40)]) or None) for i in range(100)]
+    rows += rows[:9]  # repeats, under one doc_id and without any
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 14)))) for i in range(30)] + [(40, None), (41, ""), (None, "w1 w2"), (42, "absent w1"), (43, "w3 w3 w3"), (44, "w59 w58"), (45, "w59 w58 w0")]
+    texts = [(t or "").split() for _, t in rows]
+    df = Counter(w for t in texts for w in t)
+    two = [sorted({w for w in (t or "").split() if w in df}, key=lambda w: (df[w], w))[:2] for i, t in items if i is not None]
+    want = []
+    for (i, _), t in zip(rows, texts):
+        best = [min((abs(p - q) for p, x in enumerate(t) if x == a for q, y in enumerate(t) if y == b), default=99) for a, b in (x for x in two if len(x) == 2)]
+        near = [x for x in best if x <= 5]
+        want.append((i, len(near), min(near, default=None)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    for most in (200_000, 1):  # with broadcasts and without
+        got = [(r.doc_id, r.n_near, r.near_distance) for r in decontamination.report(docs, bench, broadcast_rows=most).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(n for _, n, _ in want) > 50
+
+
+def test_a_window_of_all_items(spark):
+    """Its items are rows: a document that hits it names them all."""
+    shared = " ".join(f"s{i}" for i in range(10))
+    bench = spark.createDataFrame([(i, f"{shared} own{i} end") for i in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {shared} after"), (2, "before after"), (3, f"{shared} own7 end")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in decontamination.report(docs, bench).collect()}
+    assert (rows[1].n_items, rows[1].n_hit, rows[2].n_items, rows[3].n_items, rows[3].n_hit) == (3000, 10, 0, 3000, 12)
+    assert rows[1]["items"] == sorted(map(str, range(3000)))
 
 
 def test_url_rules_and_parts(spark):
