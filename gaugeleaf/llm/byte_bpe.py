@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeleaf.llm.common import chunks, raw_texts, table, texts
+from gaugeleaf.llm.common import KEY, chunks, keyed, raw_texts, table, texts
 
 SLOTS, WORD_SLOTS = 1 << 16, 1 << 16
 _BYTES, _NONE = [bytes([b]) for b in range(256)], 1 << 60
@@ -129,6 +129,19 @@ def encode_native(docs: DataFrame, path: str, pattern: str, cached: int = 65_536
     return docs.select("doc_id", F.flatten(F.transform(pieces_of(F.col("text"), pattern), ids)).alias("ids"))
 
 
+def encode_distinct(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """What encode() gives, in DataFrame operations: each distinct piece of the corpus is folded once and its ids joined back.
+
+    The places of pieces are shuffled twice, by piece and by document; README has the figures.
+    """
+    rows = keyed(texts(docs))
+    placed = rows.select(*KEY, F.posexplode(pieces_of(F.col("text"), pattern)).alias("pos", "w"))
+    folded = placed.select("w").distinct().select("w", fold(F.col("w"), path).alias("own"))
+    listed = F.array_sort(F.collect_set(F.struct("pos", "own")))
+    ids = placed.join(folded, "w").groupBy(*KEY).agg(F.flatten(F.transform(listed, lambda x: x["own"])).alias("ids"))
+    return rows.select(*KEY, "doc_id").join(ids, KEY, "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a piece: the leftmost pair of lowest rank is joined until no pair has a rank."""
     if (whole := ranks.get(piece)) is not None:

@@ -31,8 +31,8 @@ def test_bpe_equals_the_library_and_round_trips(spark, odd, tokenizer):
     assert sorted(((r.doc_id, list(r.ids)) for r in rows), key=repr) == want
     assert sorted(((r.doc_id, bytes(r.raw)) for r in rows), key=repr) == sorted(((r.doc_id, (r.text or "").encode()) for r in docs.collect()), key=repr)
     short = docs.where("length(text) < 200 or text is null")
-    native = byte_bpe.encode_native(short, path, pattern, cached=50, sample_docs=5).collect()
-    assert sorted(((r.doc_id, list(r.ids)) for r in native), key=repr) == [x for x in want if x in [(r.doc_id, tokenizer.encode_ordinary(r.text or "")) for r in short.collect()]]
+    for native in (byte_bpe.encode_native(short, path, pattern, cached=50, sample_docs=5), byte_bpe.encode_distinct(short, path, pattern)):
+        assert sorted(((r.doc_id, list(r.ids)) for r in native.collect()), key=repr) == [x for x in want if x in [(r.doc_id, tokenizer.encode_ordinary(r.text or "")) for r in short.collect()]]
 
 
 def test_bpe_empty(none):
