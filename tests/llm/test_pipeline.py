@@ -14,13 +14,13 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     names = [n for n in registry.queries() if n != "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in registry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in registry.queries()
 
 
 @pytest.mark.parametrize("name", registry.oracle_sql())
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cursor = con.execute(registry.oracle_sql()[name])
