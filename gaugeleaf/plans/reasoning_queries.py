@@ -13,7 +13,7 @@ from gaugeleaf.functions import text as t
 from gaugeleaf.operators import graph, reasoning
 from gaugeleaf.operators import spans as wide
 from gaugeleaf.plans import sql as s
-from gaugeleaf.plans.atom_queries import KEYS, ORDER, ROLE, WEIGHT, line_atoms
+from gaugeleaf.plans.atom_queries import KEYS, ORDER, ROLE, WEIGHT
 from gaugeleaf.plans.atom_queries import SQL as ATOM_SQL
 from gaugeleaf.plans.graph_queries import EVENTS, LINKS, event_graph
 from gaugeleaf.plans.support_queries import POINTS, calibration_points, r6, wilson_sql
@@ -221,17 +221,17 @@ FROM (SELECT l_orderkey AS eval_id, 'line-' || l_linestatus AS dimension, row_nu
 def stream_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine formulas over lines that arrive as a stream, in an order of chance and a fifth of them twice."""
     path = f"{graph.shared_folder(spark)}/atom-stream-{uuid.uuid4().hex}"
-    rows = None
-    for name in KEYS.values():
-        one = line_atoms(spark, sf_dir, name)
-        seq = F.row_number().over(Window.partitionBy("eval_id").orderBy("seq")).cast("long")
-        one = one.select("eval_id", F.lit("line").alias("dimension"), F.lit(name).alias("formula_id"), seq.alias("seq"), "subject", "role", "verdict", "weight", F.lit("2026-01-01").cast("timestamp").alias("at"))
-        rows = one if rows is None else rows.unionByName(one)
-    rows = graph.shared_checkpoint(rows.withColumn("atom_id", F.concat_ws("|", "formula_id", "eval_id", "seq")))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long"))
+    one = lambda name: F.struct(F.lit(name).alias("formula_id"), F.expr(ROLE[name]).alias("role"), F.expr(WEIGHT.get(name, "l_quantity")).cast("double").alias("weight"))
+    rows = li.select(  # the lines are put in order once for all formulas
+        F.col("l_orderkey").alias("eval_id"), F.lit("line").alias("dimension"), F.inline(F.array(*map(one, KEYS.values()))), "seq", F.col("l_partkey").cast("string").alias("subject"),
+        (F.col("l_returnflag") != "R").alias("verdict"), F.lit("2026-01-01").cast("timestamp").alias("at"),
+    ).withColumn("atom_id", F.concat_ws("|", "formula_id", "eval_id", "seq"))
+    chance = F.pmod(F.xxhash64("atom_id"), F.lit(15))
     for batch in range(3):
-        chance = F.pmod(F.xxhash64("atom_id"), F.lit(15))
-        rows.where((chance % 3 == batch) | ((chance < 3) & (chance == (batch + 2) % 3))).select(atom_stream.SCORED.names).coalesce(4).write.parquet(f"{path}/in/batch={batch}")
-    stream = spark.readStream.schema(atom_stream.SCORED).option("maxFilesPerTrigger", 5).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        rows.where((chance % 3 == batch) | ((chance < 3) & (chance == (batch + 2) % 3))).select(atom_stream.SCORED.names).write.parquet(f"{path}/in/batch={batch}")
+    files = len(spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/in").inputFiles())
+    stream = spark.readStream.schema(atom_stream.SCORED).option("maxFilesPerTrigger", -(-files // 3)).option("recursiveFileLookup", "true").parquet(f"{path}/in")
     atom_stream.keep_scores(stream, f"{path}/states", f"{path}/checkpoint").awaitTermination()
     return atom_stream.kept_scores(spark, f"{path}/states").select("eval_id", "formula_id", F.round("score", 6).alias("score"))
 

@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeleaf.plans import catalog
 from gaugeleaf.plans.support_queries import r6
+from gaugeleaf.streaming import atom_stream
 
 
 def rows_of(spark, con, name, path):
@@ -30,3 +32,14 @@ def test_ties_round_as_in_sql(spark):
     x = [333 / 640, 323 / 640, 369 / 5760, 1 / 128, 0.25, -333 / 640, 2 / 3]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(r6("x")).collect()]
     assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in x]
+
+
+def test_late_atoms_count_without_state_in_memory(spark, tmp_path):
+    at = ["2026-01-01", "2026-03-01", "2026-01-02", "2026-01-01"]  # the last one again, long after
+    for i, (atom, verdict) in enumerate([("a", True), ("b", True), ("c", False), ("a", True)]):
+        row = spark.createDataFrame([(1, "d", "mean", atom, i, atom, "unit", verdict, 1.0, None)], atom_stream.SCORED).withColumn("at", F.lit(at[i]).cast("timestamp"))
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(atom_stream.SCORED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    atom_stream.keep_scores(stream, str(tmp_path / "log"), str(tmp_path / "check")).awaitTermination()
+    assert atom_stream.kept_scores(spark, str(tmp_path / "log")).first().score == pytest.approx(2 / 3)
+    assert not (tmp_path / "check" / "state").exists()
