@@ -21,24 +21,35 @@ BUCKETS = 1 << 15
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
 
 
-def trusted_ids(labels: DataFrame, most: int = 20_000) -> DataFrame:
-    """A bounded sample, `most` doc_ids at most, of those that labels calls good; always the same one."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id and target of all documents that labels calls good: whether it is in the half that is counted, or in the half that
+    thresholds are set by, so that no threshold rests on texts the model has seen as target."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.withColumn("target", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0)
 
 
-def with_target(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
-    """doc_id, text, row (a hash of both), target and held: whether the row is in the half of the trusted sample that is
-    counted, or in the half that thresholds are set by, so that no threshold rests on texts the model has seen as target.
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row, a hash of both."""
+    return texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
 
-    The sample's size is bounded, hence the broadcast.
+
+def with_target(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """rows_of(docs) with target and held: whether a trusted row is counted, or sets thresholds.
+
+    Beyond `broadcast_rows` trusted ids Spark joins as it sees fit, and the texts are shuffled once where that takes it.
     """
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-    ids = trusted_ids(labels, most).withColumn("target", half)
-    rows = texts(docs).withColumn("row", F.xxhash64("doc_id", "text")).join(F.broadcast(ids), "doc_id", "left")
+    ids = trusted_ids(labels)
+    if ids.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        ids = F.broadcast(ids)
+    rows = rows_of(docs).join(ids, "doc_id", "left")
     return rows.withColumn("held", F.coalesce(~F.col("target"), F.lit(False))).withColumn("target", F.coalesce("target", F.lit(False)))
 
 
+def held(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of trusted documents that set thresholds; for narrow rows with doc_id."""
+    return rows.join(trusted_ids(labels).where("not target"), "doc_id", "left_semi")
+
+
 def _ngrams(batch: pa.RecordBatch, cache: WordHash, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all unigrams and bigrams of a chunk and the document of each."""
     tokens: list[bytes] = []
@@ -82,13 +93,13 @@ def sums(batch: pa.RecordBatch, cache: WordHash, ratio: np.ndarray) -> tuple[np.
     return np.bincount(doc, ratio[g.astype(np.int64)], minlength=n), np.bincount(doc, minlength=n)
 
 
-def scored(marked: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, row, held, total (summed log ratio) and n_ngrams, a row for each row of marked."""
+def scored(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """doc_id, row, total (summed log ratio) and n_ngrams, a row for each of rows (rows_of)."""
 
     def score(batches) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in chunks(batches):
             total, n = sums(batch, cache, ratio)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), batch.column("held"), pa.array(total, pa.float64()), pa.array(n, pa.int64())], ["doc_id", "row", "held", "total", "n_ngrams"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array(total, pa.float64()), pa.array(n, pa.int64())], ["doc_id", "row", "total", "n_ngrams"])
 
-    return marked.mapInArrow(score, "doc_id long, row long, held boolean, total double, n_ngrams long")
+    return rows.mapInArrow(score, "doc_id long, row long, total double, n_ngrams long")

@@ -10,17 +10,19 @@ Cases: a null or empty text has no n-grams and log weight 0. Rows that tie at th
 share a fate. A null doc_id takes the noise of null. Without any trusted row all weights are 0 and all rows are selected.
 Other columns are not read. An empty table gives an empty result.
 
-Size: two scans of the texts, without a shuffle of them. The target sample is bounded by `most` rows; the k-th largest sum
+Size: two scans of the texts, without a shuffle of them. All trusted documents are counted; the k-th largest sum
 is found by histograms of 4096 bins over (doc_id, weight) rows, each narrowing to one bin, never by a global sort.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeleaf.llm.common import materialize, table
-from gaugeleaf.llm.ngram_ratio import log_ratio, scored, with_target
+from gaugeleaf.llm.ngram_ratio import held, log_ratio, rows_of, scored, with_target
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
@@ -47,14 +49,23 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> flo
     return None
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, floor: float = 0.005, seed: int = 17, most: int = 20_000) -> DataFrame:
+def quantile(values: DataFrame, column: str, share: float) -> float | None:
+    """The value at `share` of a column without nulls, between its two neighbours as F.percentile has it, but no task holds all values; None without rows."""
+    values = materialize(values.select(column))
+    n = values.count()
+    at = share * (n - 1)
+    low, high = math.floor(at), math.ceil(at)
+    below = kth_largest(values, column, n - low) if n else None
+    return below if low == high or not n else (high - at) * below + (at - low) * kth_largest(values, column, n - high)
+
+
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, floor: float = 0.005, seed: int = 17) -> DataFrame:
     """doc_id, row (a hash of doc_id and text), n_ngrams, log_weight, perturbed, selected: one row per row of docs."""
-    marked = with_target(docs, labels, most)
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = scored(marked, log_ratio(marked)).withColumn("perturbed", F.col("total") - F.log(-F.log(u)))
+    rows = scored(rows_of(docs), log_ratio(with_target(docs, labels))).withColumn("perturbed", F.col("total") - F.log(-F.log(u)))
     rows = materialize(rows)
     if keep is None:
-        lowest = rows.where("held").agg(F.percentile("total", F.lit(floor))).first()[0]
+        lowest = quantile(held(rows, labels), "total", floor)
         k = rows.count() if lowest is None else rows.where(F.col("total") >= lowest).count()
     else:
         k = round(keep * rows.count())

@@ -7,7 +7,8 @@ function of the corpus. Base rules: fewer than 20 words, or more than 30 % of wo
 Cases: a null or empty text has no words and fails the base rules. Repeated rows get equal rows. Without any trusted row
 every score is 0 and only the base rules decide. Other columns are not read. An empty table gives an empty result.
 
-Size: two scans of the texts, no shuffle of them; the target sample is bounded by `most` rows.
+Size: two scans of the texts; all trusted documents are counted, and up to a million of their ids are broadcast. The threshold is
+found by histograms over narrow rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeleaf.llm.common import WordHash, chunks, hashed_words, materialize, raw_texts, starts_inside, table, window_hashes
-from gaugeleaf.llm.ngram_ratio import log_ratio, sums, with_target
+from gaugeleaf.llm.ngram_ratio import held, log_ratio, rows_of, sums, with_target
+from gaugeleaf.llm.quality_resampling import quantile
 
 WINDOW, SPACE, SYMBOLS = 8, b" \t\n\v\f\r", b"#*$%&|<>"
 
@@ -52,10 +54,9 @@ def _counts(raw: bytes) -> tuple[int, int, int]:
     return len(solid.decode()), len(solid) - len(solid.translate(None, SYMBOLS)), again
 
 
-def judge(docs: DataFrame, labels: DataFrame, floor: float = 0.005, most: int = 20_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, floor: float = 0.005) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score: a row per row of docs."""
-    marked = with_target(docs, labels, most)
-    ratio = log_ratio(marked)
+    ratio = log_ratio(with_target(docs, labels))
 
     def count(batches):
         cache, tokens = WordHash(), WordHash()
@@ -66,12 +67,12 @@ def judge(docs: DataFrame, labels: DataFrame, floor: float = 0.005, most: int =
             chars, signs, lines = zip(*map(_counts, raw))
             columns = {"n_words": n_words, "word_chars": chars, "n_symbols": signs, "n_dup_lines": lines, "n_repeat_words": again}
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("held"), *(pa.array(x, pa.int64()) for x in columns.values()), pa.array(total / np.maximum(n, 1), pa.float64())],
-                ["doc_id", "held", *columns, "score"],
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns.values()), pa.array(total / np.maximum(n, 1), pa.float64())],
+                ["doc_id", *columns, "score"],
             )
 
-    rows = materialize(marked.mapInArrow(count, "doc_id long, held boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"))
-    lowest = rows.where("held").agg(F.percentile("score", F.lit(floor))).first()[0]
+    rows = materialize(rows_of(docs).mapInArrow(count, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"))
+    lowest = quantile(held(rows, labels), "score", floor)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fine = F.lit(True) if lowest is None else F.col("score") >= lowest
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & fine).alias("kept"), "score")
