@@ -79,13 +79,12 @@ def entailment(premise: Column, hypothesis: Column, entail_tau: float = 0.5, con
 
 def first_number(text: Column) -> Column:
     """The first number times the magnitude that the text after it starts with; null without a number."""
-    return _scaled(F.regexp_extract(text, rf"(?s)^(.*?)({NUMBER})(.*)$", 2), F.regexp_extract(text, rf"(?s)^(.*?)({NUMBER})(.*)$", 3))
+    return F.when(text.rlike("[0-9]"), _scaled(F.regexp_extract(text, rf"(?s)^(.*?)({NUMBER})(.*)$", 2), F.regexp_extract(text, rf"(?s)^(.*?)({NUMBER})(.*)$", 3)))
 
 
 def _scaled(number: Column, tail: Column) -> Column:
-    low = F.lower(strip(tail))
-    factor = F.when(low.startswith("k") | low.startswith("thousand"), 1e3).when(low.startswith("m"), 1e6).when(low.startswith("b"), 1e9).when(low.startswith("t"), 1e12).otherwise(1.0)
-    return F.replace(number, F.lit(","), F.lit("")).try_cast("double") * factor
+    factor = lambda low: F.when(low.startswith("k") | low.startswith("thousand"), 1e3).when(low.startswith("m"), 1e6).when(low.startswith("b"), 1e9).when(low.startswith("t"), 1e12).otherwise(1.0)
+    return F.replace(number, F.lit(","), F.lit("")).try_cast("double") * _once(F.lower(strip(tail)), factor)
 
 
 def all_numbers(text: Column) -> Column:

@@ -47,26 +47,51 @@ def topical_edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:
     return kept.select("eval_id", F.col("p.id").alias("src"), "dst").where("src <> dst").distinct()
 
 
-def numeric_edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:
+def numeric_edges(claims: DataFrame, settings: Config = Config(), few: int = 32) -> DataFrame:
     """eval_id, src, dst: the first pair of earlier claims, in order, whose numbers add or subtract to a claim's number.
 
-    A claim and one earlier number leave three numbers that would complete the pair; these are looked up by stretches of the
-    number line, as wide as the tolerance (and the rounding of sums) lets them differ, in their own and both neighbouring ones.
+    The numbers of an answer of at most `few` claims lie in one row and are tried there, after one shuffle. Of longer answers a claim and
+    one earlier number leave three numbers that would complete the pair; these are looked up by stretches of the number line, as wide as
+    the tolerance (and the rounding of sums) lets them differ, in their own and both neighbouring ones.
     """
-    n = claims.select("eval_id", "ord", "claim_id", t.first_number(F.col("text")).alias("x")).where("x is not null")
+    rows = claims.select("eval_id", "ord", "claim_id", "text").withColumn("size", F.count("*").over(Window.partitionBy("eval_id")))
+    numbered = rows.select("eval_id", "ord", "claim_id", "size", t.first_number(F.col("text")).alias("x"))
+    first = _pairs_in_row(numbered.where(F.col("size") <= few), settings).unionByName(_pairs_by_stretch(numbered.where((F.col("size") > few) & F.col("x").isNotNull()), settings))
+    return first.select("eval_id", F.explode("two").alias("src"), F.col("claim_id").alias("dst"))
+
+
+def _near(x: Column, a: Column, b: Column, settings: Config) -> Column:
+    """Whether the numbers a and b add or subtract to x."""
+    one = lambda v: F.abs(x - v) <= settings.numeric_tolerance * F.greatest(F.abs(x), F.abs(v), F.lit(1.0))
+    return one(a + b) | one(a - b) | one(b - a)
+
+
+def _pairs_in_row(n: DataFrame, settings: Config) -> DataFrame:
+    """eval_id, claim_id, two: the first pair of each number of short answers. Three nested loops over a row's numbers, which Spark compiles.
+
+    Claims without a number are no part of any pair; to drop them before would make Spark look for the number twice.
+    """
+    lists = n.groupBy("eval_id").agg(F.collect_list(F.struct("ord", "x", "claim_id")).alias("ns")).where(F.size("ns") > 2)
+    two = lists.select("eval_id", "ns", F.explode("ns").alias("n")).select("eval_id", "ns", "n", F.explode("ns").alias("a")).where("a.ord < n.ord")
+    met = two.select("eval_id", "n", "a", F.explode("ns").alias("b")).where("a.ord < b.ord and b.ord < n.ord").where(_near(F.col("n.x"), F.col("a.x"), F.col("b.x"), settings))
+    first = met.groupBy("eval_id", "n.ord", "n.claim_id").agg(F.min_by(F.array("a.claim_id", "b.claim_id"), F.struct("a.ord", "b.ord")).alias("two"))
+    return first.select("eval_id", "claim_id", "two")
+
+
+def _pairs_by_stretch(n: DataFrame, settings: Config) -> DataFrame:
+    """The same for answers of any length."""
     wide = n.groupBy("eval_id").agg(F.max(F.abs("x")).alias("most"), F.count("*").alias("held")).where("held > 2")
     wide = wide.select("eval_id", (F.greatest("most", F.lit(1.0)) * (2 * settings.numeric_tolerance + 1e-9)).alias("width"))
     n = n.join(wide, "eval_id")
     a = n.select("eval_id", F.col("ord").alias("a"), F.col("x").alias("xa"), F.col("claim_id").alias("ida"))
     b = n.select("eval_id", F.col("ord").alias("b"), F.col("x").alias("xb"), F.col("claim_id").alias("idb"), F.floor(F.col("x") / F.col("width")).alias("stretch"))
-    near = lambda v: F.abs(F.col("x") - v) <= settings.numeric_tolerance * F.greatest(F.abs("x"), F.abs(v), F.lit(1.0))
     two = n.join(a, "eval_id").where("a < ord")
     wanted = F.array(F.col("x") - F.col("xa"), F.col("xa") - F.col("x"), F.col("x") + F.col("xa"))
     at = F.flatten(F.transform(wanted, lambda w: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(w / F.col("width")) + d)))
     met = two.withColumn("stretch", F.explode(F.array_distinct(at))).join(b, ["eval_id", "stretch"]).where("a < b and b < ord")
-    met = met.where(near(F.col("xa") + F.col("xb")) | near(F.col("xa") - F.col("xb")) | near(F.col("xb") - F.col("xa")))
+    met = met.where(_near(F.col("x"), F.col("xa"), F.col("xb"), settings))
     first = met.groupBy("eval_id", "ord", "claim_id").agg(F.min_by(F.array("ida", "idb"), F.struct("a", "b")).alias("two"))
-    return first.select("eval_id", F.explode("two").alias("src"), F.col("claim_id").alias("dst"))
+    return first.select("eval_id", "claim_id", "two")
 
 
 def found_edges(claims: DataFrame, settings: Config = Config()) -> DataFrame:

@@ -106,6 +106,16 @@ def test_numeric_edges_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_numeric_edges_are_the_same_in_a_row_and_by_stretches(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(e, k, f"c{k}", rng.choice([f"It was {rng.randint(1, 20)} units.", f"It was {rng.randint(1, 9)}k.", "It was none."])) for e in range(12) for k in range(1 + e)]
+    claims = spark.createDataFrame(rows, "eval_id int, ord int, claim_id string, text string")
+    short, long, mixed = (sorted(tuple(r) for r in graph.numeric_edges(claims, few=few).collect()) for few in (64, 0, 7))
+    assert short == long == mixed and short
+
+
 def test_tables_that_people_maintain(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"type": "x", "keywords": ["foo"], "requirements": [{"id": "r", "text": "the foo", "vital": true}]}\n{"type": "default", "requirements": []}\n')
     types = tables.requirement_types(spark, str(tmp_path / "t.jsonl"))
