@@ -171,6 +171,8 @@ def clause_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = F.transform(t.clauses(F.col("sentence")), lambda x: F.greatest(F.size(F.split(x, r"\s+")), F.lit(1)).cast("long"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     rows = d.select("doc_id", "sent", sizes.alias("sizes")).withColumn("words", total(F.col("sizes")))
+    # Sizes are a twentieth of the spans that they become, which Spark can't see when it puts small partitions together.
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * d.rdd.getNumPartitions()), "doc_id")
     w = Window.partitionBy("doc_id").orderBy("sent")
     rows = rows.withColumn("a", F.sum("words").over(w) - F.col("words")).withColumn("after", F.lead(F.get("sizes", F.lit(0))).over(w))
     end = F.col("a") + F.col("words")

@@ -295,3 +295,8 @@ def test_streamed_formulas_equal_the_batch(spark, tmp_path):
     want = {(x.eval_id, x.formula_id): x.score for x in scoring.by_formula(frame.drop("at"), atom_stream.GROUP).collect()}
     assert got == pytest.approx(want) and len(want) == 36 and len(atom_log.versions(spark, path)[1]) == 4
 
+
+def test_spans_are_dealt_by_number_so_that_small_sizes_stay_apart(spark):
+    from gaugeleaf.plans import reasoning_queries
+
+    assert "REPARTITION_BY_NUM" in reasoning_queries.clause_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
