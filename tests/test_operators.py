@@ -116,6 +116,18 @@ def test_numeric_edges_are_the_same_in_a_row_and_by_stretches(spark):
     assert short == long == mixed and short
 
 
+def test_slot_counts_are_counted_as_letters_and_entailment_reads_a_known_negation(spark):
+    from gaugeleaf.functions import text
+
+    rows = spark.createDataFrame([([0, 63, 63, 5],), ([20250730 % 64],)], "v array<int>").withColumn("n", text.slot_counts(F.col("v")))
+    assert [r.n for r in rows.collect()] == [[float(r.v.count(d)) for d in range(64)] for r in rows.collect()]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "array_remove" not in plan and "octet_length" in plan
+    e = spark.createDataFrame([(["not", "open"], ["open"]), (["open"], ["open"]), (["shut"], ["open"])], "p array<string>, h array<string>")
+    both = e.select(text.entailment(F.col("p"), F.col("h")).alias("x"), text.entailment(F.col("p"), F.col("h"), denies=text.negates(F.col("p"))).alias("y")).collect()
+    assert [r.x for r in both] == [r.y for r in both] and [r.x.label for r in both] == ["C", "E", "N"]
+
+
 def test_tables_that_people_maintain(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"type": "x", "keywords": ["foo"], "requirements": [{"id": "r", "text": "the foo", "vital": true}]}\n{"type": "default", "requirements": []}\n')
     types = tables.requirement_types(spark, str(tmp_path / "t.jsonl"))
