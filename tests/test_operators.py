@@ -128,6 +128,15 @@ def test_slot_counts_are_counted_as_letters_and_entailment_reads_a_known_negatio
     assert [r.x for r in both] == [r.y for r in both] and [r.x.label for r in both] == ["C", "E", "N"]
 
 
+def test_quoted_units_need_no_look_at_the_sources(spark):
+    evals = spark.createDataFrame([(1, "Was the catch large?", "The catch was not large and ice held."), (2, "Who kept it?", "")], "eval_id long, question string, answer string")
+    said = ["A large catch came; ice_floe and Ida Lewis left. It was large, but they kept it.", "Catch of the day whereas ice melts! Who kept the ice?"]
+    chunks = spark.createDataFrame([(e, i, x) for e in (1, 2) for i, x in enumerate(said)], "eval_id long, chunk_ord long, text string")
+    drafted = tasks.draft(tasks.generated(evals), tasks.source_sentences(chunks))
+    plain, quoted = (sorted(map(tuple, tasks.gated(drafted, evals, chunks, quoted=q).collect())) for q in (False, True))
+    assert plain == quoted and any("bottom_up" in r for r in plain)
+
+
 def test_tables_that_people_maintain(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"type": "x", "keywords": ["foo"], "requirements": [{"id": "r", "text": "the foo", "vital": true}]}\n{"type": "default", "requirements": []}\n')
     types = tables.requirement_types(spark, str(tmp_path / "t.jsonl"))
