@@ -124,9 +124,9 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each conversation's claims agree, after some are repeated with a "not"."""
-    rows = _claims(spark, sf_dir)
-    again = rows.where("ord % 7 = 2").withColumn("ord", F.col("ord") + 100_000).withColumn("text", F.concat(F.lit("not "), "text"))
-    rows = graph.shared_checkpoint(rows.select("eval_id", "ord", "text").unionByName(again.select("eval_id", "ord", "text")))
+    once, again = F.struct("ord", "text"), F.struct((F.col("ord") + 100_000).alias("ord"), F.concat(F.lit("not "), "text").alias("text"))
+    rows = _claims(spark, sf_dir).select("eval_id", F.inline(F.when(F.col("ord") % 7 == 2, F.array(once, again)).otherwise(F.array(once))))
+    rows = graph.shared_checkpoint(rows)
     return reasoning.consistency(rows, reasoning.contradictions(rows))
 
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 from collections import defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,37 @@ def test_a_crowded_term_is_split(spark):
     assert {(x.eval_id, x.first, x.second) for x in got if x.second < 40} == set(want) and len(got) >= 3000
 
 
+def shuffled(spark, run):
+    """Bytes that run() shuffles."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_contradictions_leave_claims_at_home(spark):
+    r, rows = random.Random(7), []
+    for e in range(60):
+        rows += [(e, i, " ".join(["not"] * (i % 5 == 3) + [f"w{r.randrange(10**7)}" for _ in range(12)])) for i in range(40)]
+        rows += [(e, 100 + i, f"not {rows[-1 - i][2]}") for i in range(3, 6)]
+    frame = spark.createDataFrame(rows, "eval_id int, ord int, text string").localCheckpoint()
+    text = sum(len(x[2]) for x in rows)
+    assert shuffled(spark, lambda: reasoning.contradictions(frame).collect()) < 10 * text  # 34 times with each claim under all of its tokens
+
+
+def test_a_share_that_rounds_up_loses_no_contradiction(spark):
+    words = [f"word{i}" for i in range(100)]
+    rows = [(1, 0, " ".join(words)), (1, 1, " ".join(["not", *words[:55], *(f"else{i}" for i in range(100))]))]  # 0.55 * 100 is 55.00000000000001
+    got = reasoning.contradictions(spark.createDataFrame(rows, "eval_id int, ord int, text string"), replace(c.Config(), contra_tau=0.55)).collect()
+    assert [tuple(x) for x in got] == [(1, 0, 1, 1)]
+
+
 # ---- order statistics, calibration
 
 
