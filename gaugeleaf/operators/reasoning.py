@@ -148,21 +148,36 @@ def error_profile(values: DataFrame, flags: DataFrame) -> DataFrame:
 def contradictions(claims: DataFrame, settings: Config = Config(), block: int = 256) -> DataFrame:
     """eval_id, first, second, by: pairs of claims (their ord) of one answer of which one contradicts the other, by its claim's ord.
 
-    claims: eval_id, ord, text. Two claims that differ in negation share only tokens that claims of both kinds have; the others are dropped
-    early, and no claim travels with them. A claim of n tokens is contradicted only by one that covers m = ceil(contra_tau * n) of them. So
-    of the tokens left, the two share one of the size - m + 1 that the fewest claims of the other kind have; each claim looks under these,
-    and a pair is judged under the first token that it shares. Crowded tokens are split: claims that look go by `block`s, and those
-    that are looked for to every block.
+    claims: eval_id, ord, text. A claim is contradicted only by one that covers a share contra_tau of its tokens and differs in negation. In an
+    answer with at most `block` claims of each kind all meet under the answer; those of longer answers meet under tokens.
     """
     negation = F.array(*map(F.lit, c.NEGATION))
-    rows = claims.select("eval_id", "ord", t.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    said = rows.select("eval_id", "ord", F.arrays_overlap("tokens", negation).alias("neg"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rows = claims.select("eval_id", "ord", t.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).withColumn("neg", F.arrays_overlap("tokens", negation))
+    sides = rows.groupBy("eval_id").agg(F.count_if("neg").alias("denied"), F.count_if(~F.col("neg")).alias("stated")).where("denied > 0 AND stated > 0")
+    rows = shared_checkpoint(rows.join(sides.select("eval_id", (F.greatest("denied", "stated") > block).alias("long")), "eval_id"))
+    short = rows.where("NOT long").select("eval_id", "ord", "tokens", "neg")
+    share = F.size(F.array_intersect("a.tokens", "b.tokens")) / F.size("a.tokens")
+    met = short.alias("a").join(short.alias("b"), "eval_id").where((F.col("a.neg") != F.col("b.neg")) & (F.col("a.ord") != F.col("b.ord")))  # both sides are one shuffle
+    found = met.where(share >= settings.contra_tau).select("eval_id", "a.ord", F.col("b.ord").alias("by"))
+    found = found.unionByName(_under_tokens(rows.where("long"), settings.contra_tau, block))
+    return found.groupBy("eval_id", F.least("ord", "by").alias("first"), F.greatest("ord", "by").alias("second")).agg(F.min("by").alias("by"))
+
+
+def _under_tokens(rows: DataFrame, tau: float, block: int) -> DataFrame:
+    """eval_id, ord, by: each claim with those that contradict it, in answers of any length. rows: eval_id, ord, tokens, neg.
+
+    Two claims that differ in negation share only tokens that claims of both kinds have; the others are dropped early, and no claim
+    travels with them. Of n tokens, m = ceil(tau * n) are to be covered. So of the tokens left, the two share one of the size - m + 1
+    that the fewest claims of the other kind have; each claim looks under these, and a pair is judged under the first token that
+    it shares. Crowded tokens are split: claims that look go by `block`s, and those that are looked for to every block.
+    """
+    said = rows.select("eval_id", "ord", "neg", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     known = said.groupBy("eval_id", "token").agg(F.count_if("neg").alias("denied"), F.count_if(~F.col("neg")).alias("stated")).where("denied > 0 AND stated > 0")
     against = F.when(F.col("neg"), F.col("stated")).otherwise(F.col("denied"))
     left = F.array_sort(F.collect_list(F.struct(against.alias("against"), "token")))
     kept = said.join(known, ["eval_id", "token"]).groupBy("eval_id", "ord", "neg", "n").agg(F.transform(left, lambda x: x["token"]).alias("tokens"))
     kept = shared_checkpoint(kept)
-    least = F.greatest(F.ceil(settings.contra_tau * F.col("n") - 1e-9), F.lit(1)).cast("int")  # a product may be a little too large
+    least = F.greatest(F.ceil(tau * F.col("n") - 1e-9), F.lit(1)).cast("int")  # a product may be a little too large
     looks = kept.where(F.size("tokens") >= least).select("*", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("token"))
     crowd = looks.groupBy("eval_id", "token", "neg").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asks = looks.join(crowd, ["eval_id", "token", "neg"]).withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int")).drop("blocks")
@@ -170,8 +185,7 @@ def contradictions(claims: DataFrame, settings: Config = Config(), block: int =
     other = other.join(crowd, ["eval_id", "token", "neg"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     both = F.array_intersect("tokens", "premise")  # in the order of tokens
     met = asks.join(other, ["eval_id", "token", "neg", "block"]).where(F.col("ord") != F.col("by"))
-    found = met.where((F.size(both) / F.col("n") >= settings.contra_tau) & (F.get(both, F.lit(0)) == F.col("token")))
-    return found.groupBy("eval_id", F.least("ord", "by").alias("first"), F.greatest("ord", "by").alias("second")).agg(F.min("by").alias("by"))
+    return met.where((F.size(both) / F.col("n") >= tau) & (F.get(both, F.lit(0)) == F.col("token"))).select("eval_id", "ord", "by")
 
 
 def consistency(claims: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -226,14 +226,17 @@ def test_contradictions_leave_claims_at_home(spark):
         rows += [(e, 100 + i, f"not {rows[-1 - i][2]}") for i in range(3, 6)]
     frame = spark.createDataFrame(rows, "eval_id int, ord int, text string").localCheckpoint()
     text = sum(len(x[2]) for x in rows)
-    assert shuffled(spark, lambda: reasoning.contradictions(frame).collect()) < 10 * text  # 34 times with each claim under all of its tokens
+    for block, most in (256, 5), (16, 10):  # 34 times with each claim under all of its tokens
+        assert shuffled(spark, lambda b=block: reasoning.contradictions(frame, block=b).collect()) < most * text
 
 
 def test_a_share_that_rounds_up_loses_no_contradiction(spark):
     words = [f"word{i}" for i in range(100)]
     rows = [(1, 0, " ".join(words)), (1, 1, " ".join(["not", *words[:55], *(f"else{i}" for i in range(100))]))]  # 0.55 * 100 is 55.00000000000001
-    got = reasoning.contradictions(spark.createDataFrame(rows, "eval_id int, ord int, text string"), replace(c.Config(), contra_tau=0.55)).collect()
-    assert [tuple(x) for x in got] == [(1, 0, 1, 1)]
+    rows.append((1, 2, "else"))  # two claims of a kind, so a block of one is too small
+    for block in (1, 256):
+        got = reasoning.contradictions(spark.createDataFrame(rows, "eval_id int, ord int, text string"), replace(c.Config(), contra_tau=0.55), block).collect()
+        assert [tuple(x) for x in got] == [(1, 0, 1, 1)]
 
 
 # ---- order statistics, calibration
