@@ -52,14 +52,24 @@ def clauses(sentence: Column) -> Column:
     return _once(_filled(F.split(marked, CUT)), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(sentence))))
 
 
+def words(text: Column) -> Column:
+    """All lower-case words, in order, repeats included."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def content(words: Column, stop: list[str] = c.STOP) -> Column:
+    """The set of words without stop words."""
+    return F.array_except(words, F.array(*map(F.lit, stop)))
+
+
 def tokens(text: Column, stop: list[str] = c.STOP) -> Column:
     """The set of lower-case content tokens, in order of appearance."""
-    return F.array_except(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), F.array(*map(F.lit, stop)))
+    return content(words(text), stop)
 
 
 def coverage(a: Column, b: Column) -> Column:
-    """Share of token set a that is in b; 0 if a is empty."""
-    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Share of token set a that is in b; 0 if a is empty. Spark hashes the second set of an intersection: here a, mostly the smaller."""
+    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(b, a)) / F.size(a))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -91,10 +101,9 @@ def _scaled(number: Column, tail: Column) -> Column:
 
 
 def all_numbers(text: Column) -> Column:
-    """Every number of a text, scaled, in order."""
+    """Every number of a text, scaled, in order. A magnitude has eight letters at most, so no more of what follows a number is kept."""
     found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    tails = F.slice(F.split(text, NUMBER, -1), F.lit(2), F.greatest(F.size(found), F.lit(1)))
-    follow = F.transform(found, lambda _, i: F.array_join(F.transform(F.sequence(i, F.size(found) - 1), lambda j: F.concat(F.get(tails, j), F.when(j < F.size(found) - 1, F.get(found, j + 1)).otherwise(F.lit("")))), ""))
+    follow = F.regexp_extract_all(text, F.lit(rf"(?s){NUMBER}(?=\s*(.{{0,8}}))"), F.lit(1))
     return F.filter(F.zip_with(found, follow, _scaled), lambda x: x.isNotNull())
 
 
@@ -162,10 +171,15 @@ def ask_hypothesis(question: Column) -> Column:
     return F.when(rest == "", question).otherwise(rest)
 
 
-def last_subject(text: Column) -> Column:
-    """The last run of capitalised words; null without any."""
-    found = F.regexp_extract_all(text, F.lit(rf"(^|{EDGE})({SUBJECT})({EDGE}|$)"), F.lit(2))
-    return F.try_element_at(found, F.lit(-1))
+def last_subject(text: Column, end: int = 512) -> Column:
+    """The last run of capitalised words; null without any.
+
+    No run, with its edges, reaches past the start of a word in small letters, and what follows that start is cut into runs as in the
+    whole text. So a long text is searched whole only if there is no run after the first such word of its end.
+    """
+    last = lambda x: F.try_element_at(F.regexp_extract_all(x, F.lit(rf"(^|{EDGE})({SUBJECT})({EDGE}|$)"), F.lit(2)), F.lit(-1))
+    rest = F.regexp_extract(F.right(text, F.lit(end)), rf"(?s)^.*?{EDGE}([a-z].*)$", 1)
+    return F.coalesce(F.when(F.length(text) > end, last(rest)), last(text))
 
 
 def resolve(text: Column, subject: Column) -> Column:
@@ -197,8 +211,14 @@ def seeded_bit(seed: int, *parts: Column) -> Column:
 
 def slots(text: Column, seed: int = 20250730, dim: int = 64) -> Column:
     """The embedding's dimension of each content token, repeats included; one fixed dimension for a text without tokens."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(c.STOP))
-    found = F.transform(words, lambda t: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), t).cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+    return word_slots(words(text), seed, dim)
+
+
+def word_slots(words: Column, seed: int = 20250730, dim: int = 64) -> Column:
+    """slots() of words(): the first eight digits of MD5 modulo dim, of which the last two say all where dim divides 256."""
+    at, n = (7, 2) if 256 % dim == 0 else (1, 8)
+    kept = F.filter(words, lambda t: ~t.isin(c.STOP))
+    found = F.transform(kept, lambda t: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), t).cast("binary")), at, n), 16, 10).cast("long") % dim).cast("int"))
     return _once(found, lambda v: F.when(F.size(v) == 0, F.array(F.lit(seed % dim))).otherwise(v))
 
 

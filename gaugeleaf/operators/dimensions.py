@@ -9,7 +9,7 @@ from gaugeleaf import config as c
 from gaugeleaf.config import Config
 from gaugeleaf.functions import providers, scoring
 from gaugeleaf.functions import text as t
-from gaugeleaf.operators import support
+from gaugeleaf.operators import graph, support
 
 
 def _scored(rows: DataFrame, k: Column, n: Column, settings: Config) -> DataFrame:
@@ -168,7 +168,7 @@ def axioms(sets: DataFrame, chunks: DataFrame, gate: float = 0.5, settings: Conf
     """sets with axiom: grounded with matching numbers, from an adequate source if one is cited, and attributed if it cites.
 
     held, adequate, attributed, number, numeric_ok, sourced and placed show why. A claim's number has to be near some number of
-    the sources; numbers are looked for only for claims that have one. A claim without an exported label has that of local
+    the sources; these are read only if some claim has one, so the claims' numbers are checkpointed. A claim without an exported label has that of local
     (local_support()); where that is not given either, it counts as held if there are no sources to ask.
     """
     text = ["text"] if settings.disinterest_sample_rate > 0 else []
@@ -182,9 +182,14 @@ def axioms(sets: DataFrame, chunks: DataFrame, gate: float = 0.5, settings: Conf
     attributed = F.when(F.size("cited") > 0, (F.size(F.array_intersect("cited", "chunks")) > 0) & (F.coalesce("confidence", F.lit(0.0)) >= gate)).otherwise(F.lit(True))
     rows = rows.withColumn("attributed", attributed).withColumn("number", t.first_number(F.col("text")))
     x, y = F.col("number"), F.col("y")
-    asked = rows.where("number is not null").select("eval_id", "number").distinct().join(source_numbers(chunks), "eval_id")
-    met = asked.where(F.abs(x - y) <= settings.numeric_tolerance * F.greatest(F.abs(x), F.abs(y))).select("eval_id", "number", F.lit(True).alias("met")).distinct()
-    rows = rows.join(met, ["eval_id", "number"], "left").withColumn("numeric_ok", x.isNull() | ~F.col("sourced") | F.coalesce("met", F.lit(False))).drop("met")
+    asked = graph.shared_checkpoint(sets.select("eval_id", t.first_number(F.col("text")).alias("number")).where("number is not null").distinct())
+    if asked.isEmpty():
+        rows = rows.withColumn("met", F.lit(None).cast("boolean"))
+    else:
+        near = F.abs(x - y) <= settings.numeric_tolerance * F.greatest(F.abs(x), F.abs(y))
+        met = asked.join(source_numbers(chunks), "eval_id").where(near).select("eval_id", "number", F.lit(True).alias("met")).distinct()
+        rows = rows.join(met, ["eval_id", "number"], "left")
+    rows = rows.withColumn("numeric_ok", x.isNull() | ~F.col("sourced") | F.coalesce("met", F.lit(False))).drop("met")
     if local is not None:
         rows = rows.join(local.select("eval_id", "claim_id", "entailed"), ["eval_id", "claim_id"], "left").withColumn("grounded", F.coalesce("grounded", "entailed")).drop("entailed")
     rows = rows.withColumn("held", F.coalesce("grounded", ~F.col("sourced")) & F.col("numeric_ok"))

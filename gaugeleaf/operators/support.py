@@ -1,8 +1,9 @@
 """Which chunks support which triplets and claims: one entailment pass whose result three dimensions share.
 
-Triplets meet the chunks of their own evaluation in an equi-join, the k chunks of largest cosine are kept by a ranked
-window (Spark prunes it before the shuffle), and only those are tested. Chunk vectors and token sets are made once a chunk. The
-join by evaluation feeds the ranking's own shuffle, so Spark splits an evaluation of very many chunks at run time (AQE).
+Triplets meet the chunks of their own evaluation in an equi-join, and a ranked window keeps the k chunks of largest cosine. Chunk
+vectors and token sets are made once a chunk, from one list of its words. The built-in entailment is judged where they meet: a chunk's
+tokens are cut there to those that some triplet of the evaluation has, so that they need not be shuffled to the kept pairs once more.
+Other models see the kept pairs alone.
 """
 
 from __future__ import annotations
@@ -23,27 +24,43 @@ def doc_key() -> Column:
 
 def prefilter(triplets: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
     """KEY, claim_id, tokens, chunk_ord, chunk_id, doc, cosine, rank: the k nearest chunks of each triplet. Texts stay out of the ranking."""
-    left = triplets.select(*KEY, "claim_id", t.slots(F.col("text"), settings.embedding_seed, settings.embedding_dim).alias("slots"), t.tokens(F.col("text")).alias("tokens"))
-    left = left.withColumn("slots_length", t.slots_norm(F.col("slots")))
-    counts = t.slot_counts(t.slots(F.col("text"), settings.embedding_seed, settings.embedding_dim), settings.embedding_dim)
-    right = chunks.select("eval_id", "chunk_ord", "chunk_id", doc_key().alias("doc"), counts.alias("counts"))
-    right = right.withColumn("counts_length", t.norm(F.col("counts")))
+    return _nearest(_met(_hypotheses(triplets, settings), _vectors(chunks, settings).drop("words")), settings)
+
+
+def _hypotheses(triplets: DataFrame, settings: Config) -> DataFrame:
+    rows = triplets.select(*KEY, "claim_id", t.slots(F.col("text"), settings.embedding_seed, settings.embedding_dim).alias("slots"), t.tokens(F.col("text")).alias("tokens"))
+    return rows.withColumn("slots_length", t.slots_norm(F.col("slots")))
+
+
+def _vectors(chunks: DataFrame, settings: Config) -> DataFrame:
+    rows = chunks.select("eval_id", "chunk_ord", "chunk_id", doc_key().alias("doc"), t.words(F.col("text")).alias("words"))
+    counts = t.slot_counts(t.word_slots(F.col("words"), settings.embedding_seed, settings.embedding_dim), settings.embedding_dim)
+    return rows.withColumn("counts", counts).withColumn("counts_length", t.norm(F.col("counts")))
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     met = left.join(right, "eval_id").withColumn("cosine", t.slots_cosine(F.col("slots"), F.col("slots_length"), F.col("counts"), F.col("counts_length")))
-    met = met.drop("slots", "slots_length", "counts", "counts_length")
+    return met.drop("slots", "slots_length", "counts", "counts_length")
+
+
+def _nearest(met: DataFrame, settings: Config) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("cosine"), "chunk_ord"))
     return met.withColumn("rank", rank).where(F.col("rank") <= max(1, settings.groundedness_k))
 
 
 def labelled(triplets: DataFrame, chunks: DataFrame, settings: Config = Config()) -> DataFrame:
     """The kept pairs with label and raw."""
-    kept = prefilter(triplets, chunks, settings)
     if settings.entailment == "lexical":
-        premises = chunks.select("eval_id", "chunk_ord", t.tokens(F.col("text")).alias("premise")).withColumn("denies", t.negates(F.col("premise")))
-        judged = kept.join(premises, ["eval_id", "chunk_ord"]).withColumn("e", t.entailment(F.col("premise"), F.col("tokens"), settings.entail_tau, settings.contra_tau, F.col("denies"))).drop("denies")
-    else:
-        pairs = kept.join(chunks.select("eval_id", "chunk_ord", F.col("text").alias("premise")), ["eval_id", "chunk_ord"]).join(triplets.select(*KEY, F.col("text").alias("hypothesis")), KEY)
-        judged = pairs.withColumn("e", providers.provider("entailment", settings.entailment)(F.col("premise"), F.col("hypothesis"))).drop("hypothesis")
-    return judged.select("*", "e.label", "e.raw").drop("e", "premise", "tokens")
+        left = _hypotheses(triplets, settings)
+        asked = left.select("eval_id", F.explode_outer("tokens").alias("token")).groupBy("eval_id").agg(F.collect_set("token").alias("asked"))
+        right = _vectors(chunks, settings).withColumn("said", t.content(F.col("words"))).drop("words").withColumn("denies", t.negates(F.col("said")))
+        right = right.join(asked, "eval_id").withColumn("premise", F.array_intersect("said", "asked")).drop("said", "asked")
+        met = _met(left, right).withColumn("e", t.entailment(F.col("premise"), F.col("tokens"), settings.entail_tau, settings.contra_tau, F.col("denies")))
+        return _nearest(met.select("*", "e.label", "e.raw").drop("e", "premise", "denies", "tokens"), settings)
+    kept = prefilter(triplets, chunks, settings).drop("tokens")
+    pairs = kept.join(chunks.select("eval_id", "chunk_ord", F.col("text").alias("premise")), ["eval_id", "chunk_ord"]).join(triplets.select(*KEY, F.col("text").alias("hypothesis")), KEY)
+    judged = pairs.withColumn("e", providers.provider("entailment", settings.entailment)(F.col("premise"), F.col("hypothesis"))).drop("hypothesis", "premise")
+    return judged.select("*", "e.label", "e.raw").drop("e")
 
 
 def triplet_labels(triplets: DataFrame, pairs: DataFrame) -> DataFrame:

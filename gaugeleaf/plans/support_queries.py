@@ -25,16 +25,21 @@ def triplets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.triplets(claims_of(spark, sf_dir))
 
 
-def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph.shared_checkpoint(triplets_of(spark, sf_dir))  # read by the ranking and by its result
+def kept_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims for a query that reads them more than once."""
+    return graph.shared_checkpoint(claims_of(spark, sf_dir))
+
+
+def labels_of(spark: SparkSession, sf_dir: str, claims: DataFrame | None = None) -> DataFrame:
+    rows = graph.shared_checkpoint(triplets_of(spark, sf_dir) if claims is None else pipeline.triplets(claims))  # read by the ranking and by its result
     return support.triplet_labels(rows, support.labelled(rows, src.chunks(spark, sf_dir)))
 
 
-def cited_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cited_claims(spark: SparkSession, sf_dir: str, claims: DataFrame | None = None) -> DataFrame:
     """Claims with citations dealt out: by sentence, to the chunk of rank sent_ord modulo chunks + 1, to none, or to a made-up id."""
     ranks = src.chunks(spark, sf_dir).select("eval_id", "chunk_id", (F.row_number().over(Window.partitionBy("eval_id").orderBy("chunk_ord")) - 1).alias("place"))
     n = ranks.groupBy("eval_id").agg(F.count("*").alias("n"))
-    rows = claims_of(spark, sf_dir).drop("citation").join(n, "eval_id", "left").withColumn("place", F.col("sent_ord") % (F.coalesce("n", F.lit(0)) + 1))
+    rows = (claims_of(spark, sf_dir) if claims is None else claims).drop("citation").join(n, "eval_id", "left").withColumn("place", F.col("sent_ord") % (F.coalesce("n", F.lit(0)) + 1))
     rows = rows.join(ranks, ["eval_id", "place"], "left").withColumn("citation", F.when(F.col("sent_ord") % 13 == 5, "fabricated-99").otherwise(F.col("chunk_id")))
     explicit = F.when((F.col("sent_ord") % 2 == 0) & (F.col("citation") == F.col("chunk_id")), F.array("chunk_id")).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("explicit", explicit).withColumn("own", F.when(F.col("citation") == F.col("chunk_id"), F.col("chunk_id"))).drop("n", "place", "chunk_id")
@@ -132,8 +137,9 @@ WHERE citation IS NOT NULL) x ANTI JOIN (SELECT eval_id, chunk_id AS citation FR
 
 
 def hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cites = dim.fabrication(cited_claims(spark, sf_dir).select("eval_id", "citation"), src.chunks(spark, sf_dir))
-    rows = dim.hallucination(labels_of(spark, sf_dir), cites)
+    claims = kept_claims(spark, sf_dir)
+    cites = dim.fabrication(cited_claims(spark, sf_dir, claims).select("eval_id", "citation"), src.chunks(spark, sf_dir))
+    rows = dim.hallucination(labels_of(spark, sf_dir, claims), cites)
     return rows.select("eval_id", r6("score").alias("score"), "band", r6("neutral_rate").alias("neutral_rate"), r6("contradiction_rate").alias("contradiction_rate"), "gate_failed")
 
 
@@ -171,7 +177,8 @@ SOURCE_QUALITY = s.with_(
 
 
 def sets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dim.cited_sets(cited_claims(spark, sf_dir), support.claim_support(labels_of(spark, sf_dir)))
+    claims = kept_claims(spark, sf_dir)
+    return dim.cited_sets(cited_claims(spark, sf_dir, claims), support.claim_support(labels_of(spark, sf_dir, claims)))
 
 
 SETS = """
@@ -206,7 +213,7 @@ FROM sets WHERE len(cited) > 0"""
 
 
 def axioms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dim.axioms(sets_of(spark, sf_dir), src.chunks(spark, sf_dir))
+    return dim.axioms(graph.shared_checkpoint(sets_of(spark, sf_dir)), src.chunks(spark, sf_dir))  # the sets are read for their numbers, too
 
 
 def source_adequate(spark: SparkSession, sf_dir: str) -> DataFrame:
