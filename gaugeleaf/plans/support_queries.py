@@ -176,9 +176,10 @@ SOURCE_QUALITY = s.with_(
 ) + f"SELECT *, round(adequate_sources / CAST(total_sources AS DOUBLE), 6) AS score, {band_sql('adequate_sources / CAST(total_sources AS DOUBLE)')} AS band FROM sg"
 
 
-def sets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = kept_claims(spark, sf_dir)
-    return dim.cited_sets(cited_claims(spark, sf_dir, claims), support.claim_support(labels_of(spark, sf_dir, claims)))
+def sets_of(spark: SparkSession, sf_dir: str, claims: DataFrame | None = None, supports: DataFrame | None = None) -> DataFrame:
+    claims = kept_claims(spark, sf_dir) if claims is None else claims
+    supports = support.claim_support(labels_of(spark, sf_dir, claims)) if supports is None else supports
+    return dim.cited_sets(cited_claims(spark, sf_dir, claims), supports)
 
 
 SETS = """
@@ -212,8 +213,8 @@ ALCE = s.with_(*BASE, CITED, SETS) + """SELECT count(*) AS claims, round(avg(CAS
 FROM sets WHERE len(cited) > 0"""
 
 
-def axioms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dim.axioms(graph.shared_checkpoint(sets_of(spark, sf_dir)), src.chunks(spark, sf_dir))  # the sets are read for their numbers, too
+def axioms_of(spark: SparkSession, sf_dir: str, claims: DataFrame | None = None, supports: DataFrame | None = None) -> DataFrame:
+    return dim.axioms(graph.shared_checkpoint(sets_of(spark, sf_dir, claims, supports)), src.chunks(spark, sf_dir))  # the sets are read for their numbers, too
 
 
 def source_adequate(spark: SparkSession, sf_dir: str) -> DataFrame:

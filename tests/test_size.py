@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gaugeleaf.functions import text as t
 from gaugeleaf.operators import dimensions as dim
 from gaugeleaf.operators import support
+from gaugeleaf.plans import graph_queries as gq
 from gaugeleaf.plans import support_queries as sq
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +63,19 @@ def test_support_reads_the_words_of_a_chunk_once(spark):
 @pytest.mark.parametrize("query", [sq.sets_of, sq.hallucination])
 def test_claims_of_a_query_are_made_once(spark, query):
     assert "(?i)" not in plan(query(spark, SF))  # claims come from a checkpoint, where their patterns have been met
+
+
+def test_graph_of_claims_labels_them_once(spark, monkeypatch):
+    called = {"claims": 0, "labels": 0}
+
+    def counted(name, f):
+        def again(*args):
+            called[name] += 1
+            return f(*args)
+
+        return again
+
+    for module in (gq, sq):
+        monkeypatch.setattr(module, "claims_of", counted("claims", gq.claims_of))
+    monkeypatch.setattr(support, "labelled", counted("labels", support.labelled))
+    assert gq.graph_json(spark, SF).count() > 0 and called == {"claims": 1, "labels": 1}
