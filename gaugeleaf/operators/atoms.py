@@ -52,10 +52,11 @@ def union(*emitted: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, emitted)
 
 
-def latest(atoms: DataFrame, key: str = "atom_id", order: str = "seq") -> DataFrame:
-    """One row for each key: the one written last."""
-    rest = [c for c in atoms.columns if c != key]
-    return atoms.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("row")).select(key, "row.*")
+def latest(atoms: DataFrame, key: str | list[str] = "atom_id", order: str = "seq") -> DataFrame:
+    """One row for each key, of one column or several: the one written last."""
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in atoms.columns if c not in keys]
+    return atoms.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("row")).select(*keys, "row.*")
 
 
 def by_ids(requests: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -225,15 +225,15 @@ def stream_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{graph.shared_folder(spark)}/atom-stream-{uuid.uuid4().hex}"
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long"))
     one = lambda name: F.struct(F.lit(name).alias("formula_id"), F.expr(ROLE[name]).alias("role"), F.expr(WEIGHT.get(name, "l_quantity")).cast("double").alias("weight"))
-    rows = li.select(  # the lines are put in order once for all formulas
-        F.col("l_orderkey").alias("eval_id"), F.lit("line").alias("dimension"), F.inline(F.array(*map(one, KEYS.values()))), "seq", F.col("l_partkey").cast("string").alias("subject"),
-        (F.col("l_returnflag") != "R").alias("verdict"), F.lit("2026-01-01").cast("timestamp").alias("at"),
-    ).withColumn("atom_id", F.concat_ws("|", "formula_id", "eval_id", "seq"))
-    chance = F.pmod(F.xxhash64("atom_id"), F.lit(15))
+    rows = li.select(  # the lines are put in order once for all formulas; each is one atom that counts for all of them
+        F.col("l_orderkey").alias("eval_id"), F.lit("line").alias("dimension"), F.col("seq").cast("string").alias("atom_id"), "seq", F.col("l_partkey").cast("string").alias("subject"),
+        (F.col("l_returnflag") != "R").alias("verdict"), F.array(*map(one, KEYS.values())).alias("parts"),
+    )
+    chance = F.pmod(F.xxhash64("eval_id", "seq"), F.lit(15))
     for batch in range(3):
-        rows.where((chance % 3 == batch) | ((chance < 3) & (chance == (batch + 2) % 3))).select(atom_stream.SCORED.names).write.parquet(f"{path}/in/batch={batch}")
+        rows.where((chance % 3 == batch) | ((chance < 3) & (chance == (batch + 2) % 3))).write.parquet(f"{path}/in/batch={batch}")
     files = len(spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/in").inputFiles())
-    stream = spark.readStream.schema(atom_stream.SCORED).option("maxFilesPerTrigger", -(-files // 3)).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+    stream = spark.readStream.schema(atom_stream.KEPT).option("maxFilesPerTrigger", -(-files // 3)).option("recursiveFileLookup", "true").parquet(f"{path}/in")
     atom_stream.keep_scores(stream, f"{path}/states", f"{path}/checkpoint").awaitTermination()
     return atom_stream.kept_scores(spark, f"{path}/states").select("eval_id", "formula_id", F.round("score", 6).alias("score"))
 

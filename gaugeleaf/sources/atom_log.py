@@ -42,8 +42,11 @@ def write(atoms: DataFrame, path: str, version: int | None = None) -> int:
     return number
 
 
-def read(spark: SparkSession, path: str, schema, key: str = "atom_id", dimensions: list[str] | None = None) -> DataFrame:
-    """The last row of each key, in any order (seq orders); with dimensions, only their folders are read."""
+def read(spark: SparkSession, path: str, schema, key: str | list[str] = "atom_id", dimensions: list[str] | None = None, by: str | None = None) -> DataFrame:
+    """The last row of each key, in any order (seq orders); with dimensions, only their folders are read.
+
+    by: a column of the key to deal rows by, if what follows groups by it, too.
+    """
     base, after = versions(spark, path)
     out = spark.createDataFrame([], schema).withColumn("version", F.lit(0).cast("long"))
     parts = ([(f"upto={base:020d}", base)] if base >= 0 else []) + [(f"v={n:020d}", n) for n in after]
@@ -52,6 +55,7 @@ def read(spark: SparkSession, path: str, schema, key: str = "atom_id", dimension
         out = out.unionByName(rows)
     if dimensions is not None:
         out = out.where(F.col("dimension").isin(*dimensions))
+    out = out if by is None else out.repartition(by)
     return latest(out.withColumn("written", F.struct("version", "seq")), key, "written").drop("version", "written")
 
 

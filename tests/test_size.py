@@ -6,11 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeleaf.functions import scoring
 from gaugeleaf.functions import text as t
 from gaugeleaf.operators import dimensions as dim
 from gaugeleaf.operators import support
 from gaugeleaf.plans import graph_queries as gq
 from gaugeleaf.plans import support_queries as sq
+from gaugeleaf.streaming import atom_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +81,19 @@ def test_graph_of_claims_labels_them_once(spark, monkeypatch):
         monkeypatch.setattr(module, "claims_of", counted("claims", gq.claims_of))
     monkeypatch.setattr(support, "labelled", counted("labels", support.labelled))
     assert gq.graph_json(spark, SF).count() > 0 and called == {"claims": 1, "labels": 1}
+
+
+def test_an_atom_of_several_formulas_is_kept_and_shuffled_once(spark, tmp_path):
+    r, formulas = random.Random(9), ["mean", "weighted_mean", "dag_resolution", "achieved_ratio"]
+    rows = [(e, "d", f"a{i}", i, f"s{i % 3}", r.random() < 0.6, [(f, r.choice(["axiom", "derived", "outcome"]), float(r.randint(1, 4))) for f in formulas]) for e in range(5) for i in range(r.randint(1, 12))]
+    frame = spark.createDataFrame(rows, atom_stream.KEPT)
+    for part in (frame.where("seq % 2 = 0"), frame.where("seq % 2 = 1 or seq % 4 = 0")):  # some come twice
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(atom_stream.KEPT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    atom_stream.keep_scores(stream, str(tmp_path / "log"), str(tmp_path / "check")).awaitTermination()
+    scores = atom_stream.kept_scores(spark, str(tmp_path / "log"))
+    assert plan(scores).count("Exchange hashpartitioning") == 1
+    flat = frame.select("eval_id", "dimension", "atom_id", "seq", "subject", "verdict", F.inline("parts"))
+    shown = lambda df: {(x.eval_id, x.formula_id): x.score for x in df.collect()}
+    assert shown(scores) == pytest.approx(shown(scoring.by_formula(flat, atom_stream.GROUP)))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == len(rows) + sum(x[3] % 4 == 0 for x in rows)  # no row for each formula
