@@ -62,7 +62,7 @@ def test_support_reads_the_words_of_a_chunk_once(spark):
     assert sum(line.count("regexp_extract_all(lower(text") for line in plan(support.labelled(trips, chunks)).splitlines() if "chunk_id" in line) == 1
 
 
-@pytest.mark.parametrize("query", [sq.sets_of, sq.hallucination])
+@pytest.mark.parametrize("query", [sq.sets_of, sq.hallucination, sq.source_adequate])
 def test_claims_of_a_query_are_made_once(spark, query):
     assert "(?i)" not in plan(query(spark, SF))  # claims come from a checkpoint, where their patterns have been met
 
