@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gaugeleaf.functions import scoring
 from gaugeleaf.functions import text as t
 from gaugeleaf.operators import dimensions as dim
-from gaugeleaf.operators import support
+from gaugeleaf.operators import support, tasks
 from gaugeleaf.plans import graph_queries as gq
 from gaugeleaf.plans import support_queries as sq
 from gaugeleaf.streaming import atom_stream
@@ -97,3 +97,29 @@ def test_an_atom_of_several_formulas_is_kept_and_shuffled_once(spark, tmp_path):
     shown = lambda df: {(x.eval_id, x.formula_id): x.score for x in df.collect()}
     assert shown(scores) == pytest.approx(shown(scoring.by_formula(flat, atom_stream.GROUP)))
     assert spark.read.parquet(str(tmp_path / "log")).count() == len(rows) + sum(x[3] % 4 == 0 for x in rows)  # no row for each formula
+
+
+def test_units_are_folded_by_slots_in_rows_dealt_by_number(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("ice snow rain wind fog hail sun the".split()) for _ in range(r.randint(0, 5))) for _ in range(80)]
+    units = spark.createDataFrame([(i % 3, f"u{i}", x, i) for i, x in enumerate(texts)], "eval_id int, unit_id string, text string, ord int")
+    vectors = {x.unit_id: x.v for x in units.select("unit_id", t.embedding(F.col("text")).alias("v")).collect()}
+    want = set()
+    for e in range(3):
+        kept = []
+        for i in range(e, len(texts), 3):
+            if all(round(sum(a * b for a, b in zip(vectors[f"u{i}"], vectors[u])), 9) < 0.85 for u in kept):
+                kept.append(f"u{i}")
+        want |= {(e, u) for u in kept}
+    out = tasks.dedupe(units)
+    assert {(x.eval_id, x.unit_id) for x in out.collect()} == want and len(want) < 80
+    assert "REPARTITION_BY_NUM" in plan(tasks.dedupe(units))
+
+
+def test_tokens_of_sentences_stay_out_of_the_shuffle(spark):
+    reqs = spark.createDataFrame([(1, "g0", True, 0, "Ice and snow"), (1, "g1", True, 1, "Rain"), (2, "g0", True, 0, "Fog")], "eval_id long, req_id string, vital boolean, req_ord int, req string")
+    said = spark.createDataFrame([(1, 0, 0, "Snow, rain."), (1, 0, 1, "Sun."), (1, 1, 0, "Rain here."), (2, 2, 0, "No ice."), (3, 3, 0, "Fog.")], "eval_id long, chunk_ord long, sent_ord int, text string")
+    got = {(x.eval_id, x.req_id, x.chunk_ord, x.sent_ord) for x in tasks.draft(reqs, said).where("origin = 'bottom_up'").collect()}
+    assert got == {(1, "g0", 0, 0), (1, "g1", 0, 0), (1, "g1", 1, 0)}
+    made = [line for line in plan(tasks.draft(reqs, said)).splitlines() if "regexp_extract_all(lower(text#" in line]
+    assert made and all("rs#" in line for line in made)  # where the requirements are, above the shuffle
